@@ -10,6 +10,7 @@ from .bpe import bpe_round_trip
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .ngram_join import ngram_join
+from .secret_scan import secret_scan
 from .topk import exact_top_k
 from .warc import warc_round_trip
 
@@ -18,6 +19,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(_table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"), words=3, pct=90)
 
@@ -45,6 +50,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_ngram_join": op2_ngram_join,
     "op3_warc": op3_warc,
     "op4_exact_dedup": op4_exact_dedup,
