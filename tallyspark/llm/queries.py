@@ -10,6 +10,7 @@ from .bpe import bpe_round_trip
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .ngram_join import ngram_join
+from .quality import classify
 from .secret_scan import secret_scan
 from .topk import exact_top_k
 from .warc import warc_round_trip
@@ -35,6 +36,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(_table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
 
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_join": op2_ngram_join,
     "op3_warc": op3_warc,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_quality": op6_quality,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_bpe": op8_bpe,
     "op10_line_dedup": op10_line_dedup,
