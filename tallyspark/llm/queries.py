@@ -10,6 +10,7 @@ from .bpe import bpe_round_trip
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .ngram_join import ngram_join
+from .packing import best_fit_packing
 from .quality import classify
 from .secret_scan import secret_scan
 from .topk import exact_top_k
@@ -50,6 +51,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(_table(spark, sf_dir, "documents"), capacity=8192, per_source=4)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_table(spark, sf_dir, "documents"), min_chars=10)
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_bpe": op8_bpe,
+    "op9_best_fit_packing": op9_best_fit_packing,
     "op10_line_dedup": op10_line_dedup,
 }
 
