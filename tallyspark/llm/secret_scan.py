@@ -96,14 +96,15 @@ def _linked(parts: DataFrame, scope: int) -> DataFrame:
     return verdict.where("linked and not covered").groupBy("key").agg(F.collect_list(F.struct("start", "rank", "end")).alias("linked"))
 
 
-def secret_scan(docs: DataFrame, scope: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked for each row."""
+def scanned(docs: DataFrame, scratch: Scratch, scope: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_hash, n_assign, n_access, n_hex, base and linked (arrays of spans) for each row."""
     text = F.col("text")
     long_value = lambda v: F.length(v) >= 12
     mixed = lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]")
     with_colon = text.contains(":")
     found = documents(docs, id_col, text_col).select(
         "doc_id",
+        F.xxhash64("text").alias("text_hash"),
         _spans(text, ASSIGN, "assign", keep=long_value, group=2).alias("assign"),
         _spans(text, ACCESS, "access", has=text.contains("AKIA")).alias("access"),
         _spans(text, HEX, "hex").alias("hex"),
@@ -114,12 +115,16 @@ def secret_scan(docs: DataFrame, scope: int = 200, id_col: str = "doc_id", text_
             _spans(text, ENDPOINT, "endpoint", has=with_colon),
         ).alias("weak"),
     )
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
+    parts = found.select("doc_id", "text_hash", F.monotonically_increasing_id().alias("key"), *counts, F.concat(*KINDS[:3]).alias("base"), "weak")
+    parts = scratch.table(parts, "parts")
+    return parts.join(_linked(parts, scope), "key", "left").withColumn("linked", F.coalesce("linked", F.array().cast(f"array<{_SPAN}>")))
+
+
+def secret_scan(docs: DataFrame, scope: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked for each row."""
     with Scratch(docs.sparkSession, "secret-scan") as scratch:
-        parts = scratch.table(
-            found.select("doc_id", F.monotonically_increasing_id().alias("key"), *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]), F.concat(*KINDS[:3]).alias("base"), "weak"), "parts"
-        )
-        linked = _linked(parts, scope)
-        every = parts.join(linked, "key", "left").withColumn("linked", F.coalesce("linked", F.array().cast(f"array<{_SPAN}>")))
+        every = scanned(docs, scratch, scope, id_col, text_col)
         return scratch.keep(
             every.select(
                 "doc_id", "n_assign", "n_access", "n_hex", F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
@@ -128,8 +133,24 @@ def secret_scan(docs: DataFrame, scope: int = 200, id_col: str = "doc_id", text_
         )
 
 
-def redact_secrets(docs: DataFrame, mask: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The table with the values of base findings replaced; all columns and rows stay."""
-    text = F.regexp_replace(F.col(text_col), ASSIGN.replace("]+)", "]{12,})"), F.lit("$1=" + mask))
-    text = F.regexp_replace(F.regexp_replace(text, ACCESS, mask), HEX, mask)
-    return docs.withColumn(text_col, text).select(docs.columns)
+def _masked(text: Column, spans: Column, mask: str) -> Column:
+    """The text with each span replaced; spans that overlap are replaced together."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(state: Column, s: Column) -> Column:
+        gap = F.when(s["start"] >= state["at"], F.concat(F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit(mask))).otherwise(F.lit(""))
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], gap).alias("out"))
+
+    return F.aggregate(F.array_sort(spans), start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+
+
+def redact_secrets(docs: DataFrame, mask: str = "[SECRET]", scope: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The table with all reported spans replaced in the text; all columns and rows stay."""
+    with Scratch(docs.sparkSession, "redact") as scratch:
+        found = scanned(docs, scratch, scope, id_col, text_col)
+        spans = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.concat("base", "linked").alias("_spans")).where("size(_spans) > 0")
+        spans = scratch.keep(spans.dropDuplicates(["_id", "_hash"]), "spans")
+    keys = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    joined = keys.join(spans.withColumnRenamed("_id", "_found").withColumnRenamed("_hash", "_found_hash"), F.col("_id").eqNullSafe(F.col("_found")) & (F.col("_hash") == F.col("_found_hash")), "left")
+    masked = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(_masked(F.col(text_col), F.col("_spans"), mask))
+    return joined.withColumn(text_col, masked).select(docs.columns)
