@@ -39,8 +39,8 @@ class Registry:
 
 
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Doubles rounded, so that sums in another order give equal values; dates as text."""
-    return df.select(*((F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c).cast("string").alias(c) if t == "date" else F.col(c) for c, t in df.dtypes))
+    """Doubles rounded, so that sums in another order give equal values (means of four keep six digits: ties); dates as text."""
+    return df.select(*((F.round(c, 6 if c.endswith("_rolling") else digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c).cast("string").alias(c) if t == "date" else F.col(c) for c, t in df.dtypes))
 
 
 def ratio_sql(key: str) -> str:

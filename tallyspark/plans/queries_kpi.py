@@ -209,7 +209,7 @@ def _series_sql(period: str, rolling: bool, metrics=_SERIES) -> str:
     out = f", g AS (SELECT {period} AS period, count(*) AS rows, count(DISTINCT date) AS days, {measures_sql(digits=None)} FROM m GROUP BY 1)"
     cols = [f"round({k}, 4) AS {k}" for k in MEASURES] + [f"round(({k} - lag({k}) OVER w) / nullif(lag({k}) OVER w, 0) * 100, 4) AS {k}_change" for k in metrics]
     if rolling:
-        cols += [f"CASE WHEN count({k}) OVER r = 4 THEN round(avg({k}) OVER r, 4) END AS {k}_rolling" for k in metrics]
+        cols += [f"CASE WHEN count({k}) OVER r = 4 THEN round(avg({k}) OVER r, 6) END AS {k}_rolling" for k in metrics]
     return out + f" SELECT period, rows, days, {', '.join(cols)} FROM g WINDOW w AS (ORDER BY period), r AS (ORDER BY period ROWS 3 PRECEDING)"
 
 
@@ -225,7 +225,7 @@ for _name in ("wn_09", "jn_17"):
         return rounded(T.time_series(rows(spark, sf_dir), "month"))
 
 
-@R.add("wn_10", ", g AS (SELECT CAST(date_trunc('week', date) AS DATE) AS period, sum(spend) AS spend FROM m GROUP BY 1) SELECT period, CASE WHEN count(spend) OVER r = 4 THEN round(avg(spend) OVER r, 4) END AS spend_rolling FROM g WINDOW r AS (ORDER BY period ROWS 3 PRECEDING)", dates=("period",))
+@R.add("wn_10", ", g AS (SELECT CAST(date_trunc('week', date) AS DATE) AS period, sum(spend) AS spend FROM m GROUP BY 1) SELECT period, CASE WHEN count(spend) OVER r = 4 THEN round(avg(spend) OVER r, 6) END AS spend_rolling FROM g WINDOW r AS (ORDER BY period ROWS 3 PRECEDING)", dates=("period",))
 def wn_10(spark, sf_dir):
     return rounded(T.time_series(rows(spark, sf_dir), "week", ["spend"]).select("period", "spend_rolling"))
 
