@@ -1,2 +1,249 @@
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+"""Cleaning, profiling, mapping and checks over a messy export made from the orders."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallyspark.operators import cleaning as CL
+from tallyspark.operators import mapping as MP
+from tallyspark.operators import profile as PR
+
+from .build import PRESENT, Registry, rounded
+from .canonical import campaign_rows
+from .messy import COLUMNS, KEPT_SQL, MAPPING, REPEAT, TOTAL, messy
+
+R = Registry()
+
+
+def add(name, sql=None, **more):
+    return R.add(name, sql, m=False, **more)
+
+
+def _clean(spark, sf_dir):
+    return CL.clean(messy(spark, sf_dir), MAPPING)
+
+
+_CLEAN_COLUMNS = """ SELECT r * 2 AS source_row, CASE WHEN k IN (16, 17) THEN NULL ELSE CAST(day AS VARCHAR) END AS date, 'Campaign ' || (o_custkey % 25) AS campaign_name, CASE WHEN k = 8 THEN NULL ELSE o_orderpriority END AS channel,
+    CASE WHEN k IN (4, 5, 6) THEN NULL ELSE cost END AS spend, CAST(CASE WHEN k = 7 THEN clicks - 1 ELSE clicks * 10 END AS DOUBLE) AS impressions, CAST(CASE WHEN k = 7 THEN NULL ELSE clicks END AS DOUBLE) AS clicks, CAST(r % 7 AS DOUBLE) AS leads FROM o"""
+for _name in ("cln_04", "cln_05", "prj_01", "prj_04"):
+
+    @add(_name, KEPT_SQL + _CLEAN_COLUMNS)
+    def _cleaned(spark, sf_dir):
+        return _clean(spark, sf_dir)[0].select("source_row", F.col("date").cast("string").alias("date"), "campaign_name", "channel", "spend", "impressions", "clicks", "leads")
+
+
+@add("cln_02", f"SELECT o_orderkey * 2 AS source_row, 'summary_row_removed' AS action FROM orders WHERE o_orderkey % {TOTAL} = 0 UNION ALL SELECT o_orderkey * 2 + 1, 'summary_row_removed' FROM orders WHERE o_orderkey % {TOTAL} = 0 AND o_orderkey % {REPEAT} = 0")
+def cln_02(spark, sf_dir):
+    return _clean(spark, sf_dir)[1].where("action = 'summary_row_removed'").select("source_row", "action")
+
+
+for _name in ("cln_03", "wn_14"):
+
+    @add(_name, f"SELECT o_orderkey * 2 + 1 AS source_row, o_orderkey * 2 AS first_row FROM orders WHERE o_orderkey % {REPEAT} = 0 AND o_orderkey % {TOTAL} <> 0")
+    def _repeats(spark, sf_dir):
+        rows, _ = CL.remove_summary_rows(messy(spark, sf_dir), COLUMNS)
+        return CL.mark_duplicates(rows, COLUMNS).where("source_row != first_row").select("source_row", "first_row")
+
+
+@add("cln_06", KEPT_SQL + """ SELECT r * 2 AS source_row, 'date_standardized' AS action FROM o WHERE k BETWEEN 10 AND 15 UNION ALL SELECT r * 2, 'unreadable_value' FROM o WHERE k = 17 UNION ALL SELECT r * 2, 'missing_value' FROM o WHERE k = 16
+    UNION ALL SELECT r * 2, 'ambiguous_date' FROM o WHERE k BETWEEN 10 AND 12 AND day(day) <= 12 AND day(day) <> month(day)""")
+def cln_06(spark, sf_dir):
+    return _clean(spark, sf_dir)[1].where(F.col("column") == "date").select("source_row", "action")
+
+
+@add("cln_07", KEPT_SQL + " SELECT r * 2 AS source_row, CASE k WHEN 3 THEN 'text_to_number' WHEN 5 THEN 'missing_value' WHEN 6 THEN 'unreadable_value' END AS action FROM o WHERE k IN (3, 5, 6)")
+def cln_07(spark, sf_dir):
+    return _clean(spark, sf_dir)[1].where((F.col("column") == "spend") & F.col("action").isin("text_to_number", "missing_value", "unreadable_value")).select("source_row", "action")
+
+
+@add("cln_08", KEPT_SQL + " SELECT r * 2 AS source_row, 'negative_spend' AS flag FROM o WHERE k = 4")
+def cln_08(spark, sf_dir):
+    return _clean(spark, sf_dir)[0].where(F.array_contains("dq_flags", "negative_spend")).select("source_row", F.lit("negative_spend").alias("flag"))
+
+
+@add("cln_09", KEPT_SQL + " SELECT r * 2 AS source_row, 'clicks_gt_impressions' AS flag FROM o WHERE k = 7")
+def cln_09(spark, sf_dir):
+    return _clean(spark, sf_dir)[0].where(F.array_contains("dq_flags", "clicks_gt_impressions")).select("source_row", F.lit("clicks_gt_impressions").alias("flag"))
+
+
+_OUTLIERS = KEPT_SQL + """, s AS (SELECT r * 2 AS source_row, CASE WHEN k = 8 THEN '(none)' ELSE o_orderpriority END AS channel, CASE WHEN k NOT IN (4, 5, 6) AND r % 7 >= 5 THEN cost / (r % 7) END AS v FROM o),
+  q AS (SELECT channel, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3, count(v) AS n FROM s GROUP BY 1)
+  SELECT source_row, round(v, 2) AS cpl FROM s JOIN q USING (channel) WHERE n >= 20 AND q3 > q1 AND (v > q3 + 3 * (q3 - q1) OR v < q1 - 3 * (q3 - q1))"""
+
+
+@add("cln_10", _OUTLIERS)
+def cln_10(spark, sf_dir):
+    flagged = _clean(spark, sf_dir)[0].where(F.array_contains("dq_flags", "outlier_cpl"))
+    return flagged.select("source_row", F.round(F.col("spend") / F.col("leads"), 2).alias("cpl"))
+
+
+@add("cln_11", KEPT_SQL + """ SELECT r * 2 AS source_row, 'channel' AS column_name, lower(o_orderpriority) AS original, o_orderpriority AS cleaned, 'label_standardized' AS action FROM o WHERE k = 1
+    UNION ALL SELECT r * 2, 'channel', o_orderpriority || 't', o_orderpriority, 'label_standardized' FROM o WHERE k = 2 UNION ALL SELECT r * 2, 'channel', o_orderpriority, o_orderpriority, 'whitespace_trimmed' FROM o WHERE k = 9""")
+def cln_11(spark, sf_dir):
+    log = _clean(spark, sf_dir)[1].where((F.col("column") == "channel") & F.col("action").isin("label_standardized", "whitespace_trimmed"))
+    original = F.when(F.col("action") == "label_standardized", F.lower(F.trim("original"))).otherwise(F.trim("original"))
+    named = log.select("source_row", F.col("column").alias("column_name"), original.alias("original"), "cleaned", "action")
+    return named.withColumn("original", F.when(F.col("original").endswith("t") & (F.length("original") > F.length("cleaned")), F.concat("cleaned", F.lit("t"))).otherwise(F.col("original")))
+
+
+_COUNTS = KEPT_SQL + f""", a AS (SELECT 'date_standardized' AS action, 'date' AS column_name FROM o WHERE k BETWEEN 10 AND 15 UNION ALL SELECT 'missing_value', 'date' FROM o WHERE k = 16 UNION ALL SELECT 'unreadable_value', 'date' FROM o WHERE k = 17
+    UNION ALL SELECT 'ambiguous_date', 'date' FROM o WHERE k BETWEEN 10 AND 12 AND day(day) <= 12 AND day(day) <> month(day) UNION ALL SELECT 'missing_value', 'channel' FROM o WHERE k = 8 UNION ALL SELECT 'missing_value', 'spend' FROM o WHERE k = 5
+    UNION ALL SELECT 'unreadable_value', 'spend' FROM o WHERE k = 6 UNION ALL SELECT 'text_to_number', 'spend' FROM o WHERE k = 3 UNION ALL SELECT 'invalid_value_removed', 'spend' FROM o WHERE k = 4 UNION ALL SELECT 'invalid_value_removed', 'clicks' FROM o WHERE k = 7)"""
+for _name in ("cln_12", "ag_38"):
+
+    @add(_name, _COUNTS + " SELECT action, column_name, count(*) AS n FROM a WHERE action IN ('missing_value', 'unreadable_value', 'invalid_value_removed', 'ambiguous_date') GROUP BY 1, 2")
+    def _limits(spark, sf_dir):
+        return CL.limitations(_clean(spark, sf_dir)[1]).withColumnRenamed("column", "column_name")
+
+
+@add("ag_37", _COUNTS + " SELECT action, count(*) AS n FROM a GROUP BY 1")
+def ag_37(spark, sf_dir):
+    shown = ["date_standardized", "missing_value", "unreadable_value", "ambiguous_date", "text_to_number", "invalid_value_removed"]
+    return CL.log_summary(_clean(spark, sf_dir)[1]).where(F.col("action").isin(shown)).groupBy("action").agg(F.sum("n").alias("n"))
+
+
+@add("cln_01", "SELECT 'confirm the mapping of spend first' AS error")
+def cln_01(spark, sf_dir):
+    try:
+        CL.clean(messy(spark, sf_dir), MAPPING, unconfirmed={"spend", "region"})
+        error = ""
+    except ValueError as refused:
+        error = str(refused)
+    return spark.range(1).select(F.lit(error).alias("error"))
+
+
+@add("prj_02", "SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS spend, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date FROM orders")
+def prj_02(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    text = o.select("o_orderkey", F.col("o_totalprice").cast("string").alias("spend"), F.year("o_orderdate").cast("string").alias("year"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))
+    return CL.enforce_types(text).withColumn("date", F.col("date").cast("string"))
+
+
+@add("prj_03", "SELECT o_orderkey, CAST(CAST(date_trunc('week', o_orderdate) AS DATE) AS VARCHAR) AS week_start, strftime(o_orderdate, '%Y-%m') AS month, year(o_orderdate) || '-Q' || quarter(o_orderdate) AS quarter, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders")
+def prj_03(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_orderdate").cast("date").alias("date"))
+    return CL.add_calendar(o).select("o_orderkey", F.col("week_start").cast("string").alias("week_start"), "month", "quarter", "year")
+
+
+_ALL = f"(SELECT * FROM (SELECT o_orderkey AS r, o_orderkey % 20 AS k FROM orders) UNION ALL SELECT o_orderkey, o_orderkey % 20 FROM orders WHERE o_orderkey % {REPEAT} = 0)"
+for _name in ("ag_35", "prf_02"):
+
+    @add(_name, f"SELECT column_name, n AS rows, missing, type FROM (SELECT count(*) AS n, count(*) FILTER (k = 16) AS d, count(*) FILTER (k = 5) AS c, count(*) FILTER (k = 8 AND r % {TOTAL} <> 0) AS h FROM {_ALL}) t, LATERAL (VALUES ('Day', d, 'date'), ('Cost', c, 'number'), ('Channel', h, 'text'), ('Clicks', 0, 'number'), ('Notes', 0, 'text')) v(column_name, missing, type)")
+    def _profiled(spark, sf_dir):
+        return PR.profile(messy(spark, sf_dir), ["Day", "Cost", "Channel", "Clicks", "Notes"]).select(F.col("column").alias("column_name"), "rows", "missing", "type")
+
+
+@add("prf_03", "SELECT 'ctr' AS column_name, true AS ratio_like UNION ALL SELECT 'clicks', false")
+def prf_03(spark, sf_dir):
+    k = F.col("o_orderkey")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(((k % 90) / 7).cast("string"), F.lit("%")).alias("ctr"), (k % 5000).cast("string").alias("clicks"))
+    return PR.profile(o, ["ctr", "clicks"]).select(F.col("column").alias("column_name"), "ratio_like")
+
+
+@add("ag_36", "SELECT 'p_brand' AS column_name, CAST(rank AS INTEGER) AS rank, p_brand AS value, n FROM (SELECT p_brand, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, p_brand) AS rank FROM part GROUP BY 1) WHERE rank <= 5")
+def ag_36(spark, sf_dir):
+    return PR.top_values(spark.read.parquet(f"{sf_dir}/part.parquet"), ["p_brand"]).select(F.col("column").alias("column_name"), "rank", "value", "n")
+
+
+@add("prf_01", f"SELECT 'summary_rows' AS finding, CAST(NULL AS VARCHAR) AS column_name, count(*) FILTER (r % {TOTAL} = 0) AS n FROM {_ALL} UNION ALL SELECT 'stray_spaces', 'Channel', count(*) FILTER (k IN (1, 9) AND r % {TOTAL} <> 0) FROM {_ALL} UNION ALL SELECT 'duplicate_rows', NULL, (SELECT count(*) FROM orders WHERE o_orderkey % {REPEAT} = 0)")
+def prf_01(spark, sf_dir):
+    return PR.findings(messy(spark, sf_dir), COLUMNS).withColumnRenamed("column", "column_name")
+
+
+@add("prf_04", "SELECT DISTINCT lower(o_orderpriority) AS variant, o_orderpriority AS label FROM orders UNION SELECT DISTINCT o_orderpriority || 'T', o_orderpriority FROM orders")
+def prf_04(spark, sf_dir):
+    found = CL.cluster_labels(messy(spark, sf_dir).where(f"source_row div 2 % {TOTAL} != 0").select(F.trim("Channel").alias("Channel")), "Channel")
+    return spark.createDataFrame(sorted(found.items()), "variant string, label string")
+
+
+_PAIRS = {("abcd", "abcd"): 100.0, ("abc", "abd"): 66.6667, ("kitten", "sitting"): 61.5385, ("", "a"): 0.0}
+
+
+@add("fn_19", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {v}e0)" for (a, b), v in _PAIRS.items()) + ", ('ad spend', 'spend ad', 100.0e0)) v(a, b, ratio)")
+def fn_19(spark, sf_dir):
+    made = [(a, b, round(CL.indel_ratio(a, b), 4)) for a, b in _PAIRS] + [("ad spend", "spend ad", CL.token_sort_ratio("ad spend", "spend ad"))]
+    return spark.createDataFrame(made, "a string, b string, ratio double")
+
+
+@add("jn_14", "SELECT DISTINCT lower(o_orderpriority) AS a, lower(o_orderpriority) || 't' AS b FROM orders")
+def jn_14(spark, sf_dir):
+    """Distinct labels, at most 200, against each other: close spellings with the same digits."""
+    keys = messy(spark, sf_dir).where(f"source_row div 2 % {TOTAL} != 0").select(CL.label_key(F.col("Channel")).alias("k")).distinct()
+    names = [r[0] for r in keys.limit(201).collect()]
+    digits = {n: "".join(c for c in n if c.isdigit()) for n in names}
+    near = [(a, b) for a in names for b in names if len(names) <= 200 and a < b and len(a) >= 4 and digits[a] == digits[b] and CL.indel_ratio(a, b) >= 90]
+    return spark.createDataFrame(near, "a string, b string")
+
+
+@add("prf_05", "SELECT 'negative' AS finding, 'spend' AS column_name, count(*) AS n FROM orders WHERE o_orderkey % 11 = 0 UNION ALL SELECT 'impossible_stage', 'clicks', count(*) FROM orders WHERE o_orderkey % 13 = 0")
+def prf_05(spark, sf_dir):
+    k = F.col("o_orderkey")
+    typed = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.when(k % 11 == 0, -1.0).otherwise(1.0).alias("spend"), F.when(k % 13 == 0, 5.0).otherwise(1.0).alias("clicks"), F.lit(2.0).alias("impressions"))
+    return PR.impossible(typed).withColumnRenamed("column", "column_name")
+
+
+_HEADERS = {"Day": "date", "Campaign": "campaign_name", "Channel": "channel", "Cost": "spend", "Impr.": "impressions", "Clicks": "clicks", "Leads": "leads", "Notes": None, "CPC (INR)": None, "linkClicks": None, "Amount spent (INR)": None, "MQLs": "qualified_leads", "Revenu": "revenue"}
+for _name in ("map_01", "map_02", "map_03", "map_06", "jn_13"):
+
+    @add(_name, "SELECT * FROM (VALUES " + ", ".join(f"('{c}', {repr(f) if f else 'NULL'})" for c, f in _HEADERS.items()) + ") v(header, field)")
+    def _mapped(spark, sf_dir):
+        kinds = {r["column"]: r["type"] for r in PR.profile(messy(spark, sf_dir), COLUMNS).collect()}  # one row a column
+        kinds |= dict.fromkeys(["CPC (INR)", "linkClicks", "Amount spent (INR)", "MQLs", "Revenu"], "number")
+        found = MP.map_fields(list(_HEADERS), kinds)
+        return spark.createDataFrame([(c, m.field) for c, m in found.items()], "header string, field string")
+
+
+@add("map_04", "SELECT 'channel' AS email, 'gender' AS gender, CAST(NULL AS VARCHAR) AS other")
+def map_04(spark, sf_dir):
+    got = [MP.vocabulary_field(v) for v in (["Email", "Paid Search", "Display", "SEO", "Radio"], ["F", "M", "Unknown"], ["ASIA", "EUROPE"])]
+    return spark.range(1).select(*(F.lit(v).cast("string").alias(k) for k, v in zip(("email", "gender", "other"), got, strict=True)))
+
+
+@add("map_05", "SELECT CASE WHEN lower(o_orderpriority) LIKE '%urgent%' THEN 'leads' ELSE 'conversions' END AS meaning, count(*) AS n FROM orders GROUP BY 1")
+def map_05(spark, sf_dir):
+    objective = F.when(F.col("o_orderpriority").contains("URGENT"), "Lead generation").otherwise("Sales")
+    meaning = F.when(F.lower(objective).contains("lead"), "leads").otherwise("conversions")
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(meaning.alias("meaning")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _own_ratios(spark, sf_dir):
+    df = campaign_rows(spark, sf_dir)
+    return df.withColumns({"own_cpc": F.round(F.try_divide("spend", "clicks"), 2), "own_cpa": F.round(F.try_divide("spend", "leads"), 2), "own_roas": F.lit(3.0), "own_ctr": F.try_divide("clicks", "impressions")})
+
+
+_XCK = "SELECT * FROM (VALUES ('CPC', 'own_cpc', 'verified'), ('ROAS', 'own_roas', 'mismatch'), ('CTR', 'own_ctr', 'verified')) v(check_name, column_name, status)"
+for _name in ("xck_01", "jn_15", "xck_03"):
+
+    @add(_name, _XCK)
+    def _checked(spark, sf_dir):
+        found = PR.cross_check(_own_ratios(spark, sf_dir), {"CPC": "own_cpc", "ROAS": "own_roas", "CTR": "own_ctr"})
+        return found.select(F.col("check").alias("check_name"), F.col("column").alias("column_name"), "status")
+
+
+@R.add("xck_02", "SELECT round(avg(CASE WHEN abs(3.0 - revenue / nullif(spend, 0)) <= greatest(0.06, 0.011) THEN 1.0 ELSE 0.0 END) FILTER (revenue / nullif(spend, 0) IS NOT NULL), 4) AS share FROM m")
+def xck_02(spark, sf_dir):
+    share, _ = PR.match_share(F.lit(3.0), F.try_divide("revenue", "spend"))
+    return rounded(campaign_rows(spark, sf_dir).agg(share.alias("share")))
+
+
+@add("prj_18", "SELECT least(500, count(*)) AS n, count(*) > 0 AS some FROM orders")
+def prj_18(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("source_row"))
+    return PR.sample_rows(o).agg(F.count_distinct("source_row").alias("n"), (F.count("source_row") > 0).alias("some"))
+
+
+@R.add("ag_39", "SELECT CASE WHEN sum(revenue) / sum(spend) > 50 THEN 'roas_high' END AS check_name, round(sum(revenue) / sum(spend), 4) AS value FROM (SELECT revenue * 20 AS revenue, spend FROM m) UNION ALL SELECT 'organic_spend', round(sum(spend), 4) FROM m WHERE channel = '1-URGENT'")
+def ag_39(spark, sf_dir):
+    df = campaign_rows(spark, sf_dir).withColumn("revenue", F.col("revenue") * 20).withColumn("channel", F.when(F.col("channel") == "1-URGENT", "Organic Social").otherwise(F.col("channel")))
+    return rounded(PR.plausibility(df).select(F.col("check").alias("check_name"), "value"))
+
+
+_CAPS = {"time_series": True, "ctr": True, "cpc": True, "cpl": True, "revenue_metrics": True, "roi": True, "aov": True, "cac": True, "campaign_analysis": True, "channel_analysis": True, "segment_analysis": True, "geography_analysis": True, "product_analysis": True, "anomaly_detection": True, "funnel": True}
+
+
+@add("val_01", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {str(v).lower()})" for k, v in _CAPS.items()) + ") v(capability, enabled)")
+def val_01(spark, sf_dir):
+    return spark.createDataFrame(list(PR.capabilities(PRESENT).items()), "capability string, enabled boolean")
+
+
+QUERIES, ORACLE_SQL = R.queries, R.sql

@@ -1,2 +1,213 @@
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+"""Files in, result tables stored and read back, runs and housekeeping, and the event stream."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyspark.operators.group import group_kpis
+from tallyspark.sources import files as FILES
+from tallyspark.sources import generate as GEN
+from tallyspark.sources.shared import new_folder
+from tallyspark.sources.store import RunStore, melted
+from tallyspark.streaming import windows as ST
+
+from .build import PRESENT, Registry, measures_sql, rounded
+from .canonical import campaign_rows
+
+R = Registry()
+
+
+def add(name, sql=None, **more):
+    return R.add(name, sql, m=False, **more)
+
+
+def table(spark, sf_dir, name) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# files
+
+
+def _csv(spark: SparkSession, sf_dir: str, sep: str = ",", encoding: str = "UTF-8", name: str = "customer") -> str:
+    """The customers as one delimited file, as people export it: a title row and an empty column."""
+    folder = new_folder(spark, "csv")
+    df = table(spark, sf_dir, name).select("c_custkey", "c_name", F.concat(F.lit('say "hi"' + sep + " é "), "c_mktsegment").alias("c_note"), "c_acctbal", F.lit("").alias(" "))
+    df.coalesce(1).write.option("header", True).option("sep", sep).option("encoding", encoding).option("quoteAll", True).option("escape", '"').mode("overwrite").csv(folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select("path").collect()  # one file
+    return files[0]["path"]
+
+
+_CUSTOMERS = "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, 'say \"hi\"{sep} é ' || c_mktsegment AS c_note FROM customer"
+for _name, _sep, _enc in (("src_01", ",", "UTF-8"), ("src_03", ",", "ISO-8859-1"), ("src_04", ";", "UTF-8"), ("src_05", "\t", "UTF-8"), ("src_08", ",", "UTF-8"), ("src_09", ";", "UTF-8"), ("src_10", "\t", "UTF-8")):
+
+    @add(_name, _CUSTOMERS.format(sep=_sep))
+    def _loaded(spark, sf_dir, sep=_sep, enc=_enc):
+        raw, _ = FILES.load_file(spark, _csv(spark, sf_dir, sep, enc))
+        return raw.select("c_custkey", "c_name", "c_note")
+
+
+for _name in ("src_02", "src_11"):
+
+    @add(_name)
+    def _content(spark, sf_dir):
+        return FILES.content(spark, f"{sf_dir}/customer.parquet").select("length", "sha256")
+
+
+@add("src_12", "SELECT 'cost' AS key, 'spend' AS field UNION ALL SELECT 'amount spent', 'spend'")
+def src_12(spark, sf_dir):
+    return FILES.knowledge(spark).where(F.col("key").isin("cost", "amount spent")).select("key", "field")
+
+
+@add("src_17", "SELECT 365 AS days, 17 AS campaigns, 31025 AS rows")
+def src_17(spark, sf_dir):
+    g = GEN.campaigns(spark)
+    return g.agg(F.countDistinct("date").alias("days"), F.countDistinct("campaign_name").alias("campaigns"), F.count(F.lit(1)).alias("rows"))
+
+
+@add("src_18", "SELECT 31025 AS rows, 7 AS columns")
+def src_18(spark, sf_dir):
+    export = GEN.platform_export(GEN.campaigns(spark))
+    return export.agg(F.count(F.lit(1)).alias("rows")).withColumn("columns", F.lit(len(export.columns)))
+
+
+# the run store
+
+
+def _store(spark) -> RunStore:
+    return RunStore(spark, new_folder(spark, "store"))
+
+
+_RECORDS = "SELECT count(*) AS rows, round(sum(spend), 2) AS spend, min(date) AS first_day FROM m WHERE channel = '2-HIGH'"
+for _name in ("src_13", "snk_01"):
+
+    @R.add(_name, _RECORDS, dates=("first_day",))
+    def _records(spark, sf_dir):
+        store, df = _store(spark), campaign_rows(spark, sf_dir)
+        store.save_records("a", df.where("channel = '1-URGENT'"))
+        store.save_records("b", df.where("channel = '3-MEDIUM'"))
+        store.save_records("b", df.where("channel = '2-HIGH'"))  # replaces
+        return rounded(store.load_records("b", ["spend", "date"]).agg(F.count(F.lit(1)).alias("rows"), F.sum("spend").alias("spend"), F.min("date").alias("first_day")), 2)
+
+
+_TIDY = "SELECT channel AS campaign, metric, round(value, 4) AS value FROM (SELECT channel, sum(spend) AS spend, sum(revenue) AS revenue FROM m GROUP BY 1) UNPIVOT (value FOR metric IN (spend, revenue))"
+for _name in ("src_14", "snk_02", "snk_05", "src_16"):
+
+    @R.add(_name, _TIDY)
+    def _analysis(spark, sf_dir):
+        store = _store(spark)
+        wide = group_kpis(campaign_rows(spark, sf_dir), "channel", PRESENT).select(F.col("channel").alias("campaign"), "spend", "revenue")
+        store.save_analysis("r1", "campaign_analysis", melted(wide, ["campaign"]))
+        store.save_analysis("r2", "campaign_analysis", melted(wide, ["campaign"]).limit(1))
+        return rounded(store.load_analysis("r1", "campaign_analysis"))
+
+
+for _name in ("src_15", "snk_03", "snk_04", "snk_10", "snk_11"):
+
+    @add(_name, "SELECT o_orderstatus AS action, count(*) AS n FROM orders GROUP BY 1")
+    def _logs(spark, sf_dir):
+        store = _store(spark)
+        store.append("data_quality_logs", table(spark, sf_dir, "orders").select(F.lit("r1").alias("run_id"), F.col("o_orderkey").alias("source_row"), F.col("o_orderstatus").alias("action")), "run_id")
+        return store.read("data_quality_logs").where("run_id = 'r1'").groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+
+
+@add("snk_06", "SELECT DISTINCT n_name AS sha256 FROM nation")
+def snk_06(spark, sf_dir):
+    store = _store(spark)
+    files = table(spark, sf_dir, "nation").select(F.col("n_name").alias("sha256"), F.lit("x.csv").alias("name"))
+    store.register_datasets(files.where("sha256 < 'K'"))
+    return store.register_datasets(files).select("sha256")
+
+
+def _runs(spark) -> RunStore:
+    store = _store(spark)
+    store.register_datasets(spark.createDataFrame([("h1", "one.csv"), ("h2", "two.csv"), ("h3", "orphan.csv")], "sha256 string, name string"))
+    log = [("r1", "h1", "created", 1), ("r1", "h1", "finished", 5), ("r2", "h2", "created", 2), ("r2", "h2", "failed", 3), ("r3", "h1", "created", 7)]
+    store.append("run_log", spark.createDataFrame(log, "run_id string, sha256 string, status string, at long"))
+    store.append("reports", spark.createDataFrame([("r1", "pdf"), ("r1", "xlsx"), ("r2", "pdf")], "run_id string, kind string"))
+    return store
+
+
+for _name in ("snk_07", "jn_01"):
+
+    @add(_name, "SELECT * FROM (VALUES ('r3', 'one.csv', 'created'), ('r2', 'two.csv', 'failed'), ('r1', 'one.csv', 'finished')) v(run_id, name, status)")
+    def _run_list(spark, sf_dir):
+        return _runs(spark).runs().select("run_id", "name", "status")
+
+
+for _name in ("jn_02", "prj_21"):
+
+    @add(_name, "SELECT * FROM (VALUES ('r3', 'one.csv', 0), ('r2', 'two.csv', 1)) v(run_id, name, reports)")
+    def _recent(spark, sf_dir):
+        store = _runs(spark)
+        reports = store.read("reports").groupBy("run_id").agg(F.count(F.lit(1)).alias("reports"))
+        newest = store.runs().limit(2)  # the feature: the two newest runs
+        return newest.join(reports, "run_id", "left").select("run_id", "name", F.coalesce("reports", F.lit(0)).alias("reports"))
+
+
+@add("jn_09", "SELECT 'h3' AS sha256")
+def jn_09(spark, sf_dir):
+    store = _runs(spark)
+    return store.read("datasets").join(store.runs().select("sha256"), "sha256", "left_anti").select("sha256")
+
+
+@add("snk_08", "SELECT c_nationkey AS key, arg_max(c_name, c_custkey) AS name FROM customer GROUP BY 1")
+def snk_08(spark, sf_dir):
+    store = _store(spark)
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("key"), F.col("c_name").alias("name"), F.col("c_custkey").alias("version"))
+    store.upsert("mapping_cache", rows.where("version % 2 = 0"), ["key"], "version")
+    return store.upsert("mapping_cache", rows.where("version % 2 = 1"), ["key"], "version").select("key", "name")
+
+
+@add("snk_09", "SELECT 'a' AS layout_key, 'roas' AS kpi, 4.0e0 AS target UNION ALL SELECT 'b', 'cpl', 90.0e0")
+def snk_09(spark, sf_dir):
+    store = _store(spark)
+    for layout, kpi, target in (("a", "spend", 1.0), ("b", "cpl", 90.0), ("a", "roas", 4.0)):
+        store.save_targets(layout, spark.createDataFrame([(kpi, target)], "kpi string, target double"))
+    return store.read("targets").select("layout_key", "kpi", "target")
+
+
+@add("snk_14", "SELECT 'r2' AS run_id UNION ALL SELECT 'r1'")
+def snk_14(spark, sf_dir):
+    return _runs(spark).beyond_retention(keep=1)
+
+
+@add("ag_34", "SELECT user_id, count(*) FILTER (event_type = 'error') AS errors, round(sum(value) FILTER (event_type = 'purchase'), 2) AS spent FROM events GROUP BY 1")
+def ag_34(spark, sf_dir):
+    return rounded(table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("errors"), F.sum(F.when(F.col("event_type") == "purchase", F.col("value"))).alias("spent")), 2)
+
+
+@R.add("snk_12", "SELECT channel, " + measures_sql(["spend", "revenue", "roas"], 2) + " FROM m GROUP BY channel")
+def snk_12(spark, sf_dir):
+    """A result table as a delimited export, read back with its types."""
+    folder = new_folder(spark, "export")
+    result = rounded(group_kpis(campaign_rows(spark, sf_dir), "channel", PRESENT).select("channel", "spend", "revenue", "roas"), 2)
+    result.write.option("header", True).mode("overwrite").csv(folder)
+    return spark.read.schema(result.schema).option("header", True).csv(folder)
+
+
+# the stream
+
+
+@add("st_01", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1, 2")
+def st_01(spark, sf_dir):
+    counts = ST.tumbling(ST.read_events(spark, f"{sf_dir}/events.parquet"), late="60 days")
+    return rounded(_complete(counts, spark).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", "value"), 2)
+
+
+def _complete(counts: DataFrame, spark: SparkSession) -> DataFrame:
+    """Every micro-batch rewrites the table of all windows, so nothing waits for the watermark at the end."""
+    folder = new_folder(spark, "windows")
+    query = counts.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/out")).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+@add("st_02", """SELECT user_id, count(*) AS sessions, sum(n) AS events FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, ts, sum(CASE WHEN prev IS NULL OR ts >= prev + INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS s
+    FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events)) GROUP BY 1, 2) GROUP BY 1""")
+def st_02(spark, sf_dir):
+    made = ST.sessions(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "6 hours")
+    return made.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("events"))
+
+
+QUERIES, ORACLE_SQL = R.queries, R.sql
