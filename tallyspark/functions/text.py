@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,43 +42,67 @@ def is_missing(text: Column) -> Column:
     return F.coalesce(F.lower(tidy(text)).isin(MISSING), F.lit(True))
 
 
-def parse_number(text: Column) -> Column:
-    """struct(value, formatted): NULL where missing or unreadable; formatted where marks or separators were used.
+def number_mark(text: Column) -> Column:
+    """A number's digits after P (plain) or F (formatted), NULL where missing or unreadable.
 
-    Reads currency words and symbols, Indian and Western grouping, (negatives) and European decimals.
+    One string, so that a plan that uses it more than once keeps it as a column of its own. Reads
+    currency words and symbols, Indian and Western grouping, (negatives) and European decimals.
     """
     bare = tidy(text)
-    marked = bare.rlike(CURRENCY)
-    body = F.regexp_replace(F.regexp_replace(bare, CURRENCY, ""), r"(?U)\s+", "")
-    negative = body.rlike(r"^\(.*\)$")
-    body = F.when(negative, F.regexp_replace(body, r"^\(|\)$", "")).otherwise(body)
-    european = body.rlike(r"^-?\d{1,3}(\.\d{3})+,\d+$") | body.rlike(r"^-?\d+,\d{1,2}$")
-    grouped = body.rlike(r"^-?\d{1,3}(,\d{2,3})+(\.\d+)?$") & ~european
-    digits = F.when(european, F.translate(body, ".,", "\u0001.")).when(grouped, F.translate(body, ",", "")).otherwise(body)
-    digits = F.translate(digits, "\u0001", "")
-    number = F.when(digits.rlike(_NUMBER), digits.try_cast("double"))
-    value = F.when(is_missing(text), None).when(bare.rlike(_NUMBER), bare.try_cast("double")).otherwise(F.when(negative, -number).otherwise(number))
-    used = ~bare.rlike(_NUMBER) & (marked | european | grouped) & value.isNotNull()
-    return F.struct(value.alias("value"), F.coalesce(used, F.lit(False)).alias("formatted"))
+    body = F.translate(F.regexp_replace(bare, CURRENCY, ""), " ", "")
+    negative = body.startswith("(") & body.endswith(")")
+    core = F.when(negative, F.substring(body, F.lit(2), F.length(body) - 2)).otherwise(body)
+    sign = F.when(negative, "-").otherwise("")
+    european = core.rlike(r"^-?\d{1,3}(\.\d{3})+,\d+$|^-?\d+,\d{1,2}$")
+    grouped = core.rlike(r"^-?\d{1,3}(,\d{2,3})+(\.\d+)?$")
+    digits = F.when(european, F.translate(F.translate(core, ".", ""), ",", ".")).when(grouped, F.translate(core, ",", "")).otherwise(core)
+    used = F.when(bare.rlike(CURRENCY) | european | grouped, "F").otherwise("P")
+    formatted = F.when(digits.rlike(_NUMBER), F.regexp_replace(F.concat(used, sign, digits), "--", ""))
+    return F.when(bare.rlike(_NUMBER), F.concat(F.lit("P"), bare)).when(~is_missing(text), formatted)
 
 
-def parse_date(text: Column, day_first: bool = True) -> Column:
-    """struct(value, format): the first format that fits, day first or month first."""
+def parse_number(text: Column) -> Column:
+    """struct(value, formatted): NULL where missing or unreadable; formatted where marks or separators were used."""
+    mark = number_mark(text)
+    return F.struct(number_value(mark).alias("value"), F.coalesce(mark.startswith("F"), F.lit(False)).alias("formatted"))
+
+
+def number_value(mark: Column) -> Column:
+    return F.substring(mark, 2, 400).try_cast("double")
+
+
+def _shape(pattern: str) -> str:
+    """What a date of this format looks like, so that no text is parsed in vain."""
+    parts = {"yyyy": r"\d{4}", "MMMM": "[A-Za-z]{4,}", "MMM": "[A-Za-z]{3}", "d": r"\d{1,2}", "M": r"\d{1,2}", "H": r"\d{1,2}", "m": r"\d{1,2}", "s": r"\d{1,2}", ".": r"\."}
+    return "^" + re.sub("yyyy|MMMM|MMM|[dMHms.]", lambda m: parts[m[0]], pattern) + "$"
+
+
+def date_mark(text: Column, day_first: bool = True) -> Column:
+    """yyyy-MM-dd and the name of the first format that fits, NULL where none does. A look at the shape decides which are tried."""
     names = list(DATE_FORMATS) if day_first else [US_FORMAT, *(f for f in DATE_FORMATS if f != US_FORMAT)]
     bare = F.trim(text)
-    tries = [F.struct(F.to_date(F.try_to_timestamp(bare, F.lit(DATE_FORMATS[n]))).alias("value"), F.lit(n).alias("format")) for n in names]
-    # a cheap look at the shape decides which formats are tried at all
-    shape = {n: r"^\d{4}-" if n.startswith("YYYY-") else r"^\d{4}/" if n.startswith("YYYY/") else "/" if "/" in n else r"\." if "." in n else r"[A-Za-z]{3}" if "Mon" in n else "-" for n in names}
-    out = F.lit(None).cast("struct<value:date,format:string>")
-    for n, t in zip(reversed(names), reversed(tries), strict=True):
-        out = F.when(bare.rlike(shape[n]) & t["value"].isNotNull(), t).otherwise(out)
-    return F.when(is_missing(text), None).otherwise(out)
+    tries = [F.when(bare.rlike(_shape(DATE_FORMATS[n])), F.concat(F.date_format(F.try_to_timestamp(bare, F.lit(DATE_FORMATS[n])), "yyyy-MM-dd"), F.lit(n))) for n in names]
+    return F.when(~is_missing(text), F.coalesce(*tries))
+
+
+def date_value(mark: Column) -> Column:
+    return F.substring(mark, 1, 10).try_cast("date")
+
+
+def date_format_of(mark: Column) -> Column:
+    return F.substring(mark, 11, 40)
+
+
+def parse_date(text: Column, day_first: bool = True) -> Column:
+    """struct(value, format): the first format that fits, day first or month first; NULL where none does."""
+    mark = date_mark(text, day_first)
+    return F.when(mark.isNotNull(), F.struct(date_value(mark).alias("value"), date_format_of(mark).alias("format")))
 
 
-def ambiguous_day(parsed: Column) -> Column:
+def ambiguous_day(mark: Column) -> Column:
     """A day-first reading that a month-first one would also allow."""
-    day, month = F.day(parsed["value"]), F.month(parsed["value"])
-    return F.coalesce(parsed["format"].isin(DAY_FIRST) & (day <= 12) & (day != month), F.lit(False))
+    day, month = F.substring(mark, 9, 2), F.substring(mark, 6, 2)
+    return F.coalesce(date_format_of(mark).isin(DAY_FIRST) & (day <= "12") & (day != month), F.lit(False))
 
 
 SUMMARY_ROW = r"(?i)^\s*(grand\s+total|sub[\s-]?total|total)\b"

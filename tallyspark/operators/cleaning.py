@@ -84,42 +84,74 @@ def token_sort_ratio(a: str, b: str) -> float:
     return indel_ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
 
 
-def cluster_labels(df: DataFrame, column: str, similarity: float = 90.0, most: int = 200, aliases: dict[str, str] | None = None) -> dict[str, str]:
-    """variant -> suggested spelling. Spark groups equal keys; only ``most`` or fewer distinct keys are compared for typos.
-
-    With more distinct keys than that (ids, free text) typos are not looked for; the bound is checked first.
-    """
-    counts = df.where(~X.is_missing(F.col(column))).groupBy(F.col(column).alias("variant")).agg(F.count(F.lit(1)).alias("n")).withColumn("key", label_key(F.col("variant"), aliases))
-    keys = counts.groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("variants"))
-    few = keys.limit(most + 1).count() <= most
-    wanted = counts if few else counts.join(keys.where("variants > 1").select("key"), "key")
-    if not few and wanted.limit(50_001).count() > 50_000:
-        return {}
+def _merged(variants: dict[str, int], keys: dict[str, str], similarity: float, typos: bool) -> dict[str, str]:
+    """variant -> suggested spelling, from counts of variants and their keys."""
     groups: dict[str, dict[str, int]] = {}
-    for r in wanted.collect():  # distinct labels, within the bound just checked
-        groups.setdefault(r["key"], {})[r["variant"]] = r["n"]
+    for v, n in variants.items():
+        groups.setdefault(keys[v], {})[v] = n
     merged: dict[str, dict[str, int]] = {}
     for key in sorted(groups, key=lambda k: (-sum(groups[k].values()), k)):
         digits = "".join(c for c in key if c.isdigit())
-        near = next((k for k in merged if few and len(key) >= 4 and digits == "".join(c for c in k if c.isdigit()) and indel_ratio(key, k) >= similarity), None)
+        near = next((k for k in merged if typos and len(key) >= 4 and digits == "".join(c for c in k if c.isdigit()) and indel_ratio(key, k) >= similarity), None)
         merged.setdefault(near or key, {}).update(groups[key])
     out = {}
-    for variants in merged.values():
-        tidy = {v: n for v, n in variants.items() if v == v.strip() and "  " not in v} or variants
-        best = max(tidy, key=lambda v: (tidy[v], v)).strip()
-        out |= {v: best for v in variants if v != best}
+    for found in merged.values():
+        neat = {v: n for v, n in found.items() if v == v.strip() and "  " not in v} or found
+        best = max(neat, key=lambda v: (neat[v], v)).strip()
+        out |= {v: best for v in found if v != best}
     return out
 
 
-def standardize_text(df: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+def survey(df: DataFrame, labels: list[str], dates: list[str] = (), day_first: bool = True, similarity: float = 90.0, most: int = 200, aliases: dict[str, str] | None = None) -> tuple[dict[str, dict[str, str]], set[str], dict[str, str]]:
+    """(spellings to merge by column, columns with more keys than ``most``, main date format by column) from one grouped count.
+
+    Only columns with few distinct spellings come to the driver; the bound is checked on the counts first.
+    """
+    cells = [F.struct(F.lit(c).alias("column"), F.when(~X.is_missing(F.col(c)), X.tidy(F.col(c))).alias("v")) for c in labels]
+    cells += [F.struct(F.lit(c).alias("column"), X.date_format_of(X.date_mark(F.col(c), day_first)).alias("v")) for c in dates]
+    if not cells:
+        return {}, set(), {}
+    counts = df.select(F.explode(F.array(*cells)).alias("e")).select("e.*").where("v is not null").groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
+    few = counts.join(sizes.where(F.col("distinct") <= 4 * most), "column").select("column", "v", "n", label_key(F.col("v"), aliases).alias("key"))
+    seen: dict[str, list] = {}
+    for r in few.collect():  # at most 4 * most rows a column
+        seen.setdefault(r["column"], []).append(r)
+    merge, large = {}, set()
+    for c in labels:
+        rows = seen.get(c, [])
+        keys = {r["v"]: r["key"] for r in rows}
+        if rows:
+            merge[c] = _merged({r["v"]: r["n"] for r in rows}, keys, similarity, len(set(keys.values())) <= most)
+    known = set(labels) - set(seen)
+    large = {c for c in known if c in {r["column"] for r in sizes.collect()}} if known else set()  # one row a column
+    main = {c: max(seen[c], key=lambda r: (r["n"], r["v"]))["v"] for c in dates if c in seen}
+    return merge, large, main
+
+
+def cluster_labels(df: DataFrame, column: str, similarity: float = 90.0, most: int = 200, aliases: dict[str, str] | None = None) -> dict[str, str]:
+    """variant -> suggested spelling of one column with few spellings."""
+    return survey(df, [column], similarity=similarity, most=most, aliases=aliases)[0].get(column, {})
+
+
+def common_spelling(df: DataFrame, column: str, aliases: dict[str, str] | None = None) -> DataFrame:
+    """key, label: the most frequent spelling of each key, for columns with many; found and joined by Spark."""
+    counts = df.where(~X.is_missing(F.col(column))).groupBy(X.tidy(F.col(column)).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy(label_key(F.col("v"), aliases).alias("_label_key")).agg(F.max_by("v", F.struct("n", "v")).alias("_label"))
+
+
+def standardize_text(df: DataFrame, merge: dict[str, dict[str, str]], large: set[str] = frozenset(), aliases: dict[str, str] | None = None) -> DataFrame:
     """Spaces tidied in every text field; categories also by their clusters of spellings."""
+    source = df
     for c in [c for c in df.columns if c in FIELDS and FIELDS[c].kind in ("category", "id", "text")]:
-        missing = X.is_missing(F.col(c))
-        tidy = X.tidy(F.col(c))
-        new = tidy
-        if FIELDS[c].kind == "category" and (merge := cluster_labels(df.select(tidy.alias(c)), c, aliases=aliases)):
-            new = F.coalesce(F.create_map(*(F.lit(x) for k, v in merge.items() for x in (k, v)))[tidy], tidy)
-        df = df.withColumn("_new", F.when(~missing, new)).withColumn("_tidy", tidy)
+        df = df.withColumn("_tidy", F.when(~X.is_missing(F.col(c)), X.tidy(F.col(c))))
+        new = F.col("_tidy")
+        if c in large:
+            df = df.withColumn("_label_key", label_key(F.col("_tidy"), aliases)).join(common_spelling(source, c, aliases), "_label_key", "left")
+            new = F.coalesce("_label", "_tidy")
+        elif merge.get(c):
+            new = F.coalesce(F.create_map(*(F.lit(x) for k, v in merge[c].items() for x in (k, v)))[F.col("_tidy")], F.col("_tidy"))
+        df = df.withColumn("_new", new)
         changed = F.col("_new") != F.col(c)
         other = F.lower("_new") != F.lower("_tidy")
         spacing = ~other & (F.col("_new") == F.col("_tidy"))
@@ -128,42 +160,40 @@ def standardize_text(df: DataFrame, aliases: dict[str, str] | None = None) -> Da
             (changed & other, _entry(c, F.col(c), F.col("_new"), "label_standardized", "another spelling of the label", "info")),
             (changed & ~other & ~spacing, _entry(c, F.col(c), F.col("_new"), "label_standardized", "another capitalisation of the label", "info")),
             (changed & spacing, _entry(c, F.col(c), F.col("_new"), "whitespace_trimmed", "stray spaces", "info")),
-            (missing & F.lit(FIELDS[c].kind == "category"), _entry(c, F.col(c), F.lit(None), "missing_value", "no value", "warning")),
+            (F.col("_tidy").isNull() & F.lit(FIELDS[c].kind == "category"), _entry(c, F.col(c), F.lit(None), "missing_value", "no value", "warning")),
         )
-        df = df.withColumn(c, F.col("_new")).drop("_new", "_tidy")
+        df = df.withColumn(c, F.col("_new")).drop("_new", "_tidy", "_label", "_label_key")
     return df
 
 
-def parse_dates(df: DataFrame, day_first: bool = True) -> DataFrame:
+def parse_dates(df: DataFrame, main: dict[str, str], day_first: bool = True) -> DataFrame:
     for c in [c for c in df.columns if c in FIELDS and FIELDS[c].kind == "date"]:
-        df = df.withColumn("_p", X.parse_date(F.col(c), day_first))
-        main = df.where("_p is not null").groupBy("_p.format").agg(F.count(F.lit(1)).alias("n")).agg(F.max_by("format", F.struct("n", "format"))).first()[0]
-        missing = X.is_missing(F.col(c))
-        bad = ~missing & F.col("_p").isNull()
-        iso = F.col("_p.value").cast("string")
+        df = df.withColumn("_p", X.date_mark(F.col(c), day_first)).withColumn("_gone", X.is_missing(F.col(c)))
+        bad = ~F.col("_gone") & F.col("_p").isNull()
+        iso = F.substring("_p", 1, 10)
         df = _noted(
             df,
-            (F.col("_p.format") != F.lit(main), _entry(c, F.col(c), iso, "date_standardized", "another date format", "info")),
+            (X.date_format_of(F.col("_p")) != F.lit(main.get(c)), _entry(c, F.col(c), iso, "date_standardized", "another date format", "info")),
             (X.ambiguous_day(F.col("_p")), _entry(c, F.col(c), iso, "ambiguous_date", "day and month could be exchanged", "warning")),
-            (missing, _entry(c, F.col(c), F.lit(None), "missing_value", "no value", "warning")),
+            (F.col("_gone"), _entry(c, F.col(c), F.lit(None), "missing_value", "no value", "warning")),
             (bad, _entry(c, F.col(c), F.lit(None), "unreadable_value", "not a date", "error")),
         )
-        df = _flagged(df, bad, f"unreadable_{c}").withColumn(c, F.col("_p.value")).drop("_p")
+        df = _flagged(df, bad, f"unreadable_{c}").withColumn(c, X.date_value(F.col("_p"))).drop("_p", "_gone")
     return df
 
 
 def parse_numbers(df: DataFrame) -> DataFrame:
     for c in [c for c in df.columns if c in NUMERIC]:
-        df = df.withColumn("_p", X.parse_number(F.col(c)))
-        missing = X.is_missing(F.col(c))
-        bad = ~missing & F.col("_p.value").isNull()
+        df = df.withColumn("_p", X.number_mark(F.col(c))).withColumn("_gone", X.is_missing(F.col(c)))
+        bad = ~F.col("_gone") & F.col("_p").isNull()
+        value = X.number_value(F.col("_p"))
         df = _noted(
             df,
-            (F.col("_p.formatted"), _entry(c, F.col(c), F.col("_p.value"), "text_to_number", "number written as text", "info")),
-            (missing, _entry(c, F.col(c), F.lit(None), "missing_value", "no value", "warning")),
+            (F.col("_p").startswith("F"), _entry(c, F.col(c), value, "text_to_number", "number written as text", "info")),
+            (F.col("_gone"), _entry(c, F.col(c), F.lit(None), "missing_value", "no value", "warning")),
             (bad, _entry(c, F.col(c), F.lit(None), "unreadable_value", "not a number", "error")),
         )
-        df = _flagged(df, bad, f"unreadable_{c}").withColumn(c, F.col("_p.value")).drop("_p")
+        df = _flagged(df, bad, f"unreadable_{c}").withColumn(c, value).drop("_p", "_gone")
     return df
 
 
@@ -220,7 +250,7 @@ def order_columns(df: DataFrame) -> DataFrame:
 
 
 def clean(raw: DataFrame, mapping: dict[str, str], day_first: bool = True, remove_duplicates: bool = True, unconfirmed: set[str] = frozenset(), aliases: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(clean table, quality log) of a raw text table with source_row. Both are lazy but for label clusters and main date formats."""
+    """(clean table, quality log) of a raw text table with source_row. Both are lazy but for one count of labels and date formats."""
     if critical := sorted(f for f in unconfirmed if f in FIELDS and FIELDS[f].critical):
         raise ValueError(f"confirm the mapping of {', '.join(critical)} first")
     columns = [c for c in raw.columns if c != "source_row"]
@@ -230,7 +260,10 @@ def clean(raw: DataFrame, mapping: dict[str, str], day_first: bool = True, remov
     kept = marked.where("source_row = first_row") if remove_duplicates else marked
     df, dropped = select_and_rename(kept, mapping)
     df = df.withColumn("dq_flags", F.array().cast("array<string>")).withColumn("_log", F.array().cast(LOG))
-    df = flag_outliers(drop_impossible(parse_numbers(parse_dates(standardize_text(df, aliases), day_first))))
+    names = {k: [c for c in df.columns if c in FIELDS and FIELDS[c].kind == k] for k in ("category", "date")}
+    merge, large, main = survey(df, names["category"], names["date"], day_first, aliases=aliases)
+    df = standardize_text(df, merge, large, aliases)
+    df = flag_outliers(drop_impossible(parse_numbers(parse_dates(df, main, day_first))))
     table = order_columns(enforce_types(add_calendar(df)).drop("_log"))
     own = df.select("source_row", F.explode("_log").alias("e")).select("source_row", "e.*")
     none = F.lit(None).cast("string")

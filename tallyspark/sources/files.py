@@ -104,7 +104,7 @@ def load_file(spark: SparkSession, path: str, max_mb: int = MOST_MB) -> tuple[Da
     report = LoadReport(encoding=encoding_of(head), sha256=sizes["sha256"])
     sample = codecs.getincrementaldecoder(report.encoding)("replace").decode(head)
     report.delimiter = delimiter_of(sample)
-    rows = list(csv.reader(io.StringIO(sample), delimiter=report.delimiter))
+    rows = [r for r in csv.reader(io.StringIO(sample), delimiter=report.delimiter) if r]  # Spark skips empty lines too
     report.header_row = header_row(rows)
     width = max(len(r) for r in rows)
     names = unique_headers(rows[report.header_row] + [""] * (width - len(rows[report.header_row])))
