@@ -95,9 +95,9 @@ def wn_01(spark, sf_dir):
     return rounded(_spend_grid(spark, sf_dir).select("entity", "week", baseline(F.col("known"), before(["entity"], "week", 2)).alias("base")))
 
 
-@add("wn_02", _G + ", x AS (SELECT *, CASE WHEN full_week THEN num END AS known FROM g), y AS (SELECT entity, week, list(known) FILTER (known IS NOT NULL) OVER (PARTITION BY entity ORDER BY week ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS p FROM x) SELECT entity, week, CASE WHEN len(p) >= 4 THEN round(list_aggregate(list_transform(p, lambda v: abs(v - list_aggregate(p, 'median'))), 'median'), 3) END AS mad FROM y", ("week",))
+@add("wn_02", _G + ", x AS (SELECT *, CASE WHEN full_week THEN num END AS known FROM g), y AS (SELECT entity, week, list(known) FILTER (known IS NOT NULL) OVER (PARTITION BY entity ORDER BY week ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS p FROM x) SELECT entity, week, CASE WHEN len(p) >= 4 THEN round(list_aggregate(list_transform(p, lambda v: abs(v - list_aggregate(p, 'median'))), 'median'), 6) END AS mad FROM y", ("week",))
 def wn_02(spark, sf_dir):
-    return rounded(_spend_grid(spark, sf_dir).select("entity", "week", spread(F.col("known"), before(["entity"], "week", 0)).alias("mad")), 3)
+    return rounded(_spend_grid(spark, sf_dir).select("entity", "week", spread(F.col("known"), before(["entity"], "week", 0)).alias("mad")), 6)
 
 
 @add("wn_03", _G + " SELECT entity, week, CASE WHEN count(num) OVER w = 3 THEN round(sum(num) OVER w, 4) END AS num, CASE WHEN count(den) OVER w = 3 THEN sum(den) OVER w END AS den FROM g WINDOW w AS (PARTITION BY entity ORDER BY week ROWS 2 PRECEDING)".replace("sum(den)", "round(sum(den), 4)").replace("round(sum(den), 4) OVER w", "round(sum(den) OVER w, 4)"), ("week",))
@@ -149,8 +149,19 @@ def wn_07(spark, sf_dir):
 
 # merged periods: the weekly detector over channels, like for like
 
+#: Every channel spends four times as much in one week of thirteen, and a launch campaign ends early, so that the campaigns' mix is stable afterwards.
+_HIT = "(date - DATE '1995-01-02') // 7 % 13 = CAST(substr(channel, 1, 1) AS INTEGER) * 2"
+_PLANT = f", pm AS (SELECT * REPLACE (spend * CASE WHEN {_HIT} THEN 4 ELSE 1 END AS spend, CASE WHEN date < DATE '1995-02-06' THEN 'launch' ELSE 'always on' END AS campaign_name) FROM m)"
+
+
+def _planted(spark, sf_dir) -> DataFrame:
+    hit = F.floor(F.datediff("date", F.lit("1995-01-02").cast("date")) / 7) % 13 == F.substring("channel", 1, 1).cast("int") * 2
+    campaign = F.when(F.col("date") < "1995-02-06", "launch").otherwise("always on")
+    return rows(spark, sf_dir).withColumn("spend", F.col("spend") * F.when(hit, 4).otherwise(1)).withColumn("campaign_name", campaign)
+
+
 _FLAGS = (
-    _G + stable_sql("channel") + judge_sql("spend", 1, "1", stable="") + judge_sql("spend", 3, "3", stable="")
+    _PLANT + _G.replace("FROM m ", "FROM pm ") + stable_sql("channel").replace("FROM m ", "FROM pm ") + judge_sql("spend", 1, "1", stable="") + judge_sql("spend", 3, "3", stable="")
     + ", fl AS (SELECT entity, 'spend' AS metric, week AS start, week + 6 AS end_date, value, baseline, score, pct, CAST(sign(score) AS INTEGER) AS sign FROM n1 WHERE flag"
     " UNION ALL SELECT entity, 'spend', week - 14, week + 6, value, baseline, score, pct, CAST(sign(score) AS INTEGER) FROM n3 WHERE flag),"
     " o1 AS (SELECT *, max(end_date) OVER (PARTITION BY entity, metric, sign ORDER BY start, end_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM fl),"
@@ -160,7 +171,7 @@ _FLAGS = (
 
 
 def _merged(spark, sf_dir) -> DataFrame:
-    return A.weekly_anomalies(rows(spark, sf_dir), "channel", "channel", "campaign_name", ["spend"])
+    return A.weekly_anomalies(_planted(spark, sf_dir), "channel", "channel", "campaign_name", ["spend"])
 
 
 _MERGED_SQL = " SELECT entity, metric, sign, start, end_date, round(peak, 4) AS peak, round(pct, 4) AS pct FROM mp"
@@ -217,13 +228,13 @@ for _name in ("ano_05", "wn_16"):
 # incidents
 
 _IMPACT = (
-    _FLAGS + ", day AS (SELECT channel, date, sum(spend) AS spend FROM m GROUP BY 1, 2),"
+    _FLAGS + ", day AS (SELECT channel, date, sum(spend) AS spend FROM pm GROUP BY 1, 2),"
     " im AS (SELECT mp.entity, mp.start, mp.end_date, mp.peak, mp.pct, abs(sum(day.spend) - mp.baseline * ((mp.end_date - mp.start + 1) / 7.0)) AS impact FROM mp JOIN day ON channel = entity AND date BETWEEN start AND end_date GROUP BY mp.entity, mp.start, mp.end_date, mp.peak, mp.pct, mp.baseline, mp.sign)"
 )
 
 
 def _with_impact(spark, sf_dir) -> DataFrame:
-    return I.flag_impact(_merged(spark, sf_dir), rows(spark, sf_dir), "channel")
+    return I.flag_impact(_merged(spark, sf_dir), _planted(spark, sf_dir), "channel")
 
 
 for _name in ("inc_01", "jn_11"):

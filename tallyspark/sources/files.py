@@ -33,8 +33,8 @@ class LoadReport:
     warnings: list[str] = field(default_factory=list)
 
 
-def encoding_of(data: bytes) -> str:
-    """By byte order mark, else UTF-8 if it decodes, else Latin-1; zero bytes mean that it is no text."""
+def encoding_of(data: bytes, cut: bool = False) -> str:
+    """By byte order mark, else UTF-8 if it decodes, else Latin-1; zero bytes mean that it is no text. cut: the data go on."""
     if data.startswith(codecs.BOM_UTF8):
         return "utf-8-sig"
     if data.startswith((codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE)):
@@ -43,7 +43,7 @@ def encoding_of(data: bytes) -> str:
         raise LoadError("the file holds binary data")
     decoder = codecs.getincrementaldecoder("utf-8")()
     try:
-        decoder.decode(data)  # an unfinished last character is fine
+        decoder.decode(data, final=not cut)
     except UnicodeDecodeError:
         return "latin-1"
     return "utf-8"
@@ -101,7 +101,7 @@ def load_file(spark: SparkSession, path: str, max_mb: int = MOST_MB) -> tuple[Da
     if sizes["length"] > max_mb << 20:
         raise LoadError(f"the file is larger than {max_mb} MB")
     head = bytes(spark.read.format("binaryFile").load(path).select(F.substring("content", 1, SNIFF_BYTES).alias("c")).first()["c"])
-    report = LoadReport(encoding=encoding_of(head), sha256=sizes["sha256"])
+    report = LoadReport(encoding=encoding_of(head, sizes["length"] > SNIFF_BYTES), sha256=sizes["sha256"])
     sample = codecs.getincrementaldecoder(report.encoding)("replace").decode(head)
     report.delimiter = delimiter_of(sample)
     rows = [r for r in csv.reader(io.StringIO(sample), delimiter=report.delimiter) if r]  # Spark skips empty lines too
