@@ -12,7 +12,10 @@ Two texts link when 100 * |A and B| >= pct * |A or B| over their sets of word n-
    n-gram, which is linear in the entries; the pairs pass the length filter and the suffix filter
    (each n-gram that only one text has flips one parity bit, so differing bits bound the overlap),
    are verified once each, and give provisional components.
-4. Then all pairs of different components that share a prefix n-gram and pass the length,
+4. The smallest id of a group may be unlike its other members. So while the pairs of different
+   components under one n-gram are many more than its entries, every entry meets another holder,
+   chosen by a hash of both, in the same way; each such round is linear in the entries as well.
+5. Then all remaining pairs of different components that share a prefix n-gram and pass the length,
    positional and suffix filters are verified, each once. Pairs inside a component need no
    verification: they cannot change it. So no link between components is lost, and a large group
    of copies does not become all of its pairs.
@@ -39,6 +42,8 @@ from .components import components
 from .shingles import mix, shared, shingle_sets
 
 CHUNK = 1 << 16
+#: Further rounds of star pairs before all remaining pairs are looked at.
+MORE_STARS = 3
 _SIGNS = ["s0", "s1", "s2", "s3"]
 
 
@@ -193,15 +198,31 @@ def ngram_join(docs: DataFrame, words: int = 5, pct: int = 80, id_col: str = "do
         links = verified(stars, "links-1")
         groups = components(links, scratch, "groups")
 
-        placed = entries.drop("pivot").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        placed = scratch.table(placed, "placed")
-        split = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
-        placed = scratch.table(placed.join(split, "token").join(meta.drop("n"), "id"), "split")
+        tried = stars
+        for turn in range(1, MORE_STARS + 2):
+            placed = entries.drop("pivot").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+            placed = scratch.table(placed, f"placed-{turn}")
+            parts = placed.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("inside"), F.count("*").alias("parts"))
+            split = scratch.table(parts.where("parts > 1"), f"split-{turn}")
+            placed = scratch.table(placed.join(split.select("token"), "token").join(meta.drop("n"), "id"), f"across-{turn}")
+            pairs, alone = split.agg(F.sum(F.expr("all * all - inside") / 2), F.sum("all")).first()
+            if turn > MORE_STARS or not pairs or pairs <= 4 * alone:
+                break
+            pivots = placed.groupBy("token").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", "token", F.lit(turn))).alias("p"))
+            met = placed.select("token", "id", "component").join(pivots, "token").where("component != p.component")
+            met = met.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+            met = scratch.table(met.join(sided("a"), "a").join(sided("b"), "b").where(_close(pct)).select("a", "b"), f"stars-{turn}")
+            tried = tried.unionByName(met)
+            new = verified(met, f"links-1-{turn}")
+            if new.isEmpty():
+                break
+            links = links.unionByName(new)
+            groups = components(links, scratch, f"groups-{turn}")
         a, b = (placed.select("token", *(F.col(c).alias(f"{c}_{s}") for c in placed.columns if c != "token")) for s in "ab")
         ahead = f"(least(pos_a, pos_b) + least(n_a - pos_a, n_b - pos_b)) * {100 + pct}L >= {pct}L * (n_a + n_b)"
         across = a.join(b, (a["token"] == b["token"]) & F.expr(f"id_a < id_b and component_a != component_b and {ahead} and {_close(pct)}"))
         across = across.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-        across = scratch.table(across.join(stars, ["a", "b"], "left_anti"), "across")
+        across = scratch.table(across.join(tried, ["a", "b"], "left_anti"), "across")
         more = verified(across, "links-2")
         if more.isEmpty():
             final = groups
