@@ -1,6 +1,6 @@
 """Line deduplication by range-partitioned hashes and keep bitmaps.
 
-1. Each text becomes rows (line hash, document, position); a repeat within a document is not sent.
+1. Each text becomes rows (line hash, document, position), one for each line that is long enough.
 2. The rows are range-partitioned by (hash, document, position) and sorted, so that one very
    common line spreads over many partitions. Each partition is streamed once: after the first
    document of a hash, every later row is a line to drop.

@@ -120,11 +120,15 @@ def evidence_column(model: Evidence, text: Column) -> Column:
     return evidence(text)
 
 
-def site_rates(scored: DataFrame, rate: float) -> DataFrame:
-    """host, path, host_rate, path_rate from rows (host, path, evidence) of all documents."""
+def site_rates(scored: DataFrame, rate: float, scratch: Scratch) -> DataFrame:
+    """host, path, host_rate, path_rate from rows (host, path, evidence) of all documents.
+
+    The rows are read once: their sums by path are written, and all else is computed from those.
+    """
     prior = float(np.log(rate / (1 - rate)))
     p = 1 / (1 + F.exp(-(F.col("evidence") + prior)))
     paths = scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("good"), F.sum(p * (1 - p)).alias("noise"))
+    paths = scratch.table(paths, "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good"), F.sum("noise").alias("host_noise"))
     total = hosts.agg(F.sum("host_good").alias("good"), F.sum("host_n").alias("n")).first()
     overall = float(np.clip(total["good"] / total["n"], 1e-4, 1 - 1e-4)) if total["n"] else rate
@@ -162,7 +166,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_lab
     with Scratch(docs.sparkSession, "quality") as scratch:
         slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"))
         scored = scratch.table(slim.select("doc_id", "host", "path", evidence_column(model, F.col("text")).alias("evidence")), "scored")
-        rates = scratch.table(site_rates(scored, model.rate), "rates")
+        rates = scratch.table(site_rates(scored, model.rate, scratch), "rates")
         renamed = scored.select("doc_id", F.col("host").alias("_host"), F.col("path").alias("_path"), F.col("evidence").alias("_evidence"))
         out = judged(renamed, rates, threshold)
         return scratch.keep(out.select("doc_id", *(F.round(f"_{c}", 6).alias(c) for c in ("evidence", "host_rate", "path_rate", "probability")), F.col("_kept").alias("kept")))
@@ -173,6 +177,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_la
     host, path = F.col("source"), F.concat_ws("/", F.col("source"), F.col("lang"))
     model = train(docs, labels, id_col, text_col, max_labels=max_labels)
     scored = _scored(docs, model, host, path, text_col)
-    scratch = Scratch(docs.sparkSession, "quality")
-    rates = scratch.keep(site_rates(scored.select(F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_evidence").alias("evidence")), model.rate), "rates")
+    with Scratch(docs.sparkSession, "quality") as scratch:
+        sites = scored.select(F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_evidence").alias("evidence"))
+        rates = scratch.keep(site_rates(sites, model.rate, scratch), "rates")
     return judged(scored, rates, threshold).where("_kept").select(docs.columns)
