@@ -112,3 +112,18 @@ def in_view(incidents: DataFrame, start: str, end: str, campaigns: list[str] | N
     """Incidents that overlap the dates and, if campaigns are given, share one with them."""
     rows = incidents.where((F.col("start") <= F.lit(end).cast("date")) & (F.col("end") >= F.lit(start).cast("date")))
     return rows if not campaigns else rows.where(F.arrays_overlap("campaigns", F.array(*map(F.lit, campaigns))))
+
+
+def fix_contradictions(grouped: DataFrame, keys: tuple[str, ...] = ("entity_type", "entity", "incident")) -> DataFrame:
+    """Flags in which a cost fell because results collapsed in the same incident are no good news: their sentiment becomes check."""
+    collapsed = F.max(F.when(F.col("metric").isin("revenue", "clicks", "lead_to_conversion_rate") & (F.col("pct") < 0), 1).otherwise(0)).over(Window.partitionBy(*keys))
+    cheap = F.col("metric").isin("cpc", "cpl") & (F.col("pct") < 0) & (F.col("sentiment") == "positive")
+    return grouped.withColumn("sentiment", F.when(cheap & (collapsed == 1), "check").otherwise(F.col("sentiment")))
+
+
+def match_planted(truth: DataFrame, found: DataFrame) -> DataFrame:
+    """truth (entity, start, end) with matched: some found period of the entity overlaps it."""
+    f = found.select(F.col("entity").alias("_entity"), F.col("start").alias("_start"), F.col("end").alias("_end"))
+    meets = (F.col("entity") == F.col("_entity")) & (F.col("_start") <= F.col("end")) & (F.col("_end") >= F.col("start"))
+    hits = truth.join(f, meets, "left_semi").withColumn("matched", F.lit(True))
+    return truth.join(hits, truth.columns, "left").withColumn("matched", F.coalesce("matched", F.lit(False)))

@@ -309,4 +309,27 @@ for _name in ("ag_40", "jn_12"):
         return own.join(others, (F.size(F.array_except("campaigns", "theirs")) == 0) & (F.size("campaigns") > 0)).select("entity", "other", F.size("campaigns").alias("n"))
 
 
+@add("prj_16", _FLAGS + _MERGED_SQL + " WHERE start <= DATE '1998-06-30' AND end_date >= DATE '1998-01-01' AND entity IN (SELECT channel FROM pm WHERE campaign_name = 'always on')", ("start", "end_date"))
+def prj_16(spark, sf_dir):
+    own = I.members(_planted(spark, sf_dir), "channel", "campaign_name")
+    view = I.in_view(_merged(spark, sf_dir).join(own, "entity"), "1998-01-01", "1998-06-30", ["always on"])
+    return rounded(view.select("entity", "metric", "sign", "start", F.col("end").alias("end_date"), F.abs("score").alias("peak"), "pct"))
+
+
+@add("inc_07", _FLAGS + f", tr AS (SELECT DISTINCT channel AS entity, CAST(date_trunc('week', date) AS DATE) AS start FROM m WHERE {_HIT}) SELECT entity, start, EXISTS (SELECT 1 FROM mp WHERE mp.entity = tr.entity AND mp.start <= tr.start + 6 AND mp.end_date >= tr.start) AS matched FROM tr", ("start",))
+def inc_07(spark, sf_dir):
+    hit = F.floor(F.datediff("date", F.lit("1995-01-02").cast("date")) / 7) % 13 == F.substring("channel", 1, 1).cast("int") * 2
+    truth = rows(spark, sf_dir).where(hit).select(F.col("channel").alias("entity"), F.to_date(F.date_trunc("week", "date")).alias("start")).distinct()
+    matched = I.match_planted(truth.withColumn("end", F.date_add("start", 6)), _merged(spark, sf_dir))
+    return rounded(matched.select("entity", "start", "matched"))
+
+
+@R.add("inc_04", "SELECT o_orderkey AS incident, 'cpl' AS metric, CASE WHEN o_orderkey % 3 = 0 THEN 'check' ELSE 'positive' END AS sentiment FROM orders UNION ALL SELECT o_orderkey, 'revenue', CASE WHEN o_orderkey % 3 = 0 THEN 'negative' ELSE 'positive' END FROM orders", m=False)
+def inc_04(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("incident"), (F.col("o_orderkey") % 3 == 0).alias("bad"))
+    cost = o.select("incident", F.lit("cpl").alias("metric"), F.lit(-40.0).alias("pct"), F.lit("positive").alias("sentiment"))
+    result = o.select("incident", F.lit("revenue").alias("metric"), F.when(F.col("bad"), -60.0).otherwise(60.0).alias("pct"), F.when(F.col("bad"), "negative").otherwise("positive").alias("sentiment"))
+    return I.fix_contradictions(cost.unionByName(result), ("incident",)).select("incident", "metric", "sentiment")
+
+
 QUERIES, ORACLE_SQL = R.queries, R.sql
