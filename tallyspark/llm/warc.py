@@ -74,7 +74,7 @@ def _filesystem(folder: str) -> tuple[pafs.FileSystem, str]:
 
 
 def _write(folder: str):
-    """Rows (page_id, url, html, refers_to, is_revisit) into one archive; yields its index."""
+    """Rows (page_id, url, html, sha1, refers_to, is_revisit) into one archive; yields its index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _filesystem(folder)
@@ -82,9 +82,9 @@ def _write(folder: str):
         try:
             for batch in batches:
                 rows = []
-                for page_id, url, html, refers_to, is_revisit in zip(*(batch.column(i) for i in range(5)), strict=True):
+                for page_id, url, html, sha1, refers_to, is_revisit in zip(*(batch.column(i) for i in range(6)), strict=True):
                     payload = html.as_buffer().to_pybytes() if html.is_valid else b""
-                    digest = sha1_base32(payload)
+                    digest = base64.b32encode(bytes.fromhex(sha1.as_py())).decode()
                     member = _gzip(record(page_id.as_py(), url.as_py(), payload, digest, refers_to.as_py(), is_revisit.as_py()))
                     if out is None:
                         out = fs.open_output_stream(f"{base}/{name}", compression=None)
@@ -104,14 +104,15 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: st
     """Write a record for each page into folder and return the index."""
     with Scratch(pages.sparkSession, "warc") as own:
         rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-        digests = own.table(rows.select("page_id", F.sha1(F.col("html").cast("binary")).alias("sha1"), F.octet_length("html").alias("n_bytes")), "digests")
+        rows = rows.withColumn("sha1", F.sha1(F.col("html").cast("binary"))).withColumn("n_bytes", F.octet_length("html").cast("long"))
+        digests = own.table(rows.select("page_id", "sha1", "n_bytes"), "digests")
         same = digests.where(F.col("n_bytes") >= min_bytes).groupBy("sha1", "n_bytes").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
         again = digests.join(same.drop("n"), ["sha1", "n_bytes"]).where("page_id is null or page_id != refers_to")
-        again = own.table(again.select(F.coalesce("page_id", F.lit(-(2**63))).alias("key"), "sha1", "refers_to").distinct(), "again")
-        # a page's digest is computed again only where its id is known to repeat a payload
-        marked = rows.withColumn("key", F.coalesce("page_id", F.lit(-(2**63)))).join(again, "key", "left")
-        whole = F.col("refers_to").isNotNull() & (F.col("sha1") == F.sha1(F.col("html").cast("binary")))
-        marked = marked.select("page_id", "url", "html", F.when(whole, F.col("refers_to")).alias("refers_to"), F.coalesce(whole, F.lit(False)).alias("is_revisit"))
+        # one row for each page and payload, so that the join below gives each page once
+        again = own.table(again.select("page_id", "sha1", "n_bytes", "refers_to").distinct(), "again")
+        one = F.col("p.page_id").eqNullSafe(F.col("a.page_id")) & (F.col("p.sha1") == F.col("a.sha1")) & (F.col("p.n_bytes") == F.col("a.n_bytes"))
+        marked = rows.alias("p").join(again.alias("a"), one, "left")
+        marked = marked.select("p.page_id", "p.url", "p.html", "p.sha1", "a.refers_to", F.col("a.refers_to").isNotNull().alias("is_revisit"))
         index = marked.mapInArrow(_write(folder), _INDEX)
         return (scratch or own).keep(index, "index")
 

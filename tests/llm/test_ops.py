@@ -15,7 +15,7 @@ from tallyspark.llm.ngram_join import ngram_join
 from tallyspark.llm.packing import best_fit_packing
 from tallyspark.llm.secret_scan import redact_secrets, secret_scan
 from tallyspark.llm.topk import exact_top_k
-from tallyspark.llm.warc import warc_round_trip
+from tallyspark.llm.warc import sha1_base32, warc_round_trip
 
 BLANK = r"\x20\x09-\x0D"
 ODD = [
@@ -159,6 +159,15 @@ def test_archives_of_odd_pages(spark):
     assert warc_round_trip(pages.where("page_id > 9")).count() == 0
 
 
+def test_each_page_is_one_record_whatever_ids_repeat(spark):
+    rows = [(1, "first"), (2, "second"), (None, "first"), (None, "second"), (None, "second"), (3, "third"), (4, "first"), (4, "second"), (None, "alone")]
+    pages = spark.createDataFrame([(i, f"u{n}", h) for n, (i, h) in enumerate(rows)], "page_id long, url string, html string")
+    response = {"first": 1, "second": 2}
+    want = [(i, sha1_base32(h.encode()), "response" if response.get(h, i) == i else "revisit", None if response.get(h, i) == i else response[h]) for i, h in rows]
+    got = [(r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc_round_trip(pages).collect()]
+    assert Counter(got) == Counter(want)
+
+
 def test_the_digest_index_lasts(spark, odd, none):
     index = DigestIndex(spark)
     first = by_id(index.dedup(odd))
