@@ -1,6 +1,7 @@
 """Delimited text files to raw tables: every cell is text, and source_row keeps the file's order.
 
-Encoding, delimiter and header are decided from the first kilobytes; Spark reads the rest itself.
+Delimiter and header are decided from the first kilobytes, encoding and width from the whole file in
+a task; Spark reads the rest itself.
 """
 
 from __future__ import annotations
@@ -8,8 +9,11 @@ from __future__ import annotations
 import codecs
 import csv
 import io
+import sys
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,6 +92,25 @@ def content(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
+def _widths(report: LoadReport, header: int):
+    """Whole files to (cells of the widest row below the header, rows with values beyond the header's cells)."""
+    encoding, delimiter, above = report.encoding, report.delimiter, report.header_row
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(sys.maxsize)
+        for batch in batches:
+            for data in batch.column(0):
+                width = ragged = 0
+                rows = (r for r in csv.reader(io.StringIO(data.as_buffer().to_pybytes().decode(encoding, "replace"), newline=""), delimiter=delimiter) if r)
+                for i, row in enumerate(rows):
+                    if i > above:
+                        width = max(width, len(row))
+                        ragged += any(c.strip() for c in row[header:])
+                yield pa.RecordBatch.from_arrays([pa.array([width], pa.int64()), pa.array([ragged], pa.int64())], ["width", "ragged"])
+
+    return run
+
+
 def load_file(spark: SparkSession, path: str, max_mb: int = MOST_MB) -> tuple[DataFrame, LoadReport]:
     """(raw table, report). Blank rows and columns go, short rows are padded with NULL."""
     ending = path.rsplit(".", 1)[-1].lower()
@@ -100,14 +123,22 @@ def load_file(spark: SparkSession, path: str, max_mb: int = MOST_MB) -> tuple[Da
         raise LoadError("the file is empty")
     if sizes["length"] > max_mb << 20:
         raise LoadError(f"the file is larger than {max_mb} MB")
-    head = bytes(spark.read.format("binaryFile").load(path).select(F.substring("content", 1, SNIFF_BYTES).alias("c")).first()["c"])
+    data = spark.read.format("binaryFile").load(path).select("content")
+    first = data.select(F.substring("content", 1, SNIFF_BYTES).alias("head"), F.is_valid_utf8(F.col("content").cast("string")).alias("utf8")).first()
+    head = bytes(first["head"])
     report = LoadReport(encoding=encoding_of(head, sizes["length"] > SNIFF_BYTES), sha256=sizes["sha256"])
+    if report.encoding == "utf-8" and not first["utf8"]:
+        report.encoding = "latin-1"
     sample = codecs.getincrementaldecoder(report.encoding)("replace").decode(head)
     report.delimiter = delimiter_of(sample)
     rows = [r for r in csv.reader(io.StringIO(sample), delimiter=report.delimiter) if r]  # Spark skips empty lines too
     report.header_row = header_row(rows)
-    width = max(len(r) for r in rows)
-    names = unique_headers(rows[report.header_row] + [""] * (width - len(rows[report.header_row])))
+    header = rows[report.header_row]
+    found = data.mapInArrow(_widths(report, len(header)), "width long, ragged long").first()
+    width = max(len(header), found["width"])
+    if found["ragged"]:
+        report.warnings.append(f"{found['ragged']} rows are wider than the header; the extra values are in unnamed columns")
+    names = unique_headers(header + [""] * (width - len(header)))
     java = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "utf-16": "UTF-16", "latin-1": "ISO-8859-1"}[report.encoding]
     raw = spark.read.csv(path, schema=", ".join(f"c{i} string" for i in range(width)), sep=report.delimiter, encoding=java, header=False, multiLine=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     numbered = raw.withColumn("source_row", F.monotonically_increasing_id())  # one file is one split here: multi-line text can't be cut

@@ -142,6 +142,21 @@ def test_files(spark, tmp_path):
     assert FILES.encoding_of(b"\xef\xbb\xbfa") == "utf-8-sig" and FILES.encoding_of("é".encode("latin-1")) == "latin-1"
 
 
+def test_files_are_judged_by_their_whole_content(spark, tmp_path):
+    plain = "".join(f"{i},name {i}\n" for i in range(8_000))
+    assert len(plain) > FILES.SNIFF_BYTES
+    cases = {"late.csv": ("Id,Name\n" + plain + "8000,caf\xe9\n").encode("latin-1"), "wide.csv": ("Id,Name\n" + plain + '8000,café,more,"a, ""b"""\n').encode()}
+    for name, data in cases.items():
+        (tmp_path / name).write_bytes(data)
+    raw, report = FILES.load_file(spark, f"file://{tmp_path}/late.csv")
+    assert report.encoding == "latin-1" and raw.count() == 8_001
+    assert raw.where("Id = '8000'").first()["Name"] == "café"
+    raw, report = FILES.load_file(spark, f"file://{tmp_path}/wide.csv")
+    assert report.encoding == "utf-8" and raw.columns == ["source_row", "Id", "Name", "Unnamed column 3", "Unnamed column 4"] and len(report.warnings) == 1
+    assert tuple(raw.where("Id = '8000'").first())[1:] == ("8000", "café", "more", 'a, "b"')
+    assert raw.count() == 8_001 and raw.where("`Unnamed column 3` is not null").count() == 1
+
+
 def test_store_replaces_a_run_and_refuses_unknown_columns(spark, tmp_path):
     store = RunStore(spark, f"file://{tmp_path}/s")
     df = spark.createDataFrame([("a", 1.0)], "channel string, spend double")
