@@ -6,9 +6,10 @@ rows are first aggregated to (entity, week), and windows see only that.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.anomaly import baseline, before, both_least, islands, rolling, spread
@@ -38,18 +39,35 @@ SCORE, PCT, FLOOR, SUSTAINED, WINDOWS = 4.0, 30.0, 0.05, 0.15, (1, 3)
 HIGH_SCORE, HIGH_PCT, ENTITIES = 6.0, 50.0, 3
 
 
-def weekly_grid(df: DataFrame, entity: str, metric: str) -> DataFrame:
-    """entity, week, num, den, events, full: totals on every existing week for every entity."""
-    spec = METRICS[metric]
+def weekly_sums(df: DataFrame, entity: str, metrics: list[str] | None = None) -> DataFrame:
+    """entity, week, full and, by metric, num, den and events: all metrics whose columns df has, in one aggregate."""
     known = df.where(F.col(entity).isNotNull() & F.col("date").isNotNull()).withColumn("week", F.to_date(F.date_trunc("week", "date")))
-    n, d = F.col(spec.numerator).cast("double"), F.col(spec.denominator).cast("double") if spec.denominator else F.lit(1.0)
-    both = n.isNotNull() & d.isNotNull()
-    events = F.sum(F.col(spec.count).cast("double")) if spec.count else F.lit(None).cast("double")
-    sums = known.groupBy(F.col(entity).alias("entity"), "week").agg(
-        F.sum(F.when(both, n)).alias("num"), F.sum(F.when(both, d)).alias("den"), events.alias("events"), (F.countDistinct("date") == 7).alias("full")
-    )
+    sums = []
+    for metric in present(df, metrics):
+        spec = METRICS[metric]
+        n, d = F.col(spec.numerator).cast("double"), F.col(spec.denominator).cast("double") if spec.denominator else F.lit(1.0)
+        both = n.isNotNull() & d.isNotNull()
+        events = F.sum(F.col(spec.count).cast("double")) if spec.count else F.lit(None).cast("double")
+        sums += [F.sum(F.when(both, n)).alias(f"{metric}_num"), F.sum(F.when(both, d)).alias(f"{metric}_den"), events.alias(f"{metric}_events")]
+    return known.groupBy(F.col(entity).alias("entity"), "week").agg(*sums, (F.countDistinct("date") == 7).alias("full"))
+
+
+def present(df: DataFrame, metrics: list[str] | None = None) -> list[str]:
+    """The metrics whose columns df has."""
+    return [m for m in metrics or METRICS if METRICS[m].numerator in df.columns and (METRICS[m].denominator or "date") in df.columns]
+
+
+def grid_of(sums: DataFrame, metrics: list[str]) -> DataFrame:
+    """metric, entity, week, num, den, events, full of the metrics, on every existing week for every entity."""
     grid = sums.select("entity").distinct().crossJoin(sums.select("week").distinct())  # entities x weeks, both small
-    return grid.join(sums, ["entity", "week"], "left").withColumn("full", F.coalesce("full", F.lit(False)))
+    whole = grid.join(sums, ["entity", "week"], "left").withColumn("full", F.coalesce("full", F.lit(False)))
+    cells = F.array(*(F.struct(F.lit(m).alias("metric"), *(F.col(f"{m}_{c}").alias(c) for c in ("num", "den", "events"))) for m in metrics))
+    return whole.select("entity", "week", "full", F.explode(cells).alias("e")).select("entity", "week", "e.*", "full")
+
+
+def weekly_grid(df: DataFrame, entity: str, metric: str) -> DataFrame:
+    """entity, week, num, den, events, full: totals on every existing week for every entity."""
+    return grid_of(weekly_sums(df, entity, [metric]), [metric]).drop("metric")
 
 
 def stable_composition(df: DataFrame, entity: str, campaign: str) -> DataFrame:
@@ -66,27 +84,36 @@ def stable_composition(df: DataFrame, entity: str, campaign: str) -> DataFrame:
 
 def judge(grid: DataFrame, metric: str, window: int, unstable: DataFrame | None = None) -> DataFrame:
     """grid with baseline, value, score and pct for windows of so many weeks."""
-    spec, shift = METRICS[metric], window - 1
-    key, frame = ["entity"], rolling(["entity"], "week", window)
+    return judge_all(grid.withColumn("metric", F.lit(metric)), [metric], window, unstable).drop("metric")
+
+
+def judge_all(grid: DataFrame, metrics: list[str], window: int, unstable: DataFrame | None = None) -> DataFrame:
+    """judge of a grid with several metrics, each by itself, in one set of windows."""
+    shift = window - 1
+
+    def of(f: Callable[[Metric], object]) -> Column:
+        return F.create_map(*(F.lit(x) for m in metrics for x in (m, f(METRICS[m]))))[F.col("metric")]
+
+    key, frame = ["metric", "entity"], rolling(["metric", "entity"], "week", window)
     long, near = before(key, "week", shift), before(key, "week", 0)
-    ratio = spec.denominator is not None
+    ratio, scale = of(lambda x: x.denominator is not None), of(lambda x: float(x.scale))
     t = grid
     if unstable is not None:
         t = t.join(unstable, ["entity", "week"], "left").withColumn("full", F.col("full") & F.coalesce("stable", F.lit(True)))
-    t = t.withColumn("value1", F.try_divide("num", "den") * spec.scale if ratio else F.col("num"))
+    t = t.withColumn("value1", F.when(ratio, F.try_divide("num", "den") * scale).otherwise(F.col("num")))
     t = t.withColumn("ok1", F.col("full") & F.col("value1").isNotNull()).withColumn("known", F.when(F.col("ok1"), F.col("value1")))
-    volume = F.when(F.col("ok1"), F.col("den") if ratio else F.col("num"))
+    volume = F.when(F.col("ok1"), F.when(ratio, F.col("den")).otherwise(F.col("num")))
     t = t.select(
         "*", baseline(F.col("known"), long).alias("base"), baseline(F.col("known"), near).alias("base1"), baseline(volume, long).alias("base_volume"),
         baseline(F.when(F.col("ok1"), F.col("events")), long).alias("base_events"), F.sum("num").over(frame).alias("_n"), F.sum("den").over(frame).alias("_d"),
         (F.count("num").over(frame) == window).alias("_whole"), ((F.count(F.when(F.col("ok1"), 1)).over(frame) == window)).alias("_ok"),
     )
-    value = F.try_divide("_n", "_d") * spec.scale if ratio else F.col("_n") / window
+    value = F.when(ratio, F.try_divide("_n", "_d") * scale).otherwise(F.col("_n") / window)
     t = t.withColumn("value", F.when(F.col("_whole"), value))
-    fine = F.col("_ok") & F.col("base").isNotNull() & (F.col("base") != 0) & (F.col("base_volume") >= spec.least_volume)
+    fine = F.col("_ok") & F.col("base").isNotNull() & (F.col("base") != 0) & (F.col("base_volume") >= of(lambda x: float(x.least_volume)))
     t = t.withColumn("ok", F.coalesce(fine, F.lit(False)))
     t = t.withColumn("r", F.when(F.col("ok"), F.try_divide("value", "base"))).withColumn("r1", F.when(F.col("ok1"), F.try_divide("value1", "base1")))
-    week = Window.partitionBy("week")
+    week = Window.partitionBy("metric", "week")
 
     def common(c: str):
         return F.when(F.count(c).over(week) >= ENTITIES, F.percentile(c, 0.5).over(week)).otherwise(1.0)
@@ -96,10 +123,12 @@ def judge(grid: DataFrame, metric: str, window: int, unstable: DataFrame | None
     wide = spread(F.col("a1"), long) * 1.4826 / window**0.5
     t = t.withColumn("spread", F.when(wide.isNotNull(), F.greatest(wide, F.lit(FLOOR))))
     t = t.withColumn("score", (F.col("a") - 1) / F.col("spread"))
-    if spec.count:
+    counted = [m for m in metrics if METRICS[m].count]
+    if counted:
         expected = F.col("base_events") * window
         z = 2 * (F.sqrt(F.greatest(F.col("a") * expected, F.lit(0.0))) - F.sqrt(expected))
-        t = t.withColumn("score", F.signum("score") * both_least(F.abs("score"), F.abs(F.when(F.col("a").isNotNull() & expected.isNotNull(), z))))
+        least = F.signum("score") * both_least(F.abs("score"), F.abs(F.when(F.col("a").isNotNull() & expected.isNotNull(), z)))
+        t = t.withColumn("score", F.when(F.col("metric").isin(counted), least).otherwise(F.col("score")))
     t = t.withColumn("pct", (F.col("a") - 1) * 100)
     if window > 1:
         up, down = (F.when((s * (F.col("a1") - 1)) >= SUSTAINED, 1).otherwise(0) for s in (1, -1))
@@ -107,23 +136,26 @@ def judge(grid: DataFrame, metric: str, window: int, unstable: DataFrame | None
     else:
         t = t.withColumn("sustained", F.lit(True))
     flag = F.col("ok") & (F.abs("score") >= SCORE) & (F.abs("pct") >= PCT) & F.col("sustained")
-    return t.select("entity", "week", "value", (F.col("base") * F.col("common")).alias("baseline"), "score", "pct", F.coalesce(flag, F.lit(False)).alias("flag"))
+    return t.select("metric", "entity", "week", "value", (F.col("base") * F.col("common")).alias("baseline"), "score", "pct", F.coalesce(flag, F.lit(False)).alias("flag"))
+
 
+def weekly_anomalies(df: DataFrame, entity: str, entity_type: str, campaign: str | None = None, metrics: list[str] | None = None, store: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Flagged periods of an entity type, merged where they overlap or touch; the strongest one speaks for each.
 
-def weekly_anomalies(df: DataFrame, entity: str, entity_type: str, campaign: str | None = None, metrics: list[str] | None = None) -> DataFrame:
-    """Flagged periods of an entity type, merged where they overlap or touch; the strongest one speaks for each."""
-    unstable = stable_composition(df, entity, campaign) if campaign and entity_type != "campaign" else None
+    store writes a small table and gives it back, so that all metrics share one pass over the rows.
+    """
+    store = store or (lambda t: t)
+    unstable = store(stable_composition(df, entity, campaign)) if campaign and entity_type != "campaign" else None
+    sums = store(weekly_sums(df, entity, metrics))
+    known = present(df, metrics)
+    grid = grid_of(sums, known)
     flagged = None
-    for metric in metrics or list(METRICS):
-        if METRICS[metric].numerator not in df.columns or (METRICS[metric].denominator or "date") not in df.columns:
-            continue
-        grid = weekly_grid(df, entity, metric)
-        for window in WINDOWS:
-            found = judge(grid, metric, window, unstable).where("flag").select(
-                "entity", F.lit(metric).alias("metric"), F.date_sub("week", 7 * (window - 1)).alias("start"), F.date_add("week", 6).alias("end"),
-                "value", "baseline", "score", "pct", F.signum("score").cast("int").alias("sign"),
-            )
-            flagged = found if flagged is None else flagged.unionByName(found)
+    for window in WINDOWS:
+        found = store(judge_all(grid, known, window, unstable).where("flag").select(
+            "entity", "metric", F.date_sub("week", 7 * (window - 1)).alias("start"), F.date_add("week", 6).alias("end"),
+            "value", "baseline", "score", "pct", F.signum("score").cast("int").alias("sign"),
+        ))
+        flagged = found if flagged is None else flagged.unionByName(found)
     return merge_periods(flagged).withColumn("entity_type", F.lit(entity_type))
 
 

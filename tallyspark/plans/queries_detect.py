@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions.anomaly import baseline, before, islands, rolling, spread
 from tallyspark.operators import anomalies as A
 from tallyspark.operators import incidents as I
+from tallyspark.sources.shared import new_folder
 
 from .build import Registry, rounded
 from .canonical import campaign_rows
@@ -190,12 +191,30 @@ def ano_06(spark, sf_dir):
     return rounded(_merged(spark, sf_dir).select("entity", "start", "direction", "sentiment", "severity"))
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """A small table written to the shared folder and read back."""
+    df.write.mode("overwrite").parquet(path := new_folder(df.sparkSession, "weekly"))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_ENTITIES = (("campaign_name", "campaign"), ("channel", "channel"), ("region", "region"))
+_FOUND = ("entity_type", "entity", "metric", "start", "end", "score", "pct", "direction", "sentiment", "severity")
+
+
+def _all_found(df: DataFrame) -> DataFrame:
+    """All metrics over campaigns, channels and regions, and the outages of platforms (severe, without a score)."""
+    outages = A.tracking_outages(df, "campaign_name", "platform").select(
+        F.lit("platform").alias("entity_type"), F.col("owner").alias("entity"), F.lit("clicks").alias("metric"), "start", "end", F.lit(None).cast("double").alias("score"),
+        ((F.try_divide("observed", "baseline") - 1) * 100).alias("pct"), F.lit("below").alias("direction"), F.lit("negative").alias("sentiment"), F.lit("high").alias("severity"),
+    )
+    for column, kind in _ENTITIES:
+        outages = outages.unionByName(A.weekly_anomalies(df, column, kind, "campaign_name", store=_stored).select(*_FOUND))
+    return outages
+
+
 @add("ano_01")
 def ano_01(spark, sf_dir):
-    df = rows(spark, sf_dir)
-    parts = [A.weekly_anomalies(df, e, t, "campaign_name", ["spend", "cpl"]) for e, t in (("campaign_name", "campaign"), ("channel", "channel"), ("region", "region"))]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return rounded(out.select("entity_type", "entity", "metric", "start", F.col("end").alias("end_date"), "score", "pct", "direction", "sentiment", "severity"))
+    return rounded(_all_found(rows(spark, sf_dir)).withColumnRenamed("end", "end_date"))
 
 
 # outages, on rows with clicks lost for a few days
@@ -271,12 +290,10 @@ def inc_06(spark, sf_dir):
 @add("inc_03")
 def inc_03(spark, sf_dir):
     df = rows(spark, sf_dir)
-    flags = None
+    flags = _all_found(df).withColumn("entity_type", F.when(F.col("entity_type") == "platform", "outage").otherwise(F.col("entity_type")))
     everyone = None
-    for column, kind in (("campaign_name", "campaign"), ("channel", "channel"), ("region", "region")):
-        found = A.weekly_anomalies(df, column, kind, "campaign_name", ["spend"])
+    for column, kind in (*_ENTITIES, ("platform", "outage")):
         own = I.members(df, column, "campaign_name").withColumn("entity_type", F.lit(kind))
-        flags = found if flags is None else flags.unionByName(found)
         everyone = own if everyone is None else everyone.unionByName(own)
     runs = I.group_same_entity(flags).groupBy("entity_type", "entity", "incident").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     numbered = runs.withColumn("number", F.row_number().over(Window.orderBy("start", "entity_type", "entity", "incident")).cast("long"))

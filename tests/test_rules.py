@@ -19,6 +19,7 @@ from tallyspark.operators import response as RC
 from tallyspark.operators.group import group_kpis
 from tallyspark.operators.pacing import pacing_status
 from tallyspark.operators.targets import target_status
+from tallyspark.plans import queries_detect as QD
 from tallyspark.sources import files as FILES
 from tallyspark.sources import generate as GEN
 from tallyspark.sources.store import RunStore
@@ -106,6 +107,21 @@ def test_planted_anomalies_are_found(spark):
     df.unpersist()
 
 
+def test_every_metric_and_outages_reach_the_queries(spark, monkeypatch):
+    df = GEN.campaigns(spark).persist()
+    monkeypatch.setattr(QD, "rows", lambda *_: df)
+    stored = QD._stored(QD._all_found(df))
+    monkeypatch.setattr(QD, "_all_found", lambda _: stored)
+    found = QD.ano_01(spark, "").collect()
+    hits = {(r["entity_type"], r["entity"], r["metric"]) for r in found}
+    assert {("campaign", "Campaign 1", "spend"), ("campaign", "Campaign 4", "lead_qualification_rate"), ("campaign", "Campaign 5", "cpl"), ("campaign", "Campaign 3", "lead_to_conversion_rate"), ("region", "South", "revenue")} <= hits
+    lost = [(r["entity"], r["start"], r["end_date"]) for r in found if r["entity_type"] == "platform"]
+    assert lost == [("Display network", "2026-04-19", "2026-04-20")]
+    incidents = QD.inc_03(spark, "").collect()
+    assert {("outage", "Display network"), ("campaign", "Campaign 4"), ("region", "South")} <= {(r["entity_type"], r["entity"]) for r in incidents}
+    df.unpersist()
+
+
 def test_incidents_attach_to_their_channel(spark):
     day = dt.date
     rows = [(1, "channel", "Search", day(2026, 1, 1), day(2026, 1, 10)), (2, "campaign", "A", day(2026, 1, 2), day(2026, 1, 5)), (3, "campaign", "B", day(2026, 1, 4), day(2026, 1, 8)), (4, "campaign", "C", day(2026, 3, 1), day(2026, 3, 8))]
