@@ -152,7 +152,7 @@ def prf_01(spark, sf_dir):
 
 @add("prf_04", "SELECT DISTINCT lower(o_orderpriority) AS variant, o_orderpriority AS label FROM orders UNION SELECT DISTINCT o_orderpriority || 'T', o_orderpriority FROM orders")
 def prf_04(spark, sf_dir):
-    found = CL.cluster_labels(messy(spark, sf_dir).where(f"source_row div 2 % {TOTAL} != 0").select(F.trim("Channel").alias("Channel")), "Channel")
+    found = CL.cluster_labels(CL.remove_summary_rows(messy(spark, sf_dir), COLUMNS)[0].select(F.trim("Channel").alias("Channel")), "Channel")
     return spark.createDataFrame(sorted(found.items()), "variant string, label string")
 
 
@@ -168,7 +168,7 @@ def fn_19(spark, sf_dir):
 @add("jn_14", "SELECT DISTINCT lower(o_orderpriority) AS a, lower(o_orderpriority) || 't' AS b FROM orders")
 def jn_14(spark, sf_dir):
     """Distinct labels, at most 200, against each other: close spellings with the same digits."""
-    keys = messy(spark, sf_dir).where(f"source_row div 2 % {TOTAL} != 0").select(CL.label_key(F.col("Channel")).alias("k")).distinct()
+    keys = CL.remove_summary_rows(messy(spark, sf_dir), COLUMNS)[0].select(CL.label_key(F.col("Channel")).alias("k")).distinct()
     names = [r[0] for r in keys.limit(201).collect()]
     digits = {n: "".join(c for c in n if c.isdigit()) for n in names}
     near = [(a, b) for a in names for b in names if len(names) <= 200 and a < b and len(a) >= 4 and digits[a] == digits[b] and CL.indel_ratio(a, b) >= 90]

@@ -19,6 +19,7 @@ from tallyspark.operators import response as RC
 from tallyspark.operators.group import group_kpis
 from tallyspark.operators.pacing import pacing_status
 from tallyspark.operators.targets import target_status
+from tallyspark.plans import queries_cleaning as QC
 from tallyspark.plans import queries_detect as QD
 from tallyspark.sources import files as FILES
 from tallyspark.sources import generate as GEN
@@ -72,6 +73,14 @@ def test_duplicates_keep_the_first_row_and_nulls_are_equal(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
+def test_totals_are_no_labels_wherever_they_stand(spark, monkeypatch):
+    labels = ["Search", "Search", "search", "Searchx", "Grand Total", "Grand Total", "grand total", "Grand Total."]
+    raw = spark.createDataFrame([(i, *(v if c == "Channel" else "x" for c in QC.COLUMNS)) for i, v in enumerate(labels, 1)], ["source_row", *QC.COLUMNS])
+    monkeypatch.setattr(QC, "messy", lambda *_: raw)
+    assert {tuple(r) for r in QC.prf_04(spark, "").collect()} == {("search", "Search"), ("Searchx", "Search")}
+    assert [tuple(r) for r in QC.jn_14(spark, "").collect()] == [("search", "searchx")]
+
+
 def test_clean_of_an_empty_table_has_its_columns(spark):
     raw = spark.createDataFrame([], "source_row long, Day string, Cost string")
     table, log = CL.clean(raw, {"date": "Day", "spend": "Cost"})
