@@ -164,6 +164,12 @@ def fn_21(spark, sf_dir):
     return docs.select("doc_id", X.tidy(F.col("text")).alias("tidy"))
 
 
+@add("fn_21_whole", None)
+def fn_21_whole(spark, sf_dir):
+    """fn_21 over every document in every language; held against brute force, not SQL."""
+    return table(spark, sf_dir, "documents").select("doc_id", X.tidy(F.coalesce("text", F.lit(""))).alias("tidy"))
+
+
 _PAIR = "CASE WHEN {n} >= 10000000 THEN CAST({n} // 10000000 AS VARCHAR) || ',' || lpad(CAST({n} // 100000 % 100 AS VARCHAR), 2, '0') || ',' || lpad(CAST({n} // 1000 % 100 AS VARCHAR), 2, '0') || ',' || lpad(CAST({n} % 1000 AS VARCHAR), 3, '0') WHEN {n} >= 100000 THEN CAST({n} // 100000 AS VARCHAR) || ',' || lpad(CAST({n} // 1000 % 100 AS VARCHAR), 2, '0') || ',' || lpad(CAST({n} % 1000 AS VARCHAR), 3, '0') WHEN {n} >= 1000 THEN CAST({n} // 1000 AS VARCHAR) || ',' || lpad(CAST({n} % 1000 AS VARCHAR), 3, '0') ELSE CAST({n} AS VARCHAR) END"
 
 

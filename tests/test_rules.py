@@ -1,6 +1,7 @@
 """Hand-made cases: parsing, statuses, mapping, forecasts, curves, incidents, files and the store."""
 
 import datetime as dt
+import re
 
 import numpy as np
 import pytest
@@ -21,6 +22,7 @@ from tallyspark.operators.pacing import pacing_status
 from tallyspark.operators.targets import target_status
 from tallyspark.plans import queries_cleaning as QC
 from tallyspark.plans import queries_detect as QD
+from tallyspark.plans import queries_scalar as QS
 from tallyspark.sources import files as FILES
 from tallyspark.sources import generate as GEN
 from tallyspark.sources.store import RunStore
@@ -81,6 +83,15 @@ def test_totals_are_no_labels_wherever_they_stand(spark, monkeypatch):
     assert [tuple(r) for r in QC.jn_14(spark, "").collect()] == [("search", "searchx")]
 
 
+def test_every_document_is_tidied(spark, monkeypatch):
+    texts = [("en", " a\t\tb "), ("en", "caf\u00e9\u00a0\u2003 d\u00e9j\u00e0"), ("de", "\u3000\u00fcber \u2028\r\n\u0085 alles\u202f"), ("fr", "\u1680\u205f"), ("es", "ni\u00f1o\x0b\x0c\u2009\U0001f600 x"), (None, None), ("en", "a\u200bb")]
+    docs = spark.createDataFrame([(i, v, lang) for i, (lang, v) in enumerate(texts)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(QS, "table", lambda *_: docs)
+    blanks = "[\\t-\\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+    got = {r["doc_id"]: r["tidy"] for r in QS.QUERIES["fn_21_whole"](spark, "").collect()}
+    assert got == {i: re.sub(blanks, " ", v or "").strip(" ") for i, (_, v) in enumerate(texts)}
+
+
 def test_clean_of_an_empty_table_has_its_columns(spark):
     raw = spark.createDataFrame([], "source_row long, Day string, Cost string")
     table, log = CL.clean(raw, {"date": "Day", "spend": "Cost"})
