@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -13,7 +13,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
     Every round takes the smallest label among neighbours and then the label of that label, so the
     number of rounds grows with the logarithm of a component's diameter. Each round is a written
-    table; only a flag whether anything changed comes to the driver.
+    table; whether anything moved is counted as the table is written. All labels are ids, so a label
+    is looked up in the same table.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct()
     both = scratch.table(both, f"{name}-edges")
@@ -26,9 +27,10 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         lower = labels.join(seen, "id").select("id", F.col("component").alias("before"), F.least("component", "near").alias("component"))
         roots = labels.select(F.col("id").alias("component"), F.col("component").alias("root"))
         lower = lower.join(roots, "component", "left").select("id", F.least("component", "root").alias("component"), "before")
-        new = scratch.table(lower.select("id", "component", (F.col("component") != F.col("before")).alias("moved")), f"{name}-{step}")
-        labels = new.select("id", "component")
-        if new.where("moved").isEmpty():
+        moved = Observation(f"{name}-{step}-moved")
+        watched = lower.observe(moved, F.count(F.when(F.col("component") != F.col("before"), 1)).alias("n"))
+        labels = scratch.table(watched.select("id", "component"), f"{name}-{step}")
+        if not moved.get["n"]:
             return labels
         if step > 1:
             scratch.drop(f"{name}-{step - 2}")

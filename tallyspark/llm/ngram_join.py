@@ -8,17 +8,22 @@ Two texts link when 100 * |A and B| >= pct * |A or B| over their sets of word n-
 2. A second pass reduces each text to its set size, a 128-bit digest of the set, 256 parity bits and
    the prefix: the first ``n - ceil(pct * n / 100) + 1`` n-grams in that order. Two texts that link
    share an n-gram of their prefixes. Texts with equal sets become one representative.
-3. Prefix entries are joined on the n-gram. First every entry meets the smallest id that has the
-   n-gram, which is linear in the entries; the pairs pass the length filter and the suffix filter
-   (each n-gram that only one text has flips one parity bit, so differing bits bound the overlap),
-   are verified once each, and give provisional components.
-4. The smallest id of a group may be unlike its other members. So while the pairs of different
-   components under one n-gram are many more than its entries, every entry meets another holder,
-   chosen by a hash of both, in the same way; each such round is linear in the entries as well.
-5. Then all remaining pairs of different components that share a prefix n-gram and pass the length,
-   positional and suffix filters are verified, each once. Pairs inside a component need no
-   verification: they cannot change it. So no link between components is lost, and a large group
-   of copies does not become all of its pairs.
+3. Prefix entries whose n-gram another representative has too get the parities of what lies before
+   it and of the suffix after it. Entries are joined on the n-gram, and pairs must pass three
+   filters: lengths; the positions of the shared n-gram, which bound how many n-grams can be shared
+   before and after it; and the suffixes (and what lies before), where each n-gram that only one
+   side has flips one parity bit, so that the bits that differ bound what is shared.
+4. Stars: each holder of an n-gram meets three pivots of that n-gram: the holder whose n-grams are the
+   most frequent (in a group of edited copies, the one that was edited least), the one with the
+   smallest id and one chosen by a hash. That is linear in the entries. The pairs are verified, each
+   once, and give provisional components.
+5. Strays: where the holders of an n-gram are of several components, those outside the n-gram's
+   largest component meet all its holders of other components. Pairs that pass the filters and were
+   not met before are verified, each once. A pair inside one component can't change it and is not
+   made. So no link between components is lost, and a large group of copies does not become all of
+   its pairs.
+
+Texts are shuffled once to pick those of the prefix entries; only picked texts are joined to pairs.
 
 Defined cases: a text with fewer words than an n-gram has its whole word sequence as one n-gram; a
 text without words (or null) has none, links with nothing and is its own component. Rows that
@@ -42,9 +47,8 @@ from .components import components
 from .shingles import mix, shared, shingle_sets
 
 CHUNK = 1 << 16
-#: Further rounds of star pairs before all remaining pairs are looked at.
-MORE_STARS = 3
 _SIGNS = ["s0", "s1", "s2", "s3"]
+_BEFORE = ["b0", "b1"]
 
 
 def _packed(counts: np.ndarray) -> bytes:
@@ -61,24 +65,13 @@ def _count(words: int, bits: int):
     shift = np.uint64(64 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, waiting, n = np.zeros(1 << bits, np.int64), [], 0
-
-        def flush():
-            nonlocal total, waiting, n
-            if n:
-                total += np.bincount(np.concatenate(waiting), minlength=1 << bits)
-            waiting, n = [], 0
-
+        total, one = np.zeros(1 << bits, np.uint32), np.uint32(1)
         for batch in batches:
             for _, _, hashes, _ in shingle_sets(batch.column(0), words):
-                waiting.append((hashes >> shift).astype(np.int32))
-                n += len(hashes)
-                if n >= 1 << 22:
-                    flush()
-        flush()
-        chunks = [total[i : i + CHUNK] for i in range(0, len(total), CHUNK)]
-        some = [i for i, c in enumerate(chunks) if c.any()]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([_packed(chunks[i]) for i in some], pa.binary())], ["chunk", "counts"])
+                np.add.at(total, (hashes >> shift).astype(np.int64), one)
+        for i in range(0, len(total), CHUNK):
+            if (chunk := total[i : i + CHUNK]).any():
+                yield pa.RecordBatch.from_arrays([pa.array([i // CHUNK], pa.int32()), pa.array([_packed(chunk)], pa.binary())], ["chunk", "counts"])
 
     return run
 
@@ -103,11 +96,18 @@ def ngram_counts(texts: DataFrame, words: int, bits: int) -> np.ndarray:
     return out
 
 
-_REDUCED = "doc_id long, n int, h1 long, h2 long, s0 long, s1 long, s2 long, s3 long, prefix array<long>"
+def _parities(hashes: np.ndarray) -> Iterator[np.ndarray]:
+    """For each of four words, the bit that each hash flips in it."""
+    bit, word = np.uint64(1) << (hashes & np.uint64(63)), (hashes >> np.uint64(6)) & np.uint64(3)
+    for j in range(4):
+        yield np.where(word == j, bit, np.uint64(0))
+
+
+_REDUCED = "doc_id long, n int, h1 long, h2 long, s0 long, s1 long, s2 long, s3 long, common float, prefix array<long>"
 
 
 def _reduce(words: int, pct: int, bits: int, counts):
-    """Each text as a row of _REDUCED."""
+    """Each text as a row of _REDUCED; common is the mean logarithm of its n-grams' counters."""
     shift = np.uint64(64 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,13 +117,6 @@ def _reduce(words: int, pct: int, bits: int, counts):
                 n = np.diff(ends)
                 some = np.flatnonzero(n)
                 at = ends[:-1][some]
-                columns = np.zeros((6, hi - lo), np.uint64)
-                if len(at):
-                    columns[0, some] = np.add.reduceat(mix(hashes), at)
-                    columns[1, some] = np.add.reduceat(mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at)
-                    bit, word = np.uint64(1) << (hashes & np.uint64(63)), (hashes >> np.uint64(6)) & np.uint64(3)
-                    for j in range(4):
-                        columns[2 + j, some] = np.bitwise_xor.reduceat(np.where(word == j, bit, np.uint64(0)), at)
                 size = np.where(n > 0, n - -(-pct * n // 100) + 1, 0)
                 rank = table[(hashes >> shift).astype(np.int64)]
                 offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
@@ -131,9 +124,16 @@ def _reduce(words: int, pct: int, bits: int, counts):
                 for r in some:
                     a = ends[r]
                     prefix[offsets[r] : offsets[r + 1]] = hashes[a + np.argsort(rank[a : ends[r + 1]], kind="stable")[: size[r]]]
+                columns, common = np.zeros((6, hi - lo), np.uint64), np.zeros(hi - lo, np.float32)
+                if len(at):
+                    columns[0, some] = np.add.reduceat(mix(hashes), at)
+                    columns[1, some] = np.add.reduceat(mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at)
+                    for j, bits_of_word in enumerate(_parities(hashes)):
+                        columns[2 + j, some] = np.bitwise_xor.reduceat(bits_of_word, at)
+                    common[some] = np.add.reduceat(np.log2(1 + rank.astype(np.float64)), at) / n[some]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int32)), *(pa.array(c.view(np.int64)) for c in columns), pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix.view(np.int64)))],
-                    ["doc_id", "n", "h1", "h2", *_SIGNS, "prefix"],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int32)), *(pa.array(c.view(np.int64)) for c in columns), pa.array(common), pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix.view(np.int64)))],
+                    ["doc_id", "n", "h1", "h2", *_SIGNS, "common", "prefix"],
                 )
 
     return run
@@ -163,10 +163,42 @@ def _verify(words: int, pct: int, piece: int = 4 << 20):
     return run
 
 
-def _close(pct: int) -> str:
-    """Length and suffix filter for a pair with n_a, n_b and the parities of both."""
-    differ = " + ".join(f"bit_count({s}_a ^ {s}_b)" for s in _SIGNS)
-    return f"100L * least(n_a, n_b) >= {pct}L * greatest(n_a, n_b) and ((n_a + n_b - ({differ})) div 2) * {100 + pct}L >= {pct}L * (n_a + n_b)"
+_ENTRIES = "token long, id long, n int, pos int, common float, b0 long, b1 long, s0 long, s1 long, s2 long, s3 long"
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, n, common, s0..s3, prefix, at) into a row of _ENTRIES for each position in at."""
+    names = ["token", "id", "n", "pos", "common", *_BEFORE, *_SIGNS]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float32(), *[pa.int64()] * 6]
+    for batch in batches:
+        facts = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+        whole = np.stack([batch.column(3 + j).to_numpy(zero_copy_only=False).view(np.uint64) for j in range(4)])
+        out: list[list[np.ndarray]] = [[] for _ in names]
+        for r, (prefix, at) in enumerate(zip(batch.column(7), batch.column(8), strict=True)):
+            tokens, pos = prefix.values.to_numpy(zero_copy_only=False).view(np.uint64), np.sort(at.values.to_numpy(zero_copy_only=False))
+            upto = np.stack([np.bitwise_xor.accumulate(p) for p in _parities(tokens)])
+            before = upto[:, pos] ^ np.stack([p[pos] for p in _parities(tokens)])
+            after = upto[:, pos] ^ whole[:, r, None]
+            columns = [tokens[pos], *(np.repeat(f[r], len(pos)) for f in facts[:2]), pos, np.repeat(facts[2][r], len(pos)), before[0] ^ before[2], before[1] ^ before[3], *after]
+            for o, c in zip(out, columns, strict=True):
+                o.append(c)
+        if batch.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64) if (x := np.concatenate(o)).dtype == np.uint64 else x, k) for o, k in zip(out, kinds, strict=True)], names)
+
+
+def _close(pct: int, a: str, b: str) -> str:
+    """Length, positional and suffix filter for a pair of entries; a and b are prefixes of their column names.
+
+    A pair links only if it shares at least pct / (100 + pct) of both sizes together.
+    """
+    (na, nb), (pa_, pb) = (f"{a}n", f"{b}n"), (f"{a}pos", f"{b}pos")
+    differ = {part: " + ".join(f"bit_count({a}{w} ^ {b}{w})" for w in words) for part, words in (("before", _BEFORE), ("after", _SIGNS))}
+    before = f"least({pa_}, {pb}, ({pa_} + {pb} - ({differ['before']})) div 2)"
+    rest = f"{na} - {pa_} - 1", f"{nb} - {pb} - 1"
+    positional = f"least({pa_}, {pb}) + 1 + least({rest[0]}, {rest[1]})"
+    suffix = f"{before} + 1 + ({rest[0]} + {rest[1]} - ({differ['after']})) div 2"
+    needed = f"{pct}L * ({na} + {nb})"
+    return f"100L * least({na}, {nb}) >= {pct}L * greatest({na}, {nb}) and ({positional}) * {100 + pct}L >= {needed} and ({suffix}) * {100 + pct}L >= {needed}"
 
 
 def ngram_join(docs: DataFrame, words: int = 5, pct: int = 80, id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = 22) -> DataFrame:
@@ -176,57 +208,45 @@ def ngram_join(docs: DataFrame, words: int = 5, pct: int = 80, id_col: str = "do
     with Scratch(spark, "ngram-join") as scratch:
         counts = spark.sparkContext.broadcast(ngram_counts(texts, words, sketch_bits))
         reduced = scratch.table(texts.mapInArrow(_reduce(words, pct, sketch_bits, counts), _REDUCED), "reduced")
-        first = [F.first(c).alias(c) for c in [*_SIGNS, "prefix"]]
-        reps = reduced.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id"), *first)
+        facts = [*_SIGNS, "common", "prefix"]
+        reps = reduced.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in facts))
         reps = scratch.table(reps, "reps")
-        meta = reps.where("id is not null").select("id", "n", *_SIGNS)
 
-        def sided(side: str) -> DataFrame:
-            return meta.select(*(F.col(c).alias(f"{c}_{side}" if c != "id" else side) for c in meta.columns))
+        prefixes = reps.where("id is not null").select("id", F.posexplode("prefix").alias("pos", "token"))
+        shared_tokens = prefixes.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("token")
+        at = prefixes.join(scratch.table(shared_tokens, "shared"), "token", "left_semi").groupBy("id").agg(F.collect_list("pos").alias("at"))
+        entries = reps.join(at, "id").select("id", "n", "common", *_SIGNS, "prefix", "at").mapInArrow(_entries, _ENTRIES)
+        entries = scratch.table(entries, "entries")
+        met = ["id", "n", "pos", *_BEFORE, *_SIGNS]
+        pivots = entries.groupBy("token").agg(
+            F.max(F.struct("common", (-F.col("id")).alias("order"), *met)).alias("p1"),
+            F.min(F.struct(*met)).alias("p2"),
+            F.min(F.struct(F.xxhash64("id", "token").alias("order"), *met)).alias("p3"),
+        )
+        pivots = scratch.table(pivots.select("token", F.array(*(F.struct(*(f"{p}.{c}" for c in met)) for p in ("p1", "p2", "p3"))).alias("pivots")), "pivots")
+        picked = scratch.table(texts.join(entries.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "picked")
 
         def verified(pairs: DataFrame, name: str) -> DataFrame:
-            with_a = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-            with_b = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-            return scratch.table(with_b.select("a", "b", "text_a", "text_b").mapInArrow(_verify(words, pct), "a long, b long"), name)
-
-        entries = reps.where("id is not null").select("id", "n", F.posexplode("prefix").alias("pos", "token"))
-        tokens = entries.groupBy("token").agg(F.min("id").alias("pivot"), F.count("*").alias("holders")).where("holders > 1").drop("holders")
-        entries = scratch.table(entries.join(tokens, "token"), "entries")
-
-        stars = entries.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-        stars = scratch.table(stars.join(sided("a"), "a").join(sided("b"), "b").where(_close(pct)).select("a", "b"), "stars")
-        links = verified(stars, "links-1")
-        groups = components(links, scratch, "groups")
-
-        tried = stars
-        for turn in range(1, MORE_STARS + 2):
-            placed = entries.drop("pivot").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            placed = scratch.table(placed, f"placed-{turn}")
-            parts = placed.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("inside"), F.count("*").alias("parts"))
-            split = scratch.table(parts.where("parts > 1"), f"split-{turn}")
-            placed = scratch.table(placed.join(split.select("token"), "token").join(meta.drop("n"), "id"), f"across-{turn}")
-            pairs, alone = split.agg(F.sum(F.expr("all * all - inside") / 2), F.sum("all")).first()
-            if turn > MORE_STARS or not pairs or pairs <= 4 * alone:
-                break
-            pivots = placed.groupBy("token").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", "token", F.lit(turn))).alias("p"))
-            met = placed.select("token", "id", "component").join(pivots, "token").where("component != p.component")
-            met = met.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-            met = scratch.table(met.join(sided("a"), "a").join(sided("b"), "b").where(_close(pct)).select("a", "b"), f"stars-{turn}")
-            tried = tried.unionByName(met)
-            new = verified(met, f"links-1-{turn}")
-            if new.isEmpty():
-                break
-            links = links.unionByName(new)
-            groups = components(links, scratch, f"groups-{turn}")
-        a, b = (placed.select("token", *(F.col(c).alias(f"{c}_{s}") for c in placed.columns if c != "token")) for s in "ab")
-        ahead = f"(least(pos_a, pos_b) + least(n_a - pos_a, n_b - pos_b)) * {100 + pct}L >= {pct}L * (n_a + n_b)"
-        across = a.join(b, (a["token"] == b["token"]) & F.expr(f"id_a < id_b and component_a != component_b and {ahead} and {_close(pct)}"))
-        across = across.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-        across = scratch.table(across.join(tried, ["a", "b"], "left_anti"), "across")
-        more = verified(across, "links-2")
-        if more.isEmpty():
-            final = groups
-        else:
+            with_b = pairs.join(picked.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+            with_a = with_b.join(picked.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+            return scratch.table(with_a.select("a", "b", "text_a", "text_b").mapInArrow(_verify(words, pct), "a long, b long"), name)
+
+        near = F.explode(F.expr(f"transform(filter(pivots, p -> p.id != id and {_close(pct, 'p.', '')}), p -> p.id)")).alias("pivot")
+        stars = entries.join(pivots, "token").select("id", near).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+        stars = scratch.table(stars, "stars")
+        groups = components(verified(stars, "links"), scratch, "groups")
+
+        placed = entries.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        placed = scratch.table(placed, "placed")
+        parts = placed.groupBy("token", "component").agg(F.count("*").alias("size")).groupBy("token").agg(F.max(F.struct("size", "component"))["component"].alias("main"), F.count("*").alias("parts"))
+        across = scratch.table(placed.join(scratch.table(parts.where("parts > 1").select("token", "main"), "split"), "token"), "across")
+        a, b = (across.select("token", "main", *(F.col(c).alias(f"{s}_{c}") for c in [*met, "component"])) for s in "ab")
+        strays = a.where("a_component != main").drop("main")
+        condition = f"a_component != b_component and (b_component = main or a_id < b_id) and {_close(pct, 'a_', 'b_')}"
+        pairs = strays.join(b, (strays["token"] == b["token"]) & F.expr(condition)).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
+        pairs = scratch.table(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
+        final = groups
+        if not pairs.isEmpty() and not (more := verified(pairs, "more-links")).isEmpty():
             joined = more.join(groups.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(groups.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
             bridges = components(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), scratch, "bridges")
             moved = groups.join(bridges.select(F.col("id").alias("component"), F.col("component").alias("root")), "component", "left")

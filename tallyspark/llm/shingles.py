@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 
 PIECE_BYTES = 1 << 20
+#: Word hashes are computed for so many bytes at a time; a longer word is a block of its own.
+HASH_BYTES = 1 << 18
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 _M = np.uint64(0xD6E8FEB86659FD93)
@@ -58,9 +60,16 @@ def _pieces(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def _word_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Hashes of the words that begin at starts; blanks after a word add nothing."""
-    pw, inv = _powers(len(data))
-    sums = np.add.reduceat(_TABLE[data] * pw[: len(data)], starts)
-    return mix(sums * inv[starts])
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + HASH_BYTES)))
+        part = data[starts[i] : starts[j] if j < len(starts) else len(data)]
+        at = starts[i:j] - starts[i]
+        pw, inv = _powers(len(part))
+        out[i:j] = mix(np.add.reduceat(_TABLE[part] * pw[: len(part)], at) * inv[at])
+        i = j
+    return out
 
 
 def shingle_sets(texts: pa.Array, words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
