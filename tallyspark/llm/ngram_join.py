@@ -5,14 +5,15 @@ Two texts link when 100 * |A and B| >= pct * |A or B| over their sets of word n-
 1. A first pass counts all n-grams of all texts into a table of ``2**sketch_bits`` counters (a fixed
    size, whatever the input). It only orders n-grams: rare first, then by hash. Any order that all
    texts share gives right results; a better one gives fewer candidates.
-2. A second pass reduces each text to its set size, a 128-bit digest of the set, 256 parity bits and
+2. A second pass reduces each text to its set size, a 128-bit digest of the set, 1,024 parity bits and
    the prefix: the first ``n - ceil(pct * n / 100) + 1`` n-grams in that order. Two texts that link
    share an n-gram of their prefixes. Texts with equal sets become one representative.
 3. Prefix entries whose n-gram another representative has too get the parities of what lies before
    it and of the suffix after it. Entries are joined on the n-gram, and pairs must pass three
    filters: lengths; the positions of the shared n-gram, which bound how many n-grams can be shared
    before and after it; and the suffixes (and what lies before), where each n-gram that only one
-   side has flips one parity bit, so that the bits that differ bound what is shared.
+   side has flips one parity bit, so that the bits that differ bound what is shared. What is left
+   must pass the same bound over all 1,024 bits of both sets.
 4. Stars: each holder of an n-gram meets three pivots of that n-gram: the holder whose n-grams are the
    most frequent (in a group of edited copies, the one that was edited least), the one with the
    smallest id and one chosen by a hash. That is linear in the entries. The pairs are verified, each
@@ -23,7 +24,9 @@ Two texts link when 100 * |A and B| >= pct * |A or B| over their sets of word n-
    made. So no link between components is lost, and a large group of copies does not become all of
    its pairs.
 
-Texts are shuffled once to pick those of the prefix entries; only picked texts are joined to pairs.
+Only texts of pairs are shuffled: a bitmap of fixed size over hashes of their ids is broadcast, and
+texts that it doesn't have are dropped where they are read. What it lets through by chance is dropped
+by the join.
 
 Defined cases: a text with fewer words than an n-gram has its whole word sequence as one n-gram; a
 text without words (or null) has none, links with nothing and is its own component. Rows that
@@ -39,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, documents
@@ -48,6 +51,10 @@ from .shingles import mix, shared, shingle_sets
 
 CHUNK = 1 << 16
 _SIGNS = ["s0", "s1", "s2", "s3"]
+#: Words of 64 parity bits of a whole set; an entry has them folded to four.
+PARITY_WORDS = 16
+#: Bits of the broadcast bitmap of ids: 1 MB.
+BITMAP_BITS = 1 << 23
 _BEFORE = ["b0", "b1"]
 
 
@@ -96,14 +103,14 @@ def ngram_counts(texts: DataFrame, words: int, bits: int) -> np.ndarray:
     return out
 
 
-def _parities(hashes: np.ndarray) -> Iterator[np.ndarray]:
-    """For each of four words, the bit that each hash flips in it."""
-    bit, word = np.uint64(1) << (hashes & np.uint64(63)), (hashes >> np.uint64(6)) & np.uint64(3)
-    for j in range(4):
+def _parities(hashes: np.ndarray, words: int = 4) -> Iterator[np.ndarray]:
+    """For each word (a power of two of them), the bit that each hash flips in it."""
+    bit, word = np.uint64(1) << (hashes & np.uint64(63)), (hashes >> np.uint64(6)) & np.uint64(words - 1)
+    for j in range(words):
         yield np.where(word == j, bit, np.uint64(0))
 
 
-_REDUCED = "doc_id long, n int, h1 long, h2 long, s0 long, s1 long, s2 long, s3 long, common float, prefix array<long>"
+_REDUCED = "doc_id long, n int, h1 long, h2 long, common float, parity array<long>, prefix array<long>"
 
 
 def _reduce(words: int, pct: int, bits: int, counts):
@@ -124,17 +131,15 @@ def _reduce(words: int, pct: int, bits: int, counts):
                 for r in some:
                     a = ends[r]
                     prefix[offsets[r] : offsets[r + 1]] = hashes[a + np.argsort(rank[a : ends[r + 1]], kind="stable")[: size[r]]]
-                columns, common = np.zeros((6, hi - lo), np.uint64), np.zeros(hi - lo, np.float32)
+                digest, common, parity = np.zeros((2, hi - lo), np.uint64), np.zeros(hi - lo, np.float32), np.zeros((hi - lo, PARITY_WORDS), np.uint64)
                 if len(at):
-                    columns[0, some] = np.add.reduceat(mix(hashes), at)
-                    columns[1, some] = np.add.reduceat(mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at)
-                    for j, bits_of_word in enumerate(_parities(hashes)):
-                        columns[2 + j, some] = np.bitwise_xor.reduceat(bits_of_word, at)
+                    digest[0, some] = np.add.reduceat(mix(hashes), at)
+                    digest[1, some] = np.add.reduceat(mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at)
+                    for j, bits_of_word in enumerate(_parities(hashes, PARITY_WORDS)):
+                        parity[some, j] = np.bitwise_xor.reduceat(bits_of_word, at)
                     common[some] = np.add.reduceat(np.log2(1 + rank.astype(np.float64)), at) / n[some]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int32)), *(pa.array(c.view(np.int64)) for c in columns), pa.array(common), pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix.view(np.int64)))],
-                    ["doc_id", "n", "h1", "h2", *_SIGNS, "common", "prefix"],
-                )
+                lists = [pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), pa.array(v.view(np.int64))) for o, v in ((np.arange(hi - lo + 1) * PARITY_WORDS, parity.reshape(-1)), (offsets, prefix))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int32)), *(pa.array(d.view(np.int64)) for d in digest), pa.array(common), *lists], ["doc_id", "n", "h1", "h2", "common", "parity", "prefix"])
 
     return run
 
@@ -167,19 +172,18 @@ _ENTRIES = "token long, id long, n int, pos int, common float, b0 long, b1 long,
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, n, common, s0..s3, prefix, at) into a row of _ENTRIES for each position in at."""
+    """Rows (id, n, common, parity, prefix, at) into a row of _ENTRIES for each position in at."""
     names = ["token", "id", "n", "pos", "common", *_BEFORE, *_SIGNS]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float32(), *[pa.int64()] * 6]
     for batch in batches:
         facts = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-        whole = np.stack([batch.column(3 + j).to_numpy(zero_copy_only=False).view(np.uint64) for j in range(4)])
         out: list[list[np.ndarray]] = [[] for _ in names]
-        for r, (prefix, at) in enumerate(zip(batch.column(7), batch.column(8), strict=True)):
+        for r, (parity, prefix, at) in enumerate(zip(*(batch.column(i) for i in (3, 4, 5)), strict=True)):
+            whole = np.bitwise_xor.reduce(parity.values.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, 4), 0)
             tokens, pos = prefix.values.to_numpy(zero_copy_only=False).view(np.uint64), np.sort(at.values.to_numpy(zero_copy_only=False))
-            upto = np.stack([np.bitwise_xor.accumulate(p) for p in _parities(tokens)])
-            before = upto[:, pos] ^ np.stack([p[pos] for p in _parities(tokens)])
-            after = upto[:, pos] ^ whole[:, r, None]
-            columns = [tokens[pos], *(np.repeat(f[r], len(pos)) for f in facts[:2]), pos, np.repeat(facts[2][r], len(pos)), before[0] ^ before[2], before[1] ^ before[3], *after]
+            upto = np.stack([np.bitwise_xor.accumulate(p) for p in _parities(tokens)])[:, pos]
+            before = upto ^ np.stack(list(_parities(tokens[pos])))
+            columns = [tokens[pos], *(np.repeat(f[r], len(pos)) for f in facts[:2]), pos, np.repeat(facts[2][r], len(pos)), before[0] ^ before[2], before[1] ^ before[3], *(upto ^ whole[:, None])]
             for o, c in zip(out, columns, strict=True):
                 o.append(c)
         if batch.num_rows:
@@ -201,6 +205,19 @@ def _close(pct: int, a: str, b: str) -> str:
     return f"100L * least({na}, {nb}) >= {pct}L * greatest({na}, {nb}) and ({positional}) * {100 + pct}L >= {needed} and ({suffix}) * {100 + pct}L >= {needed}"
 
 
+def with_any_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of texts whose doc_id may be among ids: all of those that are, and few others, without a shuffle of texts."""
+
+    def bit(of: str) -> Column:
+        return F.pmod(F.xxhash64(of), F.lit(BITMAP_BITS)) + 1
+
+    maps = ids.select(bit("id").alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("_map"))
+    at = F.bitmap_bit_position(bit("doc_id"))
+    octet = F.conv(F.hex(F.substring("_map", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    found = texts.join(F.broadcast(maps), F.bitmap_bucket_number(bit("doc_id")) == F.col("_bucket"))  # BITMAP_BITS at most
+    return found.where(F.getbit(octet, (at % 8).cast("int")) == 1).select(texts.columns)
+
+
 def ngram_join(docs: DataFrame, words: int = 5, pct: int = 80, id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = 22) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) for each row."""
     spark = docs.sparkSession
@@ -208,32 +225,42 @@ def ngram_join(docs: DataFrame, words: int = 5, pct: int = 80, id_col: str = "do
     with Scratch(spark, "ngram-join") as scratch:
         counts = spark.sparkContext.broadcast(ngram_counts(texts, words, sketch_bits))
         reduced = scratch.table(texts.mapInArrow(_reduce(words, pct, sketch_bits, counts), _REDUCED), "reduced")
-        facts = [*_SIGNS, "common", "prefix"]
+        facts = ["common", "parity", "prefix"]
         reps = reduced.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in facts))
         reps = scratch.table(reps, "reps")
 
         prefixes = reps.where("id is not null").select("id", F.posexplode("prefix").alias("pos", "token"))
-        shared_tokens = prefixes.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("token")
-        at = prefixes.join(scratch.table(shared_tokens, "shared"), "token", "left_semi").groupBy("id").agg(F.collect_list("pos").alias("at"))
-        entries = reps.join(at, "id").select("id", "n", "common", *_SIGNS, "prefix", "at").mapInArrow(_entries, _ENTRIES)
+        held = scratch.table(prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1").select("token"), "held")
+        at = prefixes.join(held, "token", "left_semi").groupBy("id").agg(F.collect_list("pos").alias("at"))
+        entries = reps.join(at, "id").select("id", "n", *facts, "at").mapInArrow(_entries, _ENTRIES)
         entries = scratch.table(entries, "entries")
-        met = ["id", "n", "pos", *_BEFORE, *_SIGNS]
         pivots = entries.groupBy("token").agg(
-            F.max(F.struct("common", (-F.col("id")).alias("order"), *met)).alias("p1"),
-            F.min(F.struct(*met)).alias("p2"),
-            F.min(F.struct(F.xxhash64("id", "token").alias("order"), *met)).alias("p3"),
+            F.max(F.struct("common", (-F.col("id")).alias("id")))["id"].alias("p1"), F.min("id").alias("p2"), F.min(F.struct(F.xxhash64("id", "token").alias("order"), "id"))["id"].alias("p3")
         )
-        pivots = scratch.table(pivots.select("token", F.array(*(F.struct(*(f"{p}.{c}" for c in met)) for p in ("p1", "p2", "p3"))).alias("pivots")), "pivots")
-        picked = scratch.table(texts.join(entries.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "picked")
+        pivots = scratch.table(pivots.select("token", (-F.col("p1")).alias("p1"), "p2", "p3"), "pivot-ids")
+        met = ["id", "n", "pos", *_BEFORE, *_SIGNS]
+        pivots = entries.join(pivots, "token").where("id in (p1, p2, p3)").select("token", *(F.col(c).alias(f"p_{c}") for c in met))
+        pivots = scratch.table(pivots, "pivots")
+
+        def close_pairs(pairs: DataFrame, name: str) -> DataFrame:
+            """Of pairs (a, b), each once, those that all parity bits leave possible."""
+            sides = [reps.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("parity").alias(f"parity_{s}")) for s in "ab"]
+            differ = "aggregate(zip_with(parity_a, parity_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+            possible = f"((n_a + n_b - {differ}) div 2) * {100 + pct}L >= {pct}L * (n_a + n_b)"
+            return scratch.table(pairs.join(sides[0], "a").join(sides[1], "b").where(possible).select("a", "b"), name)
 
         def verified(pairs: DataFrame, name: str) -> DataFrame:
+            ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+            picked = scratch.table(with_any_of(texts, ids), f"texts-of-{name}")
             with_b = pairs.join(picked.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
             with_a = with_b.join(picked.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-            return scratch.table(with_a.select("a", "b", "text_a", "text_b").mapInArrow(_verify(words, pct), "a long, b long"), name)
+            links = scratch.table(with_a.select("a", "b", "text_a", "text_b").mapInArrow(_verify(words, pct), "a long, b long"), name)
+            scratch.drop(f"texts-of-{name}")
+            return links
 
-        near = F.explode(F.expr(f"transform(filter(pivots, p -> p.id != id and {_close(pct, 'p.', '')}), p -> p.id)")).alias("pivot")
-        stars = entries.join(pivots, "token").select("id", near).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        stars = scratch.table(stars, "stars")
+        met_pairs = entries.join(pivots, "token").where(f"id != p_id and {_close(pct, 'p_', '')}").select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b"))
+        stars = close_pairs(met_pairs.distinct(), "stars")
+        scratch.drop("pivots")
         groups = components(verified(stars, "links"), scratch, "groups")
 
         placed = entries.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -244,7 +271,7 @@ def ngram_join(docs: DataFrame, words: int = 5, pct: int = 80, id_col: str = "do
         strays = a.where("a_component != main").drop("main")
         condition = f"a_component != b_component and (b_component = main or a_id < b_id) and {_close(pct, 'a_', 'b_')}"
         pairs = strays.join(b, (strays["token"] == b["token"]) & F.expr(condition)).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
-        pairs = scratch.table(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
+        pairs = close_pairs(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
         final = groups
         if not pairs.isEmpty() and not (more := verified(pairs, "more-links")).isEmpty():
             joined = more.join(groups.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(groups.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
