@@ -25,6 +25,7 @@ import hashlib
 import json
 import os
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +45,8 @@ _LATIN_PIECES = re.compile(
 )
 _BEYOND_LATIN = re.compile("[^\\x00-ɏ]")
 MEMO = 1 << 19
+#: Longer pre-tokens are not remembered.
+MEMO_CHARS = 64
 #: A piece's end can depend on this many characters after it (a contraction has three).
 LOOKAHEAD = 3
 
@@ -94,9 +97,12 @@ class Codec:
             if len(memo) + len(missing) > MEMO:
                 memo.clear()
                 missing = list(set(pieces))
+            long = {}
             for p, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-                memo[p] = np.array(e.ids, "<u4").tobytes()
-        out = [memo[p] for p in pieces]
+                (memo if len(p) <= MEMO_CHARS else long)[p] = np.array(e.ids, "<u4").tobytes()
+            out = [long[p] if p in long else memo[p] for p in pieces]
+        else:
+            out = [memo[p] for p in pieces]
         if len(memo) > MEMO:
             memo.clear()
         return out
@@ -110,6 +116,13 @@ class Codec:
             return self._plain(text).astype("<u4").tobytes()
         return b"".join(self._piece_ids(_LATIN_PIECES.findall(text)))
 
+    def count(self, text: str) -> int:
+        """How many ids encode(text) has; each distinct pre-token is looked up once."""
+        if _BEYOND_LATIN.search(text) or (self.split_special is not None and any(s in text for s in self.special)):
+            return len(self.encode(text)) // 4
+        counts = Counter(_LATIN_PIECES.findall(text))
+        return sum(len(ids) * n for ids, n in zip(self._piece_ids(list(counts)), counts.values(), strict=True)) // 4
+
     def decode(self, ids: bytes) -> str:
         """As the library does, with special tokens kept; bytes that are no text become U+FFFD."""
         table = self.bytes

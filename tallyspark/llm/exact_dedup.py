@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, shared_dir
+from .common import Scratch, documents, remove, shared_dir
 
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -29,10 +29,15 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 class DigestIndex:
-    """A bucketed, sorted table (text_sha256, keep_id) at a path that all executors share."""
+    """A bucketed, sorted table (text_sha256, keep_id) at a path that all executors share.
+
+    A path that an earlier session filled is used as it is. ``close`` forgets the table's name;
+    the files at a path that was given stay for the next session.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 64):
         self.spark, self.buckets = spark, buckets
+        self.own = path is None
         self.path = path or f"{shared_dir(spark)}/digest-index-{uuid.uuid4().hex}"
         self.name = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
@@ -44,6 +49,11 @@ class DigestIndex:
         self.spark.catalog.refreshTable(self.name)
         return self.spark.table(self.name)
 
+    def close(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        if self.own:
+            remove(self.spark, self.path)
+
     def dedup(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Append the new digests of a batch and return a decision for each of its rows.
 
@@ -71,4 +81,8 @@ class DigestIndex:
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Decisions for one table against an index that begins empty."""
-    return DigestIndex(docs.sparkSession).dedup(docs, id_col, text_col)
+    index = DigestIndex(docs.sparkSession)
+    try:
+        return index.dedup(docs, id_col, text_col)
+    finally:
+        index.close()

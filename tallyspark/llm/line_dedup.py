@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents
+from .common import Scratch, bounded_batches, documents
 
 _BLANKS = b" \t\n\x0b\x0c\r"
 _ABSENT = -(2**63)
@@ -114,27 +114,34 @@ def read_bitmap(bitmap: bytes | None, n_lines: int) -> np.ndarray:
 def keep_bitmaps(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """doc_id, bitmap for each document that loses a line."""
     rows = documents(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(_ABSENT)))
-    hashed = rows.mapInArrow(_hash_lines(min_chars), "h1 long, h2 long, doc_id long, pos int")
     order = ["h1", "h2", "doc_id", "pos"]
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    streamed = hashed.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_stream, "h1 long, h2 long, doc_id long, pos int, state int")
     with Scratch(docs.sparkSession, "line-dedup") as own:
+        # written, so that the sampling for the ranges does not hash all lines a second time
+        hashed = own.table(rows.mapInArrow(_hash_lines(min_chars), "h1 long, h2 long, doc_id long, pos int"), "hashed")
+        streamed = hashed.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_stream, "h1 long, h2 long, doc_id long, pos int, state int")
         streamed = own.table(streamed, "streamed")
         edges = streamed.where("state > 0")
         firsts = edges.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
         settled = edges.where("state = 1").join(firsts.hint("merge"), ["h1", "h2"]).where("doc_id != first")
         drops = streamed.where("state = 0").select("doc_id", "pos").unionByName(settled.select("doc_id", "pos"))
 
-        packed = drops.groupBy("doc_id").agg(F.collect_list("pos").alias("positions")).mapInPandas(
+        packed = drops.groupBy("doc_id").agg(F.collect_set("pos").alias("positions")).mapInPandas(
             lambda parts: (part.assign(bitmap=[_bitmap(np.asarray(p)) for p in part["positions"]])[["doc_id", "bitmap"]] for part in parts), "doc_id long, bitmap binary"
         )
         return (scratch or own).keep(packed, "bitmaps")
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with ``_bitmap``; texts move once, by id."""
-    keyed = bitmaps.select(F.col("doc_id").alias("_id"), F.col("bitmap").alias("_bitmap"))
-    return docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(_ABSENT))).join(keyed.hint("merge"), "_id", "left").drop("_id")
+    """The rows of docs with ``_bitmap``; texts move once, by id.
+
+    Rows without an id lose no lines; they are spread by their texts and meet no bitmap.
+    """
+    bounded_batches(docs.sparkSession)
+    keyed = bitmaps.select(F.col("doc_id").alias("_id"), F.lit(True).alias("_has_id"), F.col("bitmap").alias("_bitmap"))
+    own_id = F.col(id_col).cast("long")
+    rows = docs.withColumns({"_id": F.coalesce(own_id, F.xxhash64(text_col)), "_has_id": own_id.isNotNull()})
+    return rows.join(keyed.hint("merge"), ["_id", "_has_id"], "left").drop("_id", "_has_id")
 
 
 def kept_text(text: str, bitmap: bytes | None) -> str:

@@ -229,8 +229,10 @@ def ngram_join(docs: DataFrame, words: int = 5, pct: int = 80, id_col: str = "do
         reps = reduced.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in facts))
         reps = scratch.table(reps, "reps")
 
-        prefixes = reps.where("id is not null").select("id", F.posexplode("prefix").alias("pos", "token"))
-        held = scratch.table(prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1").select("token"), "held")
+        prefixes = reps.where("id is not null").select("id", "n", F.posexplode("prefix").alias("pos", "token"))
+        holders = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("holders"), F.min("n").alias("least"), F.max("n").alias("most"))
+        held = holders.where(f"holders > 2 or (holders = 2 and 100L * least >= {pct}L * most)")  # two holders must pass the length filter
+        held = scratch.table(held.select("token"), "held")
         at = prefixes.join(held, "token", "left_semi").groupBy("id").agg(F.collect_list("pos").alias("at"))
         entries = reps.join(at, "id").select("id", "n", *facts, "at").mapInArrow(_entries, _ENTRIES)
         entries = scratch.table(entries, "entries")
@@ -263,10 +265,12 @@ def ngram_join(docs: DataFrame, words: int = 5, pct: int = 80, id_col: str = "do
         scratch.drop("pivots")
         groups = components(verified(stars, "links"), scratch, "groups")
 
-        placed = entries.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        placed = scratch.table(placed, "placed")
-        parts = placed.groupBy("token", "component").agg(F.count("*").alias("size")).groupBy("token").agg(F.max(F.struct("size", "component"))["component"].alias("main"), F.count("*").alias("parts"))
-        across = scratch.table(placed.join(scratch.table(parts.where("parts > 1").select("token", "main"), "split"), "token"), "across")
+        def with_component(rows: DataFrame) -> DataFrame:
+            return rows.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+        parts = with_component(entries.select("token", "id")).groupBy("token", "component").agg(F.count("*").alias("size")).groupBy("token").agg(F.max(F.struct("size", "component"))["component"].alias("main"), F.count("*").alias("parts"))
+        split = scratch.table(parts.where("parts > 1").select("token", "main"), "split")
+        across = scratch.table(with_component(entries.drop("common").join(split, "token")), "across")
         a, b = (across.select("token", "main", *(F.col(c).alias(f"{s}_{c}") for c in [*met, "component"])) for s in "ab")
         strays = a.where("a_component != main").drop("main")
         condition = f"a_component != b_component and (b_component = main or a_id < b_id) and {_close(pct, 'a_', 'b_')}"

@@ -1,14 +1,18 @@
 """Conflict-constrained best-fit packing of documents into bins of a fixed token capacity.
 
-Documents are cut into pieces of at most ``capacity`` tokens; whole-capacity pieces are bins of their
-own. The rest is dealt by a hash of its id into shards of about ``shard_pieces`` pieces, which are
-packed independently: the number of tasks grows with the input, a task's memory does not, and each
-shard can leave only a few bins half empty. Inside a shard, pieces come by descending size and bins
+Sizes are tokens of a public vocabulary. Documents are cut into pieces of at most ``capacity`` tokens;
+whole-capacity pieces are bins of their own. The rest is dealt by a hash into shards of about
+``shard_pieces`` pieces (a parameter: there are more shards as the input grows, so a document's bin
+depends on what else is packed), which are packed independently: the number of tasks grows with the
+input, a task's memory does not, and each shard can leave only a few bins half empty. Inside a shard, pieces come by descending size and bins
 are kept in the order of their residual. Each bin carries two bitmaps: the duplicate clusters that
 it holds, and the sources that have reached ``per_source`` pieces in it. The search begins at the
 smallest residual that fits (the successor of the size) and goes on to larger ones until a bin
 conflicts in neither bitmap: that is the tightest compatible bin. If there is none, a bin is opened.
 
+``best_fit_packing`` says where each piece goes; ``pack_tokens`` returns the bins themselves, as token
+ids with the pieces that they hold.
+
 Defined cases: a null or empty text has one piece of size 0, which takes part like any other; a null
 source is a source of its own; two pieces of one document may not share a bin with each other's
 cluster either; equal rows are documents of one cluster; rows without a doc_id are packed too. An
@@ -19,15 +23,17 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .bpe import codec
+from .common import Scratch, bounded_batches
 from .exact_dedup import BLANKS
 
-_PACKED = "doc_id long, piece int, start long, size int, bin string, bin_offset int"
+_PACKED = "row long, doc_id long, piece int, start long, size int, bin string, bin_offset int"
 
 
 class Bins:
@@ -82,8 +88,8 @@ class Bins:
 
 
 def pack_shard(rows: pd.DataFrame, capacity: int, per_source: int) -> pd.DataFrame:
-    """rows: shard, doc_id, piece, start, size, source, cluster."""
-    rows = rows.sort_values(["size", "cluster", "doc_id", "piece", "start"], ascending=[False, True, True, True, True], kind="stable")
+    """rows: shard, row, doc_id, piece, start, size, source, cluster."""
+    rows = rows.sort_values(["size", "cluster", "doc_id", "piece", "start", "row"], ascending=[False, True, True, True, True, True], kind="stable")
     repeated = rows["cluster"].duplicated(keep=False)
     clusters = pd.factorize(rows["cluster"].where(repeated))[0]
     sources = pd.factorize(rows["source"])[0]
@@ -91,35 +97,72 @@ def pack_shard(rows: pd.DataFrame, capacity: int, per_source: int) -> pd.DataFra
     placed = [bins.add(n, int(c), int(s)) for n, c, s in zip(rows["size"].tolist(), clusters, sources, strict=True)]
     shard = rows["shard"].iloc[0]
     return pd.DataFrame(
-        {"doc_id": rows["doc_id"].astype("Int64"), "piece": rows["piece"], "start": rows["start"], "size": rows["size"], "bin": [f"{shard}-{b}" for b, _ in placed], "bin_offset": [o for _, o in placed]}
+        {"row": rows["row"], "doc_id": rows["doc_id"].astype("Int64"), "piece": rows["piece"], "start": rows["start"], "size": rows["size"], "bin": [f"{shard}-{b}" for b, _ in placed], "bin_offset": [o for _, o in placed]}
     )
 
 
+def _placed(sized: DataFrame, capacity: int, per_source: int, shard_pieces: int) -> DataFrame:
+    """sized: row, doc_id, n, source, cluster, a written table; gives rows of _PACKED."""
+    cut = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / capacity).cast("int") - 1))
+    pieces = sized.select("*", F.explode(cut).alias("piece")).withColumn("start", F.col("piece").cast("long") * capacity)
+    pieces = pieces.withColumn("size", F.least(F.lit(capacity), F.col("n") - F.col("start")).cast("int"))
+    alone = F.concat(F.lit("full-"), F.col("row").cast("string"), F.lit("-"), F.col("piece").cast("string"))
+    full = pieces.where(F.col("size") == capacity).select("row", "doc_id", "piece", "start", "size", alone.alias("bin"), F.lit(0).alias("bin_offset"))
+    shards = max(1, -(-sized.count() // shard_pieces))
+    shard = F.pmod(F.xxhash64("doc_id", "cluster", "piece", "row"), F.lit(shards)).cast("int").alias("shard")
+    dealt = pieces.where(F.col("size") < capacity).select(shard, "row", "doc_id", "piece", "start", "size", "source", "cluster")
+    return dealt.groupBy("shard").applyInPandas(lambda part: pack_shard(part, capacity, per_source), _PACKED).unionByName(full)
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str | None, cluster: Column | None) -> DataFrame:
+    """row, doc_id, text, source, cluster."""
+    bounded_batches(docs.sparkSession)
+    cluster = F.xxhash64(F.regexp_replace("text", BLANKS, " ")) if cluster is None else cluster
+    source = F.coalesce(F.col(source_col).cast("string"), F.lit("")) if source_col else F.lit("")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), source.alias("source"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "source", cluster.alias("cluster"))
+
+
 def best_fit_packing(
-    docs: DataFrame, capacity: int = 8192, per_source: int = 4, shard_pieces: int = 10_000, size: Column | None = None, source_col: str | None = "source",
+    docs: DataFrame, vocabulary: str, capacity: int = 8192, per_source: int = 4, shard_pieces: int = 10_000, source_col: str | None = "source",
     cluster: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """doc_id, piece, start, size, bin, bin_offset: where each piece of each document goes.
+    """doc_id, piece, start, size, bin, bin_offset, in tokens: where each piece of each document goes.
 
-    size: tokens of a text, by default one for each four UTF-8 bytes begun; cluster: documents with
-    one value never share a bin, by default the digest of the text with runs of blanks as one.
+    cluster: documents with one value never share a bin, by default the digest of the text with runs of
+    blanks as one, so exact copies; near copies are kept apart by passing their component instead.
     """
-    spark = docs.sparkSession
-    size = F.ceil(F.octet_length("text") / 4) if size is None else size
-    cluster = F.xxhash64(F.regexp_replace("text", BLANKS, " ")) if cluster is None else cluster
-    source = F.coalesce(F.col(source_col).cast("string"), F.lit("")) if source_col else F.lit("")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), source.alias("source"))
-    sized = rows.select("doc_id", size.cast("long").alias("n"), "source", cluster.alias("cluster"))
-    with Scratch(spark, "packing") as scratch:
-        sized = scratch.table(sized, "sized")
-        cut = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / capacity).cast("int") - 1))
-        pieces = sized.select("*", F.explode(cut).alias("piece")).withColumn("start", F.col("piece").cast("long") * capacity)
-        pieces = pieces.withColumn("size", F.least(F.lit(capacity), F.col("n") - F.col("start")).cast("int"))
-        full = pieces.where(F.col("size") == capacity)
-        alone = F.concat(F.lit("full-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("-"), F.monotonically_increasing_id().cast("string"))
-        full = full.select("doc_id", "piece", "start", "size", alone.alias("bin"), F.lit(0).alias("bin_offset"))
-        rest = pieces.where(F.col("size") < capacity)
-        shards = max(1, -(-sized.count() // shard_pieces))
-        dealt = rest.select(F.pmod(F.xxhash64("doc_id", "cluster", "piece"), F.lit(shards)).cast("int").alias("shard"), "doc_id", "piece", "start", "size", "source", "cluster")
-        packed = dealt.groupBy("shard").applyInPandas(lambda part: pack_shard(part, capacity, per_source), _PACKED)
-        return scratch.keep(packed.unionByName(full))
+
+    @F.pandas_udf("long")
+    def tokens(texts: pd.Series) -> pd.Series:
+        c = codec(vocabulary)
+        return pd.Series([c.count(t) for t in texts], dtype="int64")
+
+    rows = _rows(docs, id_col, text_col, source_col, cluster)
+    with Scratch(docs.sparkSession, "packing") as scratch:
+        sized = scratch.table(rows.select("row", "doc_id", tokens("text").alias("n"), "source", "cluster"), "sized")
+        return scratch.keep(_placed(sized, capacity, per_source, shard_pieces).drop("row"))
+
+
+def pack_tokens(
+    docs: DataFrame, vocabulary: str, capacity: int = 8192, per_source: int = 4, shard_pieces: int = 10_000, source_col: str | None = "source",
+    cluster: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """bin, n_tokens, ids (little-endian unsigned 32-bit integers), pieces (bin_offset, doc_id, piece, size) for each bin that holds a token."""
+
+    def encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = codec(vocabulary)
+        for part in parts:
+            yield part.assign(doc_id=part["doc_id"].astype("Int64"), ids=[c.encode(t) for t in part["text"]])[["row", "doc_id", "source", "cluster", "ids"]]
+
+    rows = _rows(docs, id_col, text_col, source_col, cluster)
+    with Scratch(docs.sparkSession, "packing") as scratch:
+        encoded = scratch.table(rows.mapInPandas(encode, "row long, doc_id long, source string, cluster long, ids binary"), "encoded")
+        sized = encoded.select("row", "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n"), "source", "cluster")
+        placed = _placed(sized, capacity, per_source, shard_pieces).where("size > 0")
+        part = F.substring("ids", (F.col("start") * 4 + 1).cast("int"), F.col("size") * 4).alias("part")
+        pieces = placed.join(encoded.select("row", "ids"), "row").select("bin", F.struct("bin_offset", "doc_id", "piece", "size", part).alias("one"))
+        bins = pieces.groupBy("bin").agg(F.array_sort(F.collect_list("one")).alias("held"))  # a bin has at most capacity tokens
+        ids = F.aggregate("held", F.lit(b""), lambda out, x: F.concat(out, x["part"]))
+        held = F.transform("held", lambda x: F.struct(x["bin_offset"].alias("bin_offset"), x["doc_id"].alias("doc_id"), x["piece"].alias("piece"), x["size"].alias("size")))
+        return scratch.keep(bins.select("bin", (F.octet_length(ids) / 4).cast("long").alias("n_tokens"), ids.alias("ids"), held.alias("pieces")))

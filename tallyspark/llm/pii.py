@@ -3,16 +3,24 @@
 Base findings (e-mail, IPv4, card and phone) follow fixed patterns, leftmost and non-overlapping for
 each kind, failing matches dropped without another try. The scanners are linear in the text.
 
-The model is a character-level bidirectional LSTM with a linear-chain CRF over B/I/O tags, trained
-in numpy (seeded, a few seconds, on the driver) from labelled spans in generated sentences. Every
-kind has a digit or an @ in it, so only stretches around those are read. They are cut into
-overlapping windows, each window is decoded by Viterbi, and the spans of all windows of a text are
-reconciled globally: of overlapping ones the set with the largest total score stays (weighted
-interval scheduling). A model span counts if it has the kind's form (Luhn for cards, parts up to 255,
-9 to 15 digits) and overlaps no base finding; base findings always stay.
+The model finds what the patterns can't: addresses that are spelled out (``name at host dot org``,
+``name [at] host.org``), addresses with bracketed or spaced dots, card numbers with other separators,
+phone numbers without a plus. It is a character-level bidirectional LSTM with a linear-chain CRF over
+B/I/O tags, trained in numpy (seeded, on the driver) from labelled spans: windows of at most
+``carriers`` documents, those with the smallest hashes, with their base findings and
+planted forms as labels. Only that sample is bounded; every text is scanned whole.
+
+Each such form has a digit, an @ or a spelled-out ``dot`` or ``(at)`` in it, so only stretches around those
+are read. They are cut into overlapping windows and each window is decoded by Viterbi. The tags are
+stitched: each character takes its tag from the window in whose middle it lies, so a span may be longer
+than a window. Spans of the stitched tags and of the single windows are reconciled globally: of
+overlapping ones the set with the largest total score stays (weighted interval scheduling). A model
+span counts if it has the kind's loose form (parts up to 255, Luhn for cards, 9 to 15 digits) and
+overlaps no base finding; base findings always stay.
 
 Defined cases: a null text counts as empty and has no spans; equal rows each give a row; rows without
-a doc_id are scanned too; an empty table gives no rows; other columns are ignored.
+a doc_id are scanned too; an empty table gives no rows (the model is then trained on generated words
+alone); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +34,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import documents
 
@@ -36,7 +45,8 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TRIGGER = re.compile("[0-9@]")
+_BASE_TRIGGER = re.compile("[0-9@]")
+_TRIGGER = re.compile(r"[0-9@]|\bdot\b|[\[({] ?at ?[\])}]|\bat [a-z0-9-]+\.[a-z]", re.IGNORECASE)
 
 Span = tuple[int, int, int]  # kind, start, end
 
@@ -85,13 +95,22 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+# What a model span must look like: the base kinds, spelled out or with other separators.
+_AT = r"(?: ?@ ?| ?[\[({] ?at ?[\])}] ?| at )"
+_DOT = r"(?: ?[\[({] ?(?:dot|\.) ?[\])}] ?| dot |\.)"
 _WELL_FORMED = [
-    re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
-    re.compile(r"[0-9]+(?:\.[0-9]+){3}"),
-    re.compile(r"[0-9](?:[ -]?[0-9])+"),
-    re.compile(r"\+?\(?[0-9][ ().0-9-]+[0-9]"),
+    re.compile(rf"[a-z0-9](?:[a-z0-9_%+-]|{_DOT}(?=[a-z0-9]))*{_AT}[a-z0-9-]+(?:{_DOT}[a-z0-9-]+)+", re.IGNORECASE),
+    re.compile(rf"[0-9]{{1,3}}(?:(?:{_DOT}| \. )[0-9]{{1,3}}){{3}}", re.IGNORECASE),
+    re.compile(r"[0-9](?:[ ./_-]{0,2}[0-9])+"),
+    re.compile(r"\+?(?:\([0-9]{1,5}\)|[0-9]{1,5})(?:[ ./-]{1,2}(?:\([0-9]{1,5}\)|[0-9]{2,5})){2,5}"),
 ]
-_HOLDS = [lambda s: True, _is_ip, _is_card, _is_phone]
+
+
+def _parts_hold(s: str) -> bool:
+    return all(int(p) <= 255 for p in re.findall("[0-9]+", s))
+
+
+_HOLDS = [lambda s: True, _parts_hold, _is_card, _is_phone]
 
 
 def well_formed(kind: int, s: str) -> bool:
@@ -100,17 +119,18 @@ def well_formed(kind: int, s: str) -> bool:
 
 # the model
 
-_SYMBOLS = "@.-+_%() :/,;\n#\"'"
-_OTHER = 4 + len(_SYMBOLS)
+_SYMBOLS = "@.-+_%() :/,;\n#\"'[]{}"
+_OUTSIDE, _OTHER = 27, 28 + len(_SYMBOLS)
 V = _OTHER + 1
-HIDDEN, TAGS, WINDOW, STRIDE = 12, 1 + 2 * len(KINDS), 64, 32
+HIDDEN, TAGS, WINDOW, STRIDE = 20, 1 + 2 * len(KINDS), 64, 32
 
 
 def _classes() -> np.ndarray:
+    """Letters without regard to case are 0 to 25, digits 26, then what lies outside a text and the symbols."""
     table = np.full(128, _OTHER)
     for c in range(128):
-        s = chr(c)
-        table[c] = 0 if s.isdigit() else 1 if s.islower() else 2 if s.isupper() else 4 + _SYMBOLS.index(s) if s in _SYMBOLS else _OTHER
+        s = chr(c).lower()
+        table[c] = ord(s) - 97 if "a" <= s <= "z" else 26 if s.isdigit() else 28 + _SYMBOLS.index(s) if s in _SYMBOLS else _OTHER
     return table
 
 
@@ -118,9 +138,9 @@ _CLASS = _classes()
 
 
 def encode(text: str) -> np.ndarray:
-    """Character classes; 3 is what lies outside a text."""
+    """Character classes; letters beyond ASCII are other characters."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(codes < 128, _CLASS[np.minimum(codes, 127)], 1)
+    return np.where(codes < 128, _CLASS[np.minimum(codes, 127)], _OTHER)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -147,8 +167,9 @@ class Tagger:
 
     def _lstm(self, x: np.ndarray, d: str, keep: bool):
         b, t = x.shape
-        h, c = np.zeros((b, HIDDEN)), np.zeros((b, HIDDEN))
-        states, out = [], np.empty((t, b, HIDDEN))
+        kind = self.p["out"].dtype
+        h, c = np.zeros((b, HIDDEN), kind), np.zeros((b, HIDDEN), kind)
+        states, out = [], np.empty((t, b, HIDDEN), kind)
         for i in range(t):
             z = self.p[f"x{d}"][x[:, i]] + h @ self.p[f"h{d}"] + self.p[f"c{d}"]
             gates = _sigmoid(z[:, : 3 * HIDDEN])
@@ -203,18 +224,19 @@ class Tagger:
         m = self.moves()
         start = np.zeros(TAGS)
         start[2::2] = -30
-        alpha = np.empty_like(e)
-        beta = np.zeros_like(e)
-        alpha[0] = e[0] + start
-        for i in range(1, t):
-            alpha[i] = np.logaddexp.reduce(alpha[i - 1][:, :, None] + m, 1) + e[i]
+        # forward and backward in scaled probabilities; size[i] is what alpha[i] was divided by
+        top = e.max(2, keepdims=True)
+        weight, move = np.exp(e - top), np.exp(m)
+        alpha, beta, size = np.empty_like(e), np.ones_like(e), np.empty((t, b, 1))
+        for i in range(t):
+            alpha[i] = weight[i] * (np.exp(start) if i == 0 else alpha[i - 1] @ move)
+            size[i] = alpha[i].sum(1, keepdims=True)
+            alpha[i] /= size[i]
         for i in range(t - 2, -1, -1):
-            beta[i] = np.logaddexp.reduce(m + (e[i + 1] + beta[i + 1])[:, None, :], 2)
-        z = np.logaddexp.reduce(alpha[-1], 1)
-        de = np.exp(alpha + beta - z[:, None])
-        dm = np.zeros((TAGS, TAGS))
-        for i in range(1, t):
-            dm += np.exp(alpha[i - 1][:, :, None] + m + (e[i] + beta[i])[:, None, :] - z[:, None, None]).sum(0)
+            beta[i] = (weight[i + 1] * beta[i + 1] / size[i + 1]) @ move.T
+        z = (np.log(size) + top).sum((0, 2))
+        de = alpha * beta
+        dm = move * np.einsum("tbj,tbk->jk", alpha[:-1], weight[1:] * beta[1:] / size[1:])
         rows, yt = np.arange(b), y.T
         gold = start[yt[0]] + e[0][rows, yt[0]]
         for i in range(t):
@@ -246,65 +268,90 @@ class Tagger:
         g[f"x{d}"], g[f"h{d}"], g[f"c{d}"] = gx, gh, gc
 
 
-def labelled_windows(rng: np.random.Generator, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Generated windows with tags: words, kinds of personal data, and numbers that are none."""
+def _word(rng: np.random.Generator, lo: int = 2, hi: int = 9) -> str:
+    return "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(lo, hi)))
+
 
-    def digits(k: int) -> str:
-        return "".join(map(str, rng.integers(0, 10, k)))
+def _digits_of(rng: np.random.Generator, k: int) -> str:
+    return "".join(map(str, rng.integers(0, 10, k)))
 
-    def word(lo: int = 1, hi: int = 9) -> str:
-        w = "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(lo, hi)))
-        return w.capitalize() if rng.random() < 0.15 else w.upper() if rng.random() < 0.05 else w
 
-    def email() -> str:
-        sep = rng.choice([".", "_", "-", "+", ""])
-        return f"{word(2, 9)}{sep}{rng.choice([word(1, 7), digits(2)])}@{word(2, 8)}{rng.choice(['', digits(1)])}.{rng.choice(['', word(2, 6) + '.'])}{word(2, 4)}"
+def _luhn_digits(rng: np.random.Generator, k: int) -> str:
+    d = _digits_of(rng, k - 1)
+    return next(d + str(c) for c in range(10) if luhn(d + str(c)))
 
-    def ip() -> str:
-        return ".".join(map(str, rng.integers(0, 256, 4)))
 
-    def card() -> str:
-        d = digits(int(rng.choice([13, 15, 16, 16, 16, 19])))
-        sep = rng.choice(["", "", " ", "-"])
-        return sep.join(d[i : i + 4] for i in range(0, len(d), 4)) if sep else d
+def planted(rng: np.random.Generator, kind: int) -> str:
+    """A form of the kind, mostly one that no base pattern finds."""
+    pick = lambda *x: str(rng.choice(x))
+    spaced = pick("", " ")
+    if kind == 0:
+        at = pick("@", " at ", " AT ", *(f"{spaced}{o}at{c}{spaced}" for o, c in ("[]", "()", "{}")))
+        dot = pick(".", " dot ", " DOT ", *(f"{spaced}{o}dot{c}{spaced}" for o, c in ("[]", "()", "{}"))) if at != "@" or rng.random() < 0.7 else "."
+        local = _word(rng) + pick("", "", dot + _word(rng, 1), pick("_", "-", "+") + _word(rng, 1), _digits_of(rng, 2))
+        return local + at + dot.join([_word(rng, 2, 10), *([_word(rng, 2, 6)] if rng.random() < 0.2 else []), pick("com", "org", "net", "de", "fr", "es", "co", "io", _word(rng, 2, 5))])
+    if kind == 1:
+        return pick("[.]", "(.)", " . ", "[dot]", " dot ", ".").join(map(str, rng.integers(0, 256, 4)))
+    if kind == 2:
+        d, sep = _luhn_digits(rng, int(rng.choice([13, 15, 16, 16, 16, 19]))), pick("  ", ".", "_", "/", " - ", " ")
+        sep = sep if sep != " - " else "- "
+        return sep.join(d[i : i + 4] for i in range(0, len(d), 4))
+    sep, area = pick(" ", "-", ".", "/"), _digits_of(rng, int(rng.integers(3, 5)))
+    head = pick("", "", "", "+" + _digits_of(rng, 2) + " ", "1" + sep)
+    return head + pick(f"({area}) ", f"({area})" + sep, area + sep) + sep.join([_digits_of(rng, 3), _digits_of(rng, 4)])
 
-    def phone() -> str:
-        sep = rng.choice([" ", "-", "."])
-        area = rng.choice([f"({digits(3)}) ", digits(3) + sep])
-        return f"{rng.choice(['+' + digits(1) + ' ', '+' + digits(2) + ' ', '+' + digits(1), ''], p=[0.5, 0.25, 0.1, 0.15])}{area}{digits(3)}{sep}{digits(4)}"
 
-    def decoy() -> str:
-        return str(
-            rng.choice(
-                [digits(int(rng.integers(1, 9))), f"20{digits(2)}-{digits(2)}-{digits(2)}", f"{digits(2)}:{digits(2)}", f"{digits(1)},{digits(3)}.{digits(2)}", f"{digits(1)}.{digits(1)}.{digits(1)}", f"@{word()}", f"{word()}@", "".join(rng.choice(list("0123456789abcdef"), 20)), f"{word()}{digits(2)}"]
-            )
-        )
+def decoy(rng: np.random.Generator) -> str:
+    """Numbers and words near the kinds that are none of them."""
+    d = lambda k: _digits_of(rng, k)
+    forms = [
+        d(int(rng.integers(1, 9))), d(int(rng.integers(9, 20))), f"20{d(2)}-{d(2)}-{d(2)}", f"20{d(2)}-{d(2)}-{d(2)} {d(2)}:{d(2)}:{d(2)}", f"{d(2)}/{d(2)}/20{d(2)}", f"{d(2)}.{d(2)}.19{d(2)}", f"{d(2)}:{d(2)}",
+        f"{d(1)},{d(3)}.{d(2)}", f"{d(1)},{d(3)},{d(3)}", f"{d(1)}.{d(1)}.{d(1)}", f"{d(1)}.{d(2)}", f"{d(2)}-{d(2)}", f"978-{d(1)}-{d(2)}-{d(6)}-{d(1)}", f"{d(4)}-{d(4)}", f"({d(4)})", f"[{d(1)}]", f"{d(2)} {d(3)}", f"v{d(1)}.{d(2)}.{d(1)}-{d(3)}",
+        f"@{_word(rng)}", f"{_word(rng)}@", f"{_word(rng)} at {_word(rng)}", f"{_word(rng)} dot {_word(rng)}", f"the dot at {_word(rng)}", f"{_word(rng)} at {d(2)}.{d(2)}", "".join(rng.choice(list("0123456789abcdef"), 20)), f"{_word(rng)}{d(2)}", f"{_word(rng)}.{_word(rng)}", f"{d(3)} {_word(rng)} {d(3)}",
+    ]
+    return str(rng.choice(forms))
 
-    make = [email, ip, card, phone]
-    xs, ys = np.full((n, WINDOW), 3), np.zeros((n, WINDOW), np.int64)
+
+def labelled_windows(rng: np.random.Generator, n: int, carriers: tuple[str, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of carriers (or of generated words) with planted forms and decoys, and their tags."""
+    xs, ys = np.full((n, WINDOW), _OUTSIDE), np.zeros((n, WINDOW), np.int64)
     for r in range(n):
-        text, tags = "", []
-        while len(text) < WINDOW * 2:
-            u = rng.random()
-            piece, kind = (word(), -1) if u < 0.72 else (decoy(), -1) if u < 0.82 else (None, int(rng.integers(0, 4)))
-            piece = make[kind]() if piece is None else piece
-            tags += [0] * len(piece) if kind < 0 else [1 + 2 * kind] + [2 + 2 * kind] * (len(piece) - 1)
-            after = str(rng.choice([" ", " ", " ", ", ", ". ", "\n", "### ", '" ', "; ", ": "]))
-            tags += [0] * len(after)
-            text += piece + after
-        at = int(rng.integers(0, WINDOW))
-        x, y = encode(text)[at : at + WINDOW], np.array(tags[at : at + WINDOW])
-        if y[0] >= 2 and y[0] % 2 == 0:
+        if carriers and rng.random() < 0.7:
+            carrier = carriers[int(rng.integers(0, len(carriers)))]
+            at = int(rng.integers(0, max(1, len(carrier) - 4 * WINDOW)))
+            words = re.split("(?<= )", carrier[at : at + 4 * WINDOW])
+        else:
+            words = [w + str(rng.choice([" ", " ", " ", ", ", ". ", "\n", ": "])) for w in (_word(rng, 1, 10) for _ in range(24))]
+        text, spans = "", []
+        for i, w in enumerate(words):
+            if i and i % int(rng.integers(4, 9)) == 0:
+                kind = int(rng.integers(-2, len(KINDS)))
+                piece = decoy(rng) if kind < 0 else planted(rng, kind)
+                spans += [] if kind < 0 else [(kind, len(text), len(text) + len(piece))]
+                text += piece + str(rng.choice([" ", " ", ", ", ". ", "\n", "; ", ") "]))
+            text += w
+        taken = np.zeros(len(text) + 1, bool)
+        for _, a, b in spans:
+            taken[a:b] = True
+        spans += [s for s in base_spans(text) if not taken[s[1] : s[2]].any()]
+        tags = np.zeros(len(text), np.int64)
+        for k, a, b in sorted(spans, key=lambda s: s[1]):
+            if not tags[a:b].any():
+                tags[a:b] = 2 + 2 * k
+                tags[a] = 1 + 2 * k
+        at = int(rng.integers(0, max(1, len(text) - WINDOW)))
+        x, y = encode(text)[at : at + WINDOW], tags[at : at + WINDOW]
+        if len(y) and y[0] >= 2 and y[0] % 2 == 0:
             y[0] -= 1
         xs[r, : len(x)], ys[r, : len(y)] = x, y
     return xs, ys
 
 
 @lru_cache(maxsize=2)
-def train(windows: int = 2000, epochs: int = 8, seed: int = 7, batch: int = 50, rate: float = 0.02) -> Tagger:
-    """Adam on generated windows; the same seed gives the same model."""
+def train(carriers: tuple[str, ...] = (), windows: int = 2400, epochs: int = 10, seed: int = 7, batch: int = 60, rate: float = 0.02) -> Tagger:
+    """Adam on labelled windows; the same carriers and seed give the same model."""
     rng = np.random.default_rng(seed)
-    xs, ys = labelled_windows(rng, windows)
+    xs, ys = labelled_windows(rng, windows, carriers)
     model = Tagger.fresh(rng)
     first, second = ({k: np.zeros_like(v) for k, v in model.p.items()} for _ in range(2))
     step = 0
@@ -319,28 +366,28 @@ def train(windows: int = 2000, epochs: int = 8, seed: int = 7, batch: int = 50,
                 v = v * min(1.0, 5 / (norm + 1e-9))
                 first[k] = 0.9 * first[k] + 0.1 * v
                 second[k] = 0.99 * second[k] + 0.01 * v * v
-                lr = rate * 0.5 ** (epoch / 3)
+                lr = rate * 0.5 ** (epoch / 4)
                 model.p[k] -= lr * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
     return model
 
 
-def _windows(text: str) -> list[tuple[int, int]]:
-    """Start and end of the windows over the stretches with a digit or an @; no stretch without one is read."""
+def _stretches(text: str) -> list[tuple[int, int]]:
+    """The parts of a text that are read: around each trigger."""
     out: list[tuple[int, int]] = []
-    lo = hi = None
     for m in _TRIGGER.finditer(text):
         a, b = max(0, m.start() - STRIDE), min(len(text), m.end() + STRIDE)
-        if hi is not None and a <= hi:
-            hi = b
-            continue
-        if hi is not None:
-            out += [(s, min(hi, s + WINDOW)) for s in range(lo, max(lo + 1, hi - STRIDE), STRIDE)]
-        lo, hi = a, b
-    if hi is not None:
-        out += [(s, min(hi, s + WINDOW)) for s in range(lo, max(lo + 1, hi - STRIDE), STRIDE)]
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
     return out
 
 
+def _windows(lo: int, hi: int) -> list[tuple[int, int]]:
+    """Overlapping windows over a stretch."""
+    return [(s, min(hi, s + WINDOW)) for s in range(lo, max(lo + 1, hi - STRIDE), STRIDE)]
+
+
 def reconcile(found: list[tuple[float, Span]]) -> list[Span]:
     """The set of non-overlapping spans with the largest total score."""
     best: dict[Span, float] = {}
@@ -363,28 +410,47 @@ def reconcile(found: list[tuple[float, Span]]) -> list[Span]:
     return out[::-1]
 
 
+def tagged_spans(tags: np.ndarray, gain: np.ndarray, at: int) -> list[tuple[float, Span]]:
+    """Scored spans of a tag sequence that begins at ``at``; an inside tag after another kind begins a span."""
+    kind = (tags + 1) // 2
+    begins = (tags > 0) & ((tags % 2 == 1) | (kind != np.concatenate([[0], kind[:-1]])))
+    out = []
+    for p in np.flatnonzero(begins).tolist():
+        q = p + 1
+        while q < len(tags) and tags[q] == 2 * kind[p]:
+            q += 1
+        out.append((float(gain[p:q].sum()), (int(kind[p]) - 1, at + p, at + q)))
+    return out
+
+
 def model_spans(model: Tagger, texts: list[str], batch: int = 512) -> list[list[Span]]:
     """Reconciled well-formed spans of each text."""
-    jobs = [(r, a, b) for r, t in enumerate(texts) for a, b in _windows(t)]
-    codes = {r: encode(texts[r]) for r in {r for r, _, _ in jobs}}
+    stretches = [(r, lo, hi) for r, t in enumerate(texts) for lo, hi in _stretches(t)]
+    jobs = [(i, a, b) for i, (_, lo, hi) in enumerate(stretches) for a, b in _windows(lo, hi)]
+    codes = {r: encode(texts[r]) for r in {r for r, _, _ in stretches}}
     found: list[list[tuple[float, Span]]] = [[] for _ in texts]
+    whole = {}  # tags, gains and how far each character is from its window's edge, by stretch
     for s in range(0, len(jobs), batch):
         part = jobs[s : s + batch]
-        x = np.full((len(part), WINDOW), 3)
-        for i, (r, a, b) in enumerate(part):
-            x[i, : b - a] = codes[r][a:b]
+        x = np.full((len(part), WINDOW), _OUTSIDE)
+        for j, (i, a, b) in enumerate(part):
+            x[j, : b - a] = codes[stretches[i][0]][a:b]
         tags, gain = model.viterbi(x)
-        for i, (r, a, b) in enumerate(part):
-            y = tags[i, : b - a]
-            for p in np.flatnonzero(y % 2 == 1).tolist():
-                kind, q = int(y[p]) // 2, p + 1
-                while q < len(y) and y[q] == y[p] + 1:
-                    q += 1
-                cut = (p == 0 and a > 0) or (q == len(y) and b < len(texts[r]))
-                score = float(gain[i, p:q].sum())
-                if not cut and score > 0 and well_formed(kind, texts[r][a + p : a + q]):
-                    found[r].append((score, (kind, a + p, a + q)))
-    return [reconcile(f) for f in found]
+        for j, (i, a, b) in enumerate(part):
+            r, lo, hi = stretches[i]
+            y, g = tags[j, : b - a], gain[j, : b - a]
+            found[r] += tagged_spans(y, g, a)
+            if i not in whole:
+                whole[i] = np.zeros(hi - lo, np.int64), np.zeros(hi - lo), np.full(hi - lo, -1)
+            here = slice(a - lo, b - lo)
+            depth = np.minimum(np.arange(b - a) if a > lo else WINDOW, np.arange(b - a)[::-1] if b < hi else WINDOW)
+            deeper = depth > whole[i][2][here]
+            for old, new in zip(whole[i], (y, g, depth), strict=True):
+                old[here] = np.where(deeper, new, old[here])
+    for i, (tags, gain, _) in whole.items():
+        found[stretches[i][0]] += tagged_spans(tags, gain, stretches[i][1])
+    good = [[(score, s) for score, s in f if score > 0 and well_formed(s[0], texts[r][s[1] : s[2]])] for r, f in enumerate(found)]
+    return [reconcile(f) for f in good]
 
 
 def _joined(spans: list[Span]) -> str:
@@ -393,7 +459,7 @@ def _joined(spans: list[Span]) -> str:
 
 def find_all(model: Tagger, texts: list[str]) -> list[tuple[list[Span], list[Span]]]:
     """Base spans and added spans of each text."""
-    base = [base_spans(t) if _TRIGGER.search(t) else [] for t in texts]
+    base = [base_spans(t) if _BASE_TRIGGER.search(t) else [] for t in texts]
     out = []
     for b, m in zip(base, model_spans(model, texts), strict=True):
         taken = sorted((s, e) for _, s, e in b)
@@ -403,9 +469,24 @@ def find_all(model: Tagger, texts: list[str]) -> list[tuple[list[Span], list[Spa
     return out
 
 
-def pii_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def unlabelled(text: str) -> bool:
+    """Whether some part has a kind's loose form but is no base finding: its tags are not known."""
+    taken = np.zeros(len(text) + 1, bool)
+    for _, a, b in base_spans(text):
+        taken[a:b] = True
+    return any(_HOLDS[k](m[0]) and not taken[m.start() : m.end()].any() for k, form in enumerate(_WELL_FORMED) for m in form.finditer(text))
+
+
+def carrier_texts(docs: DataFrame, carriers: int) -> tuple[str, ...]:
+    """Texts of 200 to 4,000 characters with the smallest hashes of id and text; they only serve as training windows."""
+    some = docs.where(F.length("text").between(200, 4000)).orderBy(F.xxhash64("doc_id", "text"), "text").limit(carriers)
+    return tuple(r["text"] for r in some.select("text").collect() if not unlabelled(r["text"]))
+
+
+def pii_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carriers: int = 200) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added for each row."""
-    params = {k: v.astype(np.float64) for k, v in train().p.items()}
+    texts = documents(docs, id_col, text_col)
+    params = {k: v.astype(np.float32) for k, v in train(carrier_texts(texts, carriers)).p.items()}
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Tagger(params)
@@ -420,4 +501,4 @@ def pii_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pd.DataFrame(out)
 
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return documents(docs, id_col, text_col).mapInPandas(run, f"doc_id long, {counts}, base_sha256 string, spans string, n_added long")
+    return texts.mapInPandas(run, f"doc_id long, {counts}, base_sha256 string, spans string, n_added long")

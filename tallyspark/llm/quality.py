@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, bounded_batches
 
 _MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _CLASS = np.full(256, 6, np.int64)  # what is beyond ASCII
@@ -98,16 +98,22 @@ def fit_evidence(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labels: int = 20_000) -> Evidence:
-    """Fit on a bounded sample of labelled rows; their features, not their texts, come to the driver."""
+    """Fit on a bounded sample of labelled rows; their features, not their texts, come to the driver.
+
+    The sample has at most max_labels rows of two numbers, so it is broadcast and no text is shuffled.
+    Of rows that repeat an id one counts, whichever has the smallest features.
+    """
+    bounded_batches(docs.sparkSession)
     wanted = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("y")).where("id is not null and y is not null").distinct()
     wanted = wanted.orderBy(F.xxhash64("id"), "id", "y").limit(max_labels)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id").select("id", "text", "y")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(wanted), "id").select("id", "text", "y")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             yield pd.DataFrame({"id": part["id"], "y": part["y"], "x": list(features(part["text"]).astype(np.float32))})
 
-    got = rows.mapInPandas(run, "id long, y double, x array<float>").toPandas().sort_values("id", kind="stable")
+    found = rows.mapInPandas(run, "id long, y double, x array<float>").groupBy("id", "y").agg(F.min("x").alias("x"))
+    got = found.toPandas().sort_values(["id", "y"], kind="stable")
     x = np.array(got["x"].tolist(), np.float64).reshape(-1, N_FEATURES)
     return fit_evidence(x, (got["y"].to_numpy() >= 0.5).astype(float))
 
@@ -148,6 +154,7 @@ def site_rates(scored: DataFrame, rate: float, scratch: Scratch) -> DataFrame:
 
 def _scored(docs: DataFrame, model: Evidence, host: Column, path: Column, text_col: str) -> DataFrame:
     """docs with columns _host, _path and _evidence."""
+    bounded_batches(docs.sparkSession)
     return docs.select("*", F.coalesce(host.cast("string"), F.lit("")).alias("_host"), F.coalesce(path.cast("string"), F.lit("")).alias("_path"), evidence_column(model, F.col(text_col)).alias("_evidence"))
 
 
@@ -173,11 +180,15 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_lab
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_labels: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that the classifier keeps, with all their columns; texts are not shuffled for it."""
+    """The rows of docs that the classifier keeps, with all their columns.
+
+    Evidence is computed once, in a written copy of docs; no text is shuffled unless the rates of all
+    paths are too many for Spark to broadcast.
+    """
     host, path = F.col("source"), F.concat_ws("/", F.col("source"), F.col("lang"))
     model = train(docs, labels, id_col, text_col, max_labels=max_labels)
-    scored = _scored(docs, model, host, path, text_col)
     with Scratch(docs.sparkSession, "quality") as scratch:
+        scored = scratch.keep(_scored(docs, model, host, path, text_col), "scored")
         sites = scored.select(F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_evidence").alias("evidence"))
         rates = scratch.keep(site_rates(sites, model.rate, scratch), "rates")
     return judged(scored, rates, threshold).where("_kept").select(docs.columns)

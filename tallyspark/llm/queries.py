@@ -57,7 +57,9 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit_packing(_table(spark, sf_dir, "documents"), capacity=8192, per_source=4)
+    import public_tokenizers
+
+    return best_fit_packing(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=8192, per_source=4)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,6 +34,8 @@ ENDPOINT = r"""https?://[^\s"'<>]+|(?<![A-Za-z0-9.-])(?:[A-Za-z0-9-]{1,63}\.){1,
 KINDS = ["assign", "access", "hex", "id", "secret", "endpoint"]
 
 _SPAN = "struct<start:int,rank:int,end:int>"
+#: Findings are gathered in groups of so many, so that a text with very many is not copied once for each.
+GROUP = 256
 
 
 def _spans(text: Column, pattern: str, kind: str, has: Column | None = None, keep=None, group: int = 0) -> Column:
@@ -45,7 +47,7 @@ def _spans(text: Column, pattern: str, kind: str, has: Column | None = None, kee
         F.transform(found, lambda x: F.length(x)).alias("size"),
         F.transform(tested, keep if keep is not None else lambda _: F.lit(True)).alias("ok"),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
+    none = F.array().cast(f"array<{_SPAN}>")
 
     def step(state: Column, x: Column) -> Column:
         begin = state["at"] + x["gap"]
@@ -54,8 +56,14 @@ def _spans(text: Column, pattern: str, kind: str, has: Column | None = None, kee
         spans = F.when(F.coalesce(x["ok"], F.lit(False)), F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
         return F.struct(end.alias("at"), spans.alias("spans"))
 
+    def group_step(state: Column, part: Column) -> Column:
+        within = F.aggregate(part, F.struct(state["at"].alias("at"), none.alias("spans")), step)
+        return F.struct(within["at"].alias("at"), F.concat(state["groups"], F.array(within["spans"])).alias("groups"))
+
     some = text.rlike(pattern) if has is None else has & text.rlike(pattern)
-    return F.when(some, F.aggregate(sizes, start, step, lambda s: s["spans"])).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / GROUP).cast("int")), lambda i: F.slice(sizes, i * GROUP + 1, GROUP))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{_SPAN}>>").alias("groups"))
+    return F.when(some, F.aggregate(parts, start, group_step, lambda s: F.flatten(s["groups"]))).otherwise(none)
 
 
 def _joined(spans: Column) -> Column:
@@ -135,13 +143,13 @@ def secret_scan(docs: DataFrame, scope: int = 200, id_col: str = "doc_id", text_
 
 def _masked(text: Column, spans: Column, mask: str) -> Column:
     """The text with each span replaced; spans that overlap are replaced together."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(state: Column, s: Column) -> Column:
-        gap = F.when(s["start"] >= state["at"], F.concat(F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit(mask))).otherwise(F.lit(""))
+        gap = F.when(s["start"] >= state["at"], F.array(F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit(mask))).otherwise(F.array().cast("array<string>"))
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], gap).alias("out"))
 
-    return F.aggregate(F.array_sort(spans), start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    return F.aggregate(F.array_sort(spans), start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
 
 
 def redact_secrets(docs: DataFrame, mask: str = "[SECRET]", scope: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,22 +1,24 @@
-"""Exact top-k inner products over an impact-ordered, block-partitioned index.
+"""Exact top-k inner products by a score-at-a-time, impact-ordered, block-partitioned index.
 
-Vectors are scaled to integers and dealt into blocks of bounded size by a hash of their id. A block's
-components are cut into posting segments by quantised impact (the power of two below their absolute
-value); a segment holds (vector, dimension, value) postings. Queries come in blocks too, and every
-query block meets every vector block: both have a bounded size, so a task's memory does not grow
-with the tables, and only packed blocks are joined.
+Vectors are scaled to integers and dealt into blocks of bounded size by a hash of their row. A block's
+components become posting segments: one for each quantised impact (the power of two below the
+absolute value) and dimension, ordered by descending impact. The stated queries come in blocks too,
+and every block of queries is held against every block of vectors: both have a bounded size, so a
+task's memory does not grow with the tables.
 
 Inside a pair of blocks the segments are processed score-at-a-time, by descending impact, for all
-queries of the block at once. After each segment the rest of a score is bounded by
-``|q| * |rest of v|`` (Cauchy-Schwarz). Processing stops only when that proves, for every query, that
-fewer candidates can still reach its k-th score than are worth another segment; all possible members
-are then rescored exactly. The k best of each pair of blocks are merged by (score, id).
-
-Defined cases: vectors that are null, empty, or hold a null or non-finite component take no part,
-nor do rows without an id; rows that repeat an id count once, with the smallest vector; vectors of
-unequal length are compared as if the shorter one ended in zeros; scaled components saturate at
-+-2**31; ties go to the smaller id; a query with fewer than k candidates gets all of them; an empty
-table gives no rows; other columns are ignored.
+queries of the block that are still open. The work follows the number of postings. After each impact
+level what is left of a score is bounded by ``|q| * |rest of v|`` (Cauchy-Schwarz). A query is closed
+only when that proves that at most ``POSSIBLE * k`` vectors can be among its k best; they are then
+rescored exactly. A query that is never closed has all its postings, and so exact scores. The k best
+of each pair of blocks are merged by (score, id).
+
+Defined cases: vectors that are null or hold a null or non-finite component take no part, nor do
+rows without an id. An empty vector has the score 0 with every other. Each row is a vector of its own,
+also where rows repeat an id: a query leaves out only its own row, and has a result for each of its
+rows. Vectors of unequal length are compared as if the shorter one ended in zeros. A scaled
+component or a score that doesn't fit into 64 bits is an error. Ties go to the smaller id; a query
+with fewer than k candidates gets all of them; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,110 +30,158 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, bounded_batches
 
-VECTORS, QUERIES_A_BLOCK = 8192, 512
-LEVELS = 32
+#: Bounds of a block: rows, and components of all its rows.
+VECTORS, VECTOR_CELLS = 8192, 1 << 20
+QUERIES, QUERY_CELLS = 512, 1 << 17
+#: A query is closed when at most so many times k vectors can be among its best.
+POSSIBLE = 8
+#: Whether to try to close queries after a level is judged by so many of them.
+PROBES = 16
+ROWS_AT_ONCE = 256
 
 
 def scaled_vectors(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id, x: floor(scale * component) as an array of int, one row an id."""
+    """row, vec_id, x: floor(scale * component) as an array of long."""
     v = F.col(vector_col).cast("array<double>")
-    sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & (F.size(v) > 0)
-    limit = float(2**31 - 1)
-    whole = F.transform(v, lambda x: F.least(F.greatest(F.floor(F.least(F.greatest(x * F.lit(float(scale)), F.lit(-limit - 1)), F.lit(limit))), F.lit(-(2**31))), F.lit(2**31 - 1)).cast("int"))
+    sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    fits = lambda x: F.abs(x * F.lit(float(scale))) < F.lit(2.0**63)
+    whole = F.transform(v, lambda x: F.when(fits(x), F.floor(x * F.lit(float(scale)))).otherwise(F.raise_error(F.lit("a scaled component does not fit into 64 bits")).cast("long")))
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).where(sound)
-    return rows.select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("x")).groupBy("vec_id").agg(F.min("x").alias("x"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("vec_id"), whole.alias("x"))
 
 
-def _pack(ids: list[int], rows: list[list[int]]) -> tuple[bytes, bytes, int]:
-    width = max(map(len, rows))
-    out = np.zeros((len(rows), width), "<i4")
+def _matrix(rows: list[list[int]]) -> np.ndarray:
+    out = np.zeros((len(rows), max(map(len, rows), default=0)), np.int64)
     for i, r in enumerate(rows):
         out[i, : len(r)] = r
-    return np.array(ids, "<i8").tobytes(), out.tobytes(), width
+    return out
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a block of queries."""
     for batch in batches:
-        block, ids, rows = (batch.column(i).to_pylist() for i in range(3))
-        packed = [_pack(i, r) for i, r in zip(ids, rows, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array([p[0] for p in packed], pa.binary()), pa.array([p[1] for p in packed], pa.binary()), pa.array([p[2] for p in packed], pa.int32())], ["block", "ids", "x", "width"])
+        for block, keys, ids, x in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            m = _matrix(x)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *(pa.array([v], pa.binary()) for v in (np.array(keys, "<i8").tobytes(), np.array(ids, "<i8").tobytes(), m.astype("<i8").tobytes())), pa.array([m.shape[1]], pa.int32())], ["block", "q_rows", "q_ids", "q_x", "q_width"])
+
+
+def postings(m: np.ndarray) -> dict[str, np.ndarray]:
+    """The segments of a block in the order in which they are processed."""
+    row, dim = np.nonzero(m)
+    value = m[row, dim]
+    level = np.frexp(np.abs(value.astype(np.float64)))[1]
+    order = np.lexsort((row, dim, -level))
+    row, dim, value, level = row[order], dim[order], value[order], level[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (level[1:] != level[:-1]) | (dim[1:] != dim[:-1])
+    begin = np.flatnonzero(new)
+    return {"post_row": row.astype("<i4"), "post_value": value.astype("<i8"), "seg_begin": begin.astype("<i4"), "seg_dim": dim[begin].astype("<i4"), "seg_level": level[begin].astype("<i4")}
+
+
+_INDEX = ["post_row", "post_value", "seg_begin", "seg_dim", "seg_level"]
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a block, its postings ordered by descending impact level."""
+    """One row a block of vectors."""
     for batch in batches:
-        out = []
-        for block, ids, x, width in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            m = np.frombuffer(x, "<i4").reshape(-1, width).astype(np.int64)
-            row, dim = np.nonzero(m)
-            value = m[row, dim]
-            level = np.frexp(np.abs(value).astype(np.float64))[1]
-            order = np.argsort(-level, kind="stable")
-            row, dim, value, level = row[order], dim[order], value[order], level[order]
-            cuts = np.flatnonzero(np.diff(level, prepend=np.inf))
-            out.append((block, ids, width, row.astype("<i4").tobytes(), dim.astype("<i4").tobytes(), value.astype("<i4").tobytes(), cuts.astype("<i4").tobytes()))
-        names = ["block", "ids", "width", "post_row", "post_dim", "post_value", "cuts"]
-        kinds = [pa.int32(), pa.binary(), pa.int32(), *[pa.binary()] * 4]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], names)
-
-
-def best_of_pair(ids: np.ndarray, width: int, row: np.ndarray, dim: np.ndarray, value: np.ndarray, cuts: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """query index, vector index, score of the k best candidates of each query within a block."""
-    n, nq = len(ids), len(q_ids)
+        for block, keys, ids, x in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            m = _matrix(x)
+            index = postings(m)
+            blobs = [np.array(keys, "<i8").tobytes(), np.array(ids, "<i8").tobytes(), *(index[c].tobytes() for c in _INDEX)]
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([m.shape[1]], pa.int32()), *(pa.array([b], pa.binary()) for b in blobs)], ["block", "width", "rows", "ids", *_INDEX])
+
+
+def _exact(q: np.ndarray, v: np.ndarray, most: int) -> np.ndarray:
+    """Inner products of the rows of q and v, pairwise; most bounds their size."""
+    if most < 1 << 63:
+        return np.einsum("ij,ij->i", q, v)
+    whole = [sum(int(a) * int(b) for a, b in zip(x, y, strict=True)) for x, y in zip(q, v, strict=True)]
+    if any(not -(1 << 63) <= s < 1 << 63 for s in whole):
+        raise OverflowError("a score does not fit into 64 bits")
+    return np.array(whole, np.int64)
+
+
+def best_of_pair(rows: np.ndarray, ids: np.ndarray, width: int, index: dict[str, np.ndarray], q_rows: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Query index, vector index and score of the k best candidates of each query, and how many (posting, query) pairs were added up."""
+    n, nq = len(rows), len(q_rows)
     width = max(width, q.shape[1])
     q = np.pad(q, ((0, 0), (0, width - q.shape[1])))
-    most = int(np.abs(value).max(initial=0)) * int(np.abs(q).max(initial=0)) * width
-    kind = np.float32 if most < 1 << 23 else np.float64 if most < 1 << 52 else np.int64
-    qk = q.astype(kind)
-    scores = np.zeros((nq, n), kind)
-    rest = np.bincount(row, value.astype(np.float64) ** 2, minlength=n)
-    q_norm = np.sqrt((q.astype(np.float64) ** 2).sum(1))
-    own = q_ids[:, None] == ids[None, :]
-    bounds = [*cuts.tolist(), len(row)]
-    want = min(k, n)
-    possible = None
-    for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-        segment = np.zeros((n, width), kind)
-        segment[row[a:b], dim[a:b]] = value[a:b]
-        scores += qk @ segment.T
-        rest = np.maximum(rest - np.bincount(row[a:b], value[a:b].astype(np.float64) ** 2, minlength=n), 0)
-        if i + 2 < len(bounds) and n > 4 * k and b > 0.6 * len(row):
-            slack = q_norm[:, None] * np.sqrt(rest)[None, :] + 1e-6
-            low = np.where(own, -np.inf, scores - slack)
-            kth = np.partition(low, n - want, axis=1)[:, n - want]
-            may = (scores + slack >= kth[:, None]) & ~own
-            if may.sum() <= nq * 8 * k:
-                possible = np.nonzero(may)
-                break
-    if possible is None:  # every segment is in: the scores are exact
-        exact = scores
-        kth = np.partition(np.where(own, -np.inf, exact.astype(np.float64)), n - want, axis=1)[:, n - want]
-        who, which = np.nonzero((exact >= kth[:, None]) & ~own)
-        score = exact[who, which].astype(np.int64)
-    else:
-        full = np.zeros((n, width), np.int64)
-        full[row, dim] = value
-        who, which = possible
-        score = np.concatenate([np.einsum("ij,ij->i", q[who[s : s + 65536]], full[which[s : s + 65536]]) for s in range(0, len(who), 65536)] or [np.zeros(0, np.int64)])
+    row, value, dim, level = (index[c] for c in ("post_row", "post_value", "seg_dim", "seg_level"))
+    bounds = [*index["seg_begin"].tolist(), len(row)]
+    most = max(int(value.max(initial=0)), -int(value.min(initial=0))) * max(int(q.max(initial=0)), -int(q.min(initial=0))) * max(1, width)
+    # what is added up in these kinds is exact; beyond 64 bits they are bounds, and all is rescored
+    kind = np.float32 if most < 1 << 23 else np.float64
+    loose = 2.0**-40 * float(most) if most >= 1 << 52 else 0.0
+    scores = np.zeros((n, nq), kind)
+    norms = np.sqrt((q.astype(np.float64) ** 2).sum(1))
+    place = {int(r): i for i, r in enumerate(rows)}
+    own = np.array([place.get(int(r), -1) for r in q_rows])
+    levels = np.unique(level)[::-1]
+    of_level = np.repeat(level, np.diff(bounds))
+    squares = value.astype(np.float64) ** 2
+    rest = np.zeros((len(levels), n))
+    for i in range(len(levels) - 1, 0, -1):
+        rest[i - 1] = rest[i] + np.bincount(row[of_level == levels[i]], squares[of_level == levels[i]], minlength=n)
+    want, added = min(k, n), 0
+    open_q, found = np.arange(nq), []
+
+    def possible(columns: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Which vectors can be among the k best of the open queries in these columns."""
+        slack = (np.sqrt(left)[:, None] * norms[open_q[columns]][None, :]) * 1.00001 + 1 + loose
+        s = scores[:, columns].astype(np.float64)
+        mine = own[open_q[columns]]
+        at = np.flatnonzero(mine >= 0)
+        low, high = s - slack, s + slack
+        low[mine[at], at] = high[mine[at], at] = -np.inf
+        return (high >= np.partition(low, n - want, axis=0)[n - want]) & (high > -np.inf)
+
+    segment = 0
+    for i, lv in enumerate(levels):
+        while segment < len(level) and level[segment] == lv:
+            weights = q[open_q, dim[segment]].astype(kind)
+            for a in range(bounds[segment], bounds[segment + 1], ROWS_AT_ONCE):
+                b = min(a + ROWS_AT_ONCE, bounds[segment + 1])
+                scores[row[a:b]] += value[a:b].astype(kind)[:, None] * weights
+            added += (bounds[segment + 1] - bounds[segment]) * len(open_q)
+            segment += 1
+        if i + 1 == len(levels) or n <= POSSIBLE * k or not len(open_q):
+            continue
+        probes = np.unique(np.linspace(0, len(open_q) - 1, PROBES).astype(int))
+        if (possible(probes, rest[i]).sum(0) > POSSIBLE * k).mean() > 0.5:
+            continue
+        keep = np.ones(len(open_q), bool)
+        for a in range(0, len(open_q), 64):
+            columns = np.arange(a, min(a + 64, len(open_q)))
+            may = possible(columns, rest[i])
+            closed = may.sum(0) <= POSSIBLE * k
+            who, which = np.nonzero(may.T & closed[:, None])
+            found.append((open_q[columns[who]], which))
+            keep[columns[closed]] = False
+        if not keep.all():
+            open_q, scores = open_q[keep], np.ascontiguousarray(scores[:, keep])
+    for a in range(0, len(open_q), 64):
+        who, which = np.nonzero(possible(np.arange(a, min(a + 64, len(open_q))), np.zeros(n)).T)
+        found.append((open_q[a + who], which))
+    who, which = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+    full = np.zeros((n, width), np.int64)
+    full[row, np.repeat(dim, np.diff(bounds))] = value
+    score = np.concatenate([_exact(q[who[s : s + 16384]], full[which[s : s + 16384]], most) for s in range(0, len(who), 16384)] or [np.zeros(0, np.int64)])
     order = np.lexsort((ids[which], -score, who))
     who, which, score = who[order], which[order], score[order]
-    place = np.arange(len(who)) - np.searchsorted(who, who)
-    take = place < k
-    return who[take], which[take], score[take]
+    take = np.arange(len(who)) - np.searchsorted(who, who) < k
+    return who[take], which[take], score[take], added
 
 
 def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for one in batch.to_pylist():
-                ids = np.frombuffer(one["ids"], "<i8")
-                row, dim, value, cuts = (np.frombuffer(one[c], "<i4") for c in ("post_row", "post_dim", "post_value", "cuts"))
-                q_ids = np.frombuffer(one["q_ids"], "<i8")
-                q = np.frombuffer(one["q_x"], "<i4").reshape(len(q_ids), one["q_width"]).astype(np.int64)
-                who, which, score = best_of_pair(ids, one["width"], row, dim, value.astype(np.int64), cuts, q_ids, q, k)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[who]), pa.array(ids[which]), pa.array(score)], ["query_id", "vec_id", "score"])
+                rows, ids, q_rows, q_ids, q_x = (np.frombuffer(one[c], "<i8") for c in ("rows", "ids", "q_rows", "q_ids", "q_x"))
+                index = {c: np.frombuffer(one[c], "<i8" if c == "post_value" else "<i4") for c in _INDEX}
+                who, which, score, _ = best_of_pair(rows, ids, one["width"], index, q_rows, q_x.reshape(len(q_rows), one["q_width"]), k)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (q_rows[who], q_ids[who], ids[which], score)], ["q_row", "query_id", "vec_id", "score"])
 
     return run
 
@@ -139,27 +189,25 @@ def _search(k: int):
 def exact_top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best for each row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
+    bounded_batches(spark)
     with Scratch(spark, "top-k") as scratch:
         table = scratch.table(scaled_vectors(vectors, scale, id_col, vector_col), "vectors")
         is_query = F.col("vec_id") % every == 0
-        n, n_queries = table.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
-        n_blocks, n_query_blocks = max(1, -(-n // VECTORS)), max(1, -(-n_queries // QUERIES_A_BLOCK))
+        cells = F.size("x").cast("long")
+        n, c, nq, cq = (x or 0 for x in table.agg(F.count("*"), F.sum(cells), F.count(F.when(is_query, 1)), F.sum(F.when(is_query, cells))).first())
+        n_blocks, n_query_blocks = max(1, -(-n // VECTORS), -(-c // VECTOR_CELLS)), max(1, -(-nq // QUERIES), -(-cq // QUERY_CELLS))
         slots = max(1, min(n_query_blocks, -(-4 * spark.sparkContext.defaultParallelism // n_blocks)))
 
-        def packed(rows: DataFrame, blocks: int) -> DataFrame:
-            block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block")
-            lists = rows.select(block, "vec_id", "x").groupBy("block").agg(F.collect_list(F.struct("vec_id", "x")).alias("rows"))
-            lists = lists.select("block", F.col("rows.vec_id").alias("ids"), F.col("rows.x").alias("x"))
-            return lists.mapInArrow(_blocks, "block int, ids binary, x binary, width int")
+        def lists(rows: DataFrame, blocks: int) -> DataFrame:
+            block = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block")
+            packed = rows.select(block, "row", "vec_id", "x").groupBy("block").agg(F.collect_list(F.struct("row", "vec_id", "x")).alias("rows"))
+            return packed.select("block", F.col("rows.row").alias("row"), F.col("rows.vec_id").alias("vec_id"), F.col("rows.x").alias("x"))
 
-        index = packed(table, n_blocks).mapInArrow(_segments, "block int, ids binary, width int, post_row binary, post_dim binary, post_value binary, cuts binary")
+        index = lists(table, n_blocks).mapInArrow(_segments, "block int, width int, rows binary, ids binary, " + ", ".join(f"{c} binary" for c in _INDEX))
         index = scratch.table(index, "index").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-        queries = packed(table.where(is_query), n_query_blocks).select(
-            F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"),
-            F.pmod("block", F.lit(slots)).alias("slot"), F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), F.col("width").alias("q_width"),
-        )
-        pairs = index.join(queries, ["block", "slot"]).drop("slot")
-        found = pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long")
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        queries = lists(table.where(is_query), n_query_blocks).mapInArrow(_packed, "block int, q_rows binary, q_ids binary, q_x binary, q_width int")
+        queries = scratch.table(queries, "queries").withColumn("slot", F.pmod("block", F.lit(slots))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+        found = index.join(queries, ["block", "slot"]).drop("slot").mapInArrow(_search(k), "q_row long, query_id long, vec_id long, score long")
+        order = Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id")
         best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         return scratch.keep(best.select("query_id", "rank", "vec_id", "score"))

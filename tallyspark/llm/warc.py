@@ -3,10 +3,12 @@
 Writing: each task writes one archive of gzip members (one a record) into a folder that all
 executors share and returns an index row for each record: archive, offset, length, id, URL, digest.
 A task that runs again writes another archive under a new name; only archives named in the index
-count. Records whose payload repeats are revisit records that name the response.
+count, and the others are removed once the index is written. Records whose payload repeats are
+revisit records that name the response.
 
 Reading: index first. The index rows of the wanted records are grouped by archive and stretch of
-``stretch`` bytes, sorted by offset, and neighbouring ranges are read as one.
+``stretch`` bytes, sorted by offset, and neighbouring ranges are read as one. The number of tasks
+follows the bytes to be read, not those of the index.
 
 Defined cases: a null html is an empty payload. Payloads of at least ``min_bytes`` bytes are equal
 if their SHA-1 digests and lengths are; of equal ones the record with the smallest page_id is the
@@ -29,9 +31,11 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, _fs, bounded_batches
 
 GAP = 64 << 10
+#: Archive bytes that one task reads, about.
+READ_BYTES = 128 << 20
 _INDEX = "archive string, offset long, length long, page_id long, url string, digest string"
 _RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -101,7 +105,8 @@ def _write(folder: str):
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", scratch: Scratch | None = None) -> DataFrame:
-    """Write a record for each page into folder and return the index."""
+    """Write a record for each page into folder, which it has to itself, and return the index."""
+    bounded_batches(pages.sparkSession)
     with Scratch(pages.sparkSession, "warc") as own:
         rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
         rows = rows.withColumn("sha1", F.sha1(F.col("html").cast("binary"))).withColumn("n_bytes", F.octet_length("html").cast("long"))
@@ -113,8 +118,18 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: st
         one = F.col("p.page_id").eqNullSafe(F.col("a.page_id")) & (F.col("p.sha1") == F.col("a.sha1")) & (F.col("p.n_bytes") == F.col("a.n_bytes"))
         marked = rows.alias("p").join(again.alias("a"), one, "left")
         marked = marked.select("p.page_id", "p.url", "p.html", "p.sha1", "a.refers_to", F.col("a.refers_to").isNotNull().alias("is_revisit"))
-        index = marked.mapInArrow(_write(folder), _INDEX)
-        return (scratch or own).keep(index, "index")
+        index = (scratch or own).keep(marked.mapInArrow(_write(folder), _INDEX), "index")
+        _remove_others(index, folder)
+        return index
+
+
+def _remove_others(index: DataFrame, folder: str) -> None:
+    """Delete what tasks that ran again have left; there is one archive a task, so the names are few."""
+    named = {r["archive"] for r in index.select("archive").distinct().collect()}
+    fs, path = _fs(index.sparkSession, folder)
+    for status in fs.listStatus(path):
+        if status.getPath().getName() not in named:
+            fs.delete(status.getPath(), False)
 
 
 def _read(folder: str, most: int):
@@ -159,7 +174,9 @@ def _read(folder: str, most: int):
 def read_records(index: DataFrame, folder: str, stretch: int = 8 << 20) -> DataFrame:
     """The records that the index rows name, whatever selection of them."""
     grouped = index.select("archive", "offset", "length", (F.col("offset") / stretch).cast("long").alias("stretch"))
-    ordered = grouped.repartition("archive", "stretch").sortWithinPartitions("archive", "offset").drop("stretch")
+    total = index.agg(F.sum("length").alias("n")).first()["n"] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-total // READ_BYTES))
+    ordered = grouped.repartition(tasks, "archive", "stretch").sortWithinPartitions("archive", "offset").drop("stretch")
     return ordered.mapInArrow(_read(folder, stretch), _RECORDS)
 
 

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, an exact round trip or held-out accuracy, and on odd input."""
 
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -9,13 +10,14 @@ import pytest
 from compare import assert_same, connect
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe, line_dedup, pii, quality, queries
+from tallyspark.llm import bpe, line_dedup, pii, quality, queries, topk
+from tallyspark.llm.common import Scratch
 from tallyspark.llm.exact_dedup import DigestIndex, exact_dedup
 from tallyspark.llm.ngram_join import ngram_join
-from tallyspark.llm.packing import best_fit_packing
+from tallyspark.llm.packing import best_fit_packing, pack_tokens
 from tallyspark.llm.secret_scan import redact_secrets, secret_scan
 from tallyspark.llm.topk import exact_top_k
-from tallyspark.llm.warc import sha1_base32, warc_round_trip
+from tallyspark.llm.warc import read_records, sha1_base32, warc_round_trip, write_archives
 
 BLANK = r"\x20\x09-\x0D"
 ODD = [
@@ -94,6 +96,27 @@ def test_weak_parts_count_only_together(spark):
     assert key not in clean[1]["text"] and clean[5]["text"] == "plain words only" and clean[6]["text"] == "[SECRET] and on"
 
 
+def weak_secrets(text, base, scope=200):
+    """Each weak candidate against every part of its text."""
+    parts = [("id", *m.span()) for m in re.finditer("AKIA[A-Z0-9]{8,13}(?![A-Z0-9])", text)]
+    parts += [("id", *m.span()) for m in re.finditer(r"""(?i:(?:client|account|access|user|key)[_-]?id["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{4,})""", text)]
+    parts += [("secret", *m.span()) for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+    parts += [("endpoint", *m.span()) for m in re.finditer(r"""https?://[^\s"'<>]+|(?<![A-Za-z0-9.-])(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}:[0-9]{2,5}""", text, re.ASCII)]
+    role = {"access": "other", "id": "other", "endpoint": "other", "assign": "secret", "hex": "secret", "secret": "secret"}
+    near = lambda x, y: max(x[1], y[1]) - min(x[2], y[2]) <= scope
+    free = [x for x in parts if not any(x[1] < b[2] and b[1] < x[2] for b in base)]
+    return {f"{k}:{a}:{b}" for k, a, b in free if any(role[y[0]] != role[k] and near((k, a, b), y) for y in [*parts, *base])}
+
+
+def test_linked_parts_by_brute_force(spark, docs, texts):
+    made = {10_000 + i: t for i, t in enumerate(["user_id: some-one " + "x " * n + "Zk3v9Qx7Lm2Np5Rt8Wy1Bc4D at https://host.example/path" for n in (1, 70, 95, 99, 100, 101, 120)])}
+    every = texts | made
+    for i, r in by_id(secret_scan(table(spark, list(every.items())))).items():
+        base = base_secrets(every[i])
+        own = set(filter(None, r["spans"].split(","))) - {f"{k}:{a}:{b}" for k, a, b in base}
+        assert own == weak_secrets(every[i], base), every[i][:300]
+
+
 # 2 near duplicates
 
 
@@ -168,6 +191,31 @@ def test_each_page_is_one_record_whatever_ids_repeat(spark):
     assert Counter(got) == Counter(want)
 
 
+def test_archives_are_read_by_selection(spark):
+    pages = spark.createDataFrame([(i, f"u{i}", f"page {i % 7} " * (i + 1)) for i in range(300)], "page_id long, url string, html string")
+    with Scratch(spark, "selection") as scratch:
+        folder = scratch.folder("archives")
+        index = write_archives(pages, folder, scratch=scratch)
+        some = index.where("page_id % 17 = 3 or page_id between 100 and 110")
+        got = {r["page_id"]: r for r in read_records(some, folder).collect()}
+        assert set(got) == {i for i in range(300) if i % 17 == 3 or 100 <= i <= 110}
+        assert all(r["payload_digest"] == sha1_base32((f"page {i % 7} " * (i + 1)).encode()) for i, r in got.items())
+        assert read_records(index.where("page_id < 0"), folder).count() == 0
+
+
+def test_the_digest_index_lasts_over_sessions(spark):
+    with Scratch(spark, "kept-index") as scratch:
+        path = scratch.folder("index")
+        index = DigestIndex(spark, path, buckets=4)
+        index.dedup(table(spark, [(5, "a text"), (6, "another")])).count()
+        index.close()
+        index = DigestIndex(spark, path, buckets=4)
+        got = by_id(index.dedup(table(spark, [(1, "a  text"), (2, "a third")])))
+        assert (got[1]["keep_id"], got[1]["kept"], got[2]["kept"]) == (5, False, True)
+        assert index.table().count() == 3
+        index.close()
+
+
 def test_the_digest_index_lasts(spark, odd, none):
     index = DigestIndex(spark)
     first = by_id(index.dedup(odd))
@@ -188,6 +236,35 @@ def test_top_k_of_odd_vectors(spark):
     assert len(got) == 9 * 20
 
 
+def test_top_k_of_large_empty_and_repeated_vectors(spark):
+    rows = [(i, [i * 1e8, 1.0]) for i in range(1, 24)] + [(40, []), (60, [0.5]), (60, [1.5]), (7, [-2.0, 3.0])]
+    got = exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5, scale=1).collect()
+    whole = [(i, [math.floor(x) for x in v]) for i, v in rows]
+    want = Counter()
+    for at, (q, x) in enumerate(whole):
+        if q % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(x, y)), i) for n, (i, y) in enumerate(whole) if n != at)[:5]
+            want.update((q, rank, i, -s) for rank, (s, i) in enumerate(best, 1))
+    assert Counter(map(tuple, got)) == want
+    huge = spark.createDataFrame([(20, [4e9 * 1e9]), (1, [4e9 * 1e9])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        exact_top_k(huge, scale=64).collect()
+    with pytest.raises(Exception, match="64 bits"):
+        exact_top_k(spark.createDataFrame([(20, [1e12]), (1, [1e12])], "vec_id long, embedding array<double>"), scale=1).collect()
+
+
+@pytest.mark.parametrize(("density", "least_saved"), [(0.06, 0.5), (1.0, 0.3)])
+def test_segments_stop_on_proof(density, least_saved):
+    rng = np.random.default_rng(2)
+    m = np.floor(64 * np.where(rng.random((3000, 80)) < density, rng.normal(0, 1, (3000, 80)) ** 3, 0)).astype(np.int64)
+    rows, index = np.arange(len(m)), topk.postings(m)
+    who, which, score, added = topk.best_of_pair(rows, rows, 80, index, rows[:64], m[:64], 20)
+    for q in range(64):
+        best = sorted((-int(s), i) for i, s in enumerate(m[q] @ m.T) if i != q)[:20]
+        assert [(-s, i) for s, i in zip(score[who == q], which[who == q])] == best
+    assert added < (1 - least_saved) * 64 * len(index["post_row"])
+
+
 # 5 personal data
 
 
@@ -214,10 +291,50 @@ def test_personal_data(docs, texts, odd, none):
     assert pii.pii_scan(none).count() == 0
 
 
+def planted_in(texts, rng):
+    """Each text with a form or a decoy after every 40 words, and the planted spans."""
+    for text in texts:
+        out, spans = "", []
+        for i, word in enumerate(text.split(" ")):
+            if i % 40 == 39:
+                kind = int(rng.integers(-1, 4))
+                piece = pii.decoy(rng) if kind < 0 else pii.planted(rng, kind)
+                spans += [(pii.KINDS[kind], len(out), len(out) + len(piece))] if kind >= 0 else []
+                out += piece + " "
+            out += word + " "
+        yield out, spans
+
+
+def test_the_model_adds_what_the_patterns_miss(spark, docs, texts):
+    """Held-out documents and forms: the model's own spans, base findings aside."""
+    held = [t for i, t in texts.items() if i % 2 and 300 < len(t) < 4000]
+    rows = list(planted_in(held, np.random.default_rng(99)))
+    got = by_id(pii.pii_scan(table(spark, [*enumerate(t for t, _ in rows), *((-i, t) for i, t in texts.items() if i % 2 == 0)])))
+    hits = gold = added = right = 0
+    for i, (text, want) in enumerate(rows):
+        base = {f"{k}:{a}:{b}" for k, a, b in base_personal(text)}
+        own = set(filter(None, got[i]["spans"].split(","))) - base
+        covered = [tuple(map(int, s.split(":")[1:])) for s in base]
+        new = {f"{k}:{a}:{b}" for k, a, b in want if not any(x < b and a < y for x, y in covered)}
+        hits, gold, added, right = hits + len(own & new), gold + len(new), added + len(own), right + sum(any(int(s.split(":")[1]) < b and a < int(s.split(":")[2]) for _, a, b in want) for s in own)
+        assert got[i]["n_added"] == len(own)
+    assert gold > 100 and hits / gold > 0.9 and right / added > 0.95, (hits, gold, right, added)
+
+
+def test_spans_longer_than_a_window():
+    model = pii.train()
+    tags, gain = np.zeros(200, np.int64), np.ones(200)
+    tags[20], tags[21:120] = 1, 2
+    assert pii.tagged_spans(tags, gain, 1000) == [(100.0, (0, 1020, 1120))]
+    long = "word " * 12 + "a" * 5 + "bcdefgh" * 12 + " at " + "hostname" * 6 + " dot org then more words follow here"
+    spans = pii.model_spans(model, [long])[0]
+    assert all(pii.well_formed(k, long[a:b]) for k, a, b in spans)
+
+
 def test_the_tagger_on_windows_that_it_has_not_seen():
     x, y = pii.labelled_windows(np.random.default_rng(99), 300)
     tags, _ = pii.train().viterbi(x)
-    real = x != 3
+    real = x != pii._OUTSIDE
     assert (tags == y)[real].mean() > 0.93
     assert ((tags > 0) & (y > 0))[real].sum() / (y > 0)[real].sum() > 0.85
 
@@ -234,6 +351,35 @@ def test_quality_on_labels_that_it_has_not_seen(spark, docs, sf_dir):
     assert got[got["quality"] == 1]["kept"].mean() > 0.9
 
 
+def test_shrinkage_by_brute_force(spark, docs, sf_dir):
+    """Rates and probabilities computed anew from the reported evidence, document by document."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.train(docs, labels)
+    got = by_id(quality.classify(docs, labels))
+    site = {r["doc_id"]: (r["source"] or "", "/".join(x for x in (r["source"], r["lang"]) if x is not None)) for r in docs.select("doc_id", "source", "lang").collect()}
+    logit = math.log(model.rate / (1 - model.rate))
+    p = {i: 1 / (1 + math.exp(-(r["evidence"] + logit))) for i, r in got.items()}
+    overall = sum(p.values()) / len(p)
+
+    def spread(groups, centers):
+        excess = sum(len(g) * ((sum(p[i] for i in g) / len(g) - centers[k]) ** 2 - sum(p[i] * (1 - p[i]) for i in g) / len(g) ** 2) for k, g in groups.items()) / len(p)
+        return min(1e6, max(1.0, overall * (1 - overall) / max(1e-6, excess) - 1))
+
+    hosts, paths = {}, {}
+    for i, (h, path) in site.items():
+        hosts.setdefault(h, []).append(i)
+        paths.setdefault((h, path), []).append(i)
+    a = spread(hosts, dict.fromkeys(hosts, overall))
+    host_rate = {h: (sum(p[i] for i in g) + a * overall) / (len(g) + a) for h, g in hosts.items()}
+    b = spread(paths, {k: host_rate[k[0]] for k in paths})
+    path_rate = {k: (sum(p[i] for i in g) + b * host_rate[k[0]]) / (len(g) + b) for k, g in paths.items()}
+    for i, r in got.items():
+        rate = path_rate[site[i]]
+        want = 1 / (1 + math.exp(-(r["evidence"] + math.log(rate / (1 - rate)))))
+        assert r["host_rate"] == pytest.approx(host_rate[site[i][0]], abs=2e-5) and r["path_rate"] == pytest.approx(rate, abs=2e-5)
+        assert r["probability"] == pytest.approx(want, abs=1e-4) and (abs(want - 0.5) < 1e-4 or r["kept"] == (want >= 0.5))
+
+
 def test_quality_without_labels_keeps_all(spark, odd, none):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.keep_good(odd, labels).count() == len(ODD) and quality.keep_good(none, labels).count() == 0
@@ -282,17 +428,38 @@ def slow_best_fit(rows, capacity, per_source):
         yield b["n"]
 
 
-def test_packing(docs, texts, odd, none):
+def test_packing(docs, texts, odd, none, vocabulary):
+    from tokenizers import Tokenizer
+
     capacity, per_source = 512, 4
-    packed = best_fit_packing(docs, capacity, per_source).toPandas()
+    t = Tokenizer.from_file(vocabulary)
+    tokens = {i: t.encode(x, add_special_tokens=False).ids for i, x in texts.items()}
+    packed = best_fit_packing(docs, vocabulary, capacity, per_source).toPandas()
     source = {r["doc_id"]: r["source"] for r in docs.select("doc_id", "source").collect()}
-    sizes = packed.groupby("doc_id")["size"].sum()
-    assert {i: -(-len(t.encode()) // 4) for i, t in texts.items()} == sizes.to_dict()
+    assert {i: len(x) for i, x in tokens.items()} == packed.groupby("doc_id")["size"].sum().to_dict()
     assert packed.groupby("bin")["size"].sum().max() <= capacity
     shared = packed[~packed["bin"].str.startswith("full")].assign(cluster=[re.sub(f"[{BLANK}]+", " ", texts[i]) for i in packed[~packed["bin"].str.startswith("full")]["doc_id"]])
     assert not shared.duplicated(["bin", "cluster"]).any()
     assert shared.assign(source=shared["doc_id"].map(source)).groupby(["bin", "source"]).size().max() <= per_source
-    assert best_fit_packing(none).count() == 0 and best_fit_packing(odd).select("doc_id").distinct().count() == 13
+    assert best_fit_packing(none, vocabulary).count() == 0 and best_fit_packing(odd, vocabulary).select("doc_id").distinct().count() == 13
+
+
+def test_packed_bins_hold_the_tokens(spark, docs, texts, none, vocabulary):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary)
+    some = {i: x for i, x in texts.items() if i % 4 == 0} | {9001: "mid <|endoftext|> text", 9002: ""}
+    rows = [(i, x, f"s{i % 3}") for i, x in some.items()]
+    bins = pack_tokens(spark.createDataFrame(rows, "doc_id long, text string, source string"), vocabulary, 256).collect()
+    got = {}
+    for b in bins:
+        ids = np.frombuffer(b["ids"], "<u4").tolist()
+        assert len(ids) == b["n_tokens"] <= 256 and sum(p["size"] for p in b["pieces"]) == len(ids)
+        for p in b["pieces"]:
+            got.setdefault(p["doc_id"], {})[p["piece"]] = ids[p["bin_offset"] : p["bin_offset"] + p["size"]]
+    for i, x in some.items():
+        assert sum((got.get(i, {})[k] for k in sorted(got.get(i, {}))), []) == t.encode(x, add_special_tokens=False).ids
+    assert pack_tokens(none, vocabulary).count() == 0
 
 
 def test_packing_takes_the_tightest_bin():
