@@ -188,12 +188,15 @@ def title(text: Column) -> Column:
 
 
 # numbers within a text
-_IN_TEXT = r"(?<![\w.])(₹?)\s?(-?\d[\d,]*(?:\.\d+)?)\s?(%|x\b|Cr\b|L\b|lakh\b|crore\b)?"
-UNITS = {"%": 1.0, "x": 1.0, "Cr": CRORE, "crore": CRORE, "L": LAKH, "lakh": LAKH, "": 1.0}
+_IN_TEXT = r"(?<![\w.])(₹?)\s?(-?\d[\d,]*(?:\.\d+)?)\s?(%|x\b|Cr\b|L\b|lakhs?\b|crore\b)?"
+# A unit that is written once after a range of money holds for both ends.
+_MONEY_RANGE = r"₹\s?(\d[\d,]*(?:\.\d+)?)\s?(?:–|-|to)\s?(?:₹\s?)?(\d[\d,]*(?:\.\d+)?)\s?(Cr|crore|L|lakhs?)\b"
+UNITS = {"%": 1.0, "x": 1.0, "Cr": CRORE, "crore": CRORE, "L": LAKH, "lakh": LAKH, "lakhs": LAKH, "": 1.0}
 
 
 def numbers_in(text: Column) -> Column:
-    """array of struct(value, kind, tolerance) of the numbers written in a text; half a unit of the last digit is tolerated."""
+    """array of struct(value, kind, grouped, tolerance) of the numbers written in a text; half a unit of the last digit is tolerated."""
+    text = F.regexp_replace(text, F.lit(_MONEY_RANGE), F.lit("₹$1 $3 to ₹$2 $3"))
     found = F.arrays_zip(*(F.regexp_extract_all(text, F.lit(_IN_TEXT), F.lit(i)).alias(n) for i, n in ((1, "rupee"), (2, "number"), (3, "unit"))))
     scale = F.create_map(*(F.lit(v) for k, f in UNITS.items() for v in (k, f)))
 
@@ -201,16 +204,17 @@ def numbers_in(text: Column) -> Column:
         places = F.length(F.regexp_extract(m["number"], r"\.(\d+)$", 1))
         kind = F.when(m["rupee"] != "", "money").when(m["unit"] == "%", "percent").when(m["unit"] == "x", "ratio").otherwise("plain")
         factor = scale[F.coalesce(m["unit"], F.lit(""))]
-        return F.struct((F.translate(m["number"], ",", "").try_cast("double") * factor).alias("value"), kind.alias("kind"), (F.lit(0.5) * F.pow(F.lit(10.0), -places) * factor).alias("tolerance"))
+        return F.struct((F.translate(m["number"], ",", "").try_cast("double") * factor).alias("value"), kind.alias("kind"), F.contains(m["number"], F.lit(",")).alias("grouped"), (F.lit(0.5) * F.pow(F.lit(10.0), -places) * factor).alias("tolerance"))
 
     return F.transform(found, one)
 
 
 def checkable(number: Column) -> Column:
-    """Not a small bare count, and not a year."""
+    """Not a small bare count, and not a year; a year has no grouping comma."""
     v = number["value"]
     bare = (number["kind"] == "plain") & (number["tolerance"] <= 0.5)
-    return ~(bare & ((v < 100) | ((v == F.floor(v)) & v.between(1900, 2100))))
+    year = (v == F.floor(v)) & v.between(1900, 2100) & ~number["grouped"]
+    return ~(bare & ((v < 100) | year))
 
 
 def matches(number: Column, evidence: Column, relative: float = 0.01) -> Column:

@@ -1,23 +1,28 @@
 """Raw text tables to clean typed ones, with a log of every change.
 
-Each rule is a column expression. Changes collect in one array of structs per row (``_log``) that is
-exploded once at the end, so the table is read once and rows shuffle only for duplicates and for the
-outlier limits (an aggregate by channel).
+Each rule is a column expression. Changes collect in one array of structs for each rule and column
+(``_log_1``, ``_log_2``, ...), which are put together and exploded once at the end. The parsed rows are
+written once, since the outlier limits, the clean table and the log all read them. Rows are not
+shuffled: of duplicates only digests are, and the few repeated rows are taken out by a join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import text as X
-from tallyspark.functions.kpi import label
 from tallyspark.schema import FIELDS, NUMERIC
+from tallyspark.sources.shared import new_folder
+
+from .labels import ALIASES, SIMILARITY, lookup, relabelled
 
 # Fixed pairs: the first stage can't exceed the second.
 FUNNEL_RULES = [("clicks", "impressions"), ("reach", "impressions"), ("leads", "clicks"), ("qualified_leads", "leads")]
 OUTLIER_ROWS, OUTLIER_IQR, OUTLIER_LEADS = 20, 3.0, 5
 LOG = "array<struct<column:string,original:string,cleaned:string,action:string,reason:string,severity:string>>"
+#: A column with more spellings to change gets them by a join.
+MOST_IN_MAP = 500
 
 
 def _entry(column: str, original: Column, cleaned: Column, action: str, reason: str, severity: str) -> Column:
@@ -25,13 +30,23 @@ def _entry(column: str, original: Column, cleaned: Column, action: str, reason:
 
 
 def _noted(df: DataFrame, *cases: tuple[Column, Column]) -> DataFrame:
-    """df with an entry added to the log where a condition holds."""
-    more = F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), e) for c, e in cases)), lambda x: x.isNotNull())
-    return df.withColumn("_log", F.concat("_log", more))
+    """df with one more array of log entries, of the cases whose condition holds."""
+    entries = F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), e) for c, e in cases)), lambda x: x.isNotNull())
+    return df.withColumn(f"_log_{sum(c.startswith('_log_') for c in df.columns)}", entries)
 
 
 def _flagged(df: DataFrame, condition: Column, flag: str) -> DataFrame:
-    return df.withColumn("dq_flags", F.when(F.coalesce(condition, F.lit(False)), F.concat("dq_flags", F.array(F.lit(flag)))).otherwise(F.col("dq_flags")))
+    return df.withColumn(f"_flag_{sum(c.startswith('_flag_') for c in df.columns)}", F.when(F.coalesce(condition, F.lit(False)), F.lit(flag)))
+
+
+def _gathered(df: DataFrame) -> DataFrame:
+    """df with the single flags and arrays added to dq_flags and _log."""
+    flags, logs = ([c for c in df.columns if c.startswith(p)] for p in ("_flag_", "_log_"))
+    none = {"dq_flags": F.array().cast("array<string>"), "_log": F.array().cast(LOG)}
+    before = {c: F.col(c) if c in df.columns else none[c] for c in none}
+    more = F.filter(F.array(*flags), lambda x: x.isNotNull()) if flags else none["dq_flags"]
+    every = {"dq_flags": F.concat(before["dq_flags"], more), "_log": F.flatten(F.array(before["_log"], *logs))}
+    return df.select(*(c for c in df.columns if c not in (*flags, *logs, *every)), *(v.alias(c) for c, v in every.items()))
 
 
 def _cells(columns: list[str]) -> list[Column]:
@@ -45,12 +60,12 @@ def remove_summary_rows(raw: DataFrame, columns: list[str]) -> tuple[DataFrame,
     return raw.where(~total), raw.where(total)
 
 
-def mark_duplicates(raw: DataFrame, columns: list[str]) -> DataFrame:
-    """raw with first_row: the first of the rows that are equal in all columns (NULLs too). Large groups need no window: one aggregate and one join."""
+def repeated_rows(raw: DataFrame, columns: list[str]) -> DataFrame:
+    """source_row, first_row: rows that are equal in all columns (NULLs too) to an earlier one. Only digests are shuffled."""
     key = F.sha2(F.to_json(F.struct(*_cells(columns)), {"ignoreNullFields": "false"}), 256)
-    keyed = raw.withColumn("_key", key)
-    first = keyed.groupBy("_key").agg(F.min("source_row").alias("first_row"))
-    return keyed.join(first, "_key").drop("_key")
+    keyed = raw.select("source_row", key.alias("_key"))
+    first = keyed.groupBy("_key").agg(F.min("source_row").alias("first_row"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return keyed.join(first, "_key").where("source_row != first_row").select("source_row", "first_row")
 
 
 def select_and_rename(raw: DataFrame, mapping: dict[str, str]) -> tuple[DataFrame, list[str]]:
@@ -60,97 +75,48 @@ def select_and_rename(raw: DataFrame, mapping: dict[str, str]) -> tuple[DataFram
     return raw.select("source_row", *keep), dropped
 
 
-def label_key(text: Column, aliases: dict[str, str] | None = None) -> Column:
-    key = label(text)
-    if not aliases:
-        return key
-    known = F.create_map(*(F.lit(x) for k, v in aliases.items() for x in (k, v)))
-    return F.coalesce(known[key], key)
-
-
-def indel_ratio(a: str, b: str) -> float:
-    """2 * longest common subsequence / total length, in percent."""
-    if not a or not b:
-        return 100.0 if a == b else 0.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
-    return 200.0 * row[-1] / (len(a) + len(b))
-
-
-def token_sort_ratio(a: str, b: str) -> float:
-    return indel_ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
-
-
-def _merged(variants: dict[str, int], keys: dict[str, str], similarity: float, typos: bool) -> dict[str, str]:
-    """variant -> suggested spelling, from counts of variants and their keys."""
-    groups: dict[str, dict[str, int]] = {}
-    for v, n in variants.items():
-        groups.setdefault(keys[v], {})[v] = n
-    merged: dict[str, dict[str, int]] = {}
-    for key in sorted(groups, key=lambda k: (-sum(groups[k].values()), k)):
-        digits = "".join(c for c in key if c.isdigit())
-        near = next((k for k in merged if typos and len(key) >= 4 and digits == "".join(c for c in k if c.isdigit()) and indel_ratio(key, k) >= similarity), None)
-        merged.setdefault(near or key, {}).update(groups[key])
-    out = {}
-    for found in merged.values():
-        neat = {v: n for v, n in found.items() if v == v.strip() and "  " not in v} or found
-        best = max(neat, key=lambda v: (neat[v], v)).strip()
-        out |= {v: best for v in found if v != best}
-    return out
-
-
-def survey(df: DataFrame, labels: list[str], dates: list[str] = (), day_first: bool = True, similarity: float = 90.0, most: int = 200, aliases: dict[str, str] | None = None) -> tuple[dict[str, dict[str, str]], set[str], dict[str, str]]:
-    """(spellings to merge by column, columns with more keys than ``most``, main date format by column) from one grouped count.
-
-    Only columns with few distinct spellings come to the driver; the bound is checked on the counts first.
-    """
+def survey(df: DataFrame, labels: list[str], dates: list[str] = (), day_first: bool = True, aliases: dict[str, str] = ALIASES) -> tuple[DataFrame | None, dict[str, str]]:
+    """(column, v, label: spellings to change; main date format by column) from one grouped count, which is written."""
+    spark = df.sparkSession
     cells = [F.struct(F.lit(c).alias("column"), F.when(~X.is_missing(F.col(c)), X.tidy(F.col(c))).alias("v")) for c in labels]
     cells += [F.struct(F.lit(c).alias("column"), X.date_format_of(X.date_mark(F.col(c), day_first)).alias("v")) for c in dates]
     if not cells:
-        return {}, set(), {}
+        return None, {}
+    folder = new_folder(spark, "survey")
     counts = df.select(F.explode(F.array(*cells)).alias("e")).select("e.*").where("v is not null").groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
-    sizes = counts.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
-    few = counts.join(sizes.where(F.col("distinct") <= 4 * most), "column").select("column", "v", "n", label_key(F.col("v"), aliases).alias("key"))
-    seen: dict[str, list] = {}
-    for r in few.collect():  # at most 4 * most rows a column
-        seen.setdefault(r["column"], []).append(r)
-    merge, large = {}, set()
-    for c in labels:
-        rows = seen.get(c, [])
-        keys = {r["v"]: r["key"] for r in rows}
-        if rows:
-            merge[c] = _merged({r["v"]: r["n"] for r in rows}, keys, similarity, len(set(keys.values())) <= most)
-    known = set(labels) - set(seen)
-    large = {c for c in known if c in {r["column"] for r in sizes.collect()}} if known else set()  # one row a column
-    main = {c: max(seen[c], key=lambda r: (r["n"], r["v"]))["v"] for c in dates if c in seen}
-    return merge, large, main
-
-
-def cluster_labels(df: DataFrame, column: str, similarity: float = 90.0, most: int = 200, aliases: dict[str, str] | None = None) -> dict[str, str]:
-    """variant -> suggested spelling of one column with few spellings."""
-    return survey(df, [column], similarity=similarity, most=most, aliases=aliases)[0].get(column, {})
-
-
-def common_spelling(df: DataFrame, column: str, aliases: dict[str, str] | None = None) -> DataFrame:
-    """key, label: the most frequent spelling of each key, for columns with many; found and joined by Spark."""
-    counts = df.where(~X.is_missing(F.col(column))).groupBy(X.tidy(F.col(column)).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.groupBy(label_key(F.col("v"), aliases).alias("_label_key")).agg(F.max_by("v", F.struct("n", "v")).alias("_label"))
-
-
-def standardize_text(df: DataFrame, merge: dict[str, dict[str, str]], large: set[str] = frozenset(), aliases: dict[str, str] | None = None) -> DataFrame:
-    """Spaces tidied in every text field; categories also by their clusters of spellings."""
-    source = df
+    counts.write.parquet(f"{folder}/counts")
+    counts = spark.read.schema(counts.schema).parquet(f"{folder}/counts")
+    formats = counts.where(F.col("column").isin(*dates)).groupBy("column").agg(F.max_by("v", F.struct("n", "v")).alias("v")) if dates else None
+    main = {r["column"]: r["v"] for r in formats.collect()} if dates else {}  # one row a column
+    if not labels:
+        return None, main
+    changes = relabelled(counts.where(F.col("column").isin(*labels)), SIMILARITY, aliases)
+    changes.write.parquet(f"{folder}/labels")
+    return spark.read.schema(changes.schema).parquet(f"{folder}/labels"), main
+
+
+def cluster_labels(df: DataFrame, column: str, aliases: dict[str, str] = ALIASES) -> DataFrame:
+    """variant, label: the spellings of one column that another one replaces."""
+    changes, _ = survey(df.select(column), [column], aliases=aliases)
+    return changes.select(F.col("v").alias("variant"), "label")
+
+
+def standardize_text(df: DataFrame, changes: DataFrame | None) -> DataFrame:
+    """Spaces tidied in every text field; categories also by the spellings to change (column, v, label)."""
+    sizes = {r["column"]: r["n"] for r in changes.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()} if changes is not None else {}  # one row a column
+    few = [c for c, n in sizes.items() if n <= MOST_IN_MAP]
+    maps: dict[str, dict[str, str]] = {c: {} for c in few}
+    for r in changes.where(F.col("column").isin(*few)).collect() if few else []:
+        maps[r["column"]][r["v"]] = r["label"]
     for c in [c for c in df.columns if c in FIELDS and FIELDS[c].kind in ("category", "id", "text")]:
         df = df.withColumn("_tidy", F.when(~X.is_missing(F.col(c)), X.tidy(F.col(c))))
         new = F.col("_tidy")
-        if c in large:
-            df = df.withColumn("_label_key", label_key(F.col("_tidy"), aliases)).join(common_spelling(source, c, aliases), "_label_key", "left")
+        if c in maps:
+            new = F.coalesce(lookup(maps[c], F.col("_tidy")), F.col("_tidy"))
+        elif c in sizes:
+            own = changes.where(F.col("column") == c).select(F.col("v").alias("_v"), F.col("label").alias("_label"))
+            df = df.join(own, F.col("_tidy") == F.col("_v"), "left").drop("_v")
             new = F.coalesce("_label", "_tidy")
-        elif merge.get(c):
-            new = F.coalesce(F.create_map(*(F.lit(x) for k, v in merge[c].items() for x in (k, v)))[F.col("_tidy")], F.col("_tidy"))
         df = df.withColumn("_new", new)
         changed = F.col("_new") != F.col(c)
         other = F.lower("_new") != F.lower("_tidy")
@@ -162,7 +128,7 @@ def standardize_text(df: DataFrame, merge: dict[str, dict[str, str]], large: set
             (changed & spacing, _entry(c, F.col(c), F.col("_new"), "whitespace_trimmed", "stray spaces", "info")),
             (F.col("_tidy").isNull() & F.lit(FIELDS[c].kind == "category"), _entry(c, F.col(c), F.lit(None), "missing_value", "no value", "warning")),
         )
-        df = df.withColumn(c, F.col("_new")).drop("_new", "_tidy", "_label", "_label_key")
+        df = df.withColumn(c, F.col("_new")).drop("_new", "_tidy", "_label")
     return df
 
 
@@ -214,23 +180,58 @@ def drop_impossible(df: DataFrame) -> DataFrame:
     return df.drop(*(f"_{k}" for k in checks))
 
 
+def exact_quantiles(values: DataFrame, probabilities: list[float]) -> DataFrame:
+    """key, n, q (array) for rows (key, v): linear interpolation between the exact neighbours in order.
+
+    Distinct values with counts are range-partitioned by (key, v), so one large key spreads over many
+    partitions; how many rows lie before each partition is a small table, and only the partitions
+    that hold a wanted place are looked into.
+    """
+    spark = values.sparkSession
+    folder = new_folder(spark, "quantiles")
+    counted = values.where(F.col("v").isNotNull() & ~F.isnan("v")).groupBy("key", "v").agg(F.count(F.lit(1)).alias("n"))
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted.repartitionByRange(n_parts, "key", "v").withColumn("part", F.spark_partition_id()).write.parquet(f"{folder}/counts")
+    counted = spark.read.parquet(f"{folder}/counts")
+    parts = counted.groupBy("key", "part").agg(F.sum("n").alias("size"))
+    by_key = Window.partitionBy("key")
+    before = F.sum("size").over(by_key.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
+    parts = parts.select("key", "part", "size", before.alias("before"), F.sum("size").over(by_key).alias("total"))
+    place = lambda p: F.lit(p) * (F.col("total") - 1)
+    wanted = F.array(*(f(place(p)).cast("long") for p in probabilities for f in (F.floor, F.ceil)))
+    inside = F.filter(wanted, lambda w: (w >= F.col("before")) & (w < F.col("before") + F.col("size")))
+    parts = parts.select("key", "part", "before", "total", F.array_distinct(inside).alias("places")).where("size(places) > 0")
+    rows = counted.join(parts, ["key", "part"])
+    upto = F.sum("n").over(Window.partitionBy("key", "part").orderBy("v"))
+    rows = rows.withColumn("upto", F.col("before") + upto).withColumn("place", F.explode("places")).where("place < upto and place >= upto - n")
+    found = rows.groupBy("key").agg(F.max("total").alias("n"), F.map_from_entries(F.collect_set(F.struct("place", "v"))).alias("at"))
+
+    def value(p: float) -> Column:
+        exact = F.lit(p) * (F.col("n") - 1)
+        low, high = F.col("at")[F.floor(exact).cast("long")], F.col("at")[F.ceil(exact).cast("long")]
+        return low + (high - low) * (exact - F.floor(exact))
+
+    return found.select("key", "n", F.array(*map(value, probabilities)).alias("q"))
+
+
 def flag_outliers(df: DataFrame) -> DataFrame:
-    """Spend and cost per lead far outside their channel's quartiles; values stay."""
+    """Spend and cost per lead far outside their channel's quartiles; values stay. df is read more than once."""
     if "spend" not in df.columns:
         return df
     df = df.withColumn("_channel", F.coalesce(F.col("channel"), F.lit("(none)")) if "channel" in df.columns else F.lit("all"))
     values = {"spend": F.col("spend")}
     if "leads" in df.columns:
         values["cpl"] = F.when(F.col("leads") >= OUTLIER_LEADS, F.try_divide("spend", "leads"))
-    df = df.select("*", *(v.alias(f"_v_{k}") for k, v in values.items()))
-    limits = df.groupBy(F.col("_channel").alias("_of")).agg(*(F.percentile(f"_v_{k}", F.array(F.lit(0.25), F.lit(0.75))).alias(f"_q_{k}") for k in values), *(F.count(f"_v_{k}").alias(f"_n_{k}") for k in values))
-    df = df.join(limits, F.col("_channel") == F.col("_of"))
-    for k in values:
-        q1, q3, v = F.col(f"_q_{k}")[0], F.col(f"_q_{k}")[1], F.col(f"_v_{k}")
-        out = (F.col(f"_n_{k}") >= OUTLIER_ROWS) & (q3 > q1) & ((v > q3 + OUTLIER_IQR * (q3 - q1)) | (v < q1 - OUTLIER_IQR * (q3 - q1)))
+    each = df.select(F.explode(F.array(*(F.struct(F.struct(F.col("_channel").alias("channel"), F.lit(k).alias("of")).alias("key"), v.cast("double").alias("v")) for k, v in values.items()))).alias("e")).select("e.*")
+    limits = exact_quantiles(each, [0.25, 0.75])
+    wide = limits.groupBy(F.col("key.channel").alias("_of")).agg(*(F.max(F.when(F.col("key.of") == k, F.struct("n", "q"))).alias(f"_l_{k}") for k in values))
+    df = df.join(wide, F.col("_channel") == F.col("_of"), "left")
+    for k, v in values.items():
+        n, q1, q3 = F.col(f"_l_{k}.n"), F.col(f"_l_{k}.q")[0], F.col(f"_l_{k}.q")[1]
+        out = (n >= OUTLIER_ROWS) & (q3 > q1) & ((v > q3 + OUTLIER_IQR * (q3 - q1)) | (v < q1 - OUTLIER_IQR * (q3 - q1)))
         df = _noted(df, (out, _entry(k, F.round(v, 2), F.round(v, 2), "outlier_flagged", "far from the rest of its channel", "info")))
         df = _flagged(df, out, f"outlier_{k}")
-    return df.drop("_of", "_channel", *(f"_{p}_{k}" for k in values for p in "vqn"))
+    return df.drop("_of", "_channel", *(f"_l_{k}" for k in values))
 
 
 def add_calendar(df: DataFrame) -> DataFrame:
@@ -249,21 +250,24 @@ def order_columns(df: DataFrame) -> DataFrame:
     return df.select(*known, *(c for c in df.columns if c not in known))
 
 
-def clean(raw: DataFrame, mapping: dict[str, str], day_first: bool = True, remove_duplicates: bool = True, unconfirmed: set[str] = frozenset(), aliases: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(clean table, quality log) of a raw text table with source_row. Both are lazy but for one count of labels and date formats."""
+def clean(raw: DataFrame, mapping: dict[str, str], day_first: bool = True, remove_duplicates: bool = True, unconfirmed: set[str] = frozenset(), aliases: dict[str, str] = ALIASES) -> tuple[DataFrame, DataFrame]:
+    """(clean table, quality log) of a raw text table with source_row. The parsed rows are written by this call; both results read them."""
     if critical := sorted(f for f in unconfirmed if f in FIELDS and FIELDS[f].critical):
         raise ValueError(f"confirm the mapping of {', '.join(critical)} first")
-    columns = [c for c in raw.columns if c != "source_row"]
+    spark, columns = raw.sparkSession, [c for c in raw.columns if c != "source_row"]
+    folder = new_folder(spark, "clean")
     rows, totals = remove_summary_rows(raw, columns)
-    marked = mark_duplicates(rows, columns)
-    repeats = marked.where("source_row != first_row")
-    kept = marked.where("source_row = first_row") if remove_duplicates else marked
+    repeats = repeated_rows(rows, columns)
+    repeats.write.parquet(f"{folder}/repeats")
+    repeats = spark.read.schema(repeats.schema).parquet(f"{folder}/repeats")
+    kept = rows.join(repeats, "source_row", "left_anti") if remove_duplicates else rows
     df, dropped = select_and_rename(kept, mapping)
-    df = df.withColumn("dq_flags", F.array().cast("array<string>")).withColumn("_log", F.array().cast(LOG))
     names = {k: [c for c in df.columns if c in FIELDS and FIELDS[c].kind == k] for k in ("category", "date")}
-    merge, large, main = survey(df, names["category"], names["date"], day_first, aliases=aliases)
-    df = standardize_text(df, merge, large, aliases)
-    df = flag_outliers(drop_impossible(parse_numbers(parse_dates(df, main, day_first))))
+    changes, main = survey(df, names["category"], names["date"], day_first, aliases)
+    df = _gathered(drop_impossible(parse_numbers(parse_dates(standardize_text(df, changes), main, day_first))))
+    df.write.parquet(f"{folder}/parsed")
+    df = spark.read.schema(df.schema).parquet(f"{folder}/parsed")
+    df = _gathered(flag_outliers(df))
     table = order_columns(enforce_types(add_calendar(df)).drop("_log"))
     own = df.select("source_row", F.explode("_log").alias("e")).select("source_row", "e.*")
     none = F.lit(None).cast("string")

@@ -66,8 +66,8 @@ def attach(incidents: DataFrame, members: DataFrame, parts: int = 2) -> DataFram
 
     incidents: number, entity_type, entity, start, end; members: entity_type, entity, campaigns.
     An outage takes in overlapping incidents whose campaigns are all its own. A channel, then a region,
-    with at least ``parts`` overlapping campaign incidents of its members takes those in; with exactly one it
-    belongs to that one. The steps depend on each other's order, so the few incidents of a run are
+    with incidents of at least ``parts`` different campaigns of its own in its period takes those in; with
+    incidents of one campaign only it belongs to the first of them. The steps depend on each other's order, so the few incidents of a run are
     walked in one group; its size is the number of incidents, not of rows.
     """
     rows = incidents.join(members, ["entity_type", "entity"], "left").withColumn("_all", F.lit(1))
@@ -92,7 +92,9 @@ def attach(incidents: DataFrame, members: DataFrame, parts: int = 2) -> DataFram
                 taken = [j for j in free if own[j] and own[j] <= own[i] and group.at[j, "entity_type"] != "outage"]
             else:
                 taken = [j for j in free if group.at[j, "entity_type"] == "campaign" and own[j] and own[j] <= own[i]]
-                if len(taken) == 1 and parts > 1:
+                if len({group.at[j, "entity"] for j in taken}) < parts:
+                    if not taken:
+                        continue
                     parent[number] = group.at[taken[0], "number"]
                     taken = []
             for j in taken:

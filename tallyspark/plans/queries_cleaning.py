@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyspark.operators import cleaning as CL
+from tallyspark.operators import labels as LB
 from tallyspark.operators import mapping as MP
 from tallyspark.operators import profile as PR
 
@@ -42,7 +43,7 @@ for _name in ("cln_03", "wn_14"):
     @add(_name, f"SELECT o_orderkey * 2 + 1 AS source_row, o_orderkey * 2 AS first_row FROM orders WHERE o_orderkey % {REPEAT} = 0 AND o_orderkey % {TOTAL} <> 0")
     def _repeats(spark, sf_dir):
         rows, _ = CL.remove_summary_rows(messy(spark, sf_dir), COLUMNS)
-        return CL.mark_duplicates(rows, COLUMNS).where("source_row != first_row").select("source_row", "first_row")
+        return CL.repeated_rows(rows, COLUMNS)
 
 
 @add("cln_06", KEPT_SQL + """ SELECT r * 2 AS source_row, 'date_standardized' AS action FROM o WHERE k BETWEEN 10 AND 15 UNION ALL SELECT r * 2, 'unreadable_value' FROM o WHERE k = 17 UNION ALL SELECT r * 2, 'missing_value' FROM o WHERE k = 16
@@ -152,8 +153,7 @@ def prf_01(spark, sf_dir):
 
 @add("prf_04", "SELECT DISTINCT lower(o_orderpriority) AS variant, o_orderpriority AS label FROM orders UNION SELECT DISTINCT o_orderpriority || 'T', o_orderpriority FROM orders")
 def prf_04(spark, sf_dir):
-    found = CL.cluster_labels(CL.remove_summary_rows(messy(spark, sf_dir), COLUMNS)[0].select(F.trim("Channel").alias("Channel")), "Channel")
-    return spark.createDataFrame(sorted(found.items()), "variant string, label string")
+    return CL.cluster_labels(CL.remove_summary_rows(messy(spark, sf_dir), COLUMNS)[0], "Channel")
 
 
 _PAIRS = {("abcd", "abcd"): 100.0, ("abc", "abd"): 66.6667, ("kitten", "sitting"): 61.5385, ("", "a"): 0.0}
@@ -161,18 +161,16 @@ _PAIRS = {("abcd", "abcd"): 100.0, ("abc", "abd"): 66.6667, ("kitten", "sitting"
 
 @add("fn_19", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {v}e0)" for (a, b), v in _PAIRS.items()) + ", ('ad spend', 'spend ad', 100.0e0)) v(a, b, ratio)")
 def fn_19(spark, sf_dir):
-    made = [(a, b, round(CL.indel_ratio(a, b), 4)) for a, b in _PAIRS] + [("ad spend", "spend ad", CL.token_sort_ratio("ad spend", "spend ad"))]
+    made = [(a, b, round(LB.indel_ratio(a, b), 4)) for a, b in _PAIRS] + [("ad spend", "spend ad", LB.token_sort_ratio("ad spend", "spend ad"))]
     return spark.createDataFrame(made, "a string, b string, ratio double")
 
 
 @add("jn_14", "SELECT DISTINCT lower(o_orderpriority) AS a, lower(o_orderpriority) || 't' AS b FROM orders")
 def jn_14(spark, sf_dir):
-    """Distinct labels, at most 200, against each other: close spellings with the same digits."""
-    keys = CL.remove_summary_rows(messy(spark, sf_dir), COLUMNS)[0].select(CL.label_key(F.col("Channel")).alias("k")).distinct()
-    names = [r[0] for r in keys.limit(201).collect()]
-    digits = {n: "".join(c for c in n if c.isdigit()) for n in names}
-    near = [(a, b) for a in names for b in names if len(names) <= 200 and a < b and len(a) >= 4 and digits[a] == digits[b] and CL.indel_ratio(a, b) >= 90]
-    return spark.createDataFrame(near, "a string, b string")
+    """Close spellings with the same digits among all distinct labels."""
+    keys = CL.remove_summary_rows(messy(spark, sf_dir), COLUMNS)[0].where("Channel != 'n/a'").groupBy(LB.label_key(F.col("Channel")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = LB.close_keys(keys.select(F.lit("Channel").alias("column"), "key", "n"))
+    return pairs.select(F.least("small", "big").alias("a"), F.greatest("small", "big").alias("b"))
 
 
 @add("prf_05", "SELECT 'negative' AS finding, 'spend' AS column_name, count(*) AS n FROM orders WHERE o_orderkey % 11 = 0 UNION ALL SELECT 'impossible_stage', 'clicks', count(*) FROM orders WHERE o_orderkey % 13 = 0")

@@ -13,29 +13,53 @@ class Field:
     critical: bool = False
 
 
-# Fixed vocabulary: names, kinds and groups that results must share.
-_GROUPS = {
-    "campaign": "campaign_name:category campaign_id:id campaign_type:category objective:category channel:category platform:category",
-    "time": "date:date! week:text month:text quarter:text year:number",
-    "geography": "country:category state:category city:category region:category market:category city_tier:category",
-    "customer": "customer_id:id customer_segment:category age:category gender:category customer_type:category new_returning:category",
-    "advertising": "spend:money! budget:money impressions:number reach:number clicks:number engagements:number views:number",
-    "funnel": "leads:number! qualified_leads:number opportunities:number conversions:number! customers:number orders:number",
-    "revenue": "revenue:money! average_order_value:money gross_profit:money margin:number",
-    "product": "product:category product_category:category sku:id",
-}
-
-
-def _read() -> dict[str, Field]:
-    fields = {}
-    for group, names in _GROUPS.items():
-        for item in names.split():
-            name, kind = item.rstrip("!").split(":")
-            fields[name] = Field(name, kind, group, item.endswith("!"))
-    return fields
-
-
-FIELDS = _read()
+# Names, kinds and groups that results must share.
+_FIELDS = [
+    Field("campaign_name", "category", "campaign"),
+    Field("campaign_id", "id", "campaign"),
+    Field("campaign_type", "category", "campaign"),
+    Field("objective", "category", "campaign"),
+    Field("channel", "category", "campaign"),
+    Field("platform", "category", "campaign"),
+    Field("date", "date", "time", critical=True),
+    Field("week", "text", "time"),
+    Field("month", "text", "time"),
+    Field("quarter", "text", "time"),
+    Field("year", "number", "time"),
+    Field("country", "category", "geography"),
+    Field("state", "category", "geography"),
+    Field("city", "category", "geography"),
+    Field("region", "category", "geography"),
+    Field("market", "category", "geography"),
+    Field("city_tier", "category", "geography"),
+    Field("customer_id", "id", "customer"),
+    Field("customer_segment", "category", "customer"),
+    Field("age", "category", "customer"),
+    Field("gender", "category", "customer"),
+    Field("customer_type", "category", "customer"),
+    Field("new_returning", "category", "customer"),
+    Field("spend", "money", "advertising", critical=True),
+    Field("budget", "money", "advertising"),
+    Field("impressions", "number", "advertising"),
+    Field("reach", "number", "advertising"),
+    Field("clicks", "number", "advertising"),
+    Field("engagements", "number", "advertising"),
+    Field("views", "number", "advertising"),
+    Field("leads", "number", "funnel", critical=True),
+    Field("qualified_leads", "number", "funnel"),
+    Field("opportunities", "number", "funnel"),
+    Field("conversions", "number", "funnel", critical=True),
+    Field("customers", "number", "funnel"),
+    Field("orders", "number", "funnel"),
+    Field("revenue", "money", "revenue", critical=True),
+    Field("average_order_value", "money", "revenue"),
+    Field("gross_profit", "money", "revenue"),
+    Field("margin", "number", "revenue"),
+    Field("product", "category", "product"),
+    Field("product_category", "category", "product"),
+    Field("sku", "id", "product"),
+]
+FIELDS = {f.name: f for f in _FIELDS}
 CALENDAR = ["week_start", "month", "quarter", "year"]
 NUMERIC = [f.name for f in FIELDS.values() if f.kind in ("number", "money") and f.name != "year"]
 #: Summed measures. Reach is not among them: the same person is reached on many days.
