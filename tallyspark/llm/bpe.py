@@ -14,6 +14,8 @@ around the cut is encoded anew and grows until both sides agree with it:
   window or in the right encoding;
 * otherwise the window ends up as the whole of both sides, which is the plain encoding.
 
+A joined text stays a list of parts, and a join reads a window on both sides of its cut, not the texts.
+
 Defined cases: a null or empty text has no ids and decodes to an empty text; the special token's
 string in a text becomes its id, and no window crosses it; equal rows each give a row; rows without
 a doc_id are encoded too; other columns are ignored.
@@ -49,6 +51,8 @@ MEMO = 1 << 19
 MEMO_CHARS = 64
 #: A piece's end can depend on this many characters after it (a contraction has three).
 LOOKAHEAD = 3
+#: So many ends of pre-tokens at a leaf's end go with it to its join.
+TAIL = 64
 
 
 def _byte_of_symbol() -> dict[str, int]:
@@ -79,6 +83,7 @@ class Codec:
             self.bytes[i] = bytes(byte[c] for c in token) if token not in self.special else b""
         for token, i in self.special.items():
             self.bytes[i] = token.encode()
+        self.sizes = np.array([len(b) for b in self.bytes], np.int64)
         self.memo: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> np.ndarray:
@@ -130,100 +135,136 @@ class Codec:
 
     # joins
 
-    def _token_ends(self, ids: np.ndarray) -> np.ndarray:
-        """Where tokens end, in bytes."""
-        return np.cumsum([len(self.bytes[i]) for i in ids], dtype=np.int64)
+    def _marks(self, text: str) -> np.ndarray:
+        """Ends of pre-tokens."""
+        return np.cumsum([len(p) for p in self.pieces(text)], dtype=np.int64)
 
-    def join(self, left: Encoded, right: Encoded, window: int = 32) -> Encoded:
-        """The encoding of both texts together, from theirs."""
-        text = left.text + right.text
-        cut = len(left.text)
-        while window < cut or window < len(right.text):
-            a, b = max(0, cut - window), min(len(text), cut + window)
-            found = self._by_pieces(left, right, text, a, b)
-            if found is None:
-                found = self._by_tokens(left, right, text, a, b)
-            if found is not None:
-                return Encoded(text, found)
-            window *= 4
-        return Encoded(text, np.frombuffer(self.encode(text), "<u4"))
+    def head_marks(self, x: Encoded, upto: int) -> np.ndarray:
+        """Ends of pre-tokens in the first ``upto`` characters. Only those are scanned, and as many again."""
+        if x.marks is None and 2 * (upto + LOOKAHEAD) < len(x.text):
+            marks = self._marks(x.text[: 2 * upto + LOOKAHEAD])[:-1]  # the last piece may go on
+            if len(marks) and marks[-1] >= upto + LOOKAHEAD:
+                return marks[marks <= upto]
+        return (m := self._all_marks(x))[m <= upto]
 
-    def _marks(self, text: str, at: int) -> list[int]:
-        """Ends of pre-tokens of a text that begins at ``at``."""
-        ends = at + np.cumsum([len(p) for p in self.pieces(text)], dtype=np.int64)
-        return ends.tolist()
-
-    def _by_pieces(self, left: Encoded, right: Encoded, text: str, a: int, b: int) -> np.ndarray | None:
-        cut = len(left.text)
-        safe_left = [p for p in self._marks_of(left) if a <= p <= cut - LOOKAHEAD]
-        if not safe_left:
-            return None
-        start = safe_left[0]
-        scan = self._marks(text[start:b], start)
-        right_marks = {cut + p for p in self._marks_of(right)}
-        limit = scan[-2] if len(scan) > 1 else -1  # the last piece may go on beyond the window
-        stops = [p for p in scan if cut <= p <= min(limit, b - LOOKAHEAD) and p in right_marks]
-        if not stops:
-            return None
-        stop = stops[0]
-        middle = np.frombuffer(self.encode(text[start:stop]), "<u4")
-        head = self._upto(left, len(text[:start].encode()))
-        tail = self._after(right, len(text[cut:stop].encode()))
-        return np.concatenate([head, middle, tail])
+    def tail_marks(self, x: Encoded, start: int) -> np.ndarray:
+        """Ends of pre-tokens from ``start`` on, as far as the end of the text doesn't change them."""
+        marks = x.tail if x.tail is not None and len(x.tail) and x.tail[0] <= start else self._all_marks(x)
+        return marks[(marks >= start) & (marks <= len(x.text) - LOOKAHEAD)]
 
-    def _marks_of(self, x: Encoded) -> list[int]:
+    def _all_marks(self, x: Encoded) -> np.ndarray:
         if x.marks is None:
-            x.marks = self._marks(x.text, 0)
+            x.marks = self._marks(x.text)
         return x.marks
 
-    def _upto(self, x: Encoded, end: int) -> np.ndarray:
-        ends = self._ends(x)
-        return x.ids[: int(np.searchsorted(ends, end, side="right"))]
+    def _without_tail(self, ids: np.ndarray, n_bytes: int) -> np.ndarray:
+        """ids without the tokens of the last n_bytes; only those are looked at."""
+        some = ids[max(0, len(ids) - n_bytes) :]
+        gone = int(np.searchsorted(np.cumsum(self.sizes[some[::-1]]), n_bytes, side="left")) + 1 if n_bytes else 0
+        return ids[: len(ids) - gone]
 
-    def _after(self, x: Encoded, start: int) -> np.ndarray:
-        ends = self._ends(x)
-        return x.ids[int(np.searchsorted(ends, start, side="right")) :]
+    def _without_head(self, ids: np.ndarray, n_bytes: int) -> np.ndarray:
+        gone = int(np.searchsorted(np.cumsum(self.sizes[ids[:n_bytes]]), n_bytes, side="left")) + 1 if n_bytes else 0
+        return ids[gone:]
 
-    def _ends(self, x: Encoded) -> np.ndarray:
-        if x.ends is None:
-            x.ends = self._token_ends(x.ids)
-        return x.ends
+    def join(self, left: Encoded, right: Encoded, window: int = 32) -> tuple[Encoded, Encoded] | None:
+        """Both texts encoded as one, cut anew where the encoding allows it; None if no window inside them agrees."""
+        cut = len(left.text)
+        while window < cut or window < len(right.text):
+            a, b = max(0, cut - window), min(len(right.text), window)
+            found = self._by_pieces(left, right, a, b) or self._by_tokens(left, right, a, b)
+            if found is not None:
+                return found
+            window *= 4
+        return None
 
-    def _by_tokens(self, left: Encoded, right: Encoded, text: str, a: int, b: int) -> np.ndarray | None:
-        """Only where one pre-token runs through the whole window and beyond it on both sides."""
+    def _by_pieces(self, left: Encoded, right: Encoded, a: int, b: int) -> tuple[Encoded, Encoded] | None:
+        """The window begins at an end of a pre-token of the left and ends at one of the right that its own scan has too."""
         cut = len(left.text)
-        if a < LOOKAHEAD or b + LOOKAHEAD > len(text) or len(self.pieces(text[a - LOOKAHEAD : b + LOOKAHEAD])) != 1 or len(self.pieces(text[a:b])) != 1:
+        safe = self.tail_marks(left, a)
+        if not len(safe):
             return None
-        if any(a - LOOKAHEAD < p < cut for p in self._marks_of(left)) or any(0 < p < b - cut + LOOKAHEAD for p in self._marks_of(right)):
+        start = int(safe[0])
+        text = left.text[start:] + right.text[:b]
+        scan = self._marks(text)[:-1] - (cut - start)  # in characters of the right; the last piece may go on
+        stops = scan[(scan >= 0) & (scan <= b - LOOKAHEAD)]
+        stops = stops[np.isin(stops, self.head_marks(right, b))]
+        if not len(stops):
             return None
-        ids = self._plain(text[a:b])
-        ends = self._token_ends(ids)
-        begins = ends - np.diff(ends, prepend=0)
-        base, middle = len(text[:a].encode()), len(text[a:cut].encode())
-        l_ends, r_ends = self._ends(left), self._ends(right)
-        on_left = {(int(e), int(i)) for e, i in zip(l_ends - base, left.ids, strict=True) if e > base}
-        on_right = {(int(e) + middle, int(i)) for e, i in zip(r_ends, right.ids, strict=True) if e <= len(text[cut:b].encode())}
-        firsts = [k for k in range(len(ids)) if ends[k] <= middle and (int(ends[k]), int(ids[k])) in on_left]
-        lasts = [k for k in range(len(ids)) if begins[k] >= middle and (int(ends[k]), int(ids[k])) in on_right]
+        stop = int(stops[0])
+        middle = np.frombuffer(self.encode(left.text[start:] + right.text[:stop]), "<u4")
+        head = self._without_tail(left.ids, len(left.text[start:].encode()))
+        tail = self._without_head(right.ids, len(right.text[:stop].encode()))
+        ends = np.concatenate([safe[safe <= start], scan[(scan + cut > start) & (scan <= stop)] + cut])
+        rest = right.tail - stop if right.tail is not None else None
+        return Encoded(left.text + right.text[:stop], np.concatenate([head, middle]), tail=ends), Encoded(right.text[stop:], tail, tail=rest[rest >= 0] if rest is not None else None)
+
+    def _by_tokens(self, left: Encoded, right: Encoded, a: int, b: int) -> tuple[Encoded, Encoded] | None:
+        """Only where one pre-token runs through the whole window and beyond it on both sides.
+
+        The cut comes after a token that the left encoding and the window share, at an end of a character.
+        """
+        cut = len(left.text)
+        if a < LOOKAHEAD or b + LOOKAHEAD > len(right.text):
+            return None
+        around = left.text[a - LOOKAHEAD :] + right.text[: b + LOOKAHEAD]
+        text = around[LOOKAHEAD:-LOOKAHEAD]
+        if len(self.pieces(around)) != 1 or len(self.pieces(text)) != 1:
+            return None
+        ids = self._plain(text)
+        ends = np.cumsum(self.sizes[ids])
+        begins = ends - self.sizes[ids]
+        of_char = np.cumsum([len(c.encode()) for c in text])
+        middle, after = int(of_char[cut - a - 1]), int(of_char[-1])
+        l_some = left.ids[max(0, len(left.ids) - middle) :]
+        l_ends = middle - np.concatenate([[0], np.cumsum(self.sizes[l_some[::-1]])[:-1]])[::-1]
+        r_some = right.ids[: after - middle]
+        r_ends = np.cumsum(self.sizes[r_some]) + middle
+        on_left, on_right = dict(zip(l_ends.tolist(), l_some.tolist(), strict=True)), dict(zip(r_ends.tolist(), r_some.tolist(), strict=True))
+        firsts = [k for k in range(len(ids)) if ends[k] <= middle and on_left.get(int(ends[k])) == ids[k] and ends[k] in of_char]
+        lasts = [k for k in range(len(ids)) if begins[k] >= middle and on_right.get(int(ends[k])) == ids[k]]
         if not firsts or not lasts:
             return None
         i, j = firsts[-1], lasts[0]
-        return np.concatenate([self._upto(left, base + int(ends[i])), ids[i + 1 : j], self._after(right, int(begins[j]) - middle)])
-
-    def tree(self, leaves: list[Encoded]) -> Encoded:
-        """Joins neighbours until one is left."""
-        while len(leaves) > 1:
-            leaves = [self.join(leaves[i], leaves[i + 1]) if i + 1 < len(leaves) else leaves[i] for i in range(0, len(leaves), 2)]
-        return leaves[0]
+        at = a + int(np.searchsorted(of_char, ends[i])) + 1
+        head = self._without_tail(left.ids, middle - int(ends[i]))
+        tail = np.concatenate([ids[i + 1 : j], self._without_head(right.ids, int(begins[j]) - middle)])
+        rest = right.tail + (cut - at) if right.tail is not None else None
+        return Encoded(left.text[:at], head), Encoded(left.text[at:] + right.text, tail, tail=rest)
+
+    def tree(self, leaves: list[Encoded]) -> np.ndarray:
+        """The ids of all leaves together: neighbours are joined in pairs, level by level.
+
+        A joined text stays a list of parts, and a join looks at the two parts at its cut only; while
+        no window inside them agrees, they are put together with the parts beside them.
+        """
+        ropes = [[leaf] for leaf in leaves]
+        while len(ropes) > 1:
+            ropes = [self._roped(ropes[i], ropes[i + 1]) if i + 1 < len(ropes) else ropes[i] for i in range(0, len(ropes), 2)]
+        return np.concatenate([x.ids for x in ropes[0]])
+
+    def _roped(self, left: list[Encoded], right: list[Encoded]) -> list[Encoded]:
+        x, y = left[-1], right[0]
+        before, after = left[:-1], right[1:]
+        while (found := self.join(x, y)) is None:
+            if not before and not after:
+                text = x.text + y.text
+                return [Encoded(text, np.frombuffer(self.encode(text), "<u4"))]
+            if before:
+                p = before.pop()
+                x = Encoded(p.text + x.text, np.concatenate([p.ids, x.ids]))
+            if after:
+                p = after.pop(0)
+                y = Encoded(y.text + p.text, np.concatenate([y.ids, p.ids]))
+        return [*before, *(f for f in found if f.text), *after]
 
 
 class Encoded:
-    """A text and its ids, with the ends of its tokens (bytes) and pre-tokens (characters) once needed."""
+    """A text and its ids; ``tail``: the last ends of its pre-tokens, ``marks``: all of them once needed (characters)."""
 
-    def __init__(self, text: str, ids: np.ndarray):
-        self.text, self.ids = text, ids
-        self.ends: np.ndarray | None = None
-        self.marks: list[int] | None = None
+    def __init__(self, text: str, ids: np.ndarray, tail: np.ndarray | None = None):
+        self.text, self.ids, self.tail = text, ids, tail
+        self.marks: np.ndarray | None = None
 
 
 _CODECS: dict[str, Codec] = {}
@@ -273,17 +314,20 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, leaf: int = 16_384, id_col:
     def encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(vocabulary)
         for part in parts:
-            yield part.assign(doc_id=part["doc_id"].astype("Int64"), ids=[c.encode(t) for t in part["leaf"]])
+            # the ends of a leaf's last pre-tokens; a special token has none
+            tails = [c._marks(t)[-TAIL:].tolist() if t not in c.special else [] for t in part["leaf"]]
+            yield part.assign(doc_id=part["doc_id"].astype("Int64"), ids=[c.encode(t) for t in part["leaf"]], tail=tails)
 
     def joined(group: pd.DataFrame) -> pd.DataFrame:
         c = codec(vocabulary)
         group = group.sort_values("at")
         ids = b"".join(
-            c.tree([Encoded(t, np.frombuffer(i, "<u4")) for t, i in zip(s["leaf"], s["ids"], strict=True)]).ids.astype("<u4").tobytes() for _, s in group.groupby("segment", sort=True)
+            c.tree([Encoded(t, np.frombuffer(i, "<u4"), np.asarray(m, np.int64)) for t, i, m in zip(s["leaf"], s["ids"], s["tail"], strict=True)]).astype("<u4").tobytes()
+            for _, s in group.groupby("segment", sort=True)
         )
         return _table(group["doc_id"].iloc[:1], [_row(c, ids)])
 
     whole = texts.where(F.length("text") <= leaf).mapInPandas(short, _RESULT)
     leaves = texts.where(F.length("text") > leaf).withColumn("key", F.monotonically_increasing_id()).mapInPandas(cut, "key long, doc_id long, at int, segment int, leaf string")
-    encoded = leaves.repartition("key", "at").mapInPandas(encode, "key long, doc_id long, at int, segment int, leaf string, ids binary")
+    encoded = leaves.repartition("key", "at").mapInPandas(encode, "key long, doc_id long, at int, segment int, leaf string, ids binary, tail array<long>")
     return whole.unionByName(encoded.groupBy("key").applyInPandas(joined, _RESULT))
