@@ -230,16 +230,20 @@ def ngram_join(docs: DataFrame, words: int = 5, pct: int = 80, id_col: str = "do
         reps = scratch.table(reps, "reps")
 
         prefixes = reps.where("id is not null").select("id", "n", F.posexplode("prefix").alias("pos", "token"))
-        holders = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("holders"), F.min("n").alias("least"), F.max("n").alias("most"))
-        held = holders.where(f"holders > 2 or (holders = 2 and 100L * least >= {pct}L * most)")  # two holders must pass the length filter
+        ends = F.count(F.lit(1)).alias("holders"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("pos").alias("before"), F.min(F.col("n") - F.col("pos")).alias("after")
+        # of two holders these are the terms of the length and positional filters, which they must pass
+        pass_both = f"100L * least >= {pct}L * most and (before + after) * {100 + pct}L >= {pct}L * (least + most)"
+        held = prefixes.groupBy("token").agg(*ends).where(f"holders > 2 or (holders = 2 and {pass_both})")
         held = scratch.table(held.select("token"), "held")
         at = prefixes.join(held, "token", "left_semi").groupBy("id").agg(F.collect_list("pos").alias("at"))
         entries = reps.join(at, "id").select("id", "n", *facts, "at").mapInArrow(_entries, _ENTRIES)
         entries = scratch.table(entries, "entries")
         pivots = entries.groupBy("token").agg(
-            F.max(F.struct("common", (-F.col("id")).alias("id")))["id"].alias("p1"), F.min("id").alias("p2"), F.min(F.struct(F.xxhash64("id", "token").alias("order"), "id"))["id"].alias("p3")
+            F.max(F.struct("common", (-F.col("id")).alias("id")))["id"].alias("p1"), F.min("id").alias("p2"), F.min(F.struct(F.xxhash64("id", "token").alias("order"), "id"))["id"].alias("p3"), F.count(F.lit(1)).alias("holders")
         )
-        pivots = scratch.table(pivots.select("token", (-F.col("p1")).alias("p1"), "p2", "p3"), "pivot-ids")
+        # of two holders one is enough
+        pivots = pivots.withColumn("p1", -F.col("p1")).select("token", "p1", *(F.when(F.col("holders") > 2, F.col(p)).otherwise(F.col("p1")).alias(p) for p in ("p2", "p3")))
+        pivots = scratch.table(pivots, "pivot-ids")
         met = ["id", "n", "pos", *_BEFORE, *_SIGNS]
         pivots = entries.join(pivots, "token").where("id in (p1, p2, p3)").select("token", *(F.col(c).alias(f"p_{c}") for c in met))
         pivots = scratch.table(pivots, "pivots")

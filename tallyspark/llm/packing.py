@@ -124,7 +124,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str | None, c
 
 
 def best_fit_packing(
-    docs: DataFrame, vocabulary: str, capacity: int = 8192, per_source: int = 4, shard_pieces: int = 10_000, source_col: str | None = "source",
+    docs: DataFrame, vocabulary: str, capacity: int = 8192, per_source: int = 4, shard_pieces: int = 2_000, source_col: str | None = "source",
     cluster: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """doc_id, piece, start, size, bin, bin_offset, in tokens: where each piece of each document goes.
@@ -145,7 +145,7 @@ def best_fit_packing(
 
 
 def pack_tokens(
-    docs: DataFrame, vocabulary: str, capacity: int = 8192, per_source: int = 4, shard_pieces: int = 10_000, source_col: str | None = "source",
+    docs: DataFrame, vocabulary: str, capacity: int = 8192, per_source: int = 4, shard_pieces: int = 2_000, source_col: str | None = "source",
     cluster: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """bin, n_tokens, ids (little-endian unsigned 32-bit integers), pieces (bin_offset, doc_id, piece, size) for each bin that holds a token."""
