@@ -204,7 +204,7 @@ def numbers_in(text: Column) -> Column:
         places = F.length(F.regexp_extract(m["number"], r"\.(\d+)$", 1))
         kind = F.when(m["rupee"] != "", "money").when(m["unit"] == "%", "percent").when(m["unit"] == "x", "ratio").otherwise("plain")
         factor = scale[F.coalesce(m["unit"], F.lit(""))]
-        return F.struct((F.translate(m["number"], ",", "").try_cast("double") * factor).alias("value"), kind.alias("kind"), F.contains(m["number"], F.lit(",")).alias("grouped"), (F.lit(0.5) * F.pow(F.lit(10.0), -places) * factor).alias("tolerance"))
+        return F.struct((F.translate(m["number"], ",", "").try_cast("double") * factor).alias("value"), kind.alias("kind"), F.regexp_replace(m["number"], ",+$", "").contains(",").alias("grouped"), (F.lit(0.5) * F.pow(F.lit(10.0), -places) * factor).alias("tolerance"))
 
     return F.transform(found, one)
 

@@ -235,6 +235,9 @@ def flag_outliers(df: DataFrame) -> DataFrame:
 
 
 def add_calendar(df: DataFrame) -> DataFrame:
+    """Week, month, quarter and year of the date, if there is one."""
+    if "date" not in df.columns:
+        return df
     d = F.col("date")
     return df.withColumns({"week_start": F.to_date(F.date_trunc("week", d)), "month": F.date_format(d, "yyyy-MM"), "quarter": F.concat(F.year(d).cast("string"), F.lit("-Q"), F.quarter(d).cast("string")), "year": F.year(d)})
 

@@ -153,7 +153,15 @@ def prf_01(spark, sf_dir):
 
 @add("prf_04", "SELECT DISTINCT lower(o_orderpriority) AS variant, o_orderpriority AS label FROM orders UNION SELECT DISTINCT o_orderpriority || 'T', o_orderpriority FROM orders")
 def prf_04(spark, sf_dir):
-    return CL.cluster_labels(CL.remove_summary_rows(messy(spark, sf_dir), COLUMNS)[0], "Channel")
+    return CL.cluster_labels(CL.remove_summary_rows(messy(spark, sf_dir), COLUMNS)[0], "Channel", aliases={})
+
+
+@add("prf_04_aliases", "SELECT * FROM (VALUES ('fb', 'Meta'), ('Facebook Ads', 'Meta'), ('adwords', 'Google Ads'), ('E-mail', 'Email'), ('podcast', 'Podcast'), ('Podcasst', 'Podcast')) v(variant, label) WHERE (SELECT count(*) FROM orders) > 0")
+def prf_04_aliases(spark, sf_dir):
+    """The channels of all orders under other names: known ones take their canonical spelling, others the most frequent."""
+    r = F.col("o_orderkey") % 11
+    names = F.when(r == 0, "fb").when(r == 1, "Facebook Ads").when(r == 2, "Meta").when(r == 3, "adwords").when(r == 4, "E-mail").when(r == 5, "podcast").when(r == 6, "Podcasst").when(r == 7, "Email").otherwise("Podcast")
+    return CL.cluster_labels(spark.read.parquet(f"{sf_dir}/orders.parquet").select(names.alias("channel")), "channel")
 
 
 _PAIRS = {("abcd", "abcd"): 100.0, ("abc", "abd"): 66.6667, ("kitten", "sitting"): 61.5385, ("", "a"): 0.0}
@@ -168,7 +176,7 @@ def fn_19(spark, sf_dir):
 @add("jn_14", "SELECT DISTINCT lower(o_orderpriority) AS a, lower(o_orderpriority) || 't' AS b FROM orders")
 def jn_14(spark, sf_dir):
     """Close spellings with the same digits among all distinct labels."""
-    keys = CL.remove_summary_rows(messy(spark, sf_dir), COLUMNS)[0].where("Channel != 'n/a'").groupBy(LB.label_key(F.col("Channel")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    keys = CL.remove_summary_rows(messy(spark, sf_dir), COLUMNS)[0].where("Channel != 'n/a'").groupBy(LB.label_key(F.col("Channel"), {}).alias("key")).agg(F.count(F.lit(1)).alias("n"))
     pairs = LB.close_keys(keys.select(F.lit("Channel").alias("column"), "key", "n"))
     return pairs.select(F.least("small", "big").alias("a"), F.greatest("small", "big").alias("b"))
 
@@ -180,15 +188,63 @@ def prf_05(spark, sf_dir):
     return PR.impossible(typed).withColumnRenamed("column", "column_name")
 
 
-_HEADERS = {"Day": "date", "Campaign": "campaign_name", "Channel": "channel", "Cost": "spend", "Impr.": "impressions", "Clicks": "clicks", "Leads": "leads", "Notes": None, "CPC (INR)": None, "linkClicks": None, "Amount spent (INR)": None, "MQLs": "qualified_leads", "Revenu": "revenue"}
-for _name in ("map_01", "map_02", "map_03", "map_06", "jn_13"):
+# Headers of exports and what becomes of them. Each is also written in other ways below.
+_BASE = [
+    ("day", "date", "date", "mapped"), ("reporting date", "date", "date", "mapped"), ("campaign", "text", "campaign_name", "mapped"), ("campaign id", "text", "campaign_id", "mapped"), ("medium", "text", "channel", "mapped"), ("publisher platform", "text", "platform", "mapped"),
+    ("cost", "number", "spend", "mapped"), ("amount spent", "number", "spend", "mapped"), ("ad spend", "number", "spend", "mapped"), ("impressions", "number", "impressions", "mapped"), ("link clicks", "number", "clicks", "mapped"), ("people reached", "number", "reach", "mapped"),
+    ("video views", "number", "views", "mapped"), ("enquiries", "number", "leads", "mapped"), ("marketing qualified leads", "number", "qualified_leads", "mapped"), ("purchases", "number", "conversions", "mapped"), ("new customers", "number", "customers", "mapped"),
+    ("net sales", "number", "revenue", "mapped"), ("conversion value", "number", "revenue", "mapped"), ("gross profit", "number", "gross_profit", "mapped"), ("gross margin", "number", "margin", "mapped"), ("planned spend", "number", "budget", "mapped"),
+    ("city tier", "text", "city_tier", "mapped"), ("audience segment", "text", "customer_segment", "mapped"), ("product name", "text", "product", "mapped"), ("sku", "text", "sku", "mapped"), ("age range", "text", "age", "mapped"), ("zone", "text", "region", "mapped"),
+    ("total cost", "number", None, "not_used"), ("cost of goods sold", "number", None, "not_used"), ("shipping cost", "number", None, "not_used"), ("ad set name", "text", None, "not_used"), ("search term", "text", None, "not_used"), ("device", "text", None, "not_used"),
+    ("marketing cost", "number", None, "suggested"), ("profit", "number", None, "suggested"), ("net profit", "number", None, "suggested"), ("sales", "number", None, "suggested"), ("sign ups", "number", None, "suggested"), ("results", "number", None, "suggested"), ("key events", "number", None, "suggested"),
+    ("amount", "number", None, "suggested"), ("cost per lead", "number", None, "derived"), ("average cpc", "number", None, "derived"), ("conversion rate", "number", None, "derived"), ("purchase roas", "number", None, "derived"), ("impression share", "number", None, "derived"), ("frequency", "number", None, "derived"),
+    ("zork", "text", None, "unmapped"), ("internal remark b", "text", None, "unmapped"),
+]
+_WAYS = {"plain": "{}", "upper": "{}", "title": "{}", "snake": "{}", "units": "{} (INR)", "dots": "{}", "blanks": "  {}  ", "star": "{} *"}
+_WRITTEN = {"upper": str.upper, "title": str.title, "snake": lambda h: h.replace(" ", "_"), "dots": lambda h: h.replace(" ", ".")}
+_WAYS_SQL = {"plain": "h", "upper": "upper(h)", "title": "array_to_string(list_transform(string_split(h, ' '), lambda w: upper(w[1]) || w[2:]), ' ')", "snake": "replace(h, ' ', '_')", "units": "h || ' (INR)'", "dots": "replace(h, ' ', '.')", "blanks": "'  ' || h || '  '", "star": "h || ' *'"}
+_BASE_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{h}', '{k}', {repr(f) if f else 'NULL'}, '{s}')" for h, k, f, s in _BASE) + ") b(h, kind, field, status)"
+_HEADERS_SQL = f"WITH b AS ({_BASE_SQL}) " + " UNION ALL ".join(f"SELECT {sql} AS header, '{way}' AS way, kind, field, status FROM b" for way, sql in _WAYS_SQL.items())
+
+
+def _headers() -> list[tuple[str, str, str]]:
+    """(header, way, kind): each header alone in a file of its own."""
+    return [(_WAYS[way].format(_WRITTEN.get(way, str)(h)), way, kind) for way in _WAYS for h, kind, _, _ in _BASE]
+
+
+@add("map_01", f"SELECT header, field FROM ({_HEADERS_SQL})")
+def map_01(spark, sf_dir):
+    return spark.createDataFrame([(h, MP.map_fields([h], {h: kind})[h].field) for h, _, kind in _headers()], "header string, field string")
+
+
+@add("map_02", f"SELECT header, status FROM ({_HEADERS_SQL})")
+def map_02(spark, sf_dir):
+    return spark.createDataFrame([(h, MP.propose(h, kind).status) for h, _, kind in _headers()], "header string, status string")
+
+
+# A header that is nearly known is taken only if its values fit the field.
+@add("map_03", "SELECT h AS header, k AS kind, CASE WHEN (h = 'Revenu' AND k IN ('number', 'money', 'mixed', 'empty')) THEN 'revenue' WHEN h = 'Platfrom' AND k IN ('text', 'mixed', 'number', 'date', 'empty') THEN 'platform' WHEN h = 'Reporting dat' AND k IN ('date', 'mixed', 'empty') THEN 'date' END AS field FROM (VALUES ('Revenu'), ('Platfrom'), ('Reporting dat')) v(h), (VALUES ('number'), ('money'), ('text'), ('date'), ('mixed'), ('empty')) w(k)")
+def map_03(spark, sf_dir):
+    made = [(h, k, MP.propose(h, k).field) for h in ("Revenu", "Platfrom", "Reporting dat") for k in ("number", "money", "text", "date", "mixed", "empty")]
+    return spark.createDataFrame(made, "header string, kind string, field string")
+
+
+# 88 and more is taken, 75 and more is asked: n letters with one missing have a ratio of 100 (2n - 2) / (2n - 1).
+@add("map_06", "SELECT h AS header, CASE WHEN score >= 88 THEN 'mapped' WHEN score >= 75 THEN 'suggested' ELSE 'unmapped' END AS status FROM (VALUES ('spen', 200.0 * 4 / 9), ('bdget', 200.0 * 5 / 11), ('rach', 200.0 * 4 / 9), ('clks', 100.0), ('ledz', 200.0 * 3 / 9), ('budgt plan', 200.0 * 5 / 16), ('reachd', 200.0 * 5 / 11), ('spd', 200.0 * 3 / 8)) v(h, score)")
+def map_06(spark, sf_dir):
+    return spark.createDataFrame([(h, MP.propose(h, "number").status) for h in ("spen", "bdget", "rach", "clks", "ledz", "budgt plan", "reachd", "spd")], "header string, status string")
+
+
+# Columns that claim one field in the same file: the earlier word of the list, the user's choice, or nobody.
+_TOGETHER = [("Gross revenue", None), ("Net revenue", "revenue"), ("Spend", "spend"), ("Marketing cost", None), ("Orders", "conversions"), ("Day", "date"), ("Total cost", None), ("Link clicks", None), ("Clicks", "clicks"), ("Impr.", "impressions"), ("CTR", None)]
+
 
-    @add(_name, "SELECT * FROM (VALUES " + ", ".join(f"('{c}', {repr(f) if f else 'NULL'})" for c, f in _HEADERS.items()) + ") v(header, field)")
-    def _mapped(spark, sf_dir):
-        kinds = {r["column"]: r["type"] for r in PR.profile(messy(spark, sf_dir), COLUMNS).collect()}  # one row a column
-        kinds |= dict.fromkeys(["CPC (INR)", "linkClicks", "Amount spent (INR)", "MQLs", "Revenu"], "number")
-        found = MP.map_fields(list(_HEADERS), kinds)
-        return spark.createDataFrame([(c, m.field) for c, m in found.items()], "header string, field string")
+@add("jn_13", "SELECT * FROM (VALUES " + ", ".join(f"('{h}', {repr(f) if f else 'NULL'})" for h, f in _TOGETHER) + ") v(header, field)")
+def jn_13(spark, sf_dir):
+    kinds = {r["column"]: r["type"] for r in PR.profile(messy(spark, sf_dir), COLUMNS).collect()}  # one row a column
+    kinds |= {h: "number" for h, _ in _TOGETHER if h not in kinds}
+    found = MP.map_fields([h for h, _ in _TOGETHER], kinds)
+    return spark.createDataFrame([(h, m.field) for h, m in found.items()], "header string, field string")
 
 
 @add("map_04", "SELECT 'channel' AS email, 'gender' AS gender, CAST(NULL AS VARCHAR) AS other")
@@ -197,11 +253,16 @@ def map_04(spark, sf_dir):
     return spark.range(1).select(*(F.lit(v).cast("string").alias(k) for k, v in zip(("email", "gender", "other"), got, strict=True)))
 
 
-@add("map_05", "SELECT CASE WHEN lower(o_orderpriority) LIKE '%urgent%' THEN 'leads' ELSE 'conversions' END AS meaning, count(*) AS n FROM orders GROUP BY 1")
+@add("map_05", """WITH o AS (SELECT o_orderkey % 7 AS file, CASE o_orderkey % 7 WHEN 0 THEN 'Lead generation' WHEN 1 THEN 'OUTCOME_SALES' WHEN 2 THEN 'Conversions' WHEN 3 THEN 'Traffic' WHEN 4 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'Leads' ELSE 'Sales' END
+    WHEN 5 THEN CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'onsite_conversion.lead_grouped' END ELSE 'offsite_conversion.view' END AS objective FROM orders)
+    SELECT file, CASE WHEN bool_and(objective IN ('Lead generation', 'onsite_conversion.lead_grouped', '')) THEN 'leads' WHEN bool_and(objective IN ('OUTCOME_SALES', 'Conversions')) THEN 'conversions' END AS meaning FROM o GROUP BY file""")
 def map_05(spark, sf_dir):
-    objective = F.when(F.col("o_orderpriority").contains("URGENT"), "Lead generation").otherwise("Sales")
-    meaning = F.when(F.lower(objective).contains("lead"), "leads").otherwise("conversions")
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(meaning.alias("meaning")).agg(F.count(F.lit(1)).alias("n"))
+    file, even = F.col("o_orderkey") % 7, F.col("o_orderkey") % 2 == 0
+    objective = (
+        F.when(file == 0, "Lead generation").when(file == 1, "OUTCOME_SALES").when(file == 2, "Conversions").when(file == 3, "Traffic")
+        .when(file == 4, F.when(even, "Leads").otherwise("Sales")).when(file == 5, F.when(even, "").otherwise("onsite_conversion.lead_grouped")).otherwise("offsite_conversion.view")
+    )
+    return MP.results_meaning(spark.read.parquet(f"{sf_dir}/orders.parquet").select(file.alias("file"), objective.alias("objective")), "objective", ["file"])
 
 
 def _own_ratios(spark, sf_dir):

@@ -1,6 +1,7 @@
 """Hand-made cases: parsing, statuses, mapping, forecasts, curves, incidents, files and the store."""
 
 import datetime as dt
+import random
 import re
 
 import numpy as np
@@ -14,6 +15,7 @@ from tallyspark.operators import cleaning as CL
 from tallyspark.operators import findings as FI
 from tallyspark.operators import forecast as FC
 from tallyspark.operators import incidents as I
+from tallyspark.operators import labels as LB
 from tallyspark.operators import mapping as MP
 from tallyspark.operators import profile as PR
 from tallyspark.operators import response as RC
@@ -66,13 +68,106 @@ def test_mapping():
     found = MP.map_fields(["Day", "Cost", "CTR", "AmountSpent", "Product cost", "Zork"], dict.fromkeys(["Cost", "CTR", "AmountSpent", "Product cost"], "number") | {"Day": "date", "Zork": "text"})
     assert MP.active(found) == {"date": "Day", "spend": "Cost"}
     assert MP.active(MP.map_fields(["Cost", "AmountSpent"], overrides={"AmountSpent": "spend"})) == {"spend": "AmountSpent"}
-    assert CL.indel_ratio("kitten", "sitting") == pytest.approx(61.538, abs=1e-3)
+    assert LB.indel_ratio("kitten", "sitting") == pytest.approx(61.538, abs=1e-3)
+
+
+def test_mapping_asks_before_it_takes_a_doubtful_column():
+    for header, candidates in {"Profit": ("gross_profit",), "Sales": ("revenue", "conversions", "orders"), "Sign ups": ("leads", "conversions"), "Results": ("leads", "conversions"), "Marketing cost": ("spend",)}.items():
+        found = MP.map_fields([header], {header: "number"})
+        assert MP.active(found) == {} and found[header].status == "suggested" and found[header].candidates == candidates
+    assert MP.map_fields(["Total cost"], {"Total cost": "number"})["Total cost"].status == "not_used"
+    assert MP.to_confirm(MP.map_fields(["Sales", "Zork"], {"Sales": "number"})) == ["Sales"]
+    assert MP.active(MP.map_fields(["Results"], {"Results": "number"}, results="leads")) == {"leads": "Results"}
+    more = MP.Knowledge(synonyms={"spend": ["media investment"]}, recognised=["zork"])
+    assert MP.active(MP.map_fields(["Media investment"], knowledge=more)) == {"spend": "Media investment"} and MP.map_fields(["Zork"], knowledge=more)["Zork"].status == "not_used"
+
+
+def greedy_heads(counts, similarity=90.0):
+    """Keys in the order of their counts; each goes to the first head that it is close to."""
+    heads, out = [], {}
+    for key in sorted(counts, key=lambda k: (-counts[k], k)):
+        near = next((h for h in heads if len(key) >= 4 and [c for c in key if c.isdigit()] == [c for c in h if c.isdigit()] and LB.indel_ratio(key, h) >= similarity), None)
+        if near is None:
+            heads.append(key)
+        else:
+            out[key] = near
+    return out
+
+
+def test_misspelt_labels_by_brute_force(spark):
+    rng = random.Random(5)
+    counts = {}
+    for _ in range(40):
+        base = "".join(rng.choice("abcde ") for _ in range(rng.randint(3, 24))).strip() + rng.choice(["", " 1", " 2"])
+        for _ in range(rng.randint(1, 6)):
+            at, key = rng.randrange(len(base) + 1), base
+            key = rng.choice([key, key[:at] + key[at + 1 :], key[:at] + rng.choice("abcxyz") + key[at:], key[:at] + "xy" + key[at:]])
+            counts[key] = rng.randint(1, 50)
+    counts.pop("", None)
+    keys = spark.createDataFrame([("c", k, n) for k, n in counts.items()], "column string, key string, n long")
+    got = {r["key"]: r["head"] for r in LB.merged_keys(keys).collect()}
+    assert got == greedy_heads(counts) and len(got) > 10
+
+
+def test_other_names_of_known_channels_become_one(spark):
+    raw = spark.createDataFrame([(i, v, str(i)) for i, v in enumerate(["FB", "facebook", "Meta Ads", "meta ", "Google", "google ads", "E-mail", "Podcast", "podcast", "Podcast"])], "source_row long, Channel string, Cost string")
+    table, log = CL.clean(raw, {"channel": "Channel", "spend": "Cost"})
+    got = [r["channel"] for r in table.orderBy("source_row").collect()]
+    assert got == ["Meta"] * 4 + ["Google Ads"] * 2 + ["Email"] + ["Podcast"] * 3
+    assert log.where("action = 'label_standardized'").count() == 7
+
+
+def test_quartiles_by_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, float(v)) for k, n in (("a", 1), ("b", 2), ("c", 1001), ("d", 40)) for v in rng.integers(0, 300, n)] + [("e", None), ("c", None)]
+    got = {r["key"]: (r["n"], r["q"]) for r in CL.exact_quantiles(spark.createDataFrame(rows, "key string, v double"), [0.0, 0.25, 0.75, 1.0]).collect()}
+    for k in "abcd":
+        own = [v for x, v in rows if x == k and v is not None]
+        assert got[k][0] == len(own) and got[k][1] == pytest.approx(list(np.percentile(own, [0, 25, 75, 100])))
+    assert set(got) == set("abcd")
+
+
+def test_one_campaign_with_two_incidents_is_one_campaign(spark):
+    day = lambda n: dt.date(2024, 1, n)
+    rows = [(1, "channel", "Search", day(1), day(20)), (2, "campaign", "A", day(2), day(5)), (3, "campaign", "A", day(12), day(15)), (4, "region", "North", day(1), day(20)), (5, "campaign", "B", day(3), day(6))]
+    incidents = spark.createDataFrame(rows, "number long, entity_type string, entity string, start date, end date")
+    of = spark.createDataFrame([("channel", "Search", ["A"]), ("region", "North", ["A", "B"]), ("campaign", "A", ["A"]), ("campaign", "B", ["B"])], "entity_type string, entity string, campaigns array<string>")
+    got = {r["number"]: r["parent"] for r in I.attach(incidents, of).collect()}
+    assert got == {1: 2, 2: 4, 3: 4, 4: None, 5: 4}
+    alone = {r["number"]: r["parent"] for r in I.attach(incidents.where("number <= 3"), of).collect()}
+    assert alone == {1: 2, 2: None, 3: None}
+
+
+def test_planner_takes_the_best_steps(spark):
+    rows = [("A", 1000.0, 3.0, 0.5, None, 500.0, 1300.0), ("B", 800.0, 2.0, 0.8, None, 400.0, 1040.0), ("C", 600.0, 0.05, 1.0, 36.0, 300.0, 780.0)]
+    curves = spark.createDataFrame(rows, "channel string, spend8 double, a double, b double, most_conversions double, guard_low double, guard_high double")
+    spend = {r["channel"]: r["new_spend"] for r in RC.suggest_allocation(curves).collect()}
+    assert sum(spend.values()) == pytest.approx(2400.0) and all(max(lo, 0.7 * s) - 1e-6 <= spend[c] <= min(hi, 1.3 * s) + 1e-6 for c, s, _, _, _, lo, hi in rows)
+
+    def bought(x):
+        return sum(min(a * x[c] ** b, cap or float("inf")) for c, _, a, b, cap, _, _ in rows)
+
+    step = 2400.0 / 400
+    for up in spend:
+        for down in spend:
+            moved = spend | {up: spend[up] + step} if up != down else dict(spend)
+            if up != down:
+                moved[down] = spend[down] - step
+                inside = all(max(lo, 0.7 * s) - 1e-6 <= moved[c] <= min(hi, 1.3 * s) + 1e-6 for c, s, _, _, _, lo, hi in rows)
+                assert not inside or bought(moved) <= bought(spend) + 1e-9
+    assert bought(spend) > bought({c: s for c, s, *_ in rows})
+
+
+def test_numbers_of_answers(spark):
+    text = "₹2.7-5.9 Cr, ₹3 to ₹4 lakhs, 1,950 leads in 1950, 12 weeks, -4.5%"
+    got = spark.createDataFrame([(text,)], "t string").select(F.filter(X.numbers_in(F.col("t")), X.checkable).alias("n")).first()["n"]
+    assert [(round(x["value"], 1), x["kind"]) for x in got] == [(27e6, "money"), (59e6, "money"), (3e5, "money"), (4e5, "money"), (1950.0, "plain"), (-4.5, "percent")]
 
 
 def test_duplicates_keep_the_first_row_and_nulls_are_equal(spark):
     raw = spark.createDataFrame([(1, "a", None), (2, "a", None), (3, "a", ""), (4, "b", "x")], "source_row long, p string, `q.r` string")
-    got = {r["source_row"]: r["first_row"] for r in CL.mark_duplicates(raw, ["p", "q.r"]).collect()}
-    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+    got = {r["source_row"]: r["first_row"] for r in CL.repeated_rows(raw, ["p", "q.r"]).collect()}
+    assert got == {2: 1}
 
 
 def test_totals_are_no_labels_wherever_they_stand(spark, monkeypatch):
