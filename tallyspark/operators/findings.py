@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import text as X
 from tallyspark.functions.kpi import BETTER, DOWN
+from tallyspark.sources.shared import new_folder
 
 # Fixed thresholds.
 CONCENTRATION, SIZEABLE, MOVER, GAP_POINTS, PACK_CHARS = 40.0, 3.0, 2.0, 5.0, 21_000
@@ -45,6 +46,14 @@ def _finding(rows: DataFrame, finding: str, priority: int, table: str, key: str,
 
 def generate_findings(channels: DataFrame, campaigns: DataFrame, funnel: DataFrame, segments: DataFrame, present: set[str]) -> DataFrame:
     """Findings in order of priority from the result tables (few rows each); every number names its table, key and column."""
+    folder = new_folder(channels.sparkSession, "findings")
+
+    def written(table: DataFrame, name: str) -> DataFrame:
+        table.write.parquet(f"{folder}/{name}")
+        return table.sparkSession.read.schema(table.schema).parquet(f"{folder}/{name}")
+
+    # small result tables that several rules read
+    channels, campaigns, funnel, segments = (written(t, n) for t, n in ((channels, "channels"), (campaigns, "campaigns"), (funnel, "funnel"), (segments, "segments")))
     metric = headline_metric(present) or "spend"
     low = BETTER[metric] == DOWN
     several = channels.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))

@@ -26,13 +26,31 @@ def _clean(spark, sf_dir):
 
 _CLEAN_COLUMNS = """ SELECT r * 2 AS source_row, CASE WHEN k IN (16, 17) THEN NULL ELSE CAST(day AS VARCHAR) END AS date, 'Campaign ' || (o_custkey % 25) AS campaign_name, CASE WHEN k = 8 THEN NULL ELSE o_orderpriority END AS channel,
     CASE WHEN k IN (4, 5, 6) THEN NULL ELSE cost END AS spend, CAST(CASE WHEN k = 7 THEN clicks - 1 ELSE clicks * 10 END AS DOUBLE) AS impressions, CAST(CASE WHEN k = 7 THEN NULL ELSE clicks END AS DOUBLE) AS clicks, CAST(r % 7 AS DOUBLE) AS leads FROM o"""
-for _name in ("cln_04", "cln_05", "prj_01", "prj_04"):
+for _name in ("cln_04", "prj_04"):
 
     @add(_name, KEPT_SQL + _CLEAN_COLUMNS)
     def _cleaned(spark, sf_dir):
         return _clean(spark, sf_dir)[0].select("source_row", F.col("date").cast("string").alias("date"), "campaign_name", "channel", "spend", "impressions", "clicks", "leads")
 
 
+@add("cln_05", KEPT_SQL + """ SELECT o_orderpriority AS channel, 'Campaign ' || (o_custkey % 25) AS campaign_name, count(*) AS n FROM o WHERE k <> 8 GROUP BY 1, 2 UNION ALL SELECT NULL, 'Campaign ' || (o_custkey % 25), count(*) FROM o WHERE k = 8 GROUP BY 2""")
+def cln_05(spark, sf_dir):
+    """Texts standardised, before any date or number is read."""
+    raw = CL.remove_summary_rows(messy(spark, sf_dir), COLUMNS)[0].where("source_row % 2 = 0")
+    df, _ = CL.select_and_rename(raw, {"campaign_name": "Campaign", "channel": "Channel"})
+    changes, _ = CL.survey(df, ["campaign_name", "channel"])
+    return CL.standardize_text(df, changes).groupBy("channel", "campaign_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@add("prj_01", "SELECT 'Notes' AS column_name, 'column_dropped' AS action, (SELECT count(*) FROM orders WHERE o_orderkey % " + str(TOTAL) + " <> 0) AS rows UNION ALL SELECT 'Leads', 'column_dropped', (SELECT count(*) FROM orders WHERE o_orderkey % " + str(TOTAL) + " <> 0)")
+def prj_01(spark, sf_dir):
+    """Columns that no field claims are left out, and logged."""
+    table, log = CL.clean(messy(spark, sf_dir), {f: c for f, c in MAPPING.items() if f != "leads"})
+    assert not {"Notes", "Leads", "leads"} & set(table.columns)
+    rows = table.agg(F.count(F.lit(1)).alias("rows"))
+    return log.where("action = 'column_dropped'").select(F.col("column").alias("column_name"), "action").join(rows)  # one row
+
+
 @add("cln_02", f"SELECT o_orderkey * 2 AS source_row, 'summary_row_removed' AS action FROM orders WHERE o_orderkey % {TOTAL} = 0 UNION ALL SELECT o_orderkey * 2 + 1, 'summary_row_removed' FROM orders WHERE o_orderkey % {TOTAL} = 0 AND o_orderkey % {REPEAT} = 0")
 def cln_02(spark, sf_dir):
     return _clean(spark, sf_dir)[1].where("action = 'summary_row_removed'").select("source_row", "action")
@@ -67,15 +85,21 @@ def cln_09(spark, sf_dir):
     return _clean(spark, sf_dir)[0].where(F.array_contains("dq_flags", "clicks_gt_impressions")).select("source_row", F.lit("clicks_gt_impressions").alias("flag"))
 
 
-_OUTLIERS = KEPT_SQL + """, s AS (SELECT r * 2 AS source_row, CASE WHEN k = 8 THEN '(none)' ELSE o_orderpriority END AS channel, CASE WHEN k NOT IN (4, 5, 6) AND r % 7 >= 5 THEN cost / (r % 7) END AS v FROM o),
-  q AS (SELECT channel, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3, count(v) AS n FROM s GROUP BY 1)
-  SELECT source_row, round(v, 2) AS cpl FROM s JOIN q USING (channel) WHERE n >= 20 AND q3 > q1 AND (v > q3 + 3 * (q3 - q1) OR v < q1 - 3 * (q3 - q1))"""
+_OUTLIERS = """WITH o AS (SELECT o_orderkey AS source_row, o_orderpriority AS channel, round(o_totalprice, 2) * CASE WHEN o_orderkey % 101 = 0 THEN 60.0e0 ELSE 1 END AS spend, CAST(o_orderkey % 7 + 3 AS DOUBLE) AS leads FROM orders),
+    v AS (SELECT source_row, channel, 'spend' AS of, spend AS v FROM o UNION ALL SELECT source_row, channel, 'cpl', spend / leads FROM o WHERE leads >= 5),
+    q AS (SELECT channel, of, count(*) AS n, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM v GROUP BY 1, 2)
+    SELECT source_row, of AS column_name, round(v, 2) AS value FROM v JOIN q USING (channel, of) WHERE n >= 20 AND q3 > q1 AND (v > q3 + 3 * (q3 - q1) OR v < q1 - 3 * (q3 - q1))"""
 
 
 @add("cln_10", _OUTLIERS)
 def cln_10(spark, sf_dir):
-    flagged = _clean(spark, sf_dir)[0].where(F.array_contains("dq_flags", "outlier_cpl"))
-    return flagged.select("source_row", F.round(F.col("spend") / F.col("leads"), 2).alias("cpl"))
+    """Values 60 times too high in every 101st row, and whatever else lies outside its channel's limits."""
+    k = F.col("o_orderkey")
+    df = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        k.alias("source_row"), F.col("o_orderpriority").alias("channel"), (F.round("o_totalprice", 2) * F.when(k % 101 == 0, 60.0).otherwise(1.0)).alias("spend"), (k % 7 + 3).cast("double").alias("leads")
+    )
+    log = CL.flag_outliers(df).select("source_row", F.explode(F.flatten(F.array("_log_0", "_log_1"))).alias("e"))
+    return log.select("source_row", F.col("e.column").alias("column_name"), F.col("e.original").cast("double").alias("value"))
 
 
 @add("cln_11", KEPT_SQL + """ SELECT r * 2 AS source_row, 'channel' AS column_name, lower(o_orderpriority) AS original, o_orderpriority AS cleaned, 'label_standardized' AS action FROM o WHERE k = 1
@@ -223,9 +247,9 @@ def map_02(spark, sf_dir):
 
 
 # A header that is nearly known is taken only if its values fit the field.
-@add("map_03", "SELECT h AS header, k AS kind, CASE WHEN (h = 'Revenu' AND k IN ('number', 'money', 'mixed', 'empty')) THEN 'revenue' WHEN h = 'Platfrom' AND k IN ('text', 'mixed', 'number', 'date', 'empty') THEN 'platform' WHEN h = 'Reporting dat' AND k IN ('date', 'mixed', 'empty') THEN 'date' END AS field FROM (VALUES ('Revenu'), ('Platfrom'), ('Reporting dat')) v(h), (VALUES ('number'), ('money'), ('text'), ('date'), ('mixed'), ('empty')) w(k)")
+@add("map_03", "SELECT h AS header, k AS kind, CASE WHEN (h = 'Revenu' AND k IN ('number', 'money', 'mixed', 'empty')) THEN 'revenue' WHEN h = 'Platformm' AND k IN ('text', 'mixed', 'number', 'date', 'empty') THEN 'platform' WHEN h = 'Reporting dat' AND k IN ('date', 'mixed', 'empty') THEN 'date' END AS field FROM (VALUES ('Revenu'), ('Platformm'), ('Reporting dat')) v(h), (VALUES ('number'), ('money'), ('text'), ('date'), ('mixed'), ('empty')) w(k)")
 def map_03(spark, sf_dir):
-    made = [(h, k, MP.propose(h, k).field) for h in ("Revenu", "Platfrom", "Reporting dat") for k in ("number", "money", "text", "date", "mixed", "empty")]
+    made = [(h, k, MP.propose(h, k).field) for h in ("Revenu", "Platformm", "Reporting dat") for k in ("number", "money", "text", "date", "mixed", "empty")]
     return spark.createDataFrame(made, "header string, kind string, field string")
 
 

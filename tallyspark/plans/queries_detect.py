@@ -316,14 +316,25 @@ for _name in ("prj_14", "prj_15"):
         return rounded(flags.select("entity", "metric", "sign", "start", F.col("end").alias("end_date"), F.abs("score").alias("peak"), "pct"))
 
 
-for _name in ("ag_40", "jn_12"):
-
-    @add(_name, ", c AS (SELECT channel AS entity, list(DISTINCT campaign_name) AS own FROM m WHERE date < DATE '1995-01-05' GROUP BY 1), r AS (SELECT region AS other, list(DISTINCT campaign_name) AS theirs FROM m WHERE date < DATE '1995-01-08' GROUP BY 1) SELECT entity, other, CAST(len(own) AS INTEGER) AS n FROM c JOIN r ON len(list_filter(own, lambda x: NOT list_contains(theirs, x))) = 0 AND len(own) > 0")
-    def _contained(spark, sf_dir):
-        df = rows(spark, sf_dir)
-        own = I.members(df.where("date < '1995-01-05'"), "channel", "campaign_name")
-        others = I.members(df.where("date < '1995-01-08'"), "region", "campaign_name").select(F.col("entity").alias("other"), F.col("campaigns").alias("theirs"))
-        return own.join(others, (F.size(F.array_except("campaigns", "theirs")) == 0) & (F.size("campaigns") > 0)).select("entity", "other", F.size("campaigns").alias("n"))
+#: Parts as campaigns: most but not all parts of a category are sold in each region.
+_PART = "CAST(l_partkey AS STRING)"
+
+
+@R.add("ag_40", " SELECT product_category AS entity, CAST(count(DISTINCT campaign_name) AS INTEGER) AS n, string_agg(DISTINCT campaign_name, ',' ORDER BY campaign_name) AS campaigns FROM m GROUP BY 1", campaign=_PART)
+def ag_40(spark, sf_dir):
+    own = I.members(campaign_rows(spark, sf_dir, _PART), "product_category", "campaign_name")
+    return own.select("entity", F.size("campaigns").alias("n"), F.array_join("campaigns", ",").alias("campaigns"))
+
+
+@R.add("jn_12", ", c AS (SELECT product_category AS entity, list(DISTINCT campaign_name) AS own FROM m GROUP BY 1), r AS (SELECT region AS other, list(DISTINCT campaign_name) AS theirs FROM m GROUP BY 1) SELECT entity, other, CAST(len(own) AS INTEGER) AS n FROM c JOIN r ON len(list_filter(own, lambda x: NOT list_contains(theirs, x))) = 0 AND len(own) > 0", campaign=_PART)
+def jn_12(spark, sf_dir):
+    """Categories all of whose parts a region has: shared parts are counted and held against the category's own count."""
+    df = campaign_rows(spark, sf_dir, _PART).select("product_category", "region", "campaign_name").distinct()
+    own = df.select(F.col("product_category").alias("entity"), "campaign_name").distinct()
+    theirs = df.where("region is not null").select(F.col("region").alias("other"), "campaign_name").distinct()
+    sizes = own.groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
+    shared = own.join(theirs, "campaign_name").groupBy("entity", "other").agg(F.count(F.lit(1)).alias("shared"))
+    return shared.join(sizes, "entity").where("shared = n").select("entity", "other", F.col("n").cast("int").alias("n"))
 
 
 @add("prj_16", _FLAGS + _MERGED_SQL + " WHERE start <= DATE '1998-06-30' AND end_date >= DATE '1998-01-01' AND entity IN (SELECT channel FROM pm WHERE campaign_name = 'always on')", ("start", "end_date"))

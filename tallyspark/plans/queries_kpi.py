@@ -442,17 +442,22 @@ def set_03(spark, sf_dir):
 
 
 
-@R.add("set_04", ", a AS (SELECT list(DISTINCT campaign_name) AS x FROM m WHERE region = 'ASIA' AND date < DATE '1995-01-06'), b AS (SELECT list(DISTINCT campaign_name) AS y FROM m WHERE region = 'EUROPE' AND date < DATE '1995-01-06') SELECT len(list_intersect(x, y)) > 0 AS overlap, CAST(len(list_filter(x, lambda e: NOT list_contains(y, e))) AS INTEGER) AS only_asia, CAST(len(list_distinct(list_concat(x, y))) AS INTEGER) AS together FROM a, b")
+#: Part and supplier as the campaign: regions then share most but not all.
+_PAIR = "CAST(l_partkey AS STRING) || '/' || CAST(l_suppkey AS STRING)"
+_BY_REGION = ", a AS (SELECT DISTINCT campaign_name FROM m WHERE region = 'ASIA'), b AS (SELECT DISTINCT campaign_name FROM m WHERE region = 'EUROPE')"
+
+
+@R.add("set_04", _BY_REGION + " SELECT (SELECT count(*) FROM a SEMI JOIN b USING (campaign_name)) > 0 AS overlap, (SELECT count(*) FROM a ANTI JOIN b USING (campaign_name)) AS only_asia, (SELECT count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)) AS together", campaign=_PAIR)
 def set_04(spark, sf_dir):
-    early = rows(spark, sf_dir).where("date < '1995-01-06'")
-    one = early.agg(*(F.collect_set(F.when(F.col("region") == r, F.col("campaign_name"))).alias(n) for r, n in (("ASIA", "x"), ("EUROPE", "y"))))
-    return one.select(F.arrays_overlap("x", "y").alias("overlap"), F.size(F.array_except("x", "y")).alias("only_asia"), F.size(F.array_union("x", "y")).alias("together"))
+    """Sets of campaigns of two regions, over all rows, as counts over one row a campaign."""
+    flags = rows(spark, sf_dir, _PAIR).groupBy("campaign_name").agg(*(F.bool_or(F.coalesce(F.col("region") == r, F.lit(False))).alias(n) for r, n in (("ASIA", "x"), ("EUROPE", "y"))))
+    return flags.agg(F.coalesce(F.bool_or(F.col("x") & F.col("y")), F.lit(False)).alias("overlap"), F.count_if(F.col("x") & ~F.col("y")).alias("only_asia"), F.count_if(F.col("x") | F.col("y")).alias("together"))
 
 
-@R.add("set_05", "SELECT DISTINCT campaign_name FROM m WHERE region = 'ASIA' AND date < DATE '1995-01-06' EXCEPT SELECT campaign_name FROM m WHERE region = 'EUROPE' AND date < DATE '1995-01-06'")
+@R.add("set_05", _BY_REGION + " SELECT campaign_name FROM a EXCEPT SELECT campaign_name FROM b", campaign=_PAIR)
 def set_05(spark, sf_dir):
-    early = rows(spark, sf_dir).where("date < '1995-01-06'")
-    return early.where("region = 'ASIA'").select("campaign_name").distinct().join(early.where("region = 'EUROPE'").select("campaign_name"), "campaign_name", "left_anti")
+    df = rows(spark, sf_dir, _PAIR)
+    return df.where("region = 'ASIA'").select("campaign_name").distinct().join(df.where("region = 'EUROPE'").select("campaign_name").distinct(), "campaign_name", "left_anti")
 
 
 # joins over stored runs and lookups

@@ -158,10 +158,13 @@ def fn_20(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", X.is_summary(F.get(texts, (F.col("o_orderkey") % 6).cast("int"))).alias("summary"))
 
 
-@add("fn_21", r"SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[\s\x0B]+', ' ', 'g')) AS tidy FROM documents WHERE lang = 'en' AND NOT regexp_matches(coalesce(text, ''), '[^\x00-\x7f]')")
+# Every white space of Unicode, the same class on both sides.
+_BLANKS = "\\x09-\\x0D\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
+
+
+@add("fn_21", f"SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[{_BLANKS}]+', ' ', 'g')) AS tidy FROM documents")
 def fn_21(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(~F.col("text").rlike(r"[^\x00-\x7f]"))
-    return docs.select("doc_id", X.tidy(F.col("text")).alias("tidy"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.tidy(F.coalesce("text", F.lit(""))).alias("tidy"))
 
 
 @add("fn_21_whole", None)

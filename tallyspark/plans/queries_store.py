@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.operators import mapping as MP
 from tallyspark.operators.group import group_kpis
 from tallyspark.sources import files as FILES
 from tallyspark.sources import generate as GEN
@@ -65,10 +66,17 @@ def src_17(spark, sf_dir):
     return g.agg(F.countDistinct("date").alias("days"), F.countDistinct("campaign_name").alias("campaigns"), F.count(F.lit(1)).alias("rows"))
 
 
-@add("src_18", "SELECT 31025 AS rows, 7 AS columns")
+@add("src_18", "SELECT * FROM (VALUES ('export', 31025, 7), ('messy', 31025 + 1, 10), ('without revenue', 31025, 15), ('without leads', 31025, 15), ('without region', 31025, 15), ('without clicks', 31025, 15)) v(variant, rows, columns) UNION ALL SELECT 'slice ' || c, n * 1825, 7 FROM (VALUES ('Paid Search', 2), ('Paid Social', 3), ('Display', 3), ('Video', 3), ('Affiliate', 3), ('Email', 3)) v(c, n)")
 def src_18(spark, sf_dir):
-    export = GEN.platform_export(GEN.campaigns(spark))
-    return export.agg(F.count(F.lit(1)).alias("rows")).withColumn("columns", F.lit(len(export.columns)))
+    """Rows and columns of each variant; the messy copy without its repeated rows."""
+    df = GEN.campaigns(spark)
+    made = {"export": GEN.platform_export(df), "messy": GEN.messy_copy(df).distinct()}
+    made |= {f"without {c}": v for c, v in GEN.dropped_column_copies(df).items()} | {f"slice {c}": v for c, v in GEN.channel_slices(df).items()}
+    out = None
+    for name, variant in made.items():
+        one = variant.agg(F.count(F.lit(1)).cast("int").alias("rows")).select(F.lit(name).alias("variant"), "rows", F.lit(len(variant.columns)).alias("columns"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 # the run store
@@ -91,24 +99,94 @@ for _name in ("src_13", "snk_01"):
 
 
 _TIDY = "SELECT channel AS campaign, metric, round(value, 4) AS value FROM (SELECT channel, sum(spend) AS spend, sum(revenue) AS revenue FROM m GROUP BY 1) UNPIVOT (value FOR metric IN (spend, revenue))"
-for _name in ("src_14", "snk_02", "snk_05", "src_16"):
+def _by_channel(spark, sf_dir) -> DataFrame:
+    return group_kpis(campaign_rows(spark, sf_dir), "channel", PRESENT).select(F.col("channel").alias("campaign"), "spend", "revenue")
+
+
+for _name in ("src_14", "snk_02"):
 
     @R.add(_name, _TIDY)
     def _analysis(spark, sf_dir):
-        store = _store(spark)
-        wide = group_kpis(campaign_rows(spark, sf_dir), "channel", PRESENT).select(F.col("channel").alias("campaign"), "spend", "revenue")
-        store.save_analysis("r1", "campaign_analysis", melted(wide, ["campaign"]))
-        store.save_analysis("r2", "campaign_analysis", melted(wide, ["campaign"]).limit(1))
+        store, wide = _store(spark), _by_channel(spark, sf_dir)
+        store.save_analysis("r1", "campaign_analysis", melted(wide.where("campaign < '3'"), ["campaign"]))
+        store.save_analysis("r1", "campaign_analysis", melted(wide, ["campaign"]))  # replaces
+        store.save_analysis("r2", "campaign_analysis", melted(wide.where("campaign >= '3'"), ["campaign"]))
         return rounded(store.load_analysis("r1", "campaign_analysis"))
 
 
-for _name in ("src_15", "snk_03", "snk_04", "snk_10", "snk_11"):
+@R.add("snk_05", _TIDY)
+def snk_05(spark, sf_dir):
+    return rounded(melted(_by_channel(spark, sf_dir), ["campaign"]))
+
+
+@R.add("src_16", "SELECT 'r2' AS run_id, round(sum(spend), 2) AS spend, count(*) AS rows FROM m")
+def src_16(spark, sf_dir):
+    """A finished run opens by its file's content, with the figures that it was stored with."""
+    store = _store(spark)
+    total = campaign_rows(spark, sf_dir).agg(F.round(F.sum("spend"), 2).alias("spend"), F.count(F.lit(1)).alias("rows")).first()
+    store.register_datasets(spark.createDataFrame([("h1", "one.csv"), ("h2", "two.csv")], "sha256 string, name string"))
+    for run_id, sha256, status, at in (("r1", "h1", "finished", 1), ("r2", "h1", "finished", 2), ("r3", "h1", "failed", 3), ("r4", "h2", "created", 4)):
+        store.set_status(run_id, sha256, status, at)
+        store.save_snapshot(run_id, {"spend": total["spend"], "rows": total["rows"], "run": run_id}, at)
+    run_id, snapshot = store.reopen("h1")
+    assert store.reopen("h2") is None and snapshot["run"] == run_id
+    return spark.createDataFrame([(run_id, snapshot["spend"], snapshot["rows"])], "run_id string, spend double, rows long")
+
+
+@add("snk_03", "SELECT 'o_comment' AS column_name, CASE WHEN o_orderkey % 2 = 0 THEN 'fixed' ELSE 'flagged' END AS action, count(*) AS n, min(o_orderkey) AS first_row FROM orders GROUP BY 2")
+def snk_03(spark, sf_dir):
+    """The cleaning log under the store's names; a run's log is replaced, other runs' stay."""
+    store = _store(spark)
+    log = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("source_row"), F.lit("o_comment").alias("column"), F.lit("a").alias("original"), F.lit("b").alias("cleaned"), F.when(F.col("o_orderkey") % 2 == 0, "fixed").otherwise("flagged").alias("action"))
+    store.save_quality_log("r1", log.where("source_row % 5 = 0"))
+    store.save_quality_log("r2", log.where("source_row % 7 = 0"))
+    store.save_quality_log("r1", log)
+    return store.load_log("r1", "data_quality_logs").where("original_value = 'a' and cleaned_value = 'b'").groupBy("column_name", "action").agg(F.count(F.lit(1)).alias("n"), F.min("source_row").alias("first_row"))
+
+
+@add("snk_04", "SELECT * FROM (VALUES ('Day', 'date', 'mapped', 100.0e0), ('Cost', 'spend', 'mapped', 100.0e0), ('Sales', NULL, 'suggested', 0.0e0), ('CTR', NULL, 'derived', 100.0e0), ('Total cost', NULL, 'not_used', 100.0e0)) v(source_column, canonical_field, status, score)")
+def snk_04(spark, sf_dir):
+    store = _store(spark)
+    store.save_mappings("r1", MP.map_fields(["Day"], {"Day": "date"}))
+    store.save_mappings("r1", MP.map_fields(["Day", "Cost", "Sales", "CTR", "Total cost"], {"Day": "date", "Cost": "number", "Sales": "number", "CTR": "number", "Total cost": "number"}))
+    return store.load_log("r1", "field_mappings").select("source_column", "canonical_field", "status", "score")
+
+
+@add("snk_10", "SELECT event_type AS purpose, count(*) AS calls, sum(event_id % 100) AS input_tokens FROM events GROUP BY 1")
+def snk_10(spark, sf_dir):
+    """Calls come in parts; none replaces what came before."""
+    store = _store(spark)
+    calls = table(spark, sf_dir, "events").select(F.col("event_type").alias("purpose"), F.lit("m").alias("model"), F.lit("ok").alias("status"), (F.col("event_id") % 100).alias("input_tokens"), (F.col("event_id") % 3).alias("part"))
+    for part in range(3):
+        store.append_log("r1", "ai_calls", calls.where(F.col("part") == part).drop("part"))
+    store.append_log("r2", "ai_calls", calls.drop("part"))
+    return store.load_log("r1", "ai_calls").groupBy("purpose").agg(F.count(F.lit(1)).alias("calls"), F.sum("input_tokens").alias("input_tokens"))
 
-    @add(_name, "SELECT o_orderstatus AS action, count(*) AS n FROM orders GROUP BY 1")
-    def _logs(spark, sf_dir):
-        store = _store(spark)
-        store.append("data_quality_logs", table(spark, sf_dir, "orders").select(F.lit("r1").alias("run_id"), F.col("o_orderkey").alias("source_row"), F.col("o_orderstatus").alias("action")), "run_id")
-        return store.read("data_quality_logs").where("run_id = 'r1'").groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+
+@add("snk_11", "SELECT * FROM (VALUES ('r1', 'pdf', 5), ('r1', 'xlsx', 6), ('r2', 'pdf', 7)) v(run_id, kind, \"at\")")
+def snk_11(spark, sf_dir):
+    store = _store(spark)
+    for run_id, kind, at in (("r1", "pdf", 5), ("r1", "xlsx", 6), ("r2", "pdf", 7)):
+        store.append_log(run_id, "reports", spark.createDataFrame([(kind, f"{kind}/{run_id}", at)], "kind string, path string, at int"))
+    return store.read("reports").select("run_id", "kind", "at")
+
+
+@add("src_15", "SELECT 'quality' AS log, count(*) AS n FROM orders UNION ALL SELECT 'mappings', 3 UNION ALL SELECT 'reports', 1 UNION ALL SELECT 'runs', 1")
+def src_15(spark, sf_dir):
+    """Everything that is stored of one run, beside another."""
+    store = _store(spark)
+    store.register_datasets(spark.createDataFrame([("h1", "one.csv")], "sha256 string, name string"))
+    for run_id in ("r1", "r2"):
+        store.save_quality_log(run_id, table(spark, sf_dir, "orders").where(F.lit(run_id == "r1") | (F.col("o_orderkey") % 2 == 0)).select(F.col("o_orderkey").alias("source_row"), F.lit("x").alias("action")))
+        store.append_log(run_id, "reports", spark.createDataFrame([("pdf", "p", 1)], "kind string, path string, at int"))
+        store.save_mappings(run_id, MP.map_fields(["Day", "Cost", "Clicks"]))
+        store.set_status(run_id, "h1", "finished", 1)
+    counts = {"quality": store.load_log("r1", "data_quality_logs"), "mappings": store.load_log("r1", "field_mappings"), "reports": store.load_log("r1", "reports"), "runs": store.runs().where("run_id = 'r1'")}
+    out = None
+    for name, df in counts.items():
+        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("log"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @add("snk_06", "SELECT DISTINCT n_name AS sha256 FROM nation")
@@ -124,7 +202,7 @@ def _runs(spark) -> RunStore:
     store.register_datasets(spark.createDataFrame([("h1", "one.csv"), ("h2", "two.csv"), ("h3", "orphan.csv")], "sha256 string, name string"))
     log = [("r1", "h1", "created", 1), ("r1", "h1", "finished", 5), ("r2", "h2", "created", 2), ("r2", "h2", "failed", 3), ("r3", "h1", "created", 7)]
     store.append("run_log", spark.createDataFrame(log, "run_id string, sha256 string, status string, at long"))
-    store.append("reports", spark.createDataFrame([("r1", "pdf"), ("r1", "xlsx"), ("r2", "pdf")], "run_id string, kind string"))
+    store.append("reports", spark.createDataFrame([("r1", "pdf"), ("r1", "xlsx"), ("r2", "pdf")], "run_id string, kind string"), "run_id")
     return store
 
 
@@ -167,9 +245,19 @@ def snk_09(spark, sf_dir):
     return store.read("targets").select("layout_key", "kpi", "target")
 
 
-@add("snk_14", "SELECT 'r2' AS run_id UNION ALL SELECT 'r1'")
+@add("snk_14", "SELECT 'r3' AS run_id, (SELECT count(*) FROM orders) AS rows, 1 AS reports")
 def snk_14(spark, sf_dir):
-    return _runs(spark).beyond_retention(keep=1)
+    """Only the newest run stays, and of the others no row of any table."""
+    store = _runs(spark)
+    store.append("reports", spark.createDataFrame([("r3", "pdf")], "run_id string, kind string"), "run_id")
+    for run_id in ("r1", "r2", "r3"):
+        store.save_quality_log(run_id, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("source_row"), F.lit("x").alias("action")))
+    gone = store.apply_retention(keep=1)
+    left = store.runs().select("run_id")
+    rows = store.read("data_quality_logs").groupBy("run_id").agg(F.count(F.lit(1)).alias("rows"))
+    reports = store.read("reports").groupBy("run_id").agg(F.count(F.lit(1)).cast("int").alias("reports"))
+    assert sorted(gone) == ["r1", "r2"] and rows.count() == 1 and reports.count() == 1
+    return left.join(rows, "run_id").join(reports, "run_id")
 
 
 @add("ag_34", "SELECT user_id, count(*) FILTER (event_type = 'error') AS errors, round(sum(value) FILTER (event_type = 'purchase'), 2) AS spent FROM events GROUP BY 1")

@@ -55,6 +55,30 @@ def without(df: DataFrame, *columns: str) -> DataFrame:
     return df.drop(*columns)
 
 
+def messy_copy(df: DataFrame, seed: int = 42) -> DataFrame:
+    """The rows as people edit them: every text, other spellings, spaces, separators, date formats and gaps; some rows twice, and a total."""
+    x = noise(seed + 1, "date", "campaign_name", "region")
+    text = df.select(
+        F.when(x < 0.1, F.date_format("date", "dd/MM/yyyy")).when(x < 0.15, F.date_format("date", "d MMM yyyy")).otherwise(F.date_format("date", "yyyy-MM-dd")).alias("Day"), F.col("campaign_name").alias("Campaign"),
+        F.when(x < 0.2, F.upper("channel")).when(x < 0.3, F.concat(F.lit("  "), "channel", F.lit(" "))).when(x > 0.98, F.lit("N/A")).otherwise(F.col("channel")).alias("Channel"), F.col("region").alias("Region"),
+        F.when(x < 0.3, F.concat(F.lit("₹"), F.format_number("spend", 2))).when(x > 0.97, F.lit("-")).otherwise(F.format_string("%.2f", "spend")).alias("Cost"),
+        *(F.format_string("%.0f", c).alias(n) for c, n in (("impressions", "Impr."), ("clicks", "Clicks"), ("leads", "Leads"), ("conversions", "Conv."), ("revenue", "Revenue"))), x.alias("_x"),
+    )
+    again = text.where("_x > 0.99")
+    total = text.limit(1).select(*(F.lit("Grand Total" if c == "Campaign" else "").alias(c) for c in text.columns[:-1]))  # one row
+    return text.drop("_x").unionByName(again.drop("_x")).unionByName(total)
+
+
+def dropped_column_copies(df: DataFrame, columns: tuple[str, ...] = ("revenue", "leads", "region", "clicks")) -> dict[str, DataFrame]:
+    """A copy without each of these columns in turn."""
+    return {c: without(df, c) for c in columns}
+
+
+def channel_slices(df: DataFrame) -> dict[str, DataFrame]:
+    """The rows of each channel as an export of its own."""
+    return {c: platform_export(df.where(F.col("channel") == c)) for c in CHANNELS}
+
+
 def platform_export(df: DataFrame) -> DataFrame:
     """The same rows under a platform's headers, as text."""
     names = {"date": "Reporting starts", "campaign_name": "Campaign name", "spend": "Amount spent (INR)", "impressions": "Impressions", "reach": "Reach", "clicks": "Link clicks", "leads": "Leads"}

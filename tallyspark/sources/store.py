@@ -6,6 +6,8 @@ prune to the run's partition and to the columns asked for.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,12 +15,25 @@ from tallyspark.schema import FIELDS
 
 # Fixed vocabulary of the store.
 STATES = ["created", "cleaning", "analysing", "finished", "failed"]
+DELETED = "deleted"  # only by drop_run
 ANALYSIS_TABLES = {
     "kpi_results": ["kpi", "value", "numerator", "denominator", "rows_used"], "campaign_analysis": ["campaign", "metric", "value"], "channel_analysis": ["channel", "metric", "value"],
     "segment_analysis": ["dimension", "segment", "metric", "value"], "funnel_analysis": ["scope", "stage", "value", "rate", "drop_off"], "trend_analysis": ["grain", "period", "metric", "value"],
     "anomalies": ["entity_type", "entity", "metric", "start", "end", "value", "baseline", "score", "pct"],
 }
 
+# Fixed vocabulary of the logs: table and columns beside the run.
+LOG_TABLES = {
+    "data_quality_logs": ["source_row", "column_name", "original_value", "cleaned_value", "action", "reason", "severity"],
+    "field_mappings": ["source_column", "canonical_field", "status", "score", "reason"],
+    "ai_calls": ["purpose", "model", "status", "input_tokens", "output_tokens", "at"],
+    "insight_logs": ["section", "text", "evidence_ids", "status"],
+    "reports": ["kind", "path", "at"],
+    "run_snapshots": ["snapshot", "at"],
+}
+#: What the cleaning log calls its columns, and the store's names.
+QUALITY_NAMES = {"column": "column_name", "original": "original_value", "cleaned": "cleaned_value"}
+
 
 def layout_key(columns: Column) -> Column:
     """A key for a file's set of columns, whatever their order."""
@@ -77,6 +92,46 @@ class RunStore:
         writer = df.write.mode("append")
         (writer.partitionBy(partition) if partition else writer).parquet(self._at(table))
 
+    # logs of a run
+
+    def save_log(self, run_id: str, table: str, df: DataFrame) -> None:
+        """Replace a run's rows of a log table; other columns than the table's are refused."""
+        if table not in LOG_TABLES:
+            raise ValueError(f"no log table {table}")
+        if unknown := sorted(set(df.columns) - set(LOG_TABLES[table])):
+            raise ValueError(f"{table} has no columns {', '.join(unknown)}")
+        self._replace(table, df.withColumn("run_id", F.lit(run_id)), "run_id")
+
+    def save_quality_log(self, run_id: str, log: DataFrame) -> None:
+        self.save_log(run_id, "data_quality_logs", log.withColumnsRenamed(QUALITY_NAMES))
+
+    def save_mappings(self, run_id: str, matches: dict) -> None:
+        """One row a source column, as ``map_fields`` judged it."""
+        rows = [(c, m.field, m.status, float(m.score), m.reason) for c, m in matches.items()]
+        self.save_log(run_id, "field_mappings", self.spark.createDataFrame(rows, "source_column string, canonical_field string, status string, score double, reason string"))
+
+    def append_log(self, run_id: str, table: str, df: DataFrame) -> None:
+        """Add rows to a run's log: calls, insights and reports come one after the other."""
+        if unknown := sorted(set(df.columns) - set(LOG_TABLES[table])):
+            raise ValueError(f"{table} has no columns {', '.join(unknown)}")
+        self.append(table, df.withColumn("run_id", F.lit(run_id)), "run_id")
+
+    def load_log(self, run_id: str, table: str) -> DataFrame:
+        return self.read(table).where(F.col("run_id") == run_id).drop("run_id")
+
+    def save_snapshot(self, run_id: str, values: dict, at: int) -> None:
+        """The figures that a finished run opens with, as one JSON text."""
+        made = self.spark.createDataFrame([(json.dumps(values, sort_keys=True), at)], "snapshot string, at long")
+        self.save_log(run_id, "run_snapshots", made)
+
+    def reopen(self, sha256: str) -> tuple[str, dict] | None:
+        """Run and snapshot of the newest finished run of a file with this content; nothing is computed anew."""
+        done = self.runs().where((F.col("sha256") == sha256) & (F.col("status") == "finished")).select("run_id").first()
+        if done is None:
+            return None
+        kept = self.load_log(done["run_id"], "run_snapshots").select("snapshot").first() if self.exists("run_snapshots") else None
+        return done["run_id"], json.loads(kept["snapshot"]) if kept else {}
+
     # datasets and runs
 
     def register_datasets(self, files: DataFrame) -> DataFrame:
@@ -94,8 +149,9 @@ class RunStore:
         self.append("run_log", self.spark.createDataFrame([(run_id, sha256, status, at)], "run_id string, sha256 string, status string, at long"))
 
     def runs(self) -> DataFrame:
-        """run_id, sha256, name, status, created, updated of every run, newest first."""
+        """run_id, sha256, name, status, created, updated of every run that is not deleted, newest first."""
         log = self.read("run_log").groupBy("run_id", "sha256").agg(F.max_by("status", "at").alias("status"), F.min("at").alias("created"), F.max("at").alias("updated"))
+        log = log.where(F.col("status") != DELETED)
         return log.join(self.read("datasets"), "sha256").orderBy(F.desc("created"), F.desc("run_id"))
 
     def upsert(self, table: str, df: DataFrame, keys: list[str], version: str) -> DataFrame:
@@ -114,13 +170,21 @@ class RunStore:
     # housekeeping
 
     def drop_run(self, run_id: str) -> None:
-        """A run's partitions of every table, and its log."""
+        """A run's partitions of every table. Its states are kept, with ``deleted`` as the last."""
         jvm = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-        for table in ["marketing_records", *ANALYSIS_TABLES]:
+        for table in ["marketing_records", *ANALYSIS_TABLES, *LOG_TABLES]:
             path = jvm.Path(f"{self._at(table)}/run_id={run_id}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
         if self.exists("run_log"):
-            self.append("run_log", self.spark.createDataFrame([(run_id, None, "failed", 2**62)], "run_id string, sha256 string, status string, at long"))
+            of = self.read("run_log").where(F.col("run_id") == run_id).select("run_id", "sha256").distinct()
+            self.append("run_log", self.spark.createDataFrame([(r["run_id"], r["sha256"], DELETED, 2**62) for r in of.collect()], "run_id string, sha256 string, status string, at long"))  # a run has one file
+
+    def apply_retention(self, keep: int, oldest: int | None = None) -> list[str]:
+        """Delete the runs that are not among the newest, or began before a time; returns them."""
+        gone = [r["run_id"] for r in self.beyond_retention(keep, oldest).collect()]  # a few runs a session
+        for run_id in gone:
+            self.drop_run(run_id)
+        return gone
 
     def beyond_retention(self, keep: int, oldest: int | None = None) -> DataFrame:
         """run_id of runs that are not among the newest, or began before a time."""

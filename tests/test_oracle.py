@@ -20,7 +20,7 @@ def test_against_sql(spark, sf_dir, duck, name):
     assert_same(plans.QUERIES[name](spark, sf_dir).toPandas(), duck.execute(plans.ORACLE_SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", [n for n in ROWS_ONLY if n not in ("ano_01", "inc_03", "fc_06")])
+@pytest.mark.parametrize("name", ROWS_ONLY)
 def test_runs(spark, sf_dir, name):
     assert plans.QUERIES[name](spark, sf_dir).columns
 

@@ -114,7 +114,7 @@ def test_other_names_of_known_channels_become_one(spark):
     table, log = CL.clean(raw, {"channel": "Channel", "spend": "Cost"})
     got = [r["channel"] for r in table.orderBy("source_row").collect()]
     assert got == ["Meta"] * 4 + ["Google Ads"] * 2 + ["Email"] + ["Podcast"] * 3
-    assert log.where("action = 'label_standardized'").count() == 7
+    assert log.where("action = 'label_standardized'").count() == 8
 
 
 def test_quartiles_by_brute_force(spark):
