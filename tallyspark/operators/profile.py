@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tallyspark.functions import text as X
 from tallyspark.functions.kpi import label
 
+from .mapping import words
+
 # Fixed thresholds.
 TYPE_SHARE, MIXED_SHARE, MOSTLY_EMPTY = 0.90, 0.50, 0.95
 MATCH_SHARE, LEAST_ROWS, REL_TOLERANCE, ABS_TOLERANCE, SAMPLE = 0.90, 5, 0.02, 0.011, 500
@@ -101,24 +103,88 @@ def sample_rows(df: DataFrame, key: str = "source_row", n: int = SAMPLE) -> Data
     return df.orderBy(F.xxhash64(key), key).limit(n)
 
 
+# The field that plays a role, and words of columns that could play it.
+ROLE_FIELDS = {"profit": "gross_profit"}
+ROLE_WORDS = {
+    "spend": ["spend", "spent", "cost"],
+    "revenue": ["revenue", "sales", "gmv", "value"],
+    "profit": ["profit", "margin amount", "contribution"],
+    "orders": ["orders", "purchases", "transactions"],
+    "customers": ["customers"],
+    "conversions": ["conversions", "results"],
+    "leads": ["leads"],
+    "clicks": ["clicks"],
+    "impressions": ["impressions"],
+}
+#: A column with one of these words is a ratio itself, so it is no part of one.
+NO_ROLE = ["rate", "percent", "per", "ratio", "average", "avg", "roas", "roi", "cpc", "ctr"]
+NET_RETURN = "(revenue - spend)"
+
+
+def _judged(df: DataFrame, trials: list[tuple[str, str, str, int, Column, Column]]) -> DataFrame:
+    """The best trial of each check (metric, column, definition, place, own value, calculated value); all are counters of ONE aggregate."""
+    if not trials:
+        return df.sparkSession.createDataFrame([], "check string, column string, definition string, share double, rows long, status string")
+    counters = [match_share(own, calculated) for *_, own, calculated in trials]
+    one = df.agg(*(c.alias(f"{k}{i}") for i, pair in enumerate(counters) for k, c in zip("sn", pair, strict=True)))
+    cells = [F.struct(*(F.lit(v).alias(k) for k, v in zip(("check", "column", "definition", "place"), t[:4], strict=True)), F.col(f"s{i}").alias("share"), F.col(f"n{i}").alias("rows")) for i, t in enumerate(trials)]
+    long = one.select(F.explode(F.array(*cells)).alias("t")).select("t.*")
+    holds = F.coalesce(F.col("share") >= MATCH_SHARE, F.lit(False)).cast("int")
+    first = F.struct(holds, F.when(holds == 1, -F.col("place")).otherwise(0), F.coalesce("share", F.lit(-1.0)), -F.col("place"))
+    best = long.groupBy("check", "column").agg(F.max_by(F.struct("definition", "place", "share", "rows"), first).alias("b")).select("check", "column", "b.*")
+    status = F.when(F.col("rows") < LEAST_ROWS, "unchecked").when(F.coalesce(F.col("share"), F.lit(0.0)) < MATCH_SHARE, "mismatch").when(F.col("place") == 0, "verified").otherwise("alternative")
+    return best.select("check", "column", "definition", "share", "rows", status.alias("status"))
+
+
 def cross_check(df: DataFrame, own: dict[str, str]) -> DataFrame:
     """check, column, definition, share, rows, status for the file's own ratios (metric -> column) against typed fields.
 
-    All trials are counters of ONE aggregate. verified: the first definition holds; alternative: another one does.
+    verified: the first definition holds; alternative: another one does.
     """
     trials = []
     for metric, column in own.items():
         for order, (n, d, scales) in enumerate(t for t in CHECKS[metric] if t[0] in df.columns and t[1] in df.columns):
-            for s in scales:
-                trials.append((metric, column, f"{n} / {d} x {s}", order, *match_share(F.col(column), F.try_divide(n, d) * s)))
-    if not trials:
-        return df.sparkSession.createDataFrame([], "check string, column string, definition string, share double, rows long, status string")
-    one = df.agg(*(c.alias(f"{k}{i}") for i, t in enumerate(trials) for k, c in (("s", t[4]), ("n", t[5]))))
-    cells = [F.struct(*(F.lit(v).alias(k) for k, v in zip(("check", "column", "definition", "place"), t[:4], strict=True)), F.col(f"s{i}").alias("share"), F.col(f"n{i}").alias("rows")) for i, t in enumerate(trials)]
-    long = one.select(F.explode(F.array(*cells)).alias("t")).select("t.*")
-    best = long.groupBy("check", "column").agg(F.max_by(F.struct("definition", "place", "share", "rows"), F.struct(F.coalesce("share", F.lit(-1.0)), -F.col("place"))).alias("b")).select("check", "column", "b.*")
-    status = F.when(F.col("rows") < LEAST_ROWS, "unchecked").when(F.col("share") < MATCH_SHARE, "mismatch").when(F.col("place") == 0, "verified").otherwise("alternative")
-    return best.select("check", "column", "definition", "share", "rows", status.alias("status"))
+            trials += [(metric, column, f"{n} / {d} x {s}", order, F.col(column), F.try_divide(n, d) * s) for s in scales]
+    return _judged(df, trials)
+
+
+def role_columns(role: str, columns: list[str], mapping: dict[str, str]) -> list[tuple[str, bool]]:
+    """Columns that could play a role, and whether each is the mapped one, which comes first."""
+    mapped = mapping.get(ROLE_FIELDS.get(role, role))
+    others = [c for c in columns if c != mapped and not set(words(c).split()) & set(NO_ROLE) and any(w in words(c) for w in ROLE_WORDS.get(role, []))]
+    return [(mapped, True)] * (mapped in columns) + [(c, False) for c in others]
+
+
+def cross_check_file(raw: DataFrame, own: dict[str, str], mapping: dict[str, str]) -> DataFrame:
+    """As cross_check, for a raw text table: numerators and denominators may also be columns that no field claims.
+
+    verified: the mapped columns give the file's own ratio in its first definition; alternative: other
+    columns or another definition do. mapping: field -> column.
+    """
+    columns = [c for c in raw.columns if c not in own.values()]
+    place_of = {c: i for i, c in enumerate(raw.columns)}
+    used: set[str] = set()
+
+    def number(c: str) -> Column:
+        used.add(c)
+        return F.col(f"_{place_of[c]}")
+
+    def role(name: str) -> list[tuple[str, bool, Column]]:
+        if name == "net_return":
+            both = {"revenue", "spend"} <= set(mapping)
+            return [(NET_RETURN, True, number(mapping["revenue"]) - number(mapping["spend"]))] if both else []
+        return [(c, is_mapped, number(c)) for c, is_mapped in role_columns(name, columns, mapping)]
+
+    trials = []
+    for metric, column in own.items():
+        sides = [(n, d, s, n_mapped and d_mapped) for n_role, d_role, scales in CHECKS[metric] for n, n_mapped, n_value in role(n_role) for d, d_mapped, d_value in role(d_role) if n != d for s in [(scales, n_value, d_value)]]
+        first = True
+        for place, (n, d, (scales, n_value, d_value), both) in enumerate(sorted(sides, key=lambda t: not t[3])):
+            rank = 0 if both and first else place + 1
+            first = first and not both
+            trials += [(metric, column, f"{n} / {d} x {s}", rank, number(column), F.try_divide(n_value, d_value) * s) for s in scales]
+    marks = raw.select(*(X.number_mark(F.regexp_replace(F.col(f"`{c}`").cast("string"), "[%x]", "")).alias(f"_{place_of[c]}") for c in sorted(used)))
+    return _judged(marks.select(*(X.number_value(F.col(c)).alias(c) for c in marks.columns)), trials)
 
 
 def plausibility(df: DataFrame) -> DataFrame:
