@@ -2,7 +2,9 @@
 
 import corpus_pipeline as P
 import pytest
-from test_ops import base_secrets, dropped_lines, linked, shingle_set
+from test_ops import ODD, base_secrets, dropped_lines, linked, shingle_set, table
+
+from tallyspark.llm.bpe import codec
 
 
 @pytest.fixture(scope="module")
@@ -28,4 +30,37 @@ def test_stages(steps):
     assert set(near["doc_id"]) == {i for i, c in linked(sets, 80).items() if i == c}
     assert set(clean["doc_id"]) == set(near["doc_id"]) and not any(base_secrets(t) for t in texts(clean).values())
     assert all(texts(clean)[i] == t for i, t in texts(near).items() if texts(clean)[i].count("[SECRET]") == 0)
-    assert packed.groupby("doc_id")["size"].sum().to_dict() == {i: -(-len(t.encode()) // 4) for i, t in texts(clean).items()}
+    encoder = codec(pytest.importorskip("public_tokenizers").path(P.VOCABULARY))
+    assert packed.groupby("doc_id")["size"].sum().to_dict() == {i: len(encoder.encode(t)) // 4 for i, t in texts(clean).items()}
+
+
+STAGES = [name for name, _ in P.STAGES]
+
+
+@pytest.mark.parametrize("name", STAGES)
+def test_stages_on_odd_rows(spark, sf_dir, name):
+    """Nulls, empty and very long texts, ties, repeated rows and ids, and columns with clashing names."""
+    stage = dict(P.STAGES)[name]
+    docs = table(spark, [*ODD, (None, None), (11, "A b C d e f g h i j")])
+    before = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    out = stage(spark, docs, sf_dir)
+    if name == "packing":
+        assert {r["doc_id"] for r in out.select("doc_id").distinct().collect()} == {i for i, _ in before}
+        return
+    assert out.columns == docs.columns
+    after = [(r["doc_id"], r["text"]) for r in out.collect()]
+    if name == "quality":
+        assert not [r for r in after if r not in before] and all(after.count(r) in (0, before.count(r)) for r in set(before))
+    elif name == "lines":
+        changed = {6: "and more", 7: "öther text", 11: ""}
+        assert sorted(map(str, after)) == sorted(str((i, changed.get(i, t))) for i, t in before)
+    elif name == "near duplicates":
+        assert sorted(map(str, after)) == sorted(str(r) for r in before if r[0] != 11)
+    else:
+        assert len(after) == len(before) and [r for r in map(str, after) if "[SECRET]" in r] and all(r in before for r in after if r[0] != 12)
+
+
+@pytest.mark.parametrize("name", STAGES)
+def test_stages_on_an_empty_table(spark, sf_dir, name):
+    out = dict(P.STAGES)[name](spark, table(spark, []), sf_dir)
+    assert out.count() == 0 and (name == "packing" or "text" in out.columns)
