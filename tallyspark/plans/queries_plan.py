@@ -343,6 +343,25 @@ def fnd_04(spark, sf_dir):
     return FI.share_gap_title(table, "product_category", points=0.001).select("product_category")
 
 
+@R.add(
+    "fnd_04_titles",
+    f", c AS (SELECT channel AS entity, {measure_sql('roas')} AS roas, {measure_sql('cpc')} AS cpc, sum(spend) AS spend, sum(revenue) / sum(sum(revenue)) OVER () * 100 - sum(spend) / sum(sum(spend)) OVER () * 100 AS gap FROM m GROUP BY 1) "
+    + " UNION ALL ".join(f"(SELECT '{n}' AS title, entity, round({v}, 4) AS value FROM c ORDER BY {v} {o}, entity LIMIT 1)" for n, v, o in (("best roas", "roas", "DESC"), ("weakest roas", "roas", "ASC"), ("best cpc", "cpc", "ASC"), ("highest spend", "spend", "DESC"), ("share", "gap", "DESC"))),
+)
+def fnd_04_titles(spark, sf_dir):
+    """What the titles of the channel table are about."""
+    from tallyspark.operators import titles as TI
+    from tallyspark.operators.common import add_shares
+
+    table = add_shares(group_kpis(rows(spark, sf_dir), "channel", PRESENT))
+    made = {"best roas": TI.ranking_title(table, "channel", "roas"), "weakest roas": TI.ranking_title(table, "channel", "roas", weakest=True), "best cpc": TI.ranking_title(table, "channel", "cpc"), "highest spend": TI.ranking_title(table, "channel", "spend"), "share": TI.share_title(table, "channel", "revenue_share", points=-100.0)}
+    out = None
+    for name, one in made.items():
+        one = one.select(F.lit(name).alias("title"), "entity", "value")
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
+
+
 @R.add("pln_01", ", v AS (SELECT sum(clicks) AS clicks FROM m) SELECT 'clicks' AS kpi, CASE WHEN n >= 10000000 THEN CAST(n // 10000000 AS VARCHAR) || ',' || lpad(CAST(n // 100000 % 100 AS VARCHAR), 2, '0') || ',' || lpad(CAST(n // 1000 % 100 AS VARCHAR), 2, '0') || ',' || lpad(CAST(n % 1000 AS VARCHAR), 3, '0') ELSE CAST(n // 100000 AS VARCHAR) || ',' || lpad(CAST(n // 1000 % 100 AS VARCHAR), 2, '0') || ',' || lpad(CAST(n % 1000 AS VARCHAR), 3, '0') END AS text FROM (SELECT CAST(clicks AS BIGINT) AS n FROM v)")
 def pln_01(spark, sf_dir):
     return FI.key_numbers(kpi_table(rows(spark, sf_dir), PRESENT), {"clicks": "count"})

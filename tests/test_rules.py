@@ -19,6 +19,7 @@ from tallyspark.operators import labels as LB
 from tallyspark.operators import mapping as MP
 from tallyspark.operators import profile as PR
 from tallyspark.operators import response as RC
+from tallyspark.operators import titles as TI
 from tallyspark.operators.group import group_kpis
 from tallyspark.operators.pacing import pacing_status
 from tallyspark.operators.targets import target_status
@@ -301,3 +302,21 @@ def test_store_replaces_a_run_and_refuses_unknown_columns(spark, tmp_path):
         store.save_analysis("r1", "zork", df)
     store.drop_run("r1")
     assert store.load_records("r1").count() == 0
+
+
+def test_titles_say_what_stands_out(spark):
+    table = spark.createDataFrame([("Search", 44.8, 55.3, 6.67, 300.0, 90.0), ("Video", 40.0, 30.0, 2.0, 150.0, 40.0), ("Other", 15.2, 14.7, 9.0, None, 1.0)], "channel string, spend_share double, revenue_share double, roas double, ctr_index double, spend double")
+    one = lambda df: [r["title"] for r in df.collect()]
+    assert one(TI.share_title(table, "channel", "revenue_share")) == ["Search Brings 55.3% of Revenue on 44.8% of Spend"]
+    assert one(TI.share_title(table.where("channel = 'Video'"), "channel", "revenue_share")) == []
+    assert one(TI.ranking_title(table, "channel", "roas", F.lit(4.18), "Paid Average")) == ["Search Has the Best ROAS: 6.67x vs 4.18x Paid Average"]
+    assert one(TI.ranking_title(table, "channel", "roas", weakest=True)) == ["Video Has the Weakest ROAS: 2.00x"]
+    assert one(TI.ranking_title(table.where("channel = 'Video'"), "channel", "roas")) == []
+    assert one(TI.ranking_title(table, "channel", "spend"))[0].startswith("Search Has the Highest Spend: ")
+    assert one(TI.index_title(table, "channel", "ctr_index", "ctr")) == ["Search Leads on CTR: Index 300"]
+    funnel = spark.createDataFrame([(0, "impressions", 1000.0, None), (1, "clicks", 50.0, 5.0), (2, "leads", 10.0, 20.0), (3, "conversions", 9.0, 90.0)], "place int, stage string, value double, rate double")
+    assert one(TI.funnel_title(funnel)) == ["Biggest Drop After the Click: Only 20.0% of Clicks Become Leads"]
+    days = [(dt.date(2025, 1, 1) + dt.timedelta(days=i), 100.0 if i < 28 else 87.6) for i in range(56)]
+    df = spark.createDataFrame(days, "date date, revenue double")
+    assert one(TI.trend_title(df, "revenue", {"date", "revenue"})) == ["Revenue Fell 12.4% in the Last 28 Days"]
+    assert one(TI.trend_title(df.withColumn("revenue", F.lit(5.0)), "revenue", {"date", "revenue"})) == []
