@@ -13,12 +13,14 @@ Two texts link when 100 * |A and B| >= pct * |A or B| over their sets of word n-
    filters: lengths; the positions of the shared n-gram, which bound how many n-grams can be shared
    before and after it; and the suffixes (and what lies before), where each n-gram that only one
    side has flips one parity bit, so that the bits that differ bound what is shared. What is left
-   must pass the same bound over all 1,024 bits of both sets.
+   must pass the same bound over all 1,024 bits of both sets. Before that, pairs are counted: a pair
+   shares no more n-grams than those of both prefixes and the longer suffix, and of the prefixes no
+   more than the n-grams that it alone has in common and the others that each side has.
 4. Stars: each holder of an n-gram meets three pivots of that n-gram: the holder whose n-grams are the
    most frequent (in a group of edited copies, the one that was edited least), the one with the
    smallest id and one chosen by a hash. That is linear in the entries. The pairs are verified, each
    once, and give provisional components.
-5. Strays: where the holders of an n-gram are of several components, those outside the n-gram's
+5. Strays: where the holders of an n-gram (three or more; of two, the pair has been met) are of several components, those outside the n-gram's
    largest component meet all its holders of other components. Pairs that pass the filters and were
    not met before are verified, each once. A pair inside one component can't change it and is not
    made. So no link between components is lost, and a large group of copies does not become all of
@@ -168,22 +170,29 @@ def _verify(words: int, pct: int, piece: int = 4 << 20):
     return run
 
 
-_ENTRIES = "token long, id long, n int, pos int, common float, b0 long, b1 long, s0 long, s1 long, s2 long, s3 long"
+_ENTRIES = "token long, id long, n int, pos int, many int, alone boolean, common float, b0 long, b1 long, s0 long, s1 long, s2 long, s3 long"
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, n, common, parity, prefix, at) into a row of _ENTRIES for each position in at."""
-    names = ["token", "id", "n", "pos", "common", *_BEFORE, *_SIGNS]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float32(), *[pa.int64()] * 6]
+    """Rows (id, n, common, parity, prefix, at) into a row of _ENTRIES for each position in at.
+
+    A position p at which only one other representative has the n-gram (alone) comes as -1 - p; many is
+    the number of the other positions.
+    """
+    names = ["token", "id", "n", "pos", "many", "alone", "common", *_BEFORE, *_SIGNS]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.float32(), *[pa.int64()] * 6]
     for batch in batches:
         facts = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
         out: list[list[np.ndarray]] = [[] for _ in names]
         for r, (parity, prefix, at) in enumerate(zip(*(batch.column(i) for i in (3, 4, 5)), strict=True)):
             whole = np.bitwise_xor.reduce(parity.values.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, 4), 0)
-            tokens, pos = prefix.values.to_numpy(zero_copy_only=False).view(np.uint64), np.sort(at.values.to_numpy(zero_copy_only=False))
+            tokens, marks = prefix.values.to_numpy(zero_copy_only=False).view(np.uint64), at.values.to_numpy(zero_copy_only=False)
+            alone = marks < 0
+            pos = np.where(alone, -1 - marks, marks)
             upto = np.stack([np.bitwise_xor.accumulate(p) for p in _parities(tokens)])[:, pos]
             before = upto ^ np.stack(list(_parities(tokens[pos])))
-            columns = [tokens[pos], *(np.repeat(f[r], len(pos)) for f in facts[:2]), pos, np.repeat(facts[2][r], len(pos)), before[0] ^ before[2], before[1] ^ before[3], *(upto ^ whole[:, None])]
+            same = lambda x, n=len(pos): np.repeat(x, n)
+            columns = [tokens[pos], *(same(f[r]) for f in facts[:2]), pos, same((~alone).sum()), alone, same(facts[2][r]), before[0] ^ before[2], before[1] ^ before[3], *(upto ^ whole[:, None])]
             for o, c in zip(out, columns, strict=True):
                 o.append(c)
         if batch.num_rows:
@@ -205,6 +214,14 @@ def _close(pct: int, a: str, b: str) -> str:
     return f"100L * least({na}, {nb}) >= {pct}L * greatest({na}, {nb}) and ({positional}) * {100 + pct}L >= {needed} and ({suffix}) * {100 + pct}L >= {needed}"
 
 
+def _missing(pct: int, a: str, b: str) -> str:
+    """How many n-grams that only these two have in common a pair needs to link."""
+    (na, nb), (ma, mb) = (f"{a}n", f"{b}n"), (f"{a}many", f"{b}many")
+    needed = f"(({pct}L * ({na} + {nb}) + {99 + pct}) div {100 + pct})"
+    suffix = [f"(({pct}L * {n} + 99) div 100 - 1)" for n in (na, nb)]
+    return f"{needed} - least({ma}, {mb}) - greatest({suffix[0]}, {suffix[1]})"
+
+
 def with_any_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of texts whose doc_id may be among ids: all of those that are, and few others, without a shuffle of texts."""
 
@@ -230,12 +247,10 @@ def ngram_join(docs: DataFrame, words: int = 5, pct: int = 80, id_col: str = "do
         reps = scratch.table(reps, "reps")
 
         prefixes = reps.where("id is not null").select("id", "n", F.posexplode("prefix").alias("pos", "token"))
-        ends = F.count(F.lit(1)).alias("holders"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("pos").alias("before"), F.min(F.col("n") - F.col("pos")).alias("after")
-        # of two holders these are the terms of the length and positional filters, which they must pass
-        pass_both = f"100L * least >= {pct}L * most and (before + after) * {100 + pct}L >= {pct}L * (least + most)"
-        held = prefixes.groupBy("token").agg(*ends).where(f"holders > 2 or (holders = 2 and {pass_both})")
-        held = scratch.table(held.select("token"), "held")
-        at = prefixes.join(held, "token", "left_semi").groupBy("id").agg(F.collect_list("pos").alias("at"))
+        holders = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("holders"), F.min("n").alias("least"), F.max("n").alias("most"))
+        held = holders.where(f"holders > 2 or (holders = 2 and 100L * least >= {pct}L * most)")  # two holders must pass the length filter
+        held = scratch.table(held.select("token", (F.col("holders") == 2).alias("alone")), "held")
+        at = prefixes.join(held, "token").groupBy("id").agg(F.collect_list(F.when(F.col("alone"), -1 - F.col("pos")).otherwise(F.col("pos"))).alias("at"))
         entries = reps.join(at, "id").select("id", "n", *facts, "at").mapInArrow(_entries, _ENTRIES)
         entries = scratch.table(entries, "entries")
         pivots = entries.groupBy("token").agg(
@@ -244,7 +259,7 @@ def ngram_join(docs: DataFrame, words: int = 5, pct: int = 80, id_col: str = "do
         # of two holders one is enough
         pivots = pivots.withColumn("p1", -F.col("p1")).select("token", "p1", *(F.when(F.col("holders") > 2, F.col(p)).otherwise(F.col("p1")).alias(p) for p in ("p2", "p3")))
         pivots = scratch.table(pivots, "pivot-ids")
-        met = ["id", "n", "pos", *_BEFORE, *_SIGNS]
+        met = ["id", "n", "pos", "many", *_BEFORE, *_SIGNS]
         pivots = entries.join(pivots, "token").where("id in (p1, p2, p3)").select("token", *(F.col(c).alias(f"p_{c}") for c in met))
         pivots = scratch.table(pivots, "pivots")
 
@@ -264,20 +279,23 @@ def ngram_join(docs: DataFrame, words: int = 5, pct: int = 80, id_col: str = "do
             scratch.drop(f"texts-of-{name}")
             return links
 
-        met_pairs = entries.join(pivots, "token").where(f"id != p_id and {_close(pct, 'p_', '')}").select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b"))
-        stars = close_pairs(met_pairs.distinct(), "stars")
+        met_pairs = entries.join(pivots, "token").where(f"id != p_id and {_close(pct, 'p_', '')}")
+        met_pairs = met_pairs.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b"), F.col("alone").cast("int").alias("alone"), F.expr(_missing(pct, "p_", "")).alias("missing"))
+        enough = met_pairs.groupBy("a", "b").agg(F.sum("alone").alias("alone"), F.max("missing").alias("missing")).where("alone >= missing")
+        stars = close_pairs(enough.select("a", "b"), "stars")
         scratch.drop("pivots")
         groups = components(verified(stars, "links"), scratch, "groups")
 
         def with_component(rows: DataFrame) -> DataFrame:
             return rows.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
-        parts = with_component(entries.select("token", "id")).groupBy("token", "component").agg(F.count("*").alias("size")).groupBy("token").agg(F.max(F.struct("size", "component"))["component"].alias("main"), F.count("*").alias("parts"))
+        shared_by_more = entries.where("not alone").drop("common", "alone")
+        parts = with_component(shared_by_more.select("token", "id")).groupBy("token", "component").agg(F.count("*").alias("size")).groupBy("token").agg(F.max(F.struct("size", "component"))["component"].alias("main"), F.count("*").alias("parts"))
         split = scratch.table(parts.where("parts > 1").select("token", "main"), "split")
-        across = scratch.table(with_component(entries.drop("common").join(split, "token")), "across")
+        across = scratch.table(with_component(shared_by_more.join(split, "token")), "across")
         a, b = (across.select("token", "main", *(F.col(c).alias(f"{s}_{c}") for c in [*met, "component"])) for s in "ab")
         strays = a.where("a_component != main").drop("main")
-        condition = f"a_component != b_component and (b_component = main or a_id < b_id) and {_close(pct, 'a_', 'b_')}"
+        condition = f"a_component != b_component and (b_component = main or a_id < b_id) and {_missing(pct, 'a_', 'b_')} <= 0 and {_close(pct, 'a_', 'b_')}"
         pairs = strays.join(b, (strays["token"] == b["token"]) & F.expr(condition)).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
         pairs = close_pairs(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
         final = groups
