@@ -244,14 +244,14 @@ def ngram_join(docs: DataFrame, words: int = 5, pct: int = 80, id_col: str = "do
         reduced = scratch.table(texts.mapInArrow(_reduce(words, pct, sketch_bits, counts), _REDUCED), "reduced")
         facts = ["common", "parity", "prefix"]
         reps = reduced.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in facts))
-        reps = scratch.table(reps, "reps")
+        reps = scratch.table(reps.withColumn("rep", F.monotonically_increasing_id()), "reps")  # an id may have several texts
 
-        prefixes = reps.where("id is not null").select("id", "n", F.posexplode("prefix").alias("pos", "token"))
+        prefixes = reps.where("id is not null").select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
         holders = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("holders"), F.min("n").alias("least"), F.max("n").alias("most"))
         held = holders.where(f"holders > 2 or (holders = 2 and 100L * least >= {pct}L * most)")  # two holders must pass the length filter
         held = scratch.table(held.select("token", (F.col("holders") == 2).alias("alone")), "held")
-        at = prefixes.join(held, "token").groupBy("id").agg(F.collect_list(F.when(F.col("alone"), -1 - F.col("pos")).otherwise(F.col("pos"))).alias("at"))
-        entries = reps.join(at, "id").select("id", "n", *facts, "at").mapInArrow(_entries, _ENTRIES)
+        at = prefixes.join(held, "token").groupBy("rep").agg(F.collect_list(F.when(F.col("alone"), -1 - F.col("pos")).otherwise(F.col("pos"))).alias("at"))
+        entries = reps.join(at, "rep").select("id", "n", *facts, "at").mapInArrow(_entries, _ENTRIES)
         entries = scratch.table(entries, "entries")
         pivots = entries.groupBy("token").agg(
             F.max(F.struct("common", (-F.col("id")).alias("id")))["id"].alias("p1"), F.min("id").alias("p2"), F.min(F.struct(F.xxhash64("id", "token").alias("order"), "id"))["id"].alias("p3"), F.count(F.lit(1)).alias("holders")
@@ -281,7 +281,7 @@ def ngram_join(docs: DataFrame, words: int = 5, pct: int = 80, id_col: str = "do
 
         met_pairs = entries.join(pivots, "token").where(f"id != p_id and {_close(pct, 'p_', '')}")
         met_pairs = met_pairs.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b"), F.col("alone").cast("int").alias("alone"), F.expr(_missing(pct, "p_", "")).alias("missing"))
-        enough = met_pairs.groupBy("a", "b").agg(F.sum("alone").alias("alone"), F.max("missing").alias("missing")).where("alone >= missing")
+        enough = met_pairs.groupBy("a", "b").agg(F.sum("alone").alias("alone"), F.min("missing").alias("missing")).where("alone >= missing")
         stars = close_pairs(enough.select("a", "b"), "stars")
         scratch.drop("pivots")
         groups = components(verified(stars, "links"), scratch, "groups")

@@ -166,6 +166,15 @@ def test_a_chain_and_a_group_without_a_common_centre(spark):
     assert got == want
 
 
+def test_near_duplicates_where_an_id_has_several_texts(spark):
+    """Each text of an id may link; the id is one document."""
+    rng = np.random.default_rng(11)
+    base = [" ".join(f"w{x}" for x in rng.integers(0, 10_000, n)) for n in (40, 90, 60, 200)]
+    rows = [(7, base[0]), (7, base[1]), (7, base[3]), (3, base[1] + " more"), (9, "new " + base[0]), (12, base[2]), (5, base[2] + " x"), (5, base[3] + " y"), (20, "nothing like it at all")]
+    got = {(r["doc_id"], r["component_id"]) for r in ngram_join(table(spark, rows), 3, 80).collect()}
+    assert got == {(i, 3) for i in (3, 5, 7, 9, 12)} | {(20, 20)}
+
+
 def test_near_duplicates_of_odd_texts(odd, none):
     got = by_id(ngram_join(odd, 3, 90))
     assert [got[i]["component_id"] for i in (1, 2, 3, 4, 5, 11)] == [1, 2, 3, 4, 5, 10] and got[1]["n_shingles"] == 0 and got[4]["n_shingles"] == 1
