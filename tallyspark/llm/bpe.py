@@ -46,7 +46,7 @@ _LATIN_PIECES = re.compile(
     f" ?[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_NUMBERS}]+| ?[^{_SPACES}{_LETTERS}{_NUMBERS}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
 )
 _BEYOND_LATIN = re.compile("[^\\x00-ɏ]")
-MEMO = 1 << 19
+MEMO = 1 << 16
 #: Longer pre-tokens are not remembered.
 MEMO_CHARS = 64
 #: A piece's end can depend on this many characters after it (a contraction has three).
@@ -128,6 +128,10 @@ class Codec:
         counts = Counter(_LATIN_PIECES.findall(text))
         return sum(len(ids) * n for ids, n in zip(self._piece_ids(list(counts)), counts.values(), strict=True)) // 4
 
+    def forget(self) -> None:
+        """Give the memo's memory back; Python workers live on after their task."""
+        self.memo.clear()
+
     def decode(self, ids: bytes) -> str:
         """As the library does, with special tokens kept; bytes that are no text become U+FFFD."""
         table = self.bytes
@@ -297,6 +301,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, leaf: int = 16_384, id_col:
         c = codec(vocabulary)
         for part in parts:
             yield _table(part["doc_id"], [_row(c, c.encode(t)) for t in part["text"]])
+        c.forget()
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A row for each leaf; a special token's string is a leaf of its own kind."""
@@ -317,6 +322,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, leaf: int = 16_384, id_col:
             # the ends of a leaf's last pre-tokens; a special token has none
             tails = [c._marks(t)[-TAIL:].tolist() if t not in c.special else [] for t in part["leaf"]]
             yield part.assign(doc_id=part["doc_id"].astype("Int64"), ids=[c.encode(t) for t in part["leaf"]], tail=tails)
+        c.forget()
 
     def joined(group: pd.DataFrame) -> pd.DataFrame:
         c = codec(vocabulary)

@@ -54,7 +54,7 @@ def _hash_lines(min_chars: int):
             at = 0
             while at < len(texts):
                 hashes, rows, positions = bytearray(), [], []
-                while at < len(texts) and len(positions) < 200_000:
+                while at < len(texts) and len(positions) < 50_000:
                     before = len(positions)
                     for i, key in line_keys(texts[at].as_py(), min_chars):
                         hashes += xxhash.xxh3_128_digest(key)

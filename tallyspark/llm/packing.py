@@ -134,9 +134,11 @@ def best_fit_packing(
     """
 
     @F.pandas_udf("long")
-    def tokens(texts: pd.Series) -> pd.Series:
+    def tokens(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = codec(vocabulary)
-        return pd.Series([c.count(t) for t in texts], dtype="int64")
+        for texts in parts:
+            yield pd.Series([c.count(t) for t in texts], dtype="int64")
+        c.forget()
 
     rows = _rows(docs, id_col, text_col, source_col, cluster)
     with Scratch(docs.sparkSession, "packing") as scratch:
@@ -154,6 +156,7 @@ def pack_tokens(
         c = codec(vocabulary)
         for part in parts:
             yield part.assign(doc_id=part["doc_id"].astype("Int64"), ids=[c.encode(t) for t in part["text"]])[["row", "doc_id", "source", "cluster", "ids"]]
+        c.forget()
 
     rows = _rows(docs, id_col, text_col, source_col, cluster)
     with Scratch(docs.sparkSession, "packing") as scratch:
