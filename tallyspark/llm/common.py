@@ -69,6 +69,17 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+def smallest_hashes(rows: DataFrame, n: int, *columns: str) -> DataFrame:
+    """At most n rows, those with the smallest hashes of some columns.
+
+    Rows whose hash can hardly be among them are dropped where they are read, so that what tasks send to
+    the driver follows n, not the number of tasks.
+    """
+    share = min(1.0, 4 * n / max(1, rows.count()))
+    order = F.xxhash64(*columns)
+    return rows.where(order <= F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1)).orderBy(order, *columns).limit(n)
+
+
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, a null text as an empty one; other columns may have any name."""
     bounded_batches(docs.sparkSession)

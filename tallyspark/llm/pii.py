@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, smallest_hashes
 
 KINDS = ["email", "ip", "card", "phone"]
 # Fixed forms of the base kinds.
@@ -479,7 +479,7 @@ def unlabelled(text: str) -> bool:
 
 def carrier_texts(docs: DataFrame, carriers: int) -> tuple[str, ...]:
     """Texts of 200 to 4,000 characters with the smallest hashes of id and text; they only serve as training windows."""
-    some = docs.where(F.length("text").between(200, 4000)).orderBy(F.xxhash64("doc_id", "text"), "text").limit(carriers)
+    some = smallest_hashes(docs.where(F.col("doc_id").isNotNull() & F.length("text").between(200, 4000)), carriers, "doc_id", "text")
     return tuple(r["text"] for r in some.select("text").collect() if not unlabelled(r["text"]))
 
 

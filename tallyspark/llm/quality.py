@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_batches
+from .common import Scratch, bounded_batches, smallest_hashes
 
 _MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _CLASS = np.full(256, 6, np.int64)  # what is beyond ASCII
@@ -105,7 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     bounded_batches(docs.sparkSession)
     wanted = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("y")).where("id is not null and y is not null").distinct()
-    wanted = wanted.orderBy(F.xxhash64("id"), "id", "y").limit(max_labels)
+    wanted = smallest_hashes(wanted, max_labels, "id", "y")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(wanted), "id").select("id", "text", "y")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
