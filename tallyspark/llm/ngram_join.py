@@ -222,17 +222,30 @@ def _missing(pct: int, a: str, b: str) -> str:
     return f"{needed} - least({ma}, {mb}) - greatest({suffix[0]}, {suffix[1]})"
 
 
-def with_any_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of texts whose doc_id may be among ids: all of those that are, and few others, without a shuffle of texts."""
+def _with_maybe(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """rows with _maybe: whether their id may be among ids (column id), by a broadcast bitmap of BITMAP_BITS."""
 
     def bit(of: str) -> Column:
-        return F.pmod(F.xxhash64(of), F.lit(BITMAP_BITS)) + 1
+        return F.pmod(F.xxhash64(F.col(of).cast("long")), F.lit(BITMAP_BITS)) + 1
 
     maps = ids.select(bit("id").alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("_map"))
-    at = F.bitmap_bit_position(bit("doc_id"))
+    at = F.bitmap_bit_position(bit(id_col))
     octet = F.conv(F.hex(F.substring("_map", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-    found = texts.join(F.broadcast(maps), F.bitmap_bucket_number(bit("doc_id")) == F.col("_bucket"))  # BITMAP_BITS at most
-    return found.where(F.getbit(octet, (at % 8).cast("int")) == 1).select(texts.columns)
+    joined = rows.join(F.broadcast(maps), F.bitmap_bucket_number(bit(id_col)) == F.col("_bucket"), "left")  # BITMAP_BITS at most
+    return joined.withColumn("_maybe", F.coalesce(F.getbit(octet, (at % 8).cast("int")) == 1, F.lit(False)))
+
+
+def with_any_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of texts whose doc_id may be among ids: all of those that are, and few others, without a shuffle of texts."""
+    return _with_maybe(texts, ids, "doc_id").where("_maybe").select(texts.columns)
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is not among ids (column id). Only rows that may be among them are shuffled."""
+    flagged = _with_maybe(docs, ids, id_col)
+    gone = ids.select(F.col("id").alias("_gone"))
+    kept = flagged.where("_maybe").join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    return flagged.where("not _maybe").select(docs.columns).unionByName(kept.select(docs.columns))
 
 
 def ngram_join(docs: DataFrame, words: int = 5, pct: int = 80, id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = 22) -> DataFrame:
