@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.common import Scratch
 from tallyspark.llm.line_dedup import drop_lines
-from tallyspark.llm.ngram_join import ngram_join
+from tallyspark.llm.ngram_join import ngram_join, without
 from tallyspark.llm.packing import best_fit_packing
 from tallyspark.llm.quality import keep_good
 from tallyspark.llm.secret_scan import redact_secrets
@@ -47,8 +47,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     without words have no copies.
     """
     groups = ngram_join(docs, words=5, pct=80)
-    copies = groups.where("doc_id != component_id").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(copies, F.col("doc_id").cast("long") == F.col("_copy"), "left_anti").select(docs.columns)
+    return without(docs, groups.where("doc_id != component_id").select(F.col("doc_id").alias("id")).distinct())
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
