@@ -27,7 +27,6 @@ import hashlib
 import json
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -117,16 +116,13 @@ class Codec:
         if self.split_special is not None and any(s in text for s in self.special):
             parts = self.split_special.split(text)
             return b"".join(np.uint32(self.special[p]).astype("<u4").tobytes() if p in self.special else self.encode(p) for p in parts if p)
-        if _BEYOND_LATIN.search(text):
+        if not text.isascii() and _BEYOND_LATIN.search(text):
             return self._plain(text).astype("<u4").tobytes()
         return b"".join(self._piece_ids(_LATIN_PIECES.findall(text)))
 
     def count(self, text: str) -> int:
-        """How many ids encode(text) has; each distinct pre-token is looked up once."""
-        if _BEYOND_LATIN.search(text) or (self.split_special is not None and any(s in text for s in self.special)):
-            return len(self.encode(text)) // 4
-        counts = Counter(_LATIN_PIECES.findall(text))
-        return sum(len(ids) * n for ids, n in zip(self._piece_ids(list(counts)), counts.values(), strict=True)) // 4
+        """How many ids encode(text) has."""
+        return len(self.encode(text)) // 4
 
     def forget(self) -> None:
         """Give the memo's memory back; Python workers live on after their task."""
