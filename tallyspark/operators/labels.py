@@ -115,7 +115,7 @@ def merged_keys(keys: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """column, key, head for keys that are misspellings. A head is no misspelling itself.
 
     A key all of whose more frequent close keys are misspellings is a head; one with a head among them is
-    a misspelling of the most frequent such. Each round settles at least one key of every chain, and is
+    a misspelling of the most frequent such, once no more frequent one is undecided. Each round settles at least one key of every chain, and is
     a written table.
     """
     spark = keys.sparkSession
@@ -134,8 +134,9 @@ def merged_keys(keys: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         open_keys = waiting.select("column", F.col("small").alias("big")).distinct().withColumn("open", F.lit(True))
         seen = waiting.join(open_keys, ["column", "big"], "left")
         # what is not open has no more frequent close key left: it is a head
-        verdict = seen.groupBy("column", "small").agg(F.max(F.struct(F.when(F.col("open").isNull(), F.col("n")).alias("n"), F.when(F.col("open").isNull(), F.col("big")).alias("big"))).alias("head"), F.bool_or(F.coalesce("open", F.lit(False))).alias("unsure"), F.max("n").alias("most"))
-        ready = verdict.where("head.big is not null").select("column", F.col("small").alias("key"), F.col("head.big").alias("head"))
+        most = F.min_by(F.struct("big", F.coalesce("open", F.lit(False)).alias("open")), F.struct((-F.col("n")).alias("n"), "big"))
+        verdict = seen.groupBy("column", "small").agg(most.alias("most"))
+        ready = verdict.where("not most.open").select("column", F.col("small").alias("key"), F.col("most.big").alias("head"))
         ready = written(ready, f"settled-{turn}")
         settled = settled.unionByName(ready)
         gone = ready.select("column", F.col("key").alias("small"))
