@@ -45,7 +45,8 @@ _LATIN_PIECES = re.compile(
     f" ?[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_NUMBERS}]+| ?[^{_SPACES}{_LETTERS}{_NUMBERS}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
 )
 _BEYOND_LATIN = re.compile("[^\\x00-ɏ]")
-MEMO = 1 << 16
+#: Bytes of the memo of pre-tokens, about, and of an entry besides its own text and ids.
+MEMO_BYTES, ENTRY_BYTES = 96 << 20, 170
 #: Longer pre-tokens are not remembered.
 MEMO_CHARS = 64
 #: A piece's end can depend on this many characters after it (a contraction has three).
@@ -83,7 +84,7 @@ class Codec:
         for token, i in self.special.items():
             self.bytes[i] = token.encode()
         self.sizes = np.array([len(b) for b in self.bytes], np.int64)
-        self.memo: dict[str, bytes] = {}
+        self.forget()
 
     def _plain(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -95,22 +96,30 @@ class Codec:
         return _LATIN_PIECES.findall(text)
 
     def _piece_ids(self, pieces: list[str]) -> list[bytes]:
-        memo = self.memo
-        missing = list({p for p in pieces if p not in memo})
+        """Ids of each piece. When half of the memo's bytes are used, what the last half didn't ask for is dropped."""
+        memo, missing, long = self.memo, [], {}
+        for p in set(pieces):
+            if p not in memo:
+                if (ids := self.older.get(p)) is None:
+                    missing.append(p)
+                else:
+                    self._remember(p, ids)
         if missing:
-            if len(memo) + len(missing) > MEMO:
-                memo.clear()
-                missing = list(set(pieces))
-            long = {}
             for p, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-                (memo if len(p) <= MEMO_CHARS else long)[p] = np.array(e.ids, "<u4").tobytes()
-            out = [long[p] if p in long else memo[p] for p in pieces]
-        else:
-            out = [memo[p] for p in pieces]
-        if len(memo) > MEMO:
-            memo.clear()
+                ids = np.array(e.ids, "<u4").tobytes()
+                if len(p) > MEMO_CHARS:
+                    long[p] = ids
+                else:
+                    self._remember(p, ids)
+        out = [memo[p] for p in pieces] if not long else [long[p] if p in long else memo[p] for p in pieces]
+        if self.used > MEMO_BYTES // 2:
+            self.older, self.memo, self.used = memo, {}, 0
         return out
 
+    def _remember(self, piece: str, ids: bytes) -> None:
+        self.memo[piece] = ids
+        self.used += len(piece) + len(ids) + ENTRY_BYTES
+
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if self.split_special is not None and any(s in text for s in self.special):
@@ -126,7 +135,9 @@ class Codec:
 
     def forget(self) -> None:
         """Give the memo's memory back; Python workers live on after their task."""
-        self.memo.clear()
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.used = 0
 
     def decode(self, ids: bytes) -> str:
         """As the library does, with special tokens kept; bytes that are no text become U+FFFD."""
