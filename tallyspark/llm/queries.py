@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .alignment import token_alignment
 from .bpe import bpe_round_trip
+from .collocations import collocations
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .ngram_join import ngram_join
@@ -74,6 +75,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"), min_count=100, longest=5, inside_pct=100, top=2000)
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_line_dedup": op10_line_dedup,
     "op11_token_alignment": op11_token_alignment,
+    "op12_collocations": op12_collocations,
     "op13_token_counts": op13_token_counts,
 }
 
@@ -134,4 +140,27 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
         FROM d GROUP BY doc_id
     """,
+    "op12_collocations": r"""
+        WITH piece AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents),
+        w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM piece),
+        occurrence AS (SELECT lang, k, unnest(list_transform(range(1, len(words) - k + 2), lambda i: array_to_string(words[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 6) AS t(k)),
+        f AS (SELECT lang, k, phrase, count(*) AS f FROM occurrence GROUP BY ALL HAVING count(*) >= 100),
+        total AS (SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang),
+        cut AS (SELECT lang, phrase, f AS a, k, string_split(phrase, ' ') AS words, unnest(range(1, k)) AS cut FROM f WHERE k >= 2),
+        scored AS (
+            SELECT cut.lang, cut.phrase, cut.a, cut.cut, l.f AS l, r.f AS r, n, (1000::HUGEINT * cut.a * n // (l.f::HUGEINT * r.f))::BIGINT AS score
+            FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = array_to_string(words[1:cut.cut], ' ')
+            JOIN f r ON r.lang = cut.lang AND r.phrase = array_to_string(words[cut.cut + 1:], ' ') JOIN total ON total.lang = cut.lang),
+        weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        inner_ AS (
+            SELECT lang, f, array_to_string(words[start:start + size - 1], ' ') AS phrase FROM (
+                SELECT lang, f, words, size, unnest(range(1, k - size + 2)) AS start FROM (
+                    SELECT lang, f, k, string_split(phrase, ' ') AS words, unnest(range(2, k)) AS size FROM f WHERE k >= 3))),
+        around AS (SELECT lang, phrase, max(f) AS around FROM inner_ GROUP BY ALL)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM weakest LEFT JOIN around USING (lang, phrase) WHERE around IS NULL OR 100 * around < 100 * a
+        QUALIFY rank <= 2000
+    """,
 }
