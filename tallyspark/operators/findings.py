@@ -85,14 +85,6 @@ def generate_findings(channels: DataFrame, campaigns: DataFrame, funnel: DataFra
     return out.orderBy("priority", "finding", "entity")
 
 
-def share_gap_title(table: DataFrame, key: str, a: str = "spend_share", b: str = "revenue_share", points: float = GAP_POINTS) -> DataFrame:
-    """The entity whose two shares lie furthest apart, if by at least some points."""
-    gap = F.abs(F.col(a) - F.col(b))
-    best = table.agg(F.max_by(F.struct(key, a, b), F.struct(gap, F.col(key))).alias("r")).select("r.*")
-    words = F.concat(F.col(key), F.lit(" takes "), X.percent_text(F.col(a)), F.lit(" of spend and brings "), X.percent_text(F.col(b)), F.lit(" of revenue"))
-    return best.where(F.abs(F.col(a) - F.col(b)) >= points).select(key, words.alias("title"))
-
-
 def key_numbers(kpis: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """kpi, text: the overall measures as they are shown."""
     text = F.lit(X.NA)

@@ -12,6 +12,7 @@ from tallyspark.operators import forecast as FC
 from tallyspark.operators import funnel as FU
 from tallyspark.operators import pacing as P
 from tallyspark.operators import response as RC
+from tallyspark.operators import standouts as SO
 from tallyspark.operators import targets as T
 from tallyspark.operators.group import group_kpis, kpi_table, period_comparison
 
@@ -335,31 +336,32 @@ def fnd_03(spark, sf_dir):
 _SHARE_GAP = ", g AS (SELECT p_type_ AS product_category, a, b FROM (SELECT product_category AS p_type_, sum(spend) / sum(sum(spend)) OVER () * 100 AS a, sum(revenue) / sum(sum(revenue)) OVER () * 100 AS b FROM m GROUP BY 1))"
 
 
-@R.add("fnd_04", _SHARE_GAP + " SELECT product_category FROM g WHERE abs(a - b) >= 0.001 ORDER BY abs(a - b) DESC, product_category DESC LIMIT 1")
+@R.add("fnd_04", _SHARE_GAP + " SELECT product_category, round(b, 4) AS revenue_share, round(a, 4) AS spend_share FROM g ORDER BY b - a DESC, product_category LIMIT 1")
 def fnd_04(spark, sf_dir):
     from tallyspark.operators.common import add_shares
 
     table = add_shares(group_kpis(rows(spark, sf_dir), "product_category", PRESENT))
-    return FI.share_gap_title(table, "product_category", points=0.001).select("product_category")
+    found = SO.gap(table, "product_category", "revenue_share", points=-100.0)
+    return rounded(found.select(F.col("entity").alias("product_category"), F.col("value").alias("revenue_share"), F.col("beside").alias("spend_share")))
 
 
 @R.add(
     "fnd_04_titles",
-    f", c AS (SELECT channel AS entity, {measure_sql('roas')} AS roas, {measure_sql('cpc')} AS cpc, sum(spend) AS spend, sum(revenue) / sum(sum(revenue)) OVER () * 100 - sum(spend) / sum(sum(spend)) OVER () * 100 AS gap FROM m GROUP BY 1) "
-    + " UNION ALL ".join(f"(SELECT '{n}' AS title, entity, round({v}, 4) AS value FROM c ORDER BY {v} {o}, entity LIMIT 1)" for n, v, o in (("best roas", "roas", "DESC"), ("weakest roas", "roas", "ASC"), ("best cpc", "cpc", "ASC"), ("highest spend", "spend", "DESC"), ("share", "gap", "DESC"))),
+    f", c AS (SELECT channel AS entity, {', '.join(f'{measure_sql(k)} AS {k}' for k in ('roas', 'cpc', 'aov'))}, sum(spend) AS spend, sum(clicks)::DOUBLE AS clicks, sum(revenue) / sum(sum(revenue)) OVER () * 100 AS back, sum(spend) / sum(sum(spend)) OVER () * 100 AS paid FROM m GROUP BY 1) "
+    + " UNION ALL ".join(
+        f"(SELECT '{kind}' AS kind, '{n}' AS measure, entity, round({n}, 4) AS value FROM c ORDER BY {n} {o}, entity LIMIT 1)"
+        for n, *sides in (("roas", ("best", "DESC"), ("worst", "ASC")), ("aov", ("best", "DESC"), ("worst", "ASC")), ("cpc", ("best", "ASC"), ("worst", "DESC")), ("spend", ("highest", "DESC"), ("lowest", "ASC")), ("clicks", ("best", "DESC"), ("worst", "ASC")))
+        for kind, o in sides
+    )
+    + " UNION ALL (SELECT 'gap', 'revenue_share', entity, round(back, 4) FROM c ORDER BY back - paid DESC, entity LIMIT 1)",
 )
 def fnd_04_titles(spark, sf_dir):
-    """What the titles of the channel table are about."""
-    from tallyspark.operators import titles as TI
+    """What stands out in the channel table: both ends of five measures, and who brings more than it costs."""
     from tallyspark.operators.common import add_shares
 
     table = add_shares(group_kpis(rows(spark, sf_dir), "channel", PRESENT))
-    made = {"best roas": TI.ranking_title(table, "channel", "roas"), "weakest roas": TI.ranking_title(table, "channel", "roas", weakest=True), "best cpc": TI.ranking_title(table, "channel", "cpc"), "highest spend": TI.ranking_title(table, "channel", "spend"), "share": TI.share_title(table, "channel", "revenue_share", points=-100.0)}
-    out = None
-    for name, one in made.items():
-        one = one.select(F.lit(name).alias("title"), "entity", "value")
-        out = one if out is None else out.unionByName(one)
-    return rounded(out)
+    found = SO.extremes(SO.facts(table, "channel", ["roas", "aov", "cpc", "spend", "clicks"])).unionByName(SO.gap(table, "channel", "revenue_share", points=-100.0))
+    return rounded(found.select("kind", "measure", "entity", "value"))
 
 
 @R.add("pln_01", ", v AS (SELECT sum(clicks) AS clicks FROM m) SELECT 'clicks' AS kpi, CASE WHEN n >= 10000000 THEN CAST(n // 10000000 AS VARCHAR) || ',' || lpad(CAST(n // 100000 % 100 AS VARCHAR), 2, '0') || ',' || lpad(CAST(n // 1000 % 100 AS VARCHAR), 2, '0') || ',' || lpad(CAST(n % 1000 AS VARCHAR), 3, '0') ELSE CAST(n // 100000 AS VARCHAR) || ',' || lpad(CAST(n // 1000 % 100 AS VARCHAR), 2, '0') || ',' || lpad(CAST(n % 1000 AS VARCHAR), 3, '0') END AS text FROM (SELECT CAST(clicks AS BIGINT) AS n FROM v)")

@@ -19,7 +19,7 @@ from tallyspark.operators import labels as LB
 from tallyspark.operators import mapping as MP
 from tallyspark.operators import profile as PR
 from tallyspark.operators import response as RC
-from tallyspark.operators import titles as TI
+from tallyspark.operators import standouts as SO
 from tallyspark.operators.group import group_kpis
 from tallyspark.operators.pacing import pacing_status
 from tallyspark.operators.targets import target_status
@@ -304,19 +304,27 @@ def test_store_replaces_a_run_and_refuses_unknown_columns(spark, tmp_path):
     assert store.load_records("r1").count() == 0
 
 
-def test_titles_say_what_stands_out(spark):
-    table = spark.createDataFrame([("Search", 44.8, 55.3, 6.67, 300.0, 90.0), ("Video", 40.0, 30.0, 2.0, 150.0, 40.0), ("Other", 15.2, 14.7, 9.0, None, 1.0)], "channel string, spend_share double, revenue_share double, roas double, ctr_index double, spend double")
-    one = lambda df: [r["title"] for r in df.collect()]
-    assert one(TI.share_title(table, "channel", "revenue_share")) == ["Search Brings 55.3% of Revenue on 44.8% of Spend"]
-    assert one(TI.share_title(table.where("channel = 'Video'"), "channel", "revenue_share")) == []
-    assert one(TI.ranking_title(table, "channel", "roas", F.lit(4.18), "Paid Average")) == ["Search Has the Best ROAS: 6.67x vs 4.18x Paid Average"]
-    assert one(TI.ranking_title(table, "channel", "roas", weakest=True)) == ["Video Has the Weakest ROAS: 2.00x"]
-    assert one(TI.ranking_title(table.where("channel = 'Video'"), "channel", "roas")) == []
-    assert one(TI.ranking_title(table, "channel", "spend"))[0].startswith("Search Has the Highest Spend: ")
-    assert one(TI.index_title(table, "channel", "ctr_index", "ctr")) == ["Search Leads on CTR: Index 300"]
-    funnel = spark.createDataFrame([(0, "impressions", 1000.0, None), (1, "clicks", 50.0, 5.0), (2, "leads", 10.0, 20.0), (3, "conversions", 9.0, 90.0)], "place int, stage string, value double, rate double")
-    assert one(TI.funnel_title(funnel)) == ["Biggest Drop After the Click: Only 20.0% of Clicks Become Leads"]
-    days = [(dt.date(2025, 1, 1) + dt.timedelta(days=i), 100.0 if i < 28 else 87.6) for i in range(56)]
-    df = spark.createDataFrame(days, "date date, revenue double")
-    assert one(TI.trend_title(df, "revenue", {"date", "revenue"})) == ["Revenue Fell 12.4% in the Last 28 Days"]
-    assert one(TI.trend_title(df.withColumn("revenue", F.lit(5.0)), "revenue", {"date", "revenue"})) == []
+def test_what_stands_out(spark):
+    table = spark.createDataFrame([("Search", 44.8, 55.3, 6.67, 90.0), ("Video", 40.0, 30.0, 2.0, 40.0), ("Mail", 0.0, 0.0, 2.0, None), ("Other", 15.2, 14.7, 9.0, 1.0), (None, 1.0, 99.0, 99.0, 1.0)], "channel string, spend_share double, revenue_share double, roas double, spend double")
+    got = lambda df: sorted((r["kind"], r["measure"], r["entity"], r["value"], r["beside"]) for r in df.collect())
+    assert got(SO.gap(table, "channel", "revenue_share")) == [("gap", "revenue_share", "Search", 55.3, 44.8)]
+    assert got(SO.gap(table.where("channel = 'Video'"), "channel", "revenue_share")) == []
+    found = SO.extremes(SO.facts(table, "channel", ["roas", "spend"]), {"roas": 4.18})
+    assert got(found) == [("best", "roas", "Search", 6.67, 4.18), ("highest", "spend", "Search", 90.0, None), ("lowest", "spend", "Video", 40.0, None), ("worst", "roas", "Mail", 2.0, 4.18)]
+    assert got(SO.extremes(SO.facts(table.where("channel = 'Video'"), "channel", ["roas"]))) == []
+    funnel = spark.createDataFrame([(0, "impressions", 1000.0, None), (1, "clicks", 50.0, 5.0), (2, "leads", 10.0, 20.0), (3, "conversions", 9.0, 90.0), (6, "revenue", 1.0, None)], "place int, stage string, value double, rate double")
+    assert got(SO.narrowest(funnel)) == [("step", "rate", "clicks to leads", 20.0, None)]
+    days = [(dt.date(2025, 1, 1) + dt.timedelta(days=i), 100.0 if i < 28 else 87.6, 3) for i in range(56)]
+    df = spark.createDataFrame(days, "date date, revenue double, clicks long")
+    moved = SO.changes(df, {"date", "revenue", "clicks"})
+    assert [(k, m, round(v, 6), n) for k, m, _, v, n in got(moved)] == [("change", "revenue", -12.4, 28.0)]
+    assert got(SO.changes(df.where("false"), {"date", "revenue"})) == []
+    plans = spark.createDataFrame([("a", 130.0, 100.0), ("b", 101.0, 100.0), ("c", 1.0, 0.0)], "channel string, projected double, budget double")
+    assert got(SO.pace(plans, "channel", "projected", "budget")) == [("pace", "budget_utilisation", "a", 130.0, 100.0)]
+    profit = spark.createDataFrame([("a", -5.0), ("b", 5.0)], "campaign string, contribution double")
+    assert got(SO.losses(profit, "campaign")) == [("loss", "contribution", "a", -5.0, None)]
+    weeks = spark.createDataFrame([("leads", 5.0), ("leads", 7.0)], "measure string, value double")
+    assert got(SO.outlook(weeks, weeks.limit(1))) == [("outlook", "leads", None, 12.0, 5.0)]
+    lines = {r["kind"]: r["line"] for r in SO.worded(found.unionByName(SO.narrowest(funnel)).unionByName(moved)).collect()}
+    assert "Search" in lines["best"] and "6.67" in lines["best"] and "ROAS" in lines["best"] and "20.0%" in lines["step"] and "down 12.4%" in lines["change"]
+    assert all(lines.values())
