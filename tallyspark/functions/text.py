@@ -2,29 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Tokens that mean "no value", currency marks, and date formats by priority.
+# Tokens that mean "no value", currency marks, names of date formats.
 MISSING = ["", "n/a", "na", "null", "-", "none", "nan", "#n/a"]
 CURRENCY = r"(?i)(?:₹|rs\.?|inr|usd|\$|€|£)"
-DATE_FORMATS = {
-    "YYYY-MM-DD": "yyyy-M-d",
-    "YYYY-MM-DD hh:mm:ss": "yyyy-M-d H:m:s",
-    "DD/MM/YYYY": "d/M/yyyy",
-    "DD-MM-YYYY": "d-M-yyyy",
-    "DD.MM.YYYY": "d.M.yyyy",
-    "D-Mon-YYYY": "d-MMM-yyyy",
-    "D Mon YYYY": "d MMM yyyy",
-    "D-Month-YYYY": "d-MMMM-yyyy",
-    "D Month YYYY": "d MMMM yyyy",
-    "Mon D, YYYY": "MMM d, yyyy",
-    "Month D, YYYY": "MMMM d, yyyy",
-    "YYYY/MM/DD": "yyyy/M/d",
-    "MM/DD/YYYY (US)": "M/d/yyyy",
-}
 DAY_FIRST = ["DD/MM/YYYY", "DD-MM-YYYY", "DD.MM.YYYY"]
 US_FORMAT = "MM/DD/YYYY (US)"
 LAKH, CRORE = 1e5, 1e7
@@ -71,18 +54,43 @@ def number_value(mark: Column) -> Column:
     return F.substring(mark, 2, 400).try_cast("double")
 
 
-def _shape(pattern: str) -> str:
-    """What a date of this format looks like, so that no text is parsed in vain."""
-    parts = {"yyyy": r"\d{4}", "MMMM": "[A-Za-z]{4,}", "MMM": "[A-Za-z]{3}", "d": r"\d{1,2}", "M": r"\d{1,2}", "H": r"\d{1,2}", "m": r"\d{1,2}", "s": r"\d{1,2}", ".": r"\."}
-    return "^" + re.sub("yyyy|MMMM|MMM|[dMHms.]", lambda m: parts[m[0]], pattern) + "$"
+_MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 
 
 def date_mark(text: Column, day_first: bool = True) -> Column:
-    """yyyy-MM-dd and the name of the first format that fits, NULL where none does. A look at the shape decides which are tried."""
-    names = list(DATE_FORMATS) if day_first else [US_FORMAT, *(f for f in DATE_FORMATS if f != US_FORMAT)]
+    """yyyy-MM-dd and the name of the first format that fits, NULL where none does.
+
+    What stands between runs of digits and letters tells the form, the runs are the parts. No formatter is tried.
+    """
     bare = F.trim(text)
-    tries = [F.when(bare.rlike(_shape(DATE_FORMATS[n])), F.concat(F.date_format(F.try_to_timestamp(bare, F.lit(DATE_FORMATS[n])), "yyyy-MM-dd"), F.lit(n))) for n in names]
-    return F.when(~is_missing(text), F.coalesce(*tries))
+    glue, parts = F.regexp_replace(bare, "[0-9]+|[A-Za-z]+", "#"), F.regexp_extract_all(bare, F.lit("[0-9]+|[A-Za-z]+"), F.lit(0))
+    a, b, c = (F.get(parts, F.lit(i)) for i in range(3))
+    year = lambda p: p.rlike("^[0-9]{4}$") & (p > "0000")
+    short = lambda p: p.rlike("^[0-9]{1,2}$")
+    named = lambda p: F.array_position(F.array(*(F.lit(m) for m in _MONTHS)), F.lower(p))
+    brief = lambda p: F.array_position(F.array(*(F.lit(m[:3]) for m in _MONTHS)), F.lower(p))
+
+    def made(name: str, y: Column, m: Column, d: Column) -> Column:
+        day = F.concat_ws("-", y, m, d).try_cast("date")
+        return F.when(year(y) & short(d), F.when(day.isNotNull(), F.concat(day.cast("string"), F.lit(name))))
+
+    def month(name: str, y: Column, m: Column, d: Column) -> Column:
+        place = F.when(F.length(m) == 3, brief(m)).otherwise(named(m))
+        return F.when(place > 0, made(name, y, place.cast("string"), d))
+
+    numeric = lambda name, y, m, d: F.when(short(m), made(name, y, m, d))
+    worded = lambda sep, y, m, d: F.when(F.length(m) == 3, month(sep.format("Mon"), y, m, d)).otherwise(month(sep.format("Month"), y, m, d))
+    time = F.element_at(F.split(bare, " "), -1)
+    slashes = [numeric("DD/MM/YYYY", c, b, a), numeric(US_FORMAT, c, a, b)]
+    cases = (
+        F.when(glue == "#-#-#", F.when(F.length(a) == 4, numeric("YYYY-MM-DD", a, b, c)).otherwise(F.coalesce(numeric("DD-MM-YYYY", c, b, a), worded("D-{}-YYYY", c, b, a))))
+        .when(glue == "#-#-# #:#:#", F.when(time.rlike("^([01]?[0-9]|2[0-3]):[0-5]?[0-9]:[0-5]?[0-9]$"), numeric("YYYY-MM-DD hh:mm:ss", a, b, c)))
+        .when(glue == "#/#/#", F.when(F.length(a) == 4, numeric("YYYY/MM/DD", a, b, c)).otherwise(F.coalesce(*(slashes if day_first else slashes[::-1]))))
+        .when(glue == "#.#.#", numeric("DD.MM.YYYY", c, b, a))
+        .when(glue == "# # #", worded("D {} YYYY", c, b, a))
+        .when(glue == "# #, #", worded("{} D, YYYY", c, a, b))
+    )
+    return F.when(~is_missing(text), cases)
 
 
 def date_value(mark: Column) -> Column:

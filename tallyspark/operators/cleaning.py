@@ -1,9 +1,10 @@
 """Raw text tables to clean typed ones, with a log of every change.
 
-Each rule is a column expression. Changes collect in one array of structs for each rule and column
-(``_log_1``, ``_log_2``, ...), which are put together and exploded once at the end. The parsed rows are
-written once, since the outlier limits, the clean table and the log all read them. Rows are not
-shuffled: of duplicates only digests are, and the few repeated rows are taken out by a join.
+The rules for single cells are a table (``rules``), held against all cells of a row in one pass. Rules over
+several cells or rows follow: stages, outliers. Log entries collect in an array, which is exploded once
+at the end. The raw rows are written once with their digests, the parsed rows once, since several steps
+read them. Rows are not shuffled: of duplicates only digests are, and the few repeated rows are taken
+out by a join.
 """
 
 from __future__ import annotations
@@ -12,16 +13,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import text as X
-from tallyspark.schema import FIELDS, NUMERIC
+from tallyspark.schema import FIELDS
 from tallyspark.sources.shared import new_folder
 
-from .labels import ALIASES, SIMILARITY, lookup, relabelled
+from .labels import ALIASES, SIMILARITY, relabelled
+from .rules import KEY, LOG, RULES, Rule, applied, with_cells
 
 # Fixed pairs: the first stage can't exceed the second.
 FUNNEL_RULES = [("clicks", "impressions"), ("reach", "impressions"), ("leads", "clicks"), ("qualified_leads", "leads")]
 OUTLIER_ROWS, OUTLIER_IQR, OUTLIER_LEADS = 20, 3.0, 5
-LOG = "array<struct<column:string,original:string,cleaned:string,action:string,reason:string,severity:string>>"
-#: A column with more spellings to change gets them by a join.
+#: A column with more spellings to change gets them by a join; with fewer, they are in a map. Both give the same.
 MOST_IN_MAP = 500
 
 
@@ -60,10 +61,18 @@ def remove_summary_rows(raw: DataFrame, columns: list[str]) -> tuple[DataFrame,
     return raw.where(~total), raw.where(total)
 
 
+def row_digest(columns: list[str]) -> Column:
+    """Equal for rows that are equal in all columns, NULLs too."""
+    return F.sha2(F.to_json(F.struct(*_cells(columns)), {"ignoreNullFields": "false"}), 256)
+
+
 def repeated_rows(raw: DataFrame, columns: list[str]) -> DataFrame:
     """source_row, first_row: rows that are equal in all columns (NULLs too) to an earlier one. Only digests are shuffled."""
-    key = F.sha2(F.to_json(F.struct(*_cells(columns)), {"ignoreNullFields": "false"}), 256)
-    keyed = raw.select("source_row", key.alias("_key"))
+    return repeats_of(raw.select("source_row", row_digest(columns).alias("_key")))
+
+
+def repeats_of(keyed: DataFrame) -> DataFrame:
+    """The same for rows (source_row, _key)."""
     first = keyed.groupBy("_key").agg(F.min("source_row").alias("first_row"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     return keyed.join(first, "_key").where("source_row != first_row").select("source_row", "first_row")
 
@@ -76,17 +85,22 @@ def select_and_rename(raw: DataFrame, mapping: dict[str, str]) -> tuple[DataFram
 
 
 def survey(df: DataFrame, labels: list[str], dates: list[str] = (), day_first: bool = True, aliases: dict[str, str] = ALIASES) -> tuple[DataFrame | None, dict[str, str]]:
-    """(column, v, label: spellings to change; main date format by column) from one grouped count, which is written."""
+    """(column, v, label: spellings to change; main date format by column) from one grouped count, which is written.
+
+    Texts are counted as they stand, so that each distinct one is tidied or read once.
+    """
     spark = df.sparkSession
-    cells = [F.struct(F.lit(c).alias("column"), F.when(~X.is_missing(F.col(c)), X.tidy(F.col(c))).alias("v")) for c in labels]
-    cells += [F.struct(F.lit(c).alias("column"), X.date_format_of(X.date_mark(F.col(c), day_first)).alias("v")) for c in dates]
+    cells = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("raw")) for c in [*labels, *dates]]
     if not cells:
         return None, {}
     folder = new_folder(spark, "survey")
-    counts = df.select(F.explode(F.array(*cells)).alias("e")).select("e.*").where("v is not null").groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
+    counts = df.select(F.explode(F.array(*cells)).alias("e")).select("e.*").groupBy("column", "raw").agg(F.count(F.lit(1)).alias("n"))
+    is_date = F.col("column").isin(*dates) if dates else F.lit(False)
+    v = F.when(is_date, X.date_format_of(X.date_mark(F.col("raw"), day_first))).when(~X.is_missing(F.col("raw")), X.tidy(F.col("raw")))
+    counts = counts.select("column", v.alias("v"), "n").where("v is not null").groupBy("column", "v").agg(F.sum("n").alias("n"))
     counts.write.parquet(f"{folder}/counts")
     counts = spark.read.schema(counts.schema).parquet(f"{folder}/counts")
-    formats = counts.where(F.col("column").isin(*dates)).groupBy("column").agg(F.max_by("v", F.struct("n", "v")).alias("v")) if dates else None
+    formats = counts.where(is_date).groupBy("column").agg(F.max_by("v", F.struct("n", "v")).alias("v")) if dates else None
     main = {r["column"]: r["v"] for r in formats.collect()} if dates else {}  # one row a column
     if not labels:
         return None, main
@@ -101,77 +115,25 @@ def cluster_labels(df: DataFrame, column: str, aliases: dict[str, str] = ALIASES
     return changes.select(F.col("v").alias("variant"), "label")
 
 
-def standardize_text(df: DataFrame, changes: DataFrame | None) -> DataFrame:
-    """Spaces tidied in every text field; categories also by the spellings to change (column, v, label)."""
+def standardize(df: DataFrame, changes: DataFrame | None = None, main: dict[str, str] | None = None, day_first: bool = True, rules: list[Rule] = RULES) -> DataFrame:
+    """Texts, dates and numbers by the table of rules; df gets dq_flags and _log. changes: spellings to change (column, v, label)."""
     sizes = {r["column"]: r["n"] for r in changes.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()} if changes is not None else {}  # one row a column
     few = [c for c, n in sizes.items() if n <= MOST_IN_MAP]
-    maps: dict[str, dict[str, str]] = {c: {} for c in few}
-    for r in changes.where(F.col("column").isin(*few)).collect() if few else []:
-        maps[r["column"]][r["v"]] = r["label"]
-    for c in [c for c in df.columns if c in FIELDS and FIELDS[c].kind in ("category", "id", "text")]:
-        df = df.withColumn("_tidy", F.when(~X.is_missing(F.col(c)), X.tidy(F.col(c))))
-        new = F.col("_tidy")
-        if c in maps:
-            new = F.coalesce(lookup(maps[c], F.col("_tidy")), F.col("_tidy"))
-        elif c in sizes:
-            own = changes.where(F.col("column") == c).select(F.col("v").alias("_v"), F.col("label").alias("_label"))
-            df = df.join(own, F.col("_tidy") == F.col("_v"), "left").drop("_v")
-            new = F.coalesce("_label", "_tidy")
-        df = df.withColumn("_new", new)
-        changed = F.col("_new") != F.col(c)
-        other = F.lower("_new") != F.lower("_tidy")
-        spacing = ~other & (F.col("_new") == F.col("_tidy"))
-        df = _noted(
-            df,
-            (changed & other, _entry(c, F.col(c), F.col("_new"), "label_standardized", "another spelling of the label", "info")),
-            (changed & ~other & ~spacing, _entry(c, F.col(c), F.col("_new"), "label_standardized", "another capitalisation of the label", "info")),
-            (changed & spacing, _entry(c, F.col(c), F.col("_new"), "whitespace_trimmed", "stray spaces", "info")),
-            (F.col("_tidy").isNull() & F.lit(FIELDS[c].kind == "category"), _entry(c, F.col(c), F.lit(None), "missing_value", "no value", "warning")),
-        )
-        df = df.withColumn(c, F.col("_new")).drop("_new", "_tidy", "_label")
-    return df
-
-
-def parse_dates(df: DataFrame, main: dict[str, str], day_first: bool = True) -> DataFrame:
-    for c in [c for c in df.columns if c in FIELDS and FIELDS[c].kind == "date"]:
-        df = df.withColumn("_p", X.date_mark(F.col(c), day_first)).withColumn("_gone", X.is_missing(F.col(c)))
-        bad = ~F.col("_gone") & F.col("_p").isNull()
-        iso = F.substring("_p", 1, 10)
-        df = _noted(
-            df,
-            (X.date_format_of(F.col("_p")) != F.lit(main.get(c)), _entry(c, F.col(c), iso, "date_standardized", "another date format", "info")),
-            (X.ambiguous_day(F.col("_p")), _entry(c, F.col(c), iso, "ambiguous_date", "day and month could be exchanged", "warning")),
-            (F.col("_gone"), _entry(c, F.col(c), F.lit(None), "missing_value", "no value", "warning")),
-            (bad, _entry(c, F.col(c), F.lit(None), "unreadable_value", "not a date", "error")),
-        )
-        df = _flagged(df, bad, f"unreadable_{c}").withColumn(c, X.date_value(F.col("_p"))).drop("_p", "_gone")
-    return df
-
-
-def parse_numbers(df: DataFrame) -> DataFrame:
-    for c in [c for c in df.columns if c in NUMERIC]:
-        df = df.withColumn("_p", X.number_mark(F.col(c))).withColumn("_gone", X.is_missing(F.col(c)))
-        bad = ~F.col("_gone") & F.col("_p").isNull()
-        value = X.number_value(F.col("_p"))
-        df = _noted(
-            df,
-            (F.col("_p").startswith("F"), _entry(c, F.col(c), value, "text_to_number", "number written as text", "info")),
-            (F.col("_gone"), _entry(c, F.col(c), F.lit(None), "missing_value", "no value", "warning")),
-            (bad, _entry(c, F.col(c), F.lit(None), "unreadable_value", "not a number", "error")),
-        )
-        df = _flagged(df, bad, f"unreadable_{c}").withColumn(c, value).drop("_p", "_gone")
-    return df
+    known = {r["column"] + KEY + r["v"]: r["label"] for r in changes.where(F.col("column").isin(*few)).collect()} if few else {}
+    joined = {}
+    for c in [c for c in sizes if c not in few]:
+        own = changes.where(F.col("column") == c).select(F.col("v").alias("_v"), F.col("label").alias(f"_label_{c}"))
+        df = df.join(own, X.tidy(F.col(c)) == F.col("_v"), "left").drop("_v")
+        joined[c] = f"_label_{c}"
+    labels = F.create_map(*(F.lit(x) for pair in known.items() for x in pair)) if known else None
+    return applied(with_cells(df, labels, joined, main, day_first), rules).drop(*joined.values())
 
 
 def drop_impossible(df: DataFrame) -> DataFrame:
-    """Negative values, then stages above the stage before them, become NULL."""
-    for c in [c for c in df.columns if c in NUMERIC and c != "margin"]:
-        bad = F.col(c) < 0
-        df = _noted(df, (bad, _entry(c, F.col(c), F.lit(None), "invalid_value_removed", "negative", "error")))
-        df = _flagged(df, bad, f"negative_{c}").withColumn(c, F.when(bad, None).otherwise(F.col(c)))
+    """Stages above the stage before them become NULL; all rules see the values as they were."""
     rules = [(a, b) for a, b in FUNNEL_RULES if a in df.columns and b in df.columns]
     checks = {f"{a}_gt_{b}": (a, F.coalesce(F.col(a) > F.col(b), F.lit(False))) for a, b in rules}
-    df = df.select("*", *(v.alias(f"_{k}") for k, (_, v) in checks.items()))  # all rules see the values as they were
+    df = df.select("*", *(v.alias(f"_{k}") for k, (_, v) in checks.items()))
     for flag, (a, _) in checks.items():
         df = _noted(df, (F.col(f"_{flag}"), _entry(a, F.col(a), F.lit(None), "invalid_value_removed", "above the stage before", "error")))
         df = _flagged(df, F.col(f"_{flag}"), flag)
@@ -253,23 +215,30 @@ def order_columns(df: DataFrame) -> DataFrame:
     return df.select(*known, *(c for c in df.columns if c not in known))
 
 
-def clean(raw: DataFrame, mapping: dict[str, str], day_first: bool = True, remove_duplicates: bool = True, unconfirmed: set[str] = frozenset(), aliases: dict[str, str] = ALIASES) -> tuple[DataFrame, DataFrame]:
+def clean(raw: DataFrame, mapping: dict[str, str], day_first: bool = True, remove_duplicates: bool = True, unconfirmed: set[str] = frozenset(), aliases: dict[str, str] = ALIASES, rules: list[Rule] = RULES) -> tuple[DataFrame, DataFrame]:
     """(clean table, quality log) of a raw text table with source_row. The parsed rows are written by this call; both results read them."""
     if critical := sorted(f for f in unconfirmed if f in FIELDS and FIELDS[f].critical):
         raise ValueError(f"confirm the mapping of {', '.join(critical)} first")
     spark, columns = raw.sparkSession, [c for c in raw.columns if c != "source_row"]
     folder = new_folder(spark, "clean")
-    rows, totals = remove_summary_rows(raw, columns)
-    repeats = repeated_rows(rows, columns)
-    repeats.write.parquet(f"{folder}/repeats")
-    repeats = spark.read.schema(repeats.schema).parquet(f"{folder}/repeats")
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    # under names of their own, as raw names may hold any character
+    place = {c: f"c{i}" for i, c in enumerate(columns)}
+    total = F.exists(F.array(*_cells(columns)), X.is_summary)
+    base = written(raw.select("source_row", *(F.col(f"`{c}`").alias(n) for c, n in place.items()), total.alias("_total"), row_digest(columns).alias("_key")), "raw")
+    totals, rows = base.where("_total"), base.where("not _total")
+    repeats = written(repeats_of(rows.select("source_row", "_key")), "repeats")
     kept = rows.join(repeats, "source_row", "left_anti") if remove_duplicates else rows
-    df, dropped = select_and_rename(kept, mapping)
+    df = kept.select("source_row", *(F.col(place[source]).alias(field) for field, source in mapping.items()))
+    dropped = [c for c in columns if c not in mapping.values()]
     names = {k: [c for c in df.columns if c in FIELDS and FIELDS[c].kind == k] for k in ("category", "date")}
     changes, main = survey(df, names["category"], names["date"], day_first, aliases)
-    df = _gathered(drop_impossible(parse_numbers(parse_dates(standardize_text(df, changes), main, day_first))))
-    df.write.parquet(f"{folder}/parsed")
-    df = spark.read.schema(df.schema).parquet(f"{folder}/parsed")
+    df = _gathered(drop_impossible(standardize(df, changes, main, day_first, rules)))
+    df = written(df, "parsed")
     df = _gathered(flag_outliers(df))
     table = order_columns(enforce_types(add_calendar(df)).drop("_log"))
     own = df.select("source_row", F.explode("_log").alias("e")).select("source_row", "e.*")

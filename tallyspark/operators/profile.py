@@ -69,7 +69,9 @@ def findings(raw: DataFrame, columns: list[str]) -> DataFrame:
 
 def impossible(df: DataFrame) -> DataFrame:
     """finding, column, n: negative measures and stages above the stage before them, in typed columns."""
-    from .cleaning import FUNNEL_RULES, NUMERIC
+    from tallyspark.schema import NUMERIC
+
+    from .cleaning import FUNNEL_RULES
 
     checks = {f"negative:{c}": F.col(c) < 0 for c in NUMERIC if c in df.columns and c != "margin"}
     checks |= {f"impossible_stage:{a}": F.col(a) > F.col(b) for a, b in FUNNEL_RULES if a in df.columns and b in df.columns}

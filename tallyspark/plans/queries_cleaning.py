@@ -36,10 +36,10 @@ for _name in ("cln_04", "prj_04"):
 @add("cln_05", KEPT_SQL + """ SELECT o_orderpriority AS channel, 'Campaign ' || (o_custkey % 25) AS campaign_name, count(*) AS n FROM o WHERE k <> 8 GROUP BY 1, 2 UNION ALL SELECT NULL, 'Campaign ' || (o_custkey % 25), count(*) FROM o WHERE k = 8 GROUP BY 2""")
 def cln_05(spark, sf_dir):
     """Texts standardised, before any date or number is read."""
-    raw = CL.remove_summary_rows(messy(spark, sf_dir), COLUMNS)[0].where("source_row % 2 = 0")
-    df, _ = CL.select_and_rename(raw, {"campaign_name": "Campaign", "channel": "Channel"})
+    raw = CL.remove_summary_rows(messy(spark, sf_dir), COLUMNS)[0]
+    df, _ = CL.select_and_rename(raw.join(CL.repeated_rows(raw, COLUMNS), "source_row", "left_anti"), {"campaign_name": "Campaign", "channel": "Channel"})
     changes, _ = CL.survey(df, ["campaign_name", "channel"])
-    return CL.standardize_text(df, changes).groupBy("channel", "campaign_name").agg(F.count(F.lit(1)).alias("n"))
+    return CL.standardize(df, changes).groupBy("channel", "campaign_name").agg(F.count(F.lit(1)).alias("n"))
 
 
 @add("prj_01", "SELECT 'Notes' AS column_name, 'column_dropped' AS action, (SELECT count(*) FROM orders WHERE o_orderkey % " + str(TOTAL) + " <> 0) AS rows UNION ALL SELECT 'Leads', 'column_dropped', (SELECT count(*) FROM orders WHERE o_orderkey % " + str(TOTAL) + " <> 0)")
