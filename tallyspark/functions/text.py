@@ -196,25 +196,51 @@ def title(text: Column) -> Column:
 
 
 # numbers within a text
-_IN_TEXT = r"(?<![\w.])(₹?)\s?(-?\d[\d,]*(?:\.\d+)?)\s?(%|x\b|Cr\b|L\b|lakhs?\b|crore\b)?"
-# A unit that is written once after a range of money holds for both ends.
-_MONEY_RANGE = r"₹\s?(\d[\d,]*(?:\.\d+)?)\s?(?:–|-|to)\s?(?:₹\s?)?(\d[\d,]*(?:\.\d+)?)\s?(Cr|crore|L|lakhs?)\b"
-UNITS = {"%": 1.0, "x": 1.0, "Cr": CRORE, "crore": CRORE, "L": LAKH, "lakh": LAKH, "lakhs": LAKH, "": 1.0}
+
+UNITS = {"%": 1.0, "x": 1.0, "Cr": CRORE, "crore": CRORE, "L": LAKH, "lakh": LAKH, "lakhs": LAKH}
+#: Amounts, words (with dots inside), the point of a number without a whole part, single signs.
+_TOKEN = r"\d[\d,]*(?:\.\d+)?|[\p{L}_][\p{L}\p{N}_]*(?:\.[\p{L}\p{N}_]+)*|\.(?=\d)|[^\s]"
 
 
 def numbers_in(text: Column) -> Column:
-    """array of struct(value, kind, grouped, tolerance) of the numbers written in a text; half a unit of the last digit is tolerated."""
-    text = F.regexp_replace(text, F.lit(_MONEY_RANGE), F.lit("₹$1 $3 to ₹$2 $3"))
-    found = F.arrays_zip(*(F.regexp_extract_all(text, F.lit(_IN_TEXT), F.lit(i)).alias(n) for i, n in ((1, "rupee"), (2, "number"), (3, "unit"))))
-    scale = F.create_map(*(F.lit(v) for k, f in UNITS.items() for v in (k, f)))
-
-    def one(m: Column) -> Column:
-        places = F.length(F.regexp_extract(m["number"], r"\.(\d+)$", 1))
-        kind = F.when(m["rupee"] != "", "money").when(m["unit"] == "%", "percent").when(m["unit"] == "x", "ratio").otherwise("plain")
-        factor = scale[F.coalesce(m["unit"], F.lit(""))]
-        return F.struct((F.translate(m["number"], ",", "").try_cast("double") * factor).alias("value"), kind.alias("kind"), F.regexp_replace(m["number"], ",+$", "").contains(",").alias("grouped"), (F.lit(0.5) * F.pow(F.lit(10.0), -places) * factor).alias("tolerance"))
-
-    return F.transform(found, one)
+    """array of struct(value, kind, grouped, tolerance) of the numbers written in a text; half a unit of the last digit is tolerated.
+
+    A small grammar over tokens: amount = [rupee] [minus] digits [unit]; range = amount sign amount, where the
+    rupee of the first and a unit of money after the second hold for both. One fold keeps the amounts so far,
+    what the last token was, and whether a range is open.
+    """
+    start = F.struct(F.array().cast("array<struct<digits:string,money:boolean,minus:boolean,unit:string,second:boolean>>").alias("found"), F.lit("").alias("last"), F.lit(False).alias("rupee"), F.lit(False).alias("open"))
+
+    def step(state: Column, token: Column) -> Column:
+        found, last = state["found"], state["last"]
+        size = F.size(found)
+        amount = token.rlike(r"^\d") & (last != "point")
+        unit = (last == "amount") & token.isin(list(UNITS))
+        between = (last == "amount") & token.isin("-", "–", "to")
+        previous = F.get(found, size - 1)
+        new = F.struct(token.alias("digits"), (state["rupee"] | (state["open"] & previous["money"])).alias("money"), (last == "minus").alias("minus"), F.lit("").alias("unit"), F.coalesce(state["open"], F.lit(False)).alias("second"))
+        of = lambda x, u: F.struct(x["digits"].alias("digits"), x["money"].alias("money"), x["minus"].alias("minus"), u.alias("unit"), x["second"].alias("second"))
+        before = F.get(found, size - 2)
+        both = previous["second"] & previous["money"] & (before["unit"] == "") & ~token.isin("%", "x")
+        with_unit = F.when(both, F.concat(F.slice(found, 1, size - 2), F.array(of(before, token), of(previous, token)))).otherwise(F.concat(F.slice(found, 1, size - 1), F.array(of(previous, token))))
+        kind = F.when(amount, "amount").when(unit, "unit").when(between, "between").when(token == "₹", "rupee").when(token == "-", "minus").when(token == ".", "point").otherwise("")
+        return F.struct(
+            F.when(amount, F.concat(found, F.array(new))).when(unit, with_unit).otherwise(found).alias("found"),
+            kind.alias("last"),
+            (kind.isin("rupee") | (state["rupee"] & (kind == "minus"))).alias("rupee"),
+            (between | (state["open"] & kind.isin("rupee", "minus"))).alias("open"),
+        )
+
+    def one(x: Column) -> Column:
+        factor = F.coalesce(F.create_map(*(F.lit(v) for pair in UNITS.items() for v in pair))[x["unit"]], F.lit(1.0))
+        kind = F.when(x["money"], "money").when(x["unit"] == "%", "percent").when(x["unit"] == "x", "ratio").otherwise("plain")
+        digits = F.rtrim(x["digits"], F.lit(","))
+        places = F.when(digits.contains("."), F.length(F.substring_index(digits, ".", -1))).otherwise(0)
+        value = F.translate(digits, ",", "").try_cast("double") * factor
+        return F.struct(F.when(x["minus"], -value).otherwise(value).alias("value"), kind.alias("kind"), digits.contains(",").alias("grouped"), (F.lit(0.5) * F.pow(F.lit(10.0), -places) * factor).alias("tolerance"))
+
+    tokens = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
+    return F.transform(F.aggregate(tokens, start, step, lambda state: state["found"]), one)
 
 
 def checkable(number: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import text as X
@@ -49,8 +49,6 @@ def top_values(raw: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
     """column, rank, value, n: the most frequent known values. Counts are combined first; each column's best k come from bounded arrays."""
     long = raw.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns))).alias("e")).select("e.*")
     counts = long.where(~X.is_missing(F.col("value"))).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window
-
     ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "value")))
     return ranked.where(F.col("rank") <= k)  # Spark limits each partition's groups before the shuffle
 
@@ -150,42 +148,52 @@ def cross_check(df: DataFrame, own: dict[str, str]) -> DataFrame:
     return _judged(df, trials)
 
 
-def role_columns(role: str, columns: list[str], mapping: dict[str, str]) -> list[tuple[str, bool]]:
-    """Columns that could play a role, and whether each is the mapped one, which comes first."""
-    mapped = mapping.get(ROLE_FIELDS.get(role, role))
-    others = [c for c in columns if c != mapped and not set(words(c).split()) & set(NO_ROLE) and any(w in words(c) for w in ROLE_WORDS.get(role, []))]
-    return [(mapped, True)] * (mapped in columns) + [(c, False) for c in others]
+def roles(spark: SparkSession, columns: list[str], mapping: dict[str, str]) -> DataFrame:
+    """role, column, claimed, place: the columns that may stand for each part of a ratio, from their names' words.
+
+    The field's own column (claimed) may always, another one if it has a word of the role and none that makes it
+    a ratio itself. Revenue less spend is a part too if both are known.
+    """
+    named = spark.createDataFrame([(c, words(c), i) for i, c in enumerate(columns)], "column string, words string, place int")  # a row a column
+    wanted = spark.createDataFrame([(r, mapping.get(ROLE_FIELDS.get(r, r)), w) for r, w in ROLE_WORDS.items()], "role string, own string, any array<string>")
+    ratio = F.arrays_overlap(F.split("words", " "), F.array(*map(F.lit, NO_ROLE)))
+    fits = F.exists("any", lambda w: F.col("words").contains(w)) & ~ratio
+    pairs = named.join(wanted, F.coalesce(F.col("column") == F.col("own"), F.lit(False)) | fits).select("role", "column", F.coalesce(F.col("column") == F.col("own"), F.lit(False)).alias("claimed"), "place")
+    if {"revenue", "spend"} <= set(mapping):
+        pairs = pairs.unionByName(spark.range(1).select(F.lit("net_return").alias("role"), F.lit(NET_RETURN).alias("column"), F.lit(True).alias("claimed"), F.lit(-1).alias("place")))
+    return pairs
+
+
+def trials_of(found: DataFrame, own: dict[str, str]) -> DataFrame:
+    """check, numerator, denominator, scales, rank: definitions joined with the columns that may play their parts.
+
+    Rank 0 has the first definition whose parts are both the fields' own columns; what rests on other columns or
+    definitions has the higher ranks, own columns first.
+    """
+    spark = found.sparkSession
+    definitions = spark.createDataFrame([(m, i, n, d, [float(s) for s in scales]) for m in own for i, (n, d, scales) in enumerate(CHECKS[m])], "check string, order int, upper string, lower string, scales array<double>")
+    side = lambda name: found.select(*(F.col(c).alias(f"{name}_{c}") for c in found.columns))
+    pairs = definitions.join(side("n"), F.col("upper") == F.col("n_role")).join(side("d"), F.col("lower") == F.col("d_role")).where("n_column != d_column")
+    claimed = F.col("n_claimed") & F.col("d_claimed")
+    place = F.row_number().over(Window.partitionBy("check").orderBy(F.when(claimed, 0).otherwise(1), "order", F.when(F.col("n_claimed"), 0).otherwise(1), "n_place", F.when(F.col("d_claimed"), 0).otherwise(1), "d_place"))
+    return pairs.select("check", F.col("n_column").alias("numerator"), F.col("d_column").alias("denominator"), "scales", claimed.alias("claimed"), place.alias("place")).withColumn("rank", F.when(F.col("claimed") & (F.col("place") == 1), 0).otherwise(F.col("place")))
 
 
 def cross_check_file(raw: DataFrame, own: dict[str, str], mapping: dict[str, str]) -> DataFrame:
     """As cross_check, for a raw text table: numerators and denominators may also be columns that no field claims.
 
     verified: the mapped columns give the file's own ratio in its first definition; alternative: other
-    columns or another definition do. mapping: field -> column.
+    columns or another definition do. own: check -> column with the file's ratio; mapping: field -> column.
     """
     columns = [c for c in raw.columns if c not in own.values()]
-    place_of = {c: i for i, c in enumerate(raw.columns)}
-    used: set[str] = set()
-
-    def number(c: str) -> Column:
-        used.add(c)
-        return F.col(f"_{place_of[c]}")
-
-    def role(name: str) -> list[tuple[str, bool, Column]]:
-        if name == "net_return":
-            both = {"revenue", "spend"} <= set(mapping)
-            return [(NET_RETURN, True, number(mapping["revenue"]) - number(mapping["spend"]))] if both else []
-        return [(c, is_mapped, number(c)) for c, is_mapped in role_columns(name, columns, mapping)]
-
-    trials = []
-    for metric, column in own.items():
-        sides = [(n, d, s, n_mapped and d_mapped) for n_role, d_role, scales in CHECKS[metric] for n, n_mapped, n_value in role(n_role) for d, d_mapped, d_value in role(d_role) if n != d for s in [(scales, n_value, d_value)]]
-        first = True
-        for place, (n, d, (scales, n_value, d_value), both) in enumerate(sorted(sides, key=lambda t: not t[3])):
-            rank = 0 if both and first else place + 1
-            first = first and not both
-            trials += [(metric, column, f"{n} / {d} x {s}", rank, number(column), F.try_divide(n_value, d_value) * s) for s in scales]
-    marks = raw.select(*(X.number_mark(F.regexp_replace(F.col(f"`{c}`").cast("string"), "[%x]", "")).alias(f"_{place_of[c]}") for c in sorted(used)))
+    tried = trials_of(roles(raw.sparkSession, columns, mapping), own).orderBy("check", "rank").collect()  # names of columns only
+    used = sorted({c for t in tried for c in (t["numerator"], t["denominator"])} - {NET_RETURN} | set(own.values()) | ({mapping["revenue"], mapping["spend"]} if {"revenue", "spend"} <= set(mapping) else set()))
+    name = {c: f"_{i}" for i, c in enumerate(used)}
+    marks = raw.select(*(X.number_mark(F.regexp_replace(F.col(f"`{c}`").cast("string"), "[%x]", "")).alias(n) for c, n in name.items()))
+    value = {c: F.col(n) for c, n in name.items()}
+    if {"revenue", "spend"} <= set(mapping):
+        value[NET_RETURN] = value[mapping["revenue"]] - value[mapping["spend"]]
+    trials = [(t["check"], own[t["check"]], f"{t['numerator']} / {t['denominator']} x {s:g}", t["rank"], value[own[t["check"]]], F.try_divide(value[t["numerator"]], value[t["denominator"]]) * s) for t in tried for s in t["scales"]]
     return _judged(marks.select(*(X.number_value(F.col(c)).alias(c) for c in marks.columns)), trials)
 
 

@@ -112,7 +112,23 @@ def fn_13(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", X.parse_number(text).alias("p")).select("o_orderkey", "p.value", "p.formatted")
 
 
-_LABELS = list(X.DATE_FORMATS)
+# The names of date formats, and how each is written.
+_WRITTEN = {
+    "YYYY-MM-DD": "yyyy-M-d",
+    "YYYY-MM-DD hh:mm:ss": "yyyy-M-d H:m:s",
+    "DD/MM/YYYY": "d/M/yyyy",
+    "DD-MM-YYYY": "d-M-yyyy",
+    "DD.MM.YYYY": "d.M.yyyy",
+    "D-Mon-YYYY": "d-MMM-yyyy",
+    "D Mon YYYY": "d MMM yyyy",
+    "D-Month-YYYY": "d-MMMM-yyyy",
+    "D Month YYYY": "d MMMM yyyy",
+    "Mon D, YYYY": "MMM d, yyyy",
+    "Month D, YYYY": "MMMM d, yyyy",
+    "YYYY/MM/DD": "yyyy/M/d",
+    "MM/DD/YYYY (US)": "M/d/yyyy",
+}
+_LABELS = list(_WRITTEN)
 _FORMAT_CASE = " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(_LABELS))
 
 
@@ -124,7 +140,7 @@ def fn_14(spark, sf_dir):
     d = F.when(k == 12, F.date_add(F.trunc(F.col("o_orderdate").cast("date"), "month"), 24)).otherwise(F.col("o_orderdate").cast("date"))
     text = F.lit("someday")
     for i, name in enumerate(_LABELS):
-        text = F.when(k == i, F.date_format(d, X.DATE_FORMATS[name])).otherwise(text)
+        text = F.when(k == i, F.date_format(d, _WRITTEN[name])).otherwise(text)
     return table(spark, sf_dir, "orders").select("o_orderkey", X.parse_date(text).alias("p")).select("o_orderkey", F.col("p.value").cast("string").alias("value"), "p.format")
 
 

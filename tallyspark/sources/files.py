@@ -156,4 +156,4 @@ def knowledge(spark: SparkSession) -> DataFrame:
     """field, words: the header dictionary as a table (a few hundred rows)."""
     from tallyspark.operators.mapping import SYNONYMS
 
-    return spark.createDataFrame([(f, s) for f, text in SYNONYMS.items() for s in text.split("|")], "field string, words string").withColumn("key", X.header_key(F.col("words")))
+    return spark.createDataFrame([(f, s) for f, names in SYNONYMS.items() for s in names], "field string, words string").withColumn("key", X.header_key(F.col("words")))

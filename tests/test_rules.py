@@ -165,6 +165,19 @@ def test_numbers_of_answers(spark):
     assert [(round(x["value"], 1), x["kind"]) for x in got] == [(27e6, "money"), (59e6, "money"), (3e5, "money"), (4e5, "money"), (1950.0, "plain"), (-4.5, "percent")]
 
 
+def test_numbers_are_read_by_a_grammar(spark):
+    cases = {
+        "₹1,20,000 and 5-7% of 3x": [(120000.0, "money", True), (5.0, "plain", False), (7.0, "percent", False), (3.0, "ratio", False)],
+        "-2.5 L, Q3 v2.0 .5 up.7": [(-250000.0, "plain", False)],
+        "₹ 4 – ₹6 lakhs, 12, 13 and 1,": [(4e5, "money", False), (6e5, "money", False), (12.0, "plain", False), (13.0, "plain", False), (1.0, "plain", False)],
+        "₹3 L to 40 %": [(3e5, "money", False), (40.0, "percent", False)],
+        "": [],
+    }
+    got = spark.createDataFrame([(t,) for t in cases], "t string").select("t", X.numbers_in(F.col("t")).alias("n")).collect()
+    assert {r["t"]: [(round(x["value"], 6), x["kind"], x["grouped"]) for x in r["n"]] for r in got} == cases
+    assert spark.range(1).select(X.numbers_in(F.lit(None).cast("string")).alias("n")).first()["n"] is None
+
+
 def test_duplicates_keep_the_first_row_and_nulls_are_equal(spark):
     raw = spark.createDataFrame([(1, "a", None), (2, "a", None), (3, "a", ""), (4, "b", "x")], "source_row long, p string, `q.r` string")
     got = {r["source_row"]: r["first_row"] for r in CL.repeated_rows(raw, ["p", "q.r"]).collect()}
@@ -328,3 +341,13 @@ def test_what_stands_out(spark):
     lines = {r["kind"]: r["line"] for r in SO.worded(found.unionByName(SO.narrowest(funnel)).unionByName(moved)).collect()}
     assert "Search" in lines["best"] and "6.67" in lines["best"] and "ROAS" in lines["best"] and "20.0%" in lines["step"] and "down 12.4%" in lines["change"]
     assert all(lines.values())
+
+
+def test_roles_come_from_names_and_mapping(spark):
+    columns = ["Cost", "Clicks", "Web sales", "Cost per click", "Store transactions", "Sales"]
+    found = PR.roles(spark, columns, {"spend": "Cost", "clicks": "Clicks", "revenue": "Sales"})
+    assert {(r["role"], r["column"], r["claimed"]) for r in found.collect()} == {
+        ("spend", "Cost", True), ("clicks", "Clicks", True), ("revenue", "Web sales", False), ("revenue", "Sales", True), ("orders", "Store transactions", False), ("net_return", PR.NET_RETURN, True),
+    }
+    trials = {(r["check"], r["numerator"], r["denominator"], r["rank"]) for r in PR.trials_of(found, {"ROAS": "x", "AOV": "y", "CPC": "z"}).collect()}
+    assert trials == {("ROAS", "Sales", "Cost", 0), ("ROAS", "Web sales", "Cost", 2), ("CPC", "Cost", "Clicks", 0), ("AOV", "Sales", "Store transactions", 1), ("AOV", "Web sales", "Store transactions", 2)}
