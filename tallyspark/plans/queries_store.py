@@ -30,21 +30,25 @@ def table(spark, sf_dir, name) -> DataFrame:
 # files
 
 
-def _csv(spark: SparkSession, sf_dir: str, sep: str = ",", encoding: str = "UTF-8", name: str = "customer") -> str:
-    """The customers as one delimited file, as people export it: a title row and an empty column."""
+def _csv(spark: SparkSession, sf_dir: str, sep: str = ",", encoding: str = "UTF-8", above: str = "") -> str:
+    """The customers as one delimited file in parts, as people export it: notes over two lines, an empty column, perhaps title rows."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c.cast("string"), F.lit('"'), F.lit('""')), F.lit('"'))
+    note = F.concat(F.lit('say "hi"' + sep + " é\n"), F.col("c_mktsegment"))
+    head = above + "\n" * bool(above) + sep.join(f'"{c}"' for c in ("c_custkey", "c_name", "c_note", "c_acctbal", " "))
+    line = F.concat_ws(sep, *(quoted(c) for c in (F.col("c_custkey"), F.col("c_name"), note, F.col("c_acctbal"), F.lit(""))))
     folder = new_folder(spark, "csv")
-    df = table(spark, sf_dir, name).select("c_custkey", "c_name", F.concat(F.lit('say "hi"' + sep + " é "), "c_mktsegment").alias("c_note"), "c_acctbal", F.lit("").alias(" "))
-    df.coalesce(1).write.option("header", True).option("sep", sep).option("encoding", encoding).option("quoteAll", True).option("escape", '"').mode("overwrite").csv(folder)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select("path").collect()  # one file
-    return files[0]["path"]
+    lines = spark.range(1).select(F.lit(head).alias("value"), F.lit(-1).cast("long").alias("k")).unionByName(table(spark, sf_dir, "customer").select(line.alias("value"), F.col("c_custkey").alias("k")))
+    lines.orderBy("k").select(F.encode("value", encoding).cast("string").alias("value")).write.mode("append").text(folder)
+    return f"{folder}/*.txt"
 
 
-_CUSTOMERS = "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, 'say \"hi\"{sep} é ' || c_mktsegment AS c_note FROM customer"
-for _name, _sep, _enc in (("src_01", ",", "UTF-8"), ("src_03", ",", "ISO-8859-1"), ("src_04", ";", "UTF-8"), ("src_05", "\t", "UTF-8"), ("src_08", ",", "UTF-8"), ("src_09", ";", "UTF-8"), ("src_10", "\t", "UTF-8")):
+_CUSTOMERS = "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, 'say \"hi\"{sep} é' || chr(10) || c_mktsegment AS c_note FROM customer"
+_TITLE = "Customers of all nations\n\nas of today,"
+for _name, _sep, _enc, _above in (("src_01", ",", "UTF-8", ""), ("src_03", ",", "ISO-8859-1", ""), ("src_04", ";", "UTF-8", ""), ("src_05", "\t", "UTF-8", ""), ("src_08", ",", "UTF-8", _TITLE), ("src_09", ";", "UTF-8", ""), ("src_10", "\t", "UTF-8", "")):
 
     @add(_name, _CUSTOMERS.format(sep=_sep))
-    def _loaded(spark, sf_dir, sep=_sep, enc=_enc):
-        raw, _ = FILES.load_file(spark, _csv(spark, sf_dir, sep, enc))
+    def _loaded(spark, sf_dir, sep=_sep, enc=_enc, above=_above):
+        raw, _ = FILES.load_file(spark, _csv(spark, sf_dir, sep, enc, above), in_parts=True)
         return raw.select("c_custkey", "c_name", "c_note")
 
 

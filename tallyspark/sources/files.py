@@ -1,24 +1,25 @@
 """Delimited text files to raw tables: every cell is text, and source_row keeps the file's order.
 
-Delimiter and header are decided from the first kilobytes, encoding and width from the whole file in
-a task; Spark reads the rest itself.
+Delimiter and header are decided from the first lines, the encoding from the whole file, chunk by chunk. Records
+are read in byte ranges by many tasks (``records``) and written once.
 """
 
 from __future__ import annotations
 
 import codecs
 import csv
+import hashlib
 import io
-import sys
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions import text as X
 
+from .records import chunks, read_records, whole_chunks
+from .shared import new_folder
+
 # Fixed limits.
 MOST_MB, SNIFF_BYTES, SNIFF_LINES, HEADER_ROWS, HEADER_FILL = 50, 1 << 16, 50, 30, 0.60
 DELIMITERS = [",", ";", "\t"]
@@ -92,61 +93,61 @@ def content(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
-def _widths(report: LoadReport, header: int):
-    """Whole files to (cells of the widest row below the header, rows with values beyond the header's cells)."""
-    encoding, delimiter, above = report.encoding, report.delimiter, report.header_row
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        csv.field_size_limit(sys.maxsize)
-        for batch in batches:
-            for data in batch.column(0):
-                width = ragged = 0
-                rows = (r for r in csv.reader(io.StringIO(data.as_buffer().to_pybytes().decode(encoding, "replace"), newline=""), delimiter=delimiter) if r)
-                for i, row in enumerate(rows):
-                    if i > above:
-                        width = max(width, len(row))
-                        ragged += any(c.strip() for c in row[header:])
-                yield pa.RecordBatch.from_arrays([pa.array([width], pa.int64()), pa.array([ragged], pa.int64())], ["width", "ragged"])
+def _sniffed(packed: DataFrame) -> tuple[bytes, bool]:
+    """The first bytes of a file, and whether all of it is UTF-8."""
+    head = packed.select("block", "part", F.substring("data", 1, SNIFF_BYTES).alias("head")).orderBy("block", "part").first()
+    good = packed.agg(F.min(F.is_valid_utf8(F.col("data").cast("string"))).alias("utf8")).first()
+    return (bytes(head["head"]) if head else b""), good["utf8"] is not False
 
-    return run
 
+def load_file(spark: SparkSession, path: str, max_mb: int | None = MOST_MB, in_parts: bool = False) -> tuple[DataFrame, LoadReport]:
+    """(raw table, report). Blank rows and columns go, short rows are padded with NULL. max_mb: None reads files of any size.
+    in_parts: the path has several files that are parts of one, in the order of their names.
 
-def load_file(spark: SparkSession, path: str, max_mb: int = MOST_MB) -> tuple[DataFrame, LoadReport]:
-    """(raw table, report). Blank rows and columns go, short rows are padded with NULL."""
+    The report's digest is SHA-256 of the bytes up to the size limit; of larger files it is put together from
+    hashes of their numbered records.
+    """
     ending = path.rsplit(".", 1)[-1].lower()
     if ending in ("xls", "xlsx"):
-        raise LoadError("export the workbook as CSV; no spreadsheet reader is installed")
+        raise LoadError("read workbooks with spark.read.format('workbooks')" if ending == "xlsx" else "save the old workbook as .xlsx or CSV")
     if ending not in ("csv", "tsv", "txt"):
         raise LoadError(f"unknown file type .{ending}")
-    sizes = content(spark, path).select("length", "sha256").first()
-    if sizes is None or sizes["length"] == 0:
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length").alias("length"), F.count(F.lit(1)).alias("files")).first()
+    if not size["length"]:
         raise LoadError("the file is empty")
-    if sizes["length"] > max_mb << 20:
+    small = size["files"] == 1 and size["length"] <= MOST_MB << 20
+    if size["files"] > 1 and not in_parts:
+        raise LoadError("several files; read them one by one or as parts of one")
+    if max_mb is not None and size["length"] > max_mb << 20:
         raise LoadError(f"the file is larger than {max_mb} MB")
-    data = spark.read.format("binaryFile").load(path).select("content")
-    first = data.select(F.substring("content", 1, SNIFF_BYTES).alias("head"), F.is_valid_utf8(F.col("content").cast("string")).alias("utf8")).first()
-    head = bytes(first["head"])
-    report = LoadReport(encoding=encoding_of(head, sizes["length"] > SNIFF_BYTES), sha256=sizes["sha256"])
-    if report.encoding == "utf-8" and not first["utf8"]:
+    packed = chunks(spark, path, in_parts)
+    head, utf8 = _sniffed(packed)
+    report = LoadReport(encoding=encoding_of(head, cut=True))
+    if report.encoding == "utf-8" and not utf8:
         report.encoding = "latin-1"
-    sample = codecs.getincrementaldecoder(report.encoding)("replace").decode(head)
+    if report.encoding == "utf-16":
+        packed = whole_chunks(spark, path, "utf-16", in_parts)
+        head = _sniffed(packed)[0]
+    within = {"utf-16": "utf-8", "utf-8-sig": "utf-8"}.get(report.encoding, report.encoding)
+    sample = codecs.getincrementaldecoder(within)("replace").decode(head).removeprefix("\ufeff")
     report.delimiter = delimiter_of(sample)
-    rows = [r for r in csv.reader(io.StringIO(sample), delimiter=report.delimiter) if r]  # Spark skips empty lines too
-    report.header_row = header_row(rows)
-    header = rows[report.header_row]
-    found = data.mapInArrow(_widths(report, len(header)), "width long, ragged long").first()
-    width = max(len(header), found["width"])
-    if found["ragged"]:
-        report.warnings.append(f"{found['ragged']} rows are wider than the header; the extra values are in unnamed columns")
+    rows = [(i, r) for i, r in enumerate(csv.reader(io.StringIO(sample, newline=""), delimiter=report.delimiter)) if r]
+    report.header_row, header = rows[header_row([r for _, r in rows])]
+    folder = new_folder(spark, "upload")
+    found = read_records(packed, report.delimiter, within).where(F.col("record") > report.header_row).select(F.col("record").alias("source_row"), F.transform("cells", lambda c: F.nullif(c, F.lit(""))).alias("cells"))
+    found.where(F.exists("cells", lambda c: F.trim(F.coalesce(c, F.lit(""))) != "")).write.parquet(f"{folder}/records")
+    body = spark.read.parquet(f"{folder}/records")
+    beyond = F.exists(F.slice("cells", len(header) + 1, F.greatest(F.size("cells") - len(header), F.lit(0))), lambda c: F.trim(c) != "")
+    facts = body.agg(F.max(F.size("cells")).alias("width"), F.coalesce(F.count_if(beyond), F.lit(0)).alias("ragged"), F.coalesce(F.bit_xor(F.xxhash64("source_row", "cells")), F.lit(0)).alias("x"), F.coalesce(F.sum(F.xxhash64("source_row", "cells").cast("decimal(38,0)")), F.lit(0)).alias("s")).first()
+    report.sha256 = content(spark, path).first()["sha256"] if small else hashlib.sha256(f"{size['length']} {facts['x']} {facts['s']} {header}".encode()).hexdigest()
+    width = max(len(header), facts["width"] or 0)
+    if facts["ragged"]:
+        report.warnings.append(f"{facts['ragged']} rows are wider than the header; the extra values are in unnamed columns")
     names = unique_headers(header + [""] * (width - len(header)))
-    java = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "utf-16": "UTF-16", "latin-1": "ISO-8859-1"}[report.encoding]
-    raw = spark.read.csv(path, schema=", ".join(f"c{i} string" for i in range(width)), sep=report.delimiter, encoding=java, header=False, multiLine=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    numbered = raw.withColumn("source_row", F.monotonically_increasing_id())  # one file is one split here: multi-line text can't be cut
-    cells = [F.col(f"c{i}") for i in range(width)]
-    body = numbered.where(F.col("source_row") > report.header_row).where(F.exists(F.array(*cells), lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""))
+    cells = [F.get("cells", F.lit(i)) for i in range(width)]
     empty = [i for i in range(width) if names[i].startswith("Unnamed column")]
     if empty:
-        used = body.agg(*(F.max(F.trim(F.coalesce(F.col(f"c{i}"), F.lit(""))) != "").alias(f"c{i}") for i in empty)).first()
+        used = body.agg(*(F.max(F.trim(F.coalesce(cells[i], F.lit(""))) != "").alias(f"c{i}") for i in empty)).first()
         empty = [i for i in empty if not used[f"c{i}"]]
         report.warnings += [f"column {i + 1} is empty" for i in empty]
     return body.select("source_row", *(cells[i].alias(names[i]) for i in range(width) if i not in empty)), report

@@ -351,3 +351,31 @@ def test_roles_come_from_names_and_mapping(spark):
     }
     trials = {(r["check"], r["numerator"], r["denominator"], r["rank"]) for r in PR.trials_of(found, {"ROAS": "x", "AOV": "y", "CPC": "z"}).collect()}
     assert trials == {("ROAS", "Sales", "Cost", 0), ("ROAS", "Web sales", "Cost", 2), ("CPC", "Cost", "Clicks", 0), ("AOV", "Sales", "Store transactions", 1), ("AOV", "Web sales", "Store transactions", 2)}
+
+
+def test_quoted_line_ends_over_many_tasks(spark, tmp_path):
+    """Random files in small byte ranges against the csv module over the whole file, numbers and texts alike."""
+    import csv
+    import random
+
+    from tallyspark.sources import records as RE
+
+    rng = random.Random(7)
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        for case, signs in enumerate(["ab", 'a",\n', 'a ,"\n\n', 'é;"\nx', '"\n']):
+            path = tmp_path / f"f{case}.csv"
+            fields = lambda: "".join(rng.choices(signs, k=rng.randint(0, 12)))
+            lines = [",".join(rng.choice([fields().replace('"', "").replace("\n", "").replace(",", ""), '"' + fields().replace('"', '""') + '"', fields().replace("\n", "")]) for _ in range(3)) for _ in range(150)]
+            path.write_bytes(("\n".join(lines) + rng.choice(["", "\n"])).encode())
+            packed = RE.chunks(spark, f"file://{path}")
+            assert packed.select("block").distinct().count() > 3
+            got = {r["record"]: r["cells"] for r in RE.read_records(packed, ",", "utf-8").collect()}
+            with open(path, newline="", encoding="utf-8") as file:
+                want = dict(enumerate(csv.reader(file)))
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", kept[1])
