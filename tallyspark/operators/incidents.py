@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.anomaly import islands
+from tallyspark.sources.shared import new_folder
+
+from .intervals import overlapping
 
 
 def flag_impact(flags: DataFrame, df: DataFrame, entity: str) -> DataFrame:
@@ -61,48 +63,57 @@ def incident_table(grouped: DataFrame) -> DataFrame:
     )
 
 
+#: Kinds that take others in, in the order in which they do.
+TAKERS = ["outage", "channel", "region"]
+
+
 def attach(incidents: DataFrame, members: DataFrame, parts: int = 2) -> DataFrame:
     """incidents with parent: which incident of a channel, region or outage each one belongs to.
 
     incidents: number, entity_type, entity, start, end; members: entity_type, entity, campaigns.
     An outage takes in overlapping incidents whose campaigns are all its own. A channel, then a region,
     with incidents of at least ``parts`` different campaigns of its own in its period takes those in; with
-    incidents of one campaign only it belongs to the first of them. The steps depend on each other's order, so the few incidents of a run are
-    walked in one group; its size is the number of incidents, not of rows.
+    incidents of one campaign only it belongs to the first of them. Within a kind the earlier one comes first.
+
+    What an incident takes depends only on earlier ones that want the same incidents, or that want itself. So the
+    wishes (an edge for each pair that overlaps and fits) are settled in waves: in each, all incidents
+    that come first for everything they wish and that no earlier one still wishes act at once.
     """
-    rows = incidents.join(members, ["entity_type", "entity"], "left").withColumn("_all", F.lit(1))
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["start", "number"]).reset_index(drop=True)
-        own = [set(c) if c is not None else set() for c in group["campaigns"]]
-        parent = dict.fromkeys(group["number"])
-        day = pd.Timedelta(days=1)
-
-        def meets(i: int, j: int) -> bool:
-            return group.at[i, "start"] <= group.at[j, "end"] + day and group.at[j, "start"] <= group.at[i, "end"] + day
-
-        group["start"], group["end"] = pd.to_datetime(group["start"]), pd.to_datetime(group["end"])
-        order = {"outage": 0, "channel": 1, "region": 2}
-        for i in sorted((i for i in group.index if group.at[i, "entity_type"] in order), key=lambda i: (order[group.at[i, "entity_type"]], i)):
-            number, kind = group.at[i, "number"], group.at[i, "entity_type"]
-            if parent[number] is not None:
-                continue
-            free = [j for j in group.index if j != i and parent[group.at[j, "number"]] is None and meets(i, j)]
-            if kind == "outage":
-                taken = [j for j in free if own[j] and own[j] <= own[i] and group.at[j, "entity_type"] != "outage"]
-            else:
-                taken = [j for j in free if group.at[j, "entity_type"] == "campaign" and own[j] and own[j] <= own[i]]
-                if len({group.at[j, "entity"] for j in taken}) < parts:
-                    if not taken:
-                        continue
-                    parent[number] = group.at[taken[0], "number"]
-                    taken = []
-            for j in taken:
-                parent[group.at[j, "number"]] = number
-        return pd.DataFrame({"number": list(parent), "parent": pd.array([parent[n] for n in parent], "Int64")})
-
-    walked = rows.select("_all", "number", "entity_type", "entity", "start", "end", "campaigns").groupBy("_all").applyInPandas(walk, "number long, parent long")
-    return incidents.join(walked, "number")
+    spark = incidents.sparkSession
+    folder, wave = new_folder(spark, "attach"), 0
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}-{wave}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}-{wave}")
+
+    rows = incidents.join(members, ["entity_type", "entity"], "left").select("number", "entity_type", "entity", "start", "end", "campaigns")
+    taker = rows.where(F.col("entity_type").isin(TAKERS))
+    kind = F.col("a_entity_type")
+    fits = (F.size("b_campaigns") > 0) & (F.size(F.array_except("b_campaigns", "a_campaigns")) == 0) & (F.col("a_number") != F.col("b_number"))
+    wanted = F.when(kind == "outage", F.col("b_entity_type") != "outage").otherwise(F.col("b_entity_type") == "campaign")
+    turn = F.struct(F.array_position(F.array(*map(F.lit, TAKERS)), kind).alias("kind"), F.col("a_start").alias("start"), F.col("a_number").alias("number"))
+    pairs = overlapping(taker, rows.where(F.col("campaigns").isNotNull()), slack=1).where(F.coalesce(fits & wanted, F.lit(False)))
+    wishes = written(pairs.select(turn.alias("turn"), F.col("a_number").alias("taker"), (kind == "outage").alias("all"), F.col("b_number").alias("number"), F.col("b_entity").alias("entity"), F.col("b_start").alias("start")), "wishes")
+    settled = []
+    while not wishes.isEmpty():
+        first = wishes.groupBy("number").agg(F.min("turn").alias("first"))
+        own = first.select(F.col("number").alias("taker"), F.col("first").alias("before"))
+        free = wishes.join(first, "number").groupBy("taker", "turn").agg(F.bool_and(F.col("turn") == F.col("first")).alias("free"))
+        ready = written(free.where("free").join(own, "taker", "left").where("before is null or before > turn").select("taker"), "ready")
+        acting = wishes.join(ready, "taker")
+        plans = acting.groupBy("taker").agg(F.bool_or("all").alias("all"), F.count_distinct("entity").alias("n"), F.min(F.struct("start", "number")).alias("one")).withColumn("takes", F.col("all") | (F.col("n") >= parts))
+        given = acting.select("taker", "number").join(plans.where("takes").select("taker"), "taker").select("number", F.col("taker").alias("parent"))
+        joins = plans.where("not takes").select(F.col("taker").alias("number"), F.col("one.number").alias("parent"))
+        new = written(given.unionByName(joins), "parents")
+        settled.append(new)
+        gone = new.select("number")
+        rest = wishes.join(ready, "taker", "left_anti").join(gone, "number", "left_anti").join(gone.select(F.col("number").alias("taker")), "taker", "left_anti")
+        wave += 1
+        wishes = written(rest.select(*wishes.columns), "wishes")
+    parents = spark.createDataFrame([], "number long, parent long")
+    for new in settled:
+        parents = parents.unionByName(new)
+    return incidents.join(parents, "number", "left")
 
 
 def members(df: DataFrame, entity: str, campaign: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions.anomaly import baseline, before, islands, rolling, spread
 from tallyspark.operators import anomalies as A
 from tallyspark.operators import incidents as I
+from tallyspark.operators.intervals import overlapping
 from tallyspark.sources.shared import new_folder
 
 from .build import Registry, rounded
@@ -303,17 +304,22 @@ def inc_03(spark, sf_dir):
 @add("jn_10", _FLAGS + " SELECT a.entity AS a, b.entity AS b, a.start AS a_start, b.start AS b_start FROM mp a JOIN mp b ON a.entity < b.entity AND a.start <= b.end_date + 1 AND b.start <= a.end_date + 1", ("a_start", "b_start"))
 def jn_10(spark, sf_dir):
     flags = _merged(spark, sf_dir).select("entity", "start", "end")
-    a, b = (flags.select(*(F.col(c).alias(f"{s}_{c}" if c != "entity" else s) for c in flags.columns)) for s in "ab")
-    near = (F.col("a") < F.col("b")) & (F.col("a_start") <= F.date_add("b_end", 1)) & (F.col("b_start") <= F.date_add("a_end", 1))
-    return rounded(a.join(b, near).select("a", "b", "a_start", "b_start"))
+    pairs = overlapping(flags, flags, slack=1).where("a_entity < b_entity")
+    return rounded(pairs.select(F.col("a_entity").alias("a"), F.col("b_entity").alias("b"), "a_start", "b_start"))
 
 
-for _name in ("prj_14", "prj_15"):
+@add("prj_14", _FLAGS + _MERGED_SQL + " WHERE start <= DATE '1997-12-31' AND end_date >= DATE '1997-01-01'", ("start", "end_date"))
+def prj_14(spark, sf_dir):
+    flags = I.in_view(_merged(spark, sf_dir), "1997-01-01", "1997-12-31")
+    return rounded(flags.select("entity", "metric", "sign", "start", F.col("end").alias("end_date"), F.abs("score").alias("peak"), "pct"))
 
-    @add(_name, _FLAGS + _MERGED_SQL + " WHERE start <= DATE '1997-12-31' AND end_date >= DATE '1997-01-01'", ("start", "end_date"))
-    def _view(spark, sf_dir):
-        flags = I.in_view(_merged(spark, sf_dir), "1997-01-01", "1997-12-31")
-        return rounded(flags.select("entity", "metric", "sign", "start", F.col("end").alias("end_date"), F.abs("score").alias("peak"), "pct"))
+
+@add("prj_15", _GROUPED + ", ii AS (SELECT entity, min(start) AS start, max(end_date) AS end_date, count(*) AS n_flags FROM p2 GROUP BY entity, incident) SELECT * FROM ii WHERE start <= DATE '1997-12-31' AND end_date >= DATE '1996-06-01' AND entity IN (SELECT channel FROM pm WHERE campaign_name IN ('always on', 'no such campaign'))", ("start", "end_date"))
+def prj_15(spark, sf_dir):
+    """Incidents that overlap the dates and share a campaign with the chosen ones."""
+    table = I.incident_table(I.group_same_entity(_with_impact(spark, sf_dir))).join(I.members(_planted(spark, sf_dir), "channel", "campaign_name"), "entity")
+    view = I.in_view(table, "1996-06-01", "1997-12-31", ["always on", "no such campaign"])
+    return rounded(view.select("entity", "start", F.col("end").alias("end_date"), "n_flags"))
 
 
 #: Parts as campaigns: most but not all parts of a category are sold in each region.
