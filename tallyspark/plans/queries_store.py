@@ -9,6 +9,7 @@ from tallyspark.operators import mapping as MP
 from tallyspark.operators.group import group_kpis
 from tallyspark.sources import files as FILES
 from tallyspark.sources import generate as GEN
+from tallyspark.sources import workbooks as WB
 from tallyspark.sources.shared import new_folder
 from tallyspark.sources.store import RunStore, melted
 from tallyspark.streaming import windows as ST
@@ -52,6 +53,35 @@ for _name, _sep, _enc, _above in (("src_01", ",", "UTF-8", ""), ("src_03", ",",
         return raw.select("c_custkey", "c_name", "c_note")
 
 
+_NOTES = {"Read me": [["c_custkey", "key of the customer"], [" "], ["c_acctbal", "balance", "may be negative"]], "More": [["x"]]}
+
+
+def _workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers as one workbook for each nation, with a sheet that describes the columns, read back."""
+    folder = new_folder(spark, "workbooks")
+    own = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", "c_name", "c_acctbal", (F.col("c_custkey") % 2 == 0).alias("even"))
+    WB.write_workbooks(own, "c_nationkey", folder, "Customers", _NOTES).collect()  # a row a file
+    WB.register(spark)
+    return spark.read.format("workbooks").load(folder)
+
+
+@add("src_06", "SELECT CAST(c_nationkey AS VARCHAR) AS nation, CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_acctbal, CASE WHEN c_custkey % 2 = 0 THEN 'TRUE' ELSE 'FALSE' END AS even FROM customer")
+def src_06(spark, sf_dir):
+    """The fullest sheet of each workbook."""
+    rows = _workbooks(spark, sf_dir)
+    own = rows.join(WB.fullest_sheet(rows).select("file", "sheet"), ["file", "sheet"]).where("row > 1")
+    c = F.col("cells")
+    return own.select(F.regexp_extract("file", r"([^/]+)\.xlsx$", 1).alias("nation"), c[0].alias("c_custkey"), c[1].alias("c_name"), c[2].cast("double").alias("c_acctbal"), c[3].alias("even"))
+
+
+@add("src_07", "SELECT DISTINCT CAST(c_nationkey AS VARCHAR) AS nation, 'c_custkey | key of the customer' || chr(10) || 'c_acctbal | balance | may be negative' AS text, 'Customers' AS sheet, 'Read me, More' AS others FROM customer")
+def src_07(spark, sf_dir):
+    rows = _workbooks(spark, sf_dir)
+    chosen = WB.fullest_sheet(rows)
+    found = WB.dictionary_texts(rows, chosen).join(chosen, "file")
+    return found.select(F.regexp_extract("file", r"([^/]+)\.xlsx$", 1).alias("nation"), "text", "sheet", F.array_join("others", ", ").alias("others"))
+
+
 for _name in ("src_02", "src_11"):
 
     @add(_name)
