@@ -19,84 +19,98 @@ phrases; repeated rows count as often as they come; the id isn't used; other col
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, bounded_batches
-from .shingles import mix
+from .shingles import _word_hashes, mix
 
 #: Bits of a level's bitmap: 8 MB.
 BITMAP_BITS = 1 << 26
 #: Bits of a row of the bitmap while it is put together.
 BUCKET_BITS = 1 << 15
-_BREAK = b"."
-#: A-Z to lower case; what ends a piece to one of its kind.
-_TABLE = bytes(_BREAK[0] if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: A-Z to lower case; what ends a piece to a line end.
+_TABLE = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
+_WORD = np.ones(256, bool)
+_WORD[[9, 10, 32]] = False
 _GRAM = np.uint64(0xD6E8FEB86659FD93)
 
 
-def words_of(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
-    """The distinct words of some texts, and the words in order as places among them; -1 ends a piece."""
-    found = (_BREAK.join(t.encode() for t in texts)).translate(_TABLE).replace(_BREAK, b" . ").split()
-    known = set(found)
-    known.discard(_BREAK)
-    words = list(known)
-    place = {w: i for i, w in enumerate(words)}
-    place[_BREAK] = -1
-    return words, np.fromiter(map(place.__getitem__, found), np.int64, len(found))
-
-
-def _hashes(words: list[bytes]) -> np.ndarray:
-    return pd.util.hash_array(np.array([w.decode() for w in words], dtype=object), categorize=False) if words else np.zeros(0, np.uint64)
-
-
-def gram_hashes(lang: str, words: list[bytes], ids: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of the k words from each place on; places whose words are of several pieces have any."""
-    own = np.append(_hashes(words), np.uint64(0))[ids]
-    n = max(0, len(ids) - k + 1)
-    out = np.full(n, _hashes([lang.encode()])[0], np.uint64)
+def gram_hashes(lang: str, data: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each k neighbouring words a hash, and whether one piece has them all."""
+    text = np.frombuffer(data, np.uint8)
+    word = _WORD[text]
+    starts = np.flatnonzero(word & ~np.concatenate([[False], word[:-1]]))
+    if len(starts) < k:
+        return np.zeros(0, np.uint64), np.zeros(0, bool)
+    piece = np.cumsum(text == 10)[starts]
+    own, n = _word_hashes(text, starts), len(starts) - k + 1
+    out = np.full(n, int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest()), np.uint64)
     for j in range(k):
         out = out * _GRAM + own[j : j + n]
-    return mix(out)
+    return mix(out), piece[:n] == piece[k - 1 :]
 
 
-def phrases(lang: str, texts: list[str], k: int, bitmap: np.ndarray | None) -> tuple[list[str], list[int]]:
+def phrases(lang: str, texts: list[str], k: int, bitmap: np.ndarray | None) -> tuple[list[str], np.ndarray]:
     """The distinct phrases of k words of some texts, and their numbers; by the bitmap only those whose parts may be frequent."""
-    words, ids = words_of(texts)
+    data = "\n".join(texts).encode().translate(_TABLE)
     if k == 1:
-        counts = np.bincount(ids[ids >= 0], minlength=len(words))
-        return [w.decode() for w in words], counts.tolist()
-    n = len(ids) - k + 1
-    if n <= 0:
-        return [], []
-    bit = gram_hashes(lang, words, ids, k - 1) % np.uint64(len(bitmap) * 8)
-    held = (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
+        counts = Counter(data.split())
+        return _decoded(list(counts)), np.fromiter(counts.values(), np.int64, len(counts))
+    hashes, whole = gram_hashes(lang, data, k - 1)
+    bit = hashes % np.uint64(len(bitmap) * 8)
+    held = whole & ((bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
     at = np.flatnonzero(held[:-1] & held[1:])
+    if k == 2:  # single words say nothing of what lies between them
+        at = at[gram_hashes(lang, data, 2)[1][at]]
+    if not len(at):
+        return [], np.zeros(0, np.int64)
+    used = np.zeros(len(hashes) + k - 1, bool)
     for j in range(k):
-        at = at[ids[at + j] >= 0]
-    code = ids[at]
+        used[at + j] = True
+    some = list(compress(data.split(), used.tolist()))
+    words = list(set(some))
+    place = {w: i for i, w in enumerate(words)}
+    ids = np.zeros(len(used), np.int64)
+    ids[used] = np.fromiter(map(place.__getitem__, some), np.int64, len(some))
+    code, steps = ids[at], []
     for j in range(1, k):
-        _, where, code, counts = np.unique(code * len(words) + ids[at + j], return_index=True, return_inverse=True, return_counts=True)
-    if not len(at):
-        return [], []
-    return [b" ".join([words[i] for i in ids[p : p + k]]).decode() for p in at[where].tolist()], counts.tolist()
+        code, distinct = pd.factorize(code * len(words) + ids[at + j])
+        steps.append(distinct)
+    counts, row, columns = np.bincount(code), np.arange(len(steps[-1])), []
+    for distinct in reversed(steps):
+        row, last = np.divmod(distinct[row], len(words))
+        columns.append(last)
+    rows = zip(*(map(words.__getitem__, c.tolist()) for c in [row, *reversed(columns)]), strict=True)
+    return _decoded(list(map(b" ".join, rows))), counts
+
+
+def _decoded(found: list[bytes]) -> list[str]:
+    return b"\n".join(found).decode().split("\n") if found else []
 
 
 def _count(k: int, bitmap):
     """For each batch and language: phrases with their numbers; at level 1 also the number of all words, without a phrase."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(bitmap.value, np.uint8) if bitmap is not None else None
-        for part in parts:
-            for lang, own in part.groupby("lang", sort=False):
-                found, counts = phrases(lang, own["text"].tolist(), k, table)
+        for batch in batches:
+            texts = defaultdict(list)
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                texts[lang].append(text)
+            for lang, own in texts.items():
+                found, counts = phrases(lang, own, k, table)
                 if k == 1 and found:
-                    found, counts = [*found, None], [*counts, sum(counts)]
-                yield pd.DataFrame({"lang": lang, "phrase": pd.array(found, "string"), "n": np.array(counts, np.int64)})
+                    found, counts = [*found, None], np.append(counts, counts.sum())
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.string()), pa.array(counts, pa.int64())], ["lang", "phrase", "n"])
 
     return run
 
@@ -107,11 +121,8 @@ def _places(k: int, bits: int):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for lang, own in part.groupby("lang", sort=False):
-                split = [p.encode().split(b" ") for p in own["phrase"]]
-                words = list({w for s in split for w in s})
-                place = {w: i for i, w in enumerate(words)}
-                ids = np.array([[place[w] for w in s] for s in split], np.int64)
-                yield pd.DataFrame({"place": (gram_hashes(lang, words, ids.reshape(-1), k)[::k] % np.uint64(bits)).astype(np.int64)})
+                hashes, whole = gram_hashes(lang, "\n".join(own["phrase"]).encode(), k)
+                yield pd.DataFrame({"place": (hashes[whole] % np.uint64(bits)).astype(np.int64)})
 
     return run
 
@@ -138,7 +149,7 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, min_count: int, longest:
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text")).where(F.length("text") > 0)
     levels, totals, bitmap = [], None, None
     for k in range(1, longest + 1):
-        counted = texts.mapInPandas(_count(k, bitmap), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+        counted = texts.mapInArrow(_count(k, bitmap), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
         level = scratch.table(counted.where((F.col("f") >= min_count) | F.col("phrase").isNull()), f"level-{k}")
         if k == 1:
             totals = level.where(F.col("phrase").isNull()).select("lang", F.col("f").alias("n"))
