@@ -1,14 +1,13 @@
 """Weekly forecasts with a method chosen by rolling-origin backtests and a band from its errors.
 
-Rows are summed to weeks first. The series of a (metric, channel) is a few hundred numbers; the
-backtest of each one is a group of its own, so metrics and channels run side by side.
+Rows are summed to weeks first. Forecasts of all methods at all origins are made by windows and, for smoothing,
+one fold for each series and pair of weights; choosing and banding are joins and grouped aggregates
+over them. So any number of series and origins runs side by side.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed parameters.
@@ -36,118 +35,93 @@ def long_history(history: DataFrame, metrics: list[str]) -> DataFrame:
     return history.unpivot(["week"], metrics, "metric", "value")
 
 
-def _holt(y: np.ndarray, a: float, b: float) -> tuple[float, float, float]:
-    """Level, trend and the sum of squared one-step errors."""
-    level, trend, error = y[0], y[1] - y[0], 0.0
-    for v in y[1:]:
-        guess = level + trend
-        error += (v - guess) ** 2
-        new = a * v + (1 - a) * guess
-        trend = b * (new - level) + (1 - b) * trend
-        level = new
-    return level, trend, error
-
-
-def predict(y: np.ndarray, method: str, horizon: int) -> np.ndarray:
-    """The next values, never below zero."""
-    steps = np.arange(1, horizon + 1)
-    if method == "last_value":
-        out = np.full(horizon, y[-1])
-    elif method == "ma4":
-        out = np.full(horizon, y[-4:].mean())
-    elif method == "ma4_trend":
-        tail = y[-BACKTEST:]
-        slope = np.polyfit(np.arange(len(tail)), tail, 1)[0] if len(tail) > 1 else 0.0
-        out = y[-4:].mean() + slope * (steps + 1.5)
-    elif len(y) < 2:
-        out = np.full(horizon, y[-1])
-    else:
-        fits = [_holt(y, a, b) for a in HOLT_GRID for b in HOLT_GRID]
-        level, trend, _ = min(fits, key=lambda f: f[2])
-        out = level + trend * steps
-    return np.maximum(out, 0.0)
-
-
-def backtest(y: np.ndarray, method: str, horizon: int, weeks: int = BACKTEST) -> list[tuple[int, int, float, float]]:
-    """(origin, step, actual, forecast) for the last origins; steps beyond the series are left out."""
-    out = []
-    for origin in range(max(4, len(y) - weeks), len(y)):
-        guess = predict(y[:origin], method, min(horizon, len(y) - origin))
-        out += [(origin, h + 1, float(y[origin + h]), float(g)) for h, g in enumerate(guess)]
-    return out
-
-
-def wape(rows: list[tuple[int, int, float, float]]) -> float:
-    total = sum(abs(r[2]) for r in rows)
-    return sum(abs(r[2] - r[3]) for r in rows) / total * 100 if total else np.inf
-
-
 def wape_column(actual: Column, forecast: Column) -> Column:
     return F.try_divide(F.sum(F.abs(actual - forecast)), F.sum(F.abs(actual))) * 100
 
 
-def error_band(rows: list[tuple[int, int, float, float]], step: int) -> tuple[float, float]:
-    """Percentiles of the relative errors at a step, of all steps if it has under three."""
-    errors = [(r[1], (r[2] - r[3]) / r[3]) for r in rows if r[3]]
-    own = [e for h, e in errors if h == step]
-    pool = own if len(own) >= 3 else [e for _, e in errors]
-    return tuple(np.percentile(pool, BAND)) if pool else (0.0, 0.0)
+def simple_forecasts(long: DataFrame, steps: int = 4) -> DataFrame:
+    """metric, origin, method, step, forecast for the first three methods at every origin, by window functions only."""
+    order = Window.partitionBy("metric").orderBy("week")
+    n = F.row_number().over(order)
+    tail = order.rowsBetween(1 - BACKTEST, 0)
+    x = F.col("n").cast("double")
+    rows = long.withColumn("n", n)
+    slope = F.try_divide(F.covar_pop(x, F.col("value")).over(tail), F.var_pop(x).over(tail))
+    rows = rows.select("metric", F.col("n").alias("origin"), F.col("value").alias("last_value"), F.avg("value").over(order.rowsBetween(-3, 0)).alias("ma4"), F.coalesce(slope, F.lit(0.0)).alias("slope"))
+    each = rows.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
+    made = {"last_value": F.col("last_value"), "ma4": F.col("ma4"), "ma4_trend": F.col("ma4") + F.col("slope") * (F.col("step") + 1.5)}
+    return each.select("metric", "origin", "step", F.explode(F.array(*(F.struct(F.lit(k).alias("method"), F.greatest(v, F.lit(0.0)).alias("forecast")) for k, v in made.items()))).alias("f")).select("metric", "origin", "step", "f.*")
+
 
+def holt_forecasts(long: DataFrame, steps: int = MOST_HORIZON) -> DataFrame:
+    """The same rows for exponential smoothing of level and trend.
 
-def forecast_series(y: np.ndarray, horizon: int) -> list[tuple[str, float, int, float, float, float]]:
-    """(method, wape, step, forecast, low, high); ties go to the simpler method."""
-    scores = [wape(backtest(y, m, horizon)) for m in METHODS]
-    best = METHODS[int(np.argmin(scores))]
-    errors = [r for r in backtest(y, best, horizon, len(y)) if r[0] >= BAND_HISTORY]
-    out = []
-    for h, p in enumerate(predict(y, best, horizon), 1):
-        low, high = error_band(errors, h)
-        out.append((best, min(scores), h, float(p), max(0.0, min(p, p * (1 + low))), max(p, p * (1 + high))))
-    return out
+    One fold over a series' values keeps, for a pair of weights, the state after each value, so the fit of an origin goes
+    on from that of the origin before it. At each origin the weights with the least squared one-step errors
+    count, ties to the first. An origin of one value repeats it.
+    """
+    series = long.groupBy("metric").agg(F.array_sort(F.collect_list(F.struct("week", "value"))).alias("s")).select("metric", F.transform("s", lambda x: x["value"]).alias("y"))
+    grid = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, (a, b) in enumerate((a, b) for a in HOLT_GRID for b in HOLT_GRID)))
+    fits = series.withColumn("w", F.explode(grid))
+    a, b, y = F.col("w.a"), F.col("w.b"), F.col("y")
+    state = lambda level, trend, error: F.struct(level.alias("level"), trend.alias("trend"), error.alias("error"))
+    begin = F.array(state(F.get(y, F.lit(0)), F.coalesce(F.get(y, F.lit(1)) - F.get(y, F.lit(0)), F.lit(0.0)), F.lit(0.0)))
+
+    def step(states, v):
+        last = F.element_at(states, -1)
+        guess = last["level"] + last["trend"]
+        level = a * v + (1 - a) * guess
+        return F.concat(states, F.array(state(level, b * (level - last["level"]) + (1 - b) * last["trend"], last["error"] + F.pow(v - guess, 2))))
+
+    after = fits.select("metric", "w", F.posexplode(F.aggregate(F.slice(y, 2, F.greatest(F.size(y) - 1, F.lit(0))), begin, step)).alias("at", "s"))
+    best = after.groupBy("metric", (F.col("at") + 1).alias("origin")).agg(F.min_by(F.struct("s.level", "s.trend"), F.struct("s.error", "w.place")).alias("f"))
+    each = best.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
+    trend = F.when(F.col("origin") > 1, F.col("f.trend")).otherwise(0.0)
+    return each.select("metric", "origin", "step", F.lit("holt").alias("method"), F.greatest(F.col("f.level") + trend * F.col("step"), F.lit(0.0)).alias("forecast"))
+
+
+def chosen_forecasts(long: DataFrame, origins: DataFrame) -> DataFrame:
+    """metric, origin, horizon, method, wape, step, forecast, low, high for rows (metric, origin, horizon).
+
+    What is known at an origin are its values and their backtests only: the method with the least error over the last
+    origins, ties to the simpler, and a band from its relative errors at the step, or at all steps if it has under three.
+    """
+    made = simple_forecasts(long, MOST_HORIZON).unionByName(holt_forecasts(long, MOST_HORIZON))
+    values = long.select("metric", F.row_number().over(Window.partitionBy("metric").orderBy("week")).alias("n"), F.col("value").alias("actual"))
+    tests = made.where("origin >= 4").withColumn("n", F.col("origin") + F.col("step")).join(values, ["metric", "n"]).select("metric", F.col("origin").alias("o"), "n", "step", "method", "actual", "forecast")
+    known = origins.join(tests, "metric").where("n <= origin and step <= horizon")
+    order = F.array_position(F.array(*map(F.lit, METHODS)), F.col("method"))
+    error = F.coalesce(wape_column(F.col("actual"), F.col("forecast")), F.lit(float("inf")))
+    keys = ["metric", "origin", "horizon"]
+    scores = known.where(F.col("o") >= F.col("origin") - BACKTEST).groupBy(*keys, "method").agg(error.alias("wape"))
+    best = scores.groupBy(*keys).agg(F.min_by(F.struct("method", "wape"), F.struct("wape", order)).alias("b")).select(*keys, "b.*")
+    relative = (F.col("actual") - F.col("forecast")) / F.col("forecast")
+    errors = known.where(F.col("o") >= BAND_HISTORY).join(best, [*keys, "method"]).where("forecast != 0").select(*keys, "step", relative.alias("e"))
+    band = F.percentile("e", F.array(*(F.lit(p / 100) for p in BAND))).alias("q")
+    own = errors.groupBy(*keys, "step").agg(F.count("e").alias("n"), band).where("n >= 3").select(*keys, "step", F.col("q").alias("own"))
+    pool = errors.groupBy(*keys).agg(band).select(*keys, F.col("q").alias("pool"))
+    ahead = best.join(made.withColumnRenamed("forecast", "p"), ["metric", "origin", "method"]).where("step <= horizon").join(own, [*keys, "step"], "left").join(pool, keys, "left")
+    q = F.coalesce("own", "pool", F.array(F.lit(0.0), F.lit(0.0)))
+    p = F.col("p")
+    return ahead.select(*keys, "method", "wape", F.col("step").cast("long").alias("step"), p.alias("forecast"), F.greatest(F.lit(0.0), F.least(p, p * (1 + q[0]))).alias("low"), F.greatest(p, p * (1 + q[1])).alias("high"))
 
 
 def forecast_analysis(history: DataFrame, metrics: list[str], horizon: int = 4) -> DataFrame:
     """metric, method, wape, step, week, forecast, low, high; nothing under 26 full weeks."""
     if not 1 <= horizon <= MOST_HORIZON:
         raise ValueError(f"horizon must be 1 to {MOST_HORIZON}")
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("week")
-        rows = forecast_series(part["value"].to_numpy(float), horizon) if len(part) >= LEAST_WEEKS else []
-        out = pd.DataFrame(rows, columns=["method", "wape", "step", "forecast", "low", "high"])
-        out.insert(0, "metric", part["metric"].iloc[0])
-        out["week"] = [(pd.Timestamp(part["week"].iloc[-1]) + pd.Timedelta(weeks=int(h))).date() for h in out["step"]]
-        return out
-
-    return long_history(history, metrics).groupBy("metric").applyInPandas(run, "metric string, method string, wape double, step long, forecast double, low double, high double, week date")
+    long = long_history(history, metrics)
+    ends = long.groupBy("metric").agg(F.count(F.lit(1)).cast("int").alias("origin"), F.max("week").alias("last")).where(F.col("origin") >= LEAST_WEEKS)
+    found = chosen_forecasts(long, ends.select("metric", "origin", F.lit(horizon).alias("horizon"))).join(ends.select("metric", "last"), "metric")
+    return found.select("metric", "method", "wape", "step", "forecast", "low", "high", F.expr("date_add(last, CAST(7 * step AS INT))").alias("week"))
 
 
 def range_coverage(history: DataFrame, metrics: list[str], horizon: int = MOST_HORIZON, weeks: int = REPLAY) -> DataFrame:
     """metric, checked, inside: how many of the last weeks lay within the band that the weeks before gave."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        y = part.sort_values("week")["value"].to_numpy(float)
-        checked = inside = 0
-        for origin in range(max(LEAST_WEEKS, len(y) - weeks), len(y)):
-            step = min(horizon, len(y) - origin)
-            _, _, _, _, low, high = forecast_series(y[:origin], step)[0]
-            checked, inside = checked + 1, inside + int(low <= y[origin] <= high)
-        return pd.DataFrame({"metric": [part["metric"].iloc[0]], "checked": [checked], "inside": [inside]})
-
-    return long_history(history, metrics).groupBy("metric").applyInPandas(run, "metric string, checked long, inside long")
-
-
-def simple_forecasts(long: DataFrame) -> DataFrame:
-    """metric, origin, method, step 1 to 4, forecast for the first three methods at every origin, by window functions only."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("metric").orderBy("week")
-    n = F.row_number().over(order)
-    tail = order.rowsBetween(1 - BACKTEST, 0)
-    x = F.col("n").cast("double")
-    rows = long.withColumn("n", n)
-    slope = F.try_divide(F.covar_pop(x, F.col("value")).over(tail), F.var_pop(x).over(tail))
-    rows = rows.select("metric", F.col("n").alias("origin"), F.col("value").alias("last_value"), F.avg("value").over(order.rowsBetween(-3, 0)).alias("ma4"), F.coalesce(slope, F.lit(0.0)).alias("slope"))
-    steps = rows.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(4))))
-    made = {"last_value": F.col("last_value"), "ma4": F.col("ma4"), "ma4_trend": F.col("ma4") + F.col("slope") * (F.col("step") + 1.5)}
-    return steps.select("metric", "origin", "step", F.explode(F.array(*(F.struct(F.lit(k).alias("method"), F.greatest(v, F.lit(0.0)).alias("forecast")) for k, v in made.items()))).alias("f")).select("metric", "origin", "step", "f.*")
+    long = long_history(history, metrics)
+    n = F.row_number().over(Window.partitionBy("metric").orderBy("week"))
+    numbered = long.select("metric", n.alias("n"), "value", F.count(F.lit(1)).over(Window.partitionBy("metric")).cast("int").alias("size"))
+    asked = numbered.select("metric", (F.col("n") - 1).alias("origin"), F.least(F.lit(horizon), F.col("size") - F.col("n") + 1).alias("horizon"), "value", "size").where((F.col("origin") >= LEAST_WEEKS) & (F.col("origin") >= F.col("size") - weeks))
+    found = chosen_forecasts(long, asked.select("metric", "origin", "horizon")).where("step = 1").join(asked.select("metric", "origin", "value"), ["metric", "origin"])
+    within = found.groupBy("metric").agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.col("value").between(F.col("low"), F.col("high"))).alias("inside"))
+    return long.select("metric").distinct().join(within, "metric", "left").select("metric", F.coalesce("checked", F.lit(0)).cast("long").alias("checked"), F.coalesce("inside", F.lit(0)).cast("long").alias("inside"))

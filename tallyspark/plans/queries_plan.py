@@ -176,14 +176,43 @@ def ag_30(spark, sf_dir):
     return rounded(band.select("metric", "method", "step", F.col("q")[0].alias("low"), F.col("q")[1].alias("high")), 6)
 
 
-for _name in ("fc_04", "fc_05"):
-
-    @R.add(_name)
-    def _forecast(spark, sf_dir):
-        return rounded(FC.forecast_analysis(_history(spark, sf_dir), _METRICS, 4))
-
-
-@R.add("fc_06")
+# every method at every origin, eight steps; smoothing by recursion from week to week
+_ALL_METHODS = _WEEKS.format(where="").replace(" ln AS (", " ln AS MATERIALIZED (") + """,
+ gr AS (SELECT a, b, row_number() OVER (ORDER BY a, b) AS g FROM (VALUES (0.2e0), (0.4e0), (0.6e0), (0.8e0)) x(a), (VALUES (0.2e0), (0.4e0), (0.6e0), (0.8e0)) y(b)),
+ ho AS (WITH RECURSIVE hr AS (
+   SELECT ln.metric, a, b, g, ln.n, ln.value AS level, later.value - ln.value AS trend, 0.0e0 AS error FROM ln JOIN ln later ON later.metric = ln.metric AND later.n = 2, gr WHERE ln.n = 1
+   UNION ALL SELECT hr.metric, a, b, g, v.n, a * v.value + (1 - a) * (level + trend), b * (a * v.value + (1 - a) * (level + trend) - level) + (1 - b) * trend, error + power(v.value - (level + trend), 2) FROM hr JOIN ln v ON v.metric = hr.metric AND v.n = hr.n + 1)
+   SELECT metric, n AS origin, level, trend FROM hr QUALIFY row_number() OVER (PARTITION BY metric, n ORDER BY error, g) = 1),
+ s8 AS (SELECT *, unnest([1, 2, 3, 4, 5, 6, 7, 8]) AS step FROM fx),
+ f8 AS MATERIALIZED (SELECT metric, origin, step, 1 AS i, 'last_value' AS method, greatest(last_value, 0) AS forecast FROM s8 UNION ALL SELECT metric, origin, step, 2, 'ma4', greatest(ma4, 0) FROM s8 UNION ALL SELECT metric, origin, step, 3, 'ma4_trend', greatest(ma4 + slope * (step + 1.5), 0) FROM s8
+   UNION ALL SELECT metric, origin, unnest([1, 2, 3, 4, 5, 6, 7, 8]) AS step, 4, 'holt', greatest(level + trend * unnest([1, 2, 3, 4, 5, 6, 7, 8]), 0) FROM ho),
+ er AS MATERIALIZED (SELECT f8.metric, origin AS o, n, step, i, value AS actual, forecast FROM f8 JOIN ln ON ln.metric = f8.metric AND n = origin + step WHERE origin >= 4),
+ ks AS (SELECT * FROM er JOIN asked USING (metric) WHERE n <= t AND step <= h),
+ sc AS (SELECT metric, t, h, i, coalesce(sum(abs(actual - forecast)) / nullif(sum(abs(actual)), 0) * 100, CAST('inf' AS DOUBLE)) AS wape FROM ks WHERE o >= t - 12 GROUP BY ALL),
+ be AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY metric, t ORDER BY wape, i) = 1),
+ re AS (SELECT ks.metric, ks.t, step, (actual - forecast) / forecast AS e FROM ks JOIN be ON be.metric = ks.metric AND be.t = ks.t AND be.i = ks.i WHERE o >= 12 AND forecast <> 0),
+ ow AS (SELECT metric, t, step, quantile_cont(e, 0.1) AS q1, quantile_cont(e, 0.9) AS q9 FROM re GROUP BY ALL HAVING count(*) >= 3),
+ po AS (SELECT metric, t, quantile_cont(e, 0.1) AS q1, quantile_cont(e, 0.9) AS q9 FROM re GROUP BY ALL),
+ fd AS (SELECT be.metric, be.t, f8.method, wape, f8.step, forecast, greatest(0, least(forecast, forecast * (1 + coalesce(ow.q1, po.q1, 0)))) AS low, greatest(forecast, forecast * (1 + coalesce(ow.q9, po.q9, 0))) AS high
+   FROM be JOIN f8 ON f8.metric = be.metric AND f8.origin = be.t AND f8.i = be.i AND f8.step <= be.h LEFT JOIN ow ON ow.metric = be.metric AND ow.t = be.t AND ow.step = f8.step LEFT JOIN po ON po.metric = be.metric AND po.t = be.t)"""
+_AT_END = _ALL_METHODS.replace(" ks AS (", " asked AS (SELECT metric, max(n) AS t, 4 AS h, max(week) AS last FROM ln GROUP BY metric HAVING max(n) >= 26), ks AS (", 1)
+
+
+@R.add("fc_04", _AT_END + " SELECT DISTINCT metric, method, round(wape, 4) AS wape FROM fd")
+def fc_04(spark, sf_dir):
+    """The method of each metric."""
+    return rounded(FC.forecast_analysis(_history(spark, sf_dir), _METRICS, 4).select("metric", "method", "wape").distinct())
+
+
+@R.add("fc_05", _AT_END + " SELECT metric, method, CAST(step AS BIGINT) AS step, CAST(last + INTERVAL 7 DAY * step AS DATE) AS week, round(forecast, 3) AS forecast, round(low, 3) AS low, round(high, 3) AS high FROM fd JOIN asked USING (metric)", dates=("week",))
+def fc_05(spark, sf_dir):
+    return rounded(FC.forecast_analysis(_history(spark, sf_dir), _METRICS, 4).drop("wape"), 3)
+
+
+_REPLAYED = _ALL_METHODS.replace(" ks AS (", " asked AS (SELECT metric, n - 1 AS t, least(8, z - n + 1) AS h, value AS seen FROM (SELECT *, max(n) OVER (PARTITION BY metric) AS z FROM ln WHERE metric IN ('spend', 'revenue')) WHERE n - 1 >= 26 AND n - 1 >= z - 26), ks AS (", 1)
+
+
+@R.add("fc_06", _REPLAYED + " SELECT metric, count(*) AS checked, count(*) FILTER (seen BETWEEN low AND high) AS inside FROM fd JOIN asked USING (metric, t) WHERE step = 1 GROUP BY metric")
 def fc_06(spark, sf_dir):
     return FC.range_coverage(_history(spark, sf_dir), ["spend", "revenue"], 8)
 

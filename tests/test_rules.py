@@ -13,7 +13,6 @@ from tallyspark.functions.kpi import channel_type
 from tallyspark.operators import anomalies as A
 from tallyspark.operators import cleaning as CL
 from tallyspark.operators import findings as FI
-from tallyspark.operators import forecast as FC
 from tallyspark.operators import incidents as I
 from tallyspark.operators import labels as LB
 from tallyspark.operators import mapping as MP
@@ -207,14 +206,6 @@ def test_clean_of_an_empty_table_has_its_columns(spark):
     assert table.count() == 0 and log.count() == 0 and {"date", "spend", "dq_flags"} <= set(table.columns)
 
 
-def test_forecast_follows_a_line_and_bands_enclose_it():
-    y = np.arange(60) * 10.0 + 100
-    rows = FC.forecast_series(y, 4)
-    assert [r[3] for r in rows] == pytest.approx([700, 710, 720, 730], rel=0.02)
-    assert all(low <= p <= high for _, _, _, p, low, high in rows)
-    assert FC.predict(np.array([5.0, 3.0, 1.0]), "ma4_trend", 8).min() >= 0
-
-
 def test_response_curve_recovers_its_exponent(spark):
     weeks = [("Paid Search", dt.date(2025, 1, 6) + dt.timedelta(weeks=i), s := 100.0 + 37 * (i * 7 % 11), 3 * s**0.5, 9.0) for i in range(40)]
     weekly = spark.createDataFrame(weeks, "channel string, week date, spend double, conversions double, revenue double")
