@@ -165,18 +165,20 @@ def _state_map(t: Transducer, plain: int, left: bytes, head: bytes, entered, exi
     return StateMap(None, {bytes(e): after(int(n), bytes(x)) for e, x, n in zip(entered, exits, gains, strict=True)}, lambda s: after(*t.follow(s, head)))
 
 
+def _counted(rows: list[tuple[int | None, int, int]], limit: int) -> pa.RecordBatch:
+    doc, size, n = (list(c) for c in zip(*rows, strict=True)) if rows else ([], [], [])
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+
+
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, chunk: int = 16_384, tried: int = TRIED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) for each row."""
     texts = documents(docs, id_col, text_col)
 
-    def table(ids: pd.Series, n_bytes, n_tokens) -> pd.DataFrame:
-        return pd.DataFrame({"doc_id": ids.astype("Int64").to_numpy(), "n_bytes": n_bytes, "n_tokens": n_tokens, "over_limit": [n > limit for n in n_tokens]}).astype({"doc_id": "Int64", "n_bytes": "int64", "n_tokens": "int64", "over_limit": "bool"})
-
-    def short(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(vocabulary)
-        for part in parts:
-            own = part["text"].tolist()
-            yield table(part["doc_id"], [len(x.encode()) for x in own], count_tokens(t, own).tolist())
+        for batch in batches:
+            own = batch.column(1).to_pylist()
+            yield _counted(list(zip(batch.column(0).to_pylist(), [len(x.encode()) for x in own], count_tokens(t, own).tolist(), strict=True)), limit)
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A row for each chunk; a special token's string is a chunk of its own, and nothing beyond it counts as before or after."""
@@ -198,12 +200,23 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, chunk: int
             rows += [(r.key, r.doc_id, r.at, len(r.chunk.encode()), 1, START, b"", [], [], []) for r in part[part["special"]].itertuples()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(_KINDS), _KINDS.values(), strict=True)], list(_KINDS))
 
-    def joined(group: pd.DataFrame) -> pd.DataFrame:
-        t = transducer(vocabulary)
-        group = group.sort_values("at")
-        own = [_state_map(t, *row) for row in group[["plain", "left", "head", "entered", "exits", "gains"]].itertuples(index=False, name=None)]
-        return table(group["doc_id"].iloc[:1], [int(group["n_bytes"].sum())], [composed(own)(START)[0]])
-
-    whole = texts.where(F.length("text") <= chunk).mapInPandas(short, _RESULT)
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts from their chunks' maps, which come in order; one text's maps are held at a time."""
+        t, key, doc, size, own = transducer(vocabulary), None, None, 0, []
+        for batch in batches:
+            done = []
+            for row in batch.to_pylist():
+                if row["key"] != key:
+                    if own:
+                        done.append((doc, size, composed(own)(START)[0]))
+                    key, doc, size, own = row["key"], row["doc_id"], 0, []
+                size += row["n_bytes"]
+                own.append(_state_map(t, *(row[c] for c in ("plain", "left", "head", "entered", "exits", "gains"))))
+            yield _counted(done, limit)
+        if own:
+            yield _counted([(doc, size, composed(own)(START)[0])], limit)
+
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = texts.where(F.length("text") <= chunk).mapInArrow(short, _RESULT)
     long = texts.where(F.length("text") > chunk).withColumn("key", F.monotonically_increasing_id()).mapInPandas(cut, "key long, doc_id long, at int, before string, chunk string, after string, special boolean")
-    return whole.unionByName(long.repartition("key", "at").mapInArrow(maps, _MAPS).groupBy("key").applyInPandas(joined, _RESULT))
+    return whole.unionByName(long.repartition("key", "at").mapInArrow(maps, _MAPS).repartition(tasks, "key").sortWithinPartitions("key", "at").mapInArrow(joined, _RESULT))
