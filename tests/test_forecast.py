@@ -59,7 +59,7 @@ def series(y, horizon):
 def known():
     rng = random.Random(3)
     shapes = {
-        "line": lambda i: 100.0 + 5 * i,
+        "line": lambda i: 100.0 + 5 * i + 7 * (i % 3),  # an exact line would be a tie up to rounding
         "noise": lambda i: rng.uniform(0, 100),
         "falling": lambda i: max(0.0, 300 - 9.0 * i + rng.uniform(-20, 20)),
         "steps": lambda i: 50.0 * (1 + i // 15) + rng.uniform(-3, 3),
