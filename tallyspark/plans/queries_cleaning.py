@@ -9,6 +9,8 @@ from tallyspark.operators import labels as LB
 from tallyspark.operators import mapping as MP
 from tallyspark.operators import profile as PR
 
+from tallyspark.functions.kpi import presence
+
 from .build import PRESENT, Registry, rounded
 from .canonical import campaign_rows
 from .messy import COLUMNS, KEPT_SQL, MAPPING, REPEAT, TOTAL, messy
@@ -102,13 +104,11 @@ def cln_10(spark, sf_dir):
     return log.select("source_row", F.col("e.column").alias("column_name"), F.col("e.original").cast("double").alias("value"))
 
 
-@add("cln_11", KEPT_SQL + """ SELECT r * 2 AS source_row, 'channel' AS column_name, lower(o_orderpriority) AS original, o_orderpriority AS cleaned, 'label_standardized' AS action FROM o WHERE k = 1
-    UNION ALL SELECT r * 2, 'channel', o_orderpriority || 't', o_orderpriority, 'label_standardized' FROM o WHERE k = 2 UNION ALL SELECT r * 2, 'channel', o_orderpriority, o_orderpriority, 'whitespace_trimmed' FROM o WHERE k = 9""")
+@add("cln_11", KEPT_SQL + """ SELECT r * 2 AS source_row, 'channel' AS column_name, ' ' || lower(o_orderpriority) || ' ' AS original, o_orderpriority AS cleaned, 'label_standardized' AS action FROM o WHERE k = 1
+    UNION ALL SELECT r * 2, 'channel', o_orderpriority || 'T', o_orderpriority, 'label_standardized' FROM o WHERE k = 2 UNION ALL SELECT r * 2, 'channel', o_orderpriority || '  ', o_orderpriority, 'whitespace_trimmed' FROM o WHERE k = 9""")
 def cln_11(spark, sf_dir):
     log = _clean(spark, sf_dir)[1].where((F.col("column") == "channel") & F.col("action").isin("label_standardized", "whitespace_trimmed"))
-    original = F.when(F.col("action") == "label_standardized", F.lower(F.trim("original"))).otherwise(F.trim("original"))
-    named = log.select("source_row", F.col("column").alias("column_name"), original.alias("original"), "cleaned", "action")
-    return named.withColumn("original", F.when(F.col("original").endswith("t") & (F.length("original") > F.length("cleaned")), F.concat("cleaned", F.lit("t"))).otherwise(F.col("original")))
+    return log.select("source_row", F.col("column").alias("column_name"), "original", "cleaned", "action")
 
 
 _COUNTS = KEPT_SQL + f""", a AS (SELECT 'date_standardized' AS action, 'date' AS column_name FROM o WHERE k BETWEEN 10 AND 15 UNION ALL SELECT 'missing_value', 'date' FROM o WHERE k = 16 UNION ALL SELECT 'unreadable_value', 'date' FROM o WHERE k = 17
@@ -121,10 +121,13 @@ for _name in ("cln_12", "ag_38"):
         return CL.limitations(_clean(spark, sf_dir)[1]).withColumnRenamed("column", "column_name")
 
 
-@add("ag_37", _COUNTS + " SELECT action, count(*) AS n FROM a GROUP BY 1")
+_EVERY = f""", b AS (SELECT action FROM a UNION ALL SELECT 'label_standardized' FROM o WHERE k IN (1, 2) UNION ALL SELECT 'whitespace_trimmed' FROM o WHERE k = 9 UNION ALL SELECT 'duplicate_removed' FROM o WHERE r % {REPEAT} = 0 UNION ALL SELECT 'column_dropped'
+    UNION ALL SELECT 'summary_row_removed' FROM orders WHERE o_orderkey % {TOTAL} = 0 UNION ALL SELECT 'summary_row_removed' FROM orders WHERE o_orderkey % {TOTAL} = 0 AND o_orderkey % {REPEAT} = 0)"""
+
+
+@add("ag_37", _COUNTS + _EVERY + " SELECT action, count(*) AS n FROM b GROUP BY 1")
 def ag_37(spark, sf_dir):
-    shown = ["date_standardized", "missing_value", "unreadable_value", "ambiguous_date", "text_to_number", "invalid_value_removed"]
-    return CL.log_summary(_clean(spark, sf_dir)[1]).where(F.col("action").isin(shown)).groupBy("action").agg(F.sum("n").alias("n"))
+    return CL.log_summary(_clean(spark, sf_dir)[1]).groupBy("action").agg(F.sum("n").alias("n"))
 
 
 @add("cln_01", "SELECT 'confirm the mapping of spend first' AS error")
@@ -341,12 +344,27 @@ def ag_39(spark, sf_dir):
     return rounded(PR.plausibility(df).select(F.col("check").alias("check_name"), "value"))
 
 
-_CAPS = {"time_series": True, "ctr": True, "cpc": True, "cpl": True, "revenue_metrics": True, "roi": True, "aov": True, "cac": True, "campaign_analysis": True, "channel_analysis": True, "segment_analysis": True, "geography_analysis": True, "product_analysis": True, "anomaly_detection": True, "funnel": True}
+#: Which fields a file lacks, in four variants.
+_LACKING = {"all": [], "no revenue": ["revenue", "gross_profit"], "no spend": ["spend", "region"], "no dates": ["date", "leads"]}
+
+
+def _capable(variant: str) -> str:
+    gone = ", ".join(f"NULL AS {c}" for c in _LACKING[variant])
+    known = lambda c: f"count({c}) > 0" if c in PRESENT else "false"
+    caps = {k: " OR ".join("(" + " AND ".join(known(c) for c in sorted(own)) + ")" for own in sets) for k, sets in PR.CAPABILITIES.items()}
+    caps["funnel"] = " + ".join(f"CAST({known(c)} AS INTEGER)" for c in PR._FUNNEL) + " >= 2"
+    return f"SELECT '{variant}' AS variant, capability, enabled FROM (SELECT " + ", ".join(f"{v} AS {k}" for k, v in caps.items()) + f" FROM (SELECT *{f' REPLACE ({gone})' if gone else ''} FROM m)) UNPIVOT (enabled FOR capability IN (COLUMNS(*)))"
 
 
-@add("val_01", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {str(v).lower()})" for k, v in _CAPS.items()) + ") v(capability, enabled)")
+@R.add("val_01", " UNION ALL ".join(_capable(v) for v in _LACKING))
 def val_01(spark, sf_dir):
-    return spark.createDataFrame(list(PR.capabilities(PRESENT).items()), "capability string, enabled boolean")
+    """What files that lack some fields allow, from what their rows hold."""
+    df, out = campaign_rows(spark, sf_dir), None
+    for variant, gone in _LACKING.items():
+        present = presence(df.withColumns({c: F.lit(None).cast(dict(df.dtypes)[c]) for c in gone}) if gone else df)
+        one = spark.createDataFrame([(variant, k, v) for k, v in PR.capabilities(present).items()], "variant string, capability string, enabled boolean")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 QUERIES, ORACLE_SQL = R.queries, R.sql

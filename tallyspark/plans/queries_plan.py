@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions import text as X
+from tallyspark.functions.kpi import presence
 from tallyspark.operators import channel as C
 from tallyspark.operators import findings as FI
 from tallyspark.operators import forecast as FC
@@ -16,7 +17,7 @@ from tallyspark.operators import standouts as SO
 from tallyspark.operators import targets as T
 from tallyspark.operators.group import group_kpis, kpi_table, period_comparison
 
-from .build import PRESENT, Registry, measure_sql, rounded
+from .build import PRESENT, Registry, measure_sql, rounded, totals_and_ratios
 from .canonical import campaign_rows
 
 R = Registry()
@@ -350,10 +351,16 @@ def srt_02(spark, sf_dir):
     return rounded(_found(spark, sf_dir).select("priority", "finding", "entity", "metric", "value"))
 
 
-@R.add("fnd_02", "SELECT 'roas' AS with_revenue, 'cpl' AS with_leads, 'ctr' AS with_clicks", m=False)
+_HEADLINE = "SELECT '{v}' AS variant, CASE WHEN count(revenue) > 0 AND count(spend) > 0 THEN 'roas' WHEN count(spend) > 0 AND count(leads) > 0 THEN 'cpl' WHEN count(clicks) > 0 AND count(impressions) > 0 THEN 'ctr' END AS headline FROM (SELECT *{r} FROM m)"
+_LACKING = {"all": [], "no revenue": ["revenue"], "no money": ["revenue", "spend"], "no revenue and leads": ["revenue", "leads"], "no clicks": ["revenue", "spend", "clicks"]}
+
+
+@R.add("fnd_02", " UNION ALL ".join(_HEADLINE.format(v=v, r=f" REPLACE ({', '.join(f'NULL AS {c}' for c in gone)})" if gone else "") for v, gone in _LACKING.items()))
 def fnd_02(spark, sf_dir):
-    names = [FI.headline_metric(p) for p in (PRESENT, PRESENT - {"revenue"}, PRESENT - {"revenue", "leads"})]
-    return spark.range(1).select(*(F.lit(v).alias(k) for k, v in zip(("with_revenue", "with_leads", "with_clicks"), names, strict=True)))
+    """The headline measure of files that lack some fields, from what their rows hold."""
+    df = rows(spark, sf_dir)
+    found = [(v, FI.headline_metric(presence(df.withColumns({c: F.lit(None).cast(dict(df.dtypes)[c]) for c in gone}) if gone else df))) for v, gone in _LACKING.items()]
+    return spark.createDataFrame(found, "variant string, headline string")
 
 
 @R.add("fnd_03", f", ch AS (SELECT channel, {measure_sql('roas')} AS roas FROM m GROUP BY 1) SELECT finding, 'channels' AS table_name, channel AS key, 'roas' AS column_name, round(roas, 4) AS value FROM ((SELECT 'best_channel' AS finding, * FROM ch ORDER BY roas DESC LIMIT 1) UNION ALL (SELECT 'weakest_channel', * FROM ch ORDER BY roas LIMIT 1))")
@@ -398,9 +405,14 @@ def pln_01(spark, sf_dir):
     return FI.key_numbers(kpi_table(rows(spark, sf_dir), PRESENT), {"clicks": "count"})
 
 
-@R.add("pln_02", f"SELECT '{'roas'}' AS kpi, round({measure_sql('roas')}, 4) AS current FROM m WHERE date BETWEEN DATE '1998-06-01' AND DATE '1998-06-30'")
+_PERIOD = "SELECT '{p}' AS period, {m} FROM m WHERE date BETWEEN DATE '{a}' AND DATE '{b}'"
+_PERIODS = " UNION ALL ".join(_PERIOD.format(p=p, a=a, b=b, m=", ".join(f"CAST({measure_sql(k)} AS DOUBLE) AS {k}" for k in totals_and_ratios())) for p, a, b in (("current", "1998-06-01", "1998-06-30"), ("previous", "1998-05-02", "1998-05-31")))
+
+
+@R.add("pln_02", f", w AS ({_PERIODS}), l AS (UNPIVOT w ON {', '.join(totals_and_ratios())} INTO NAME kpi VALUE value) SELECT kpi, round(max(value) FILTER (period = 'current'), 4) AS current, round(max(value) FILTER (period = 'previous'), 4) AS previous, round(100 * (max(value) FILTER (period = 'current') - max(value) FILTER (period = 'previous')) / nullif(abs(max(value) FILTER (period = 'previous')), 0), 4) AS pct_change FROM l GROUP BY kpi")
 def pln_02(spark, sf_dir):
-    return rounded(period_comparison(rows(spark, sf_dir), "1998-06-01", "1998-06-30", PRESENT).where("kpi = 'roas'").select("kpi", "current"))
+    """Thirty days against the thirty before, every measure."""
+    return rounded(period_comparison(rows(spark, sf_dir), "1998-06-01", "1998-06-30", PRESENT).select("kpi", "current", "previous", "pct_change"))
 
 
 @R.add("evd_01")

@@ -183,9 +183,9 @@ def fn_21(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.tidy(F.coalesce("text", F.lit(""))).alias("tidy"))
 
 
-@add("fn_21_whole", None)
+@add("fn_21_whole", R.sql["fn_21"])
 def fn_21_whole(spark, sf_dir):
-    """fn_21 over every document in every language; held against brute force, not SQL."""
+    """fn_21, which reads every document in every language by now."""
     return table(spark, sf_dir, "documents").select("doc_id", X.tidy(F.coalesce("text", F.lit(""))).alias("tidy"))
 
 

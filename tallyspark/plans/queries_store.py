@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.functions import text as X
 from tallyspark.operators import mapping as MP
 from tallyspark.operators.group import group_kpis
 from tallyspark.sources import files as FILES
@@ -89,9 +90,12 @@ for _name in ("src_02", "src_11"):
         return FILES.content(spark, f"{sf_dir}/customer.parquet").select("length", "sha256")
 
 
-@add("src_12", "SELECT 'cost' AS key, 'spend' AS field UNION ALL SELECT 'amount spent', 'spend'")
+@add("src_12", "SELECT event_type, field, count(*) AS n FROM events JOIN (VALUES ('click', 'clicks'), ('view', 'views'), ('purchase', 'conversions')) v(event_type, field) USING (event_type) GROUP BY 1, 2")
 def src_12(spark, sf_dir):
-    return FILES.knowledge(spark).where(F.col("key").isin("cost", "amount spent")).select("key", "field")
+    """Kinds of events whose names, as a header would have them, the dictionary knows."""
+    events = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    headers = events.withColumn("key", X.header_key(F.concat(F.initcap("event_type"), F.lit("s (INR)"))))
+    return headers.join(FILES.knowledge(spark), "key").select("event_type", "field", "n")
 
 
 @add("src_17", "SELECT 365 AS days, 17 AS campaigns, 31025 AS rows")
@@ -197,12 +201,16 @@ def snk_10(spark, sf_dir):
     return store.load_log("r1", "ai_calls").groupBy("purpose").agg(F.count(F.lit(1)).alias("calls"), F.sum("input_tokens").alias("input_tokens"))
 
 
-@add("snk_11", "SELECT * FROM (VALUES ('r1', 'pdf', 5), ('r1', 'xlsx', 6), ('r2', 'pdf', 7)) v(run_id, kind, \"at\")")
+@add("snk_11", "SELECT 'r' || n_regionkey AS run_id, CASE WHEN n_nationkey % 2 = 0 THEN 'pdf' ELSE 'xlsx' END AS kind, n_name AS path, n_nationkey AS \"at\" FROM nation")
 def snk_11(spark, sf_dir):
+    """A report for each nation, registered under its region's run in two parts."""
     store = _store(spark)
-    for run_id, kind, at in (("r1", "pdf", 5), ("r1", "xlsx", 6), ("r2", "pdf", 7)):
-        store.append_log(run_id, "reports", spark.createDataFrame([(kind, f"{kind}/{run_id}", at)], "kind string, path string, at int"))
-    return store.read("reports").select("run_id", "kind", "at")
+    nations = table(spark, sf_dir, "nation")
+    for run in [r["r_regionkey"] for r in table(spark, sf_dir, "region").select("r_regionkey").collect()]:  # five regions
+        own = nations.where(F.col("n_regionkey") == run).select(F.when(F.col("n_nationkey") % 2 == 0, "pdf").otherwise("xlsx").alias("kind"), F.col("n_name").alias("path"), F.col("n_nationkey").alias("at"))
+        for part in (own.where("at < 10"), own.where("at >= 10")):
+            store.append_log(f"r{run}", "reports", part)
+    return store.read("reports").select("run_id", "kind", "path", "at")
 
 
 @add("src_15", "SELECT 'quality' AS log, count(*) AS n FROM orders UNION ALL SELECT 'mappings', 3 UNION ALL SELECT 'reports', 1 UNION ALL SELECT 'runs', 1")
@@ -231,7 +239,7 @@ def snk_06(spark, sf_dir):
     return store.register_datasets(files).select("sha256")
 
 
-def _runs(spark) -> RunStore:
+def _few_runs(spark) -> RunStore:
     store = _store(spark)
     store.register_datasets(spark.createDataFrame([("h1", "one.csv"), ("h2", "two.csv"), ("h3", "orphan.csv")], "sha256 string, name string"))
     log = [("r1", "h1", "created", 1), ("r1", "h1", "finished", 5), ("r2", "h2", "created", 2), ("r2", "h2", "failed", 3), ("r3", "h1", "created", 7)]
@@ -240,26 +248,54 @@ def _runs(spark) -> RunStore:
     return store
 
 
-for _name in ("snk_07", "jn_01"):
+def _runs(spark, sf_dir) -> RunStore:
+    """The customers' files as datasets and the orders as runs over them, with their states and reports."""
+    store, k = _store(spark), F.col("o_orderkey")
+    store.register_datasets(table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("sha256"), F.concat("c_name", F.lit(".csv")).alias("name")))
+    runs = table(spark, sf_dir, "orders").select(k, k.cast("string").alias("run_id"), F.col("o_custkey").cast("string").alias("sha256"), "o_orderstatus")
+    store.append("run_log", runs.select("run_id", "sha256", F.lit("created").alias("status"), (k * 2).alias("at")))
+    last = F.create_map(F.lit("F"), F.lit("finished"), F.lit("P"), F.lit("failed"))[F.col("o_orderstatus")]
+    store.append("run_log", runs.select("run_id", "sha256", last.alias("status"), (k * 2 + 1).alias("at")).where("status is not null"))
+    store.append("reports", runs.select("run_id", F.explode(F.slice(F.array(F.lit("pdf"), F.lit("xlsx")), 1, (k % 3).cast("int"))).alias("kind")))
+    return store
+
+
+_RUN_SQL = "SELECT CAST(o_orderkey AS VARCHAR) AS run_id, c_name || '.csv' AS name, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'P' THEN 'failed' ELSE 'created' END AS status FROM orders JOIN customer ON c_custkey = o_custkey"
+
+
+@add("snk_07", "SELECT status, count(*) AS n FROM (" + _RUN_SQL + ") GROUP BY 1")
+def snk_07(spark, sf_dir):
+    """How many runs are in each state."""
+    return _runs(spark, sf_dir).runs().groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
-    @add(_name, "SELECT * FROM (VALUES ('r3', 'one.csv', 'created'), ('r2', 'two.csv', 'failed'), ('r1', 'one.csv', 'finished')) v(run_id, name, status)")
-    def _run_list(spark, sf_dir):
-        return _runs(spark).runs().select("run_id", "name", "status")
 
+@add("jn_01", _RUN_SQL)
+def jn_01(spark, sf_dir):
+    return _runs(spark, sf_dir).runs().select("run_id", "name", "status")
 
-for _name in ("jn_02", "prj_21"):
 
-    @add(_name, "SELECT * FROM (VALUES ('r3', 'one.csv', 0), ('r2', 'two.csv', 1)) v(run_id, name, reports)")
-    def _recent(spark, sf_dir):
-        store = _runs(spark)
-        reports = store.read("reports").groupBy("run_id").agg(F.count(F.lit(1)).alias("reports"))
-        newest = store.runs().limit(2)  # the feature: the two newest runs
-        return newest.join(reports, "run_id", "left").select("run_id", "name", F.coalesce("reports", F.lit(0)).alias("reports"))
+def _with_reports(store: RunStore, runs: DataFrame) -> DataFrame:
+    reports = store.read("reports").groupBy("run_id").agg(F.count(F.lit(1)).alias("reports"))
+    return runs.join(reports, "run_id", "left").select("run_id", "name", F.coalesce("reports", F.lit(0)).alias("reports"))
 
 
-@add("jn_09", "SELECT 'h3' AS sha256")
+@add("jn_02", "SELECT CAST(o_orderkey AS VARCHAR) AS run_id, c_name || '.csv' AS name, o_orderkey % 3 AS reports FROM orders JOIN customer ON c_custkey = o_custkey")
+def jn_02(spark, sf_dir):
+    store = _runs(spark, sf_dir)
+    return _with_reports(store, store.runs())
+
+
+@add("prj_21", "SELECT CAST(o_orderkey AS VARCHAR) AS run_id, c_name || '.csv' AS name, o_orderkey % 3 AS reports FROM orders JOIN customer ON c_custkey = o_custkey ORDER BY o_orderkey DESC LIMIT 50")
+def prj_21(spark, sf_dir):
+    """The feature: the newest runs of a store."""
+    store = _runs(spark, sf_dir)
+    return _with_reports(store, store.runs().limit(50))
+
+
+@add("jn_09", "SELECT CAST(c_custkey AS VARCHAR) AS sha256 FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def jn_09(spark, sf_dir):
-    store = _runs(spark)
+    """Files that no run has read."""
+    store = _runs(spark, sf_dir)
     return store.read("datasets").join(store.runs().select("sha256"), "sha256", "left_anti").select("sha256")
 
 
@@ -271,18 +307,21 @@ def snk_08(spark, sf_dir):
     return store.upsert("mapping_cache", rows.where("version % 2 = 1"), ["key"], "version").select("key", "name")
 
 
-@add("snk_09", "SELECT 'a' AS layout_key, 'roas' AS kpi, 4.0e0 AS target UNION ALL SELECT 'b', 'cpl', 90.0e0")
+@add("snk_09", "SELECT r_name AS layout_key, n_name AS kpi, CAST(n_nationkey AS DOUBLE) AS target FROM nation JOIN region ON r_regionkey = n_regionkey")
 def snk_09(spark, sf_dir):
-    store = _store(spark)
-    for layout, kpi, target in (("a", "spend", 1.0), ("b", "cpl", 90.0), ("a", "roas", 4.0)):
-        store.save_targets(layout, spark.createDataFrame([(kpi, target)], "kpi string, target double"))
+    """Each region's targets replace those that it had; other regions' stay."""
+    store, nations = _store(spark), table(spark, sf_dir, "nation")
+    every = nations.select(F.col("n_name").alias("kpi"), (F.col("n_nationkey") * 2.0).alias("target"))
+    for region in table(spark, sf_dir, "region").collect():  # five regions
+        store.save_targets(region["r_name"], every)
+        store.save_targets(region["r_name"], nations.where(F.col("n_regionkey") == region["r_regionkey"]).select(F.col("n_name").alias("kpi"), F.col("n_nationkey").cast("double").alias("target")))
     return store.read("targets").select("layout_key", "kpi", "target")
 
 
 @add("snk_14", "SELECT 'r3' AS run_id, (SELECT count(*) FROM orders) AS rows, 1 AS reports")
 def snk_14(spark, sf_dir):
     """Only the newest run stays, and of the others no row of any table."""
-    store = _runs(spark)
+    store = _few_runs(spark)
     store.append("reports", spark.createDataFrame([("r3", "pdf")], "run_id string, kind string"), "run_id")
     for run_id in ("r1", "r2", "r3"):
         store.save_quality_log(run_id, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("source_row"), F.lit("x").alias("action")))

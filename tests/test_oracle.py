@@ -22,7 +22,7 @@ def test_against_sql(spark, sf_dir, duck, name):
 
 @pytest.mark.parametrize("name", ROWS_ONLY)
 def test_runs(spark, sf_dir, name):
-    assert plans.QUERIES[name](spark, sf_dir).columns
+    assert plans.QUERIES[name](spark, sf_dir).count() > 0
 
 
 def test_entry(spark):
