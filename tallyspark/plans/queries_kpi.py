@@ -12,6 +12,8 @@ from tallyspark.operators import group as G
 from tallyspark.operators import trends as T
 from tallyspark.operators.common import add_shares, campaign_key, channel_key, primary_outcome, recent_change
 from tallyspark.operators.profit import loss_makers, profit_table
+from tallyspark.sources.cube import Cube
+from tallyspark.sources.shared import new_folder
 
 from .build import MEASURES, PRESENT, SUMS, Registry, measures_sql, ratio_sql, rounded
 from .canonical import campaign_rows
@@ -476,4 +478,41 @@ def jn_06(spark, sf_dir):
     return rounded(grid.join(daily, "date", "left").select("date", F.coalesce("spend", F.lit(0.0)).alias("spend")))
 
 
+# from a cube of sums by day and dimension, written once for each query here and once for each run elsewhere
+
+_DIMS = ["channel", "region", "customer_segment", "product_category", "campaign_name"]
+
+
+def _cube(spark, sf_dir) -> Cube:
+    """Rows of the first years at once, the others added later."""
+    cube, df = Cube(spark, new_folder(spark, "cube")), campaign_rows(spark, sf_dir)
+    cube.build("r", df.where("date < DATE '1999-01-01'"), _DIMS, [["channel"], ["region", "channel"], ["campaign_name"], []])
+    cube.add("r", df.where("date >= DATE '1999-01-01'"))
+    return cube
+
+
+_IN_VIEW = {"channel": ["1-URGENT", "3-MEDIUM"], "region": ["ASIA", "EUROPE", "AMERICA"]}
+_VIEW_SQL = "channel IN ('1-URGENT', '3-MEDIUM') AND region IN ('ASIA', 'EUROPE', 'AMERICA')"
+_FROM_CUBE = {
+    "cube_ag_01": ([], None, None, None, "true"),
+    "cube_ag_03": (["channel"], None, None, None, "true"),
+    "cube_ag_11": (["campaign_name"], None, None, None, "true"),
+    "cube_ag_12": (["customer_segment"], None, None, None, "true"),
+    "cube_ag_13": (["week"], None, None, None, "true"),
+    "cube_ag_24": (["month"], None, None, None, "true"),
+    "cube_ag_32": (["month", "channel"], None, None, None, "true"),
+    "cube_prj_06": (["region"], _IN_VIEW, None, None, _VIEW_SQL),
+    "cube_prj_07": (["channel"], _IN_VIEW, "1997-01-15", "1998-03-02", _VIEW_SQL + " AND date BETWEEN DATE '1997-01-15' AND DATE '1998-03-02'"),
+    "cube_prj_08": (["channel", "region"], None, "1998-06-01", None, "date >= DATE '1998-06-01'"),
+    "cube_ag_16": (["product_category"], {"channel": ["2-HIGH"]}, "1998-01-01", "1998-01-31", "channel = '2-HIGH' AND date BETWEEN DATE '1998-01-01' AND DATE '1998-01-31'"),
+}
+_KEY_SQL = {"week": "CAST(CAST(date_trunc('week', date) AS DATE) AS VARCHAR) AS week", "month": "strftime(date, '%Y-%m') AS month"}
+for _name, (_by, _values, _start, _end, _where) in _FROM_CUBE.items():
+    _keys = "".join(_KEY_SQL.get(b, f"coalesce({b}, '(none)') AS {b}") + ", " for b in _by)
+
+    @R.add(_name, f"SELECT {_keys}count(*) AS rows, {measures_sql()} FROM m WHERE {_where}" + (f" GROUP BY {', '.join(str(i + 1) for i in range(len(_by)))}" if _by else ""))
+    def _asked(spark, sf_dir, by=tuple(_by), values=_values, start=_start, end=_end):
+        return rounded(_cube(spark, sf_dir).kpis("r", list(by), values, start, end))
+
+
 QUERIES, ORACLE_SQL = R.queries, R.sql
