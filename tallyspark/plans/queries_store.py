@@ -244,7 +244,8 @@ def _few_runs(spark) -> RunStore:
     store.register_datasets(spark.createDataFrame([("h1", "one.csv"), ("h2", "two.csv"), ("h3", "orphan.csv")], "sha256 string, name string"))
     log = [("r1", "h1", "created", 1), ("r1", "h1", "finished", 5), ("r2", "h2", "created", 2), ("r2", "h2", "failed", 3), ("r3", "h1", "created", 7)]
     store.append("run_log", spark.createDataFrame(log, "run_id string, sha256 string, status string, at long"))
-    store.append("reports", spark.createDataFrame([("r1", "pdf"), ("r1", "xlsx"), ("r2", "pdf")], "run_id string, kind string"), "run_id")
+    for run_id, kind in (("r1", "pdf"), ("r1", "xlsx"), ("r2", "pdf")):
+        store.append_log(run_id, "reports", spark.createDataFrame([(kind,)], "kind string"))
     return store
 
 
@@ -303,8 +304,10 @@ def jn_09(spark, sf_dir):
 def snk_08(spark, sf_dir):
     store = _store(spark)
     rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("key"), F.col("c_name").alias("name"), F.col("c_custkey").alias("version"))
-    store.upsert("mapping_cache", rows.where("version % 2 = 0"), ["key"], "version")
-    return store.upsert("mapping_cache", rows.where("version % 2 = 1"), ["key"], "version").select("key", "name")
+    store.upsert("mapping_cache", rows.where("version % 3 = 0"), ["key"], "version")
+    store.upsert("mapping_cache", rows.where("version % 3 = 1"), ["key"], "version")
+    store.compact("mapping_cache", ["key"], "version")
+    return store.upsert("mapping_cache", rows.where("version % 3 = 2"), ["key"], "version").select("key", "name")
 
 
 @add("snk_09", "SELECT r_name AS layout_key, n_name AS kpi, CAST(n_nationkey AS DOUBLE) AS target FROM nation JOIN region ON r_regionkey = n_regionkey")
@@ -322,7 +325,7 @@ def snk_09(spark, sf_dir):
 def snk_14(spark, sf_dir):
     """Only the newest run stays, and of the others no row of any table."""
     store = _few_runs(spark)
-    store.append("reports", spark.createDataFrame([("r3", "pdf")], "run_id string, kind string"), "run_id")
+    store.append_log("r3", "reports", spark.createDataFrame([("pdf",)], "kind string"))
     for run_id in ("r1", "r2", "r3"):
         store.save_quality_log(run_id, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("source_row"), F.lit("x").alias("action")))
     gone = store.apply_retention(keep=1)

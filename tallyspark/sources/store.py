@@ -1,7 +1,8 @@
-"""Runs and their result tables as Parquet, one partition a run.
+"""Runs and their result tables, each a table of versioned manifests.
 
-Tables are append-only or replaced by partition, so a lost executor's task simply runs again. Reads
-prune to the run's partition and to the columns asked for.
+A run's rows are parts with its key: replacing or deleting them is a new version of a table, so readers see all of
+a change or nothing of it, and a lost executor's task simply runs again. Reads of a run read its parts only, and the
+columns asked for.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from tallyspark.schema import FIELDS
 
+from .manifest import ManifestTable
+
 # Fixed vocabulary of the store.
 STATES = ["created", "cleaning", "analysing", "finished", "failed"]
 DELETED = "deleted"  # only by drop_run
@@ -52,18 +55,20 @@ class RunStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _at(self, table: str) -> str:
-        return f"{self.path}/{table}"
+    def table(self, name: str) -> ManifestTable:
+        return ManifestTable(self.spark, f"{self.path}/{name}")
 
     def exists(self, table: str) -> bool:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._at(table))
-        return hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+        return self.table(table).exists()
 
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.option("mergeSchema", "true").parquet(self._at(table))
+        return self.table(table).read()
+
+    def _of_run(self, table: str, run_id: str) -> DataFrame:
+        return self.table(table).read(run_id).drop("run_id")
 
-    def _replace(self, table: str, df: DataFrame, key: str) -> None:
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(self._at(table))
+    def _replace(self, table: str, df: DataFrame, column: str, key: str) -> None:
+        self.table(table).replace(df.withColumn(column, F.lit(key)), key)
 
     # records and results
 
@@ -72,10 +77,10 @@ class RunStore:
         known = [*FIELDS, "week_start", "dq_flags", "source_row"]
         if unknown := sorted(set(df.columns) - set(known)):
             raise ValueError(f"unknown columns: {', '.join(unknown)}")
-        self._replace("marketing_records", df.withColumn("run_id", F.lit(run_id)), "run_id")
+        self._replace("marketing_records", df, "run_id", run_id)
 
     def load_records(self, run_id: str, columns: list[str] | None = None) -> DataFrame:
-        rows = self.read("marketing_records").where(F.col("run_id") == run_id).drop("run_id")
+        rows = self._of_run("marketing_records", run_id)
         return rows.select(*columns) if columns else rows
 
     def save_analysis(self, run_id: str, table: str, df: DataFrame) -> None:
@@ -83,14 +88,14 @@ class RunStore:
             raise ValueError(f"no analysis table {table}")
         if unknown := sorted(set(df.columns) - set(ANALYSIS_TABLES[table])):
             raise ValueError(f"{table} has no columns {', '.join(unknown)}")
-        self._replace(table, df.withColumn("run_id", F.lit(run_id)), "run_id")
+        self._replace(table, df, "run_id", run_id)
 
     def load_analysis(self, run_id: str, table: str) -> DataFrame:
-        return self.read(table).where(F.col("run_id") == run_id).drop("run_id")
+        return self._of_run(table, run_id)
 
-    def append(self, table: str, df: DataFrame, partition: str | None = None) -> None:
-        writer = df.write.mode("append")
-        (writer.partitionBy(partition) if partition else writer).parquet(self._at(table))
+    def append(self, table: str, df: DataFrame, key: str | None = None) -> None:
+        """Add rows; with a key they go when it is dropped."""
+        self.table(table).append(df, key)
 
     # logs of a run
 
@@ -100,7 +105,7 @@ class RunStore:
             raise ValueError(f"no log table {table}")
         if unknown := sorted(set(df.columns) - set(LOG_TABLES[table])):
             raise ValueError(f"{table} has no columns {', '.join(unknown)}")
-        self._replace(table, df.withColumn("run_id", F.lit(run_id)), "run_id")
+        self._replace(table, df, "run_id", run_id)
 
     def save_quality_log(self, run_id: str, log: DataFrame) -> None:
         self.save_log(run_id, "data_quality_logs", log.withColumnsRenamed(QUALITY_NAMES))
@@ -114,10 +119,10 @@ class RunStore:
         """Add rows to a run's log: calls, insights and reports come one after the other."""
         if unknown := sorted(set(df.columns) - set(LOG_TABLES[table])):
             raise ValueError(f"{table} has no columns {', '.join(unknown)}")
-        self.append(table, df.withColumn("run_id", F.lit(run_id)), "run_id")
+        self.append(table, df.withColumn("run_id", F.lit(run_id)), run_id)
 
     def load_log(self, run_id: str, table: str) -> DataFrame:
-        return self.read(table).where(F.col("run_id") == run_id).drop("run_id")
+        return self._of_run(table, run_id)
 
     def save_snapshot(self, run_id: str, values: dict, at: int) -> None:
         """The figures that a finished run opens with, as one JSON text."""
@@ -156,25 +161,25 @@ class RunStore:
 
     def upsert(self, table: str, df: DataFrame, keys: list[str], version: str) -> DataFrame:
         """Append versions; the current rows are the latest of each key."""
-        self.append(table, df)
+        self.table(table).upsert(df, keys)
         return self.current(table, keys, version)
 
     def current(self, table: str, keys: list[str], version: str) -> DataFrame:
-        rows = self.read(table)
-        rest = [c for c in rows.columns if c not in keys]
-        return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(version)).alias("r")).select(*keys, "r.*")
+        return self.table(table).current(keys, version)
+
+    def compact(self, table: str, keys: list[str], version: str) -> None:
+        """Leave the latest row of each key, in one file a bucket."""
+        self.table(table).compact(keys, version)
 
     def save_targets(self, layout: str, targets: DataFrame) -> None:
-        self._replace("targets", targets.withColumn("layout_key", F.lit(layout)), "layout_key")
+        self._replace("targets", targets, "layout_key", layout)
 
     # housekeeping
 
     def drop_run(self, run_id: str) -> None:
-        """A run's partitions of every table. Its states are kept, with ``deleted`` as the last."""
-        jvm = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        """A run's rows of every table. Its states are kept, with ``deleted`` as the last."""
         for table in ["marketing_records", *ANALYSIS_TABLES, *LOG_TABLES]:
-            path = jvm.Path(f"{self._at(table)}/run_id={run_id}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self.table(table).delete(run_id)
         if self.exists("run_log"):
             of = self.read("run_log").where(F.col("run_id") == run_id).select("run_id", "sha256").distinct()
             self.append("run_log", self.spark.createDataFrame([(r["run_id"], r["sha256"], DELETED, 2**62) for r in of.collect()], "run_id string, sha256 string, status string, at long"))  # a run has one file
