@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions.anomaly import baseline, before, islands, rolling, spread
 from tallyspark.operators import anomalies as A
 from tallyspark.operators import incidents as I
+from tallyspark.operators.containment import contained
 from tallyspark.operators.intervals import overlapping
 from tallyspark.sources.shared import new_folder
 
@@ -334,13 +335,10 @@ def ag_40(spark, sf_dir):
 
 @R.add("jn_12", ", c AS (SELECT product_category AS entity, list(DISTINCT campaign_name) AS own FROM m GROUP BY 1), r AS (SELECT region AS other, list(DISTINCT campaign_name) AS theirs FROM m GROUP BY 1) SELECT entity, other, CAST(len(own) AS INTEGER) AS n FROM c JOIN r ON len(list_filter(own, lambda x: NOT list_contains(theirs, x))) = 0 AND len(own) > 0", campaign=_PART)
 def jn_12(spark, sf_dir):
-    """Categories all of whose parts a region has: shared parts are counted and held against the category's own count."""
-    df = campaign_rows(spark, sf_dir, _PART).select("product_category", "region", "campaign_name").distinct()
-    own = df.select(F.col("product_category").alias("entity"), "campaign_name").distinct()
-    theirs = df.where("region is not null").select(F.col("region").alias("other"), "campaign_name").distinct()
-    sizes = own.groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
-    shared = own.join(theirs, "campaign_name").groupBy("entity", "other").agg(F.count(F.lit(1)).alias("shared"))
-    return shared.join(sizes, "entity").where("shared = n").select("entity", "other", F.col("n").cast("int").alias("n"))
+    """Categories all of whose parts a region has."""
+    df = campaign_rows(spark, sf_dir, _PART)
+    of = lambda c: df.select(F.col(c).alias("id"), F.col("campaign_name").alias("member"))
+    return contained(of("product_category"), of("region")).select(F.col("id").alias("entity"), "other", F.col("n").cast("int").alias("n"))
 
 
 @add("prj_16", _FLAGS + _MERGED_SQL + " WHERE start <= DATE '1998-06-30' AND end_date >= DATE '1998-01-01' AND entity IN (SELECT channel FROM pm WHERE campaign_name = 'always on')", ("start", "end_date"))

@@ -16,6 +16,7 @@ from tallyspark.operators import response as RC
 from tallyspark.operators import standouts as SO
 from tallyspark.operators import targets as T
 from tallyspark.operators.group import group_kpis, kpi_table, period_comparison
+from tallyspark.sources.shared import new_folder
 
 from .build import PRESENT, Registry, measure_sql, rounded, totals_and_ratios
 from .canonical import campaign_rows
@@ -321,7 +322,9 @@ def sc_04(spark, sf_dir):
 
 
 def _found(spark, sf_dir) -> DataFrame:
-    df = rows(spark, sf_dir)
+    path, df = f"{new_folder(spark, 'joined')}/rows", rows(spark, sf_dir)
+    df.write.parquet(path)  # four tables come from the joined rows
+    df = spark.read.schema(df.schema).parquet(path)
     segments = C.segment_table(df, "customer_segment").withColumnRenamed("customer_segment", "segment")
     return FI.generate_findings(C.channel_table(df), C.campaign_table(df), FU.funnel_table(df), segments, PRESENT)
 
