@@ -1,7 +1,7 @@
 """Weekly anomalies against a robust baseline, and tracking outages by day.
 
-The grid of entities and weeks stays long; every statistic is a window over it. Entities are few, so
-rows are first aggregated to (entity, week), and windows see only that.
+Rows are first aggregated to (entity, week). The grid of entities and weeks has the weeks near those with rows only,
+stays long, and every statistic is a window over it or, for the common move of a week, a grouped median.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.functions.anomaly import baseline, before, both_least, islands, rolling, spread
+from tallyspark.functions.anomaly import BASELINE, baseline, before, both_least, islands, rolling, spread
 from tallyspark.functions.kpi import BETTER
 
 
@@ -37,6 +37,8 @@ METRICS = {
 }
 SCORE, PCT, FLOOR, SUSTAINED, WINDOWS = 4.0, 30.0, 0.05, 0.15, (1, 3)
 HIGH_SCORE, HIGH_PCT, ENTITIES = 6.0, 50.0, 3
+#: So many weeks before a week with rows, the windows of the detector look.
+REACH = BASELINE + max(WINDOWS) - 1
 
 
 def weekly_sums(df: DataFrame, entity: str, metrics: list[str] | None = None) -> DataFrame:
@@ -57,16 +59,31 @@ def present(df: DataFrame, metrics: list[str] | None = None) -> list[str]:
     return [m for m in metrics or METRICS if METRICS[m].numerator in df.columns and (METRICS[m].denominator or "date") in df.columns]
 
 
+def near_presence(rows: DataFrame, keys: list[str], weeks: DataFrame, reach: int = REACH) -> DataFrame:
+    """keys and every existing week that lies within ``reach`` weeks of one in which the key has rows.
+
+    All windows of the detector look no farther than that from a week with rows, and what lies beyond has no values. Each
+    week with rows adds the weeks that the one before it didn't, so the result grows with what there is, not with
+    keys times weeks. rows: keys and week; weeks: the existing weeks, a small table.
+    """
+    numbered = weeks.select("week", F.row_number().over(Window.orderBy("week")).alias("_n"), F.count(F.lit(1)).over(Window.partitionBy()).cast("int").alias("_last"))
+    own = rows.select(*keys, "week").distinct().join(numbered, "week")
+    covered = F.lag("_n").over(Window.partitionBy(*keys).orderBy("_n")) + reach
+    first = F.greatest(F.col("_n") - reach, F.coalesce(covered + 1, F.lit(1)), F.lit(1))
+    spans = own.select(*keys, first.alias("_first"), F.least(F.col("_n") + reach, "_last").alias("_to")).where("_first <= _to")
+    return spans.select(*keys, F.explode(F.sequence("_first", "_to")).alias("_n")).join(numbered.select("_n", "week"), "_n").select(*keys, "week")
+
+
 def grid_of(sums: DataFrame, metrics: list[str]) -> DataFrame:
-    """metric, entity, week, num, den, events, full of the metrics, on every existing week for every entity."""
-    grid = sums.select("entity").distinct().crossJoin(sums.select("week").distinct())  # entities x weeks, both small
+    """metric, entity, week, num, den, events, full of the metrics, on the existing weeks near each entity's own."""
+    grid = near_presence(sums, ["entity"], sums.select("week").distinct())
     whole = grid.join(sums, ["entity", "week"], "left").withColumn("full", F.coalesce("full", F.lit(False)))
     cells = F.array(*(F.struct(F.lit(m).alias("metric"), *(F.col(f"{m}_{c}").alias(c) for c in ("num", "den", "events"))) for m in metrics))
     return whole.select("entity", "week", "full", F.explode(cells).alias("e")).select("entity", "week", "e.*", "full")
 
 
 def weekly_grid(df: DataFrame, entity: str, metric: str) -> DataFrame:
-    """entity, week, num, den, events, full: totals on every existing week for every entity."""
+    """entity, week, num, den, events, full: totals on the existing weeks near each entity's own."""
     return grid_of(weekly_sums(df, entity, [metric]), [metric]).drop("metric")
 
 
@@ -75,7 +92,7 @@ def stable_composition(df: DataFrame, entity: str, campaign: str) -> DataFrame:
     rows = df.where(F.col(entity).isNotNull() & F.col(campaign).isNotNull()).withColumn("week", F.to_date(F.date_trunc("week", "date")))
     days = rows.groupBy(F.col(entity).alias("entity"), F.col(campaign).alias("campaign"), "week").agg(F.countDistinct("date").alias("days"))
     weeks = days.select("week").distinct()
-    grid = days.select("entity", "campaign").distinct().crossJoin(weeks).join(days, ["entity", "campaign", "week"], "left")
+    grid = near_presence(days, ["entity", "campaign"], weeks).join(days, ["entity", "campaign", "week"], "left")
     marked = grid.select("entity", "campaign", "week", (F.coalesce("days", F.lit(0)) > 0).cast("int").alias("on"), F.coalesce(F.col("days").between(1, 6), F.lit(False)).alias("part"))
     frame = rolling(["entity", "campaign"], "week", 9)
     same = (F.max("on").over(frame) == F.min("on").over(frame)) & ~F.bool_or("part").over(frame)
@@ -113,12 +130,9 @@ def judge_all(grid: DataFrame, metrics: list[str], window: int, unstable: DataFr
     fine = F.col("_ok") & F.col("base").isNotNull() & (F.col("base") != 0) & (F.col("base_volume") >= of(lambda x: float(x.least_volume)))
     t = t.withColumn("ok", F.coalesce(fine, F.lit(False)))
     t = t.withColumn("r", F.when(F.col("ok"), F.try_divide("value", "base"))).withColumn("r1", F.when(F.col("ok1"), F.try_divide("value1", "base1")))
-    week = Window.partitionBy("metric", "week")
-
-    def common(c: str):
-        return F.when(F.count(c).over(week) >= ENTITIES, F.percentile(c, 0.5).over(week)).otherwise(1.0)
-
-    t = t.select("*", common("r").alias("common"), common("r1").alias("common1"))
+    # medians of a week from counted values, combined before the shuffle; rows stay where they are
+    moves = t.groupBy("metric", "week").agg(*(F.when(F.count(c) >= ENTITIES, F.percentile(c, 0.5)).otherwise(1.0).alias(name) for c, name in (("r", "common"), ("r1", "common1"))))
+    t = t.join(moves, ["metric", "week"])
     t = t.withColumn("a", F.try_divide("r", "common")).withColumn("a1", F.try_divide("r1", "common1"))
     wide = spread(F.col("a1"), long) * 1.4826 / window**0.5
     t = t.withColumn("spread", F.when(wide.isNotNull(), F.greatest(wide, F.lit(FLOOR))))
