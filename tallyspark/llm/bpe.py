@@ -27,7 +27,8 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -62,6 +63,93 @@ def _byte_of_symbol() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Memo:
+    """Remembers what some function gives for short texts, in bounded bytes and two generations.
+
+    When half of the bytes are used, what the last half didn't ask for is dropped.
+    """
+
+    def __init__(self, function: Callable[[list[str]], list[bytes]]):
+        self.function = function
+        self.forget()
+
+    def forget(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.used = 0
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        young, missing, long = self.young, [], {}
+        for t in set(texts):
+            if t not in young:
+                if (found := self.old.get(t)) is None:
+                    missing.append(t)
+                else:
+                    self._put(t, found)
+        for t, found in zip(missing, self.function(missing) if missing else [], strict=True):
+            if len(t) > MEMO_CHARS:
+                long[t] = found
+            else:
+                self._put(t, found)
+        out = [long[t] if t in long else young[t] for t in texts] if long else list(map(young.__getitem__, texts))
+        if self.used > MEMO_BYTES // 2:
+            self.old, self.young, self.used = young, {}, 0
+        return out
+
+    def _put(self, text: str, found: bytes) -> None:
+        self.young[text] = found
+        self.used += len(text) + len(found) + ENTRY_BYTES
+
+
+# Fixed value: how the public byte-level scheme splits a text before its merges.
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space of this length goes to the tokenizers library; the other one's expressions don't bear much more.
+BLANKS = 1 << 16
+_BLANKS = re.compile(f"\\s{{{BLANKS}}}")
+
+
+class Ranks:
+    """Whole texts to ids for vocabularies whose ids are in the order of their merges.
+
+    Then ids are ranks, and a merge that makes a token's bytes is the token's own: what lies inside it has been merged as in
+    the token alone. Every byte has a token, so the tokens of a text give its bytes back. special: whether the special
+    tokens' strings are tokens; else they are plain text.
+    """
+
+    def __init__(self, path: str, special: bool):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        model, split = spec["model"], spec.get("pre_tokenizer") or {}
+        byte, own = _byte_of_symbol(), {t["content"]: t["id"] for t in spec["added_tokens"]}
+        vocab = {bytes(byte[c] for c in t): i for t, i in model["vocab"].items() if t not in own}
+        made = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        plain = model.get("type") == "BPE" and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not spec.get("normalizer")
+        if not plain or not {bytes([i]) for i in range(256)} <= set(vocab) or any(model["vocab"][x] >= model["vocab"][y] for x, y in pairwise(made)):
+            raise ValueError(f"not a plain byte-level BPE vocabulary with ids in the order of merges: {path}")
+        self.bytes = [b""] * (max([*vocab.values(), *own.values()]) + 1)
+        for t, i in (vocab | {t.encode(): i for t, i in own.items()}).items():
+            self.bytes[i] = t
+        self.sizes = np.array([len(b) for b in self.bytes], np.int64)
+        self.encoding = tiktoken.Encoding("ordered", pat_str=_PIECES, mergeable_ranks=vocab, special_tokens=own if special else {})
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.library.encode_special_tokens = not special
+        self.special = special
+
+    def encode(self, text: str) -> list[int]:
+        if len(text) >= BLANKS and _BLANKS.search(text):
+            return self.library.encode(text, add_special_tokens=False).ids
+        return self.encoding.encode(text, allowed_special="all") if self.special else self.encoding.encode_ordinary(text)
+
+    def count(self, text: str) -> int:
+        return len(self.encode(text))
+
+
 class Codec:
     """One vocabulary, with a bounded memo from pre-tokens to ids."""
 
@@ -84,7 +172,7 @@ class Codec:
         for token, i in self.special.items():
             self.bytes[i] = token.encode()
         self.sizes = np.array([len(b) for b in self.bytes], np.int64)
-        self.forget()
+        self.memo = Memo(self._encoded)
 
     def _plain(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -95,30 +183,8 @@ class Codec:
             return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
         return _LATIN_PIECES.findall(text)
 
-    def _piece_ids(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece. When half of the memo's bytes are used, what the last half didn't ask for is dropped."""
-        memo, missing, long = self.memo, [], {}
-        for p in set(pieces):
-            if p not in memo:
-                if (ids := self.older.get(p)) is None:
-                    missing.append(p)
-                else:
-                    self._remember(p, ids)
-        if missing:
-            for p, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, "<u4").tobytes()
-                if len(p) > MEMO_CHARS:
-                    long[p] = ids
-                else:
-                    self._remember(p, ids)
-        out = [memo[p] for p in pieces] if not long else [long[p] if p in long else memo[p] for p in pieces]
-        if self.used > MEMO_BYTES // 2:
-            self.older, self.memo, self.used = memo, {}, 0
-        return out
-
-    def _remember(self, piece: str, ids: bytes) -> None:
-        self.memo[piece] = ids
-        self.used += len(piece) + len(ids) + ENTRY_BYTES
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -127,7 +193,7 @@ class Codec:
             return b"".join(np.uint32(self.special[p]).astype("<u4").tobytes() if p in self.special else self.encode(p) for p in parts if p)
         if not text.isascii() and _BEYOND_LATIN.search(text):
             return self._plain(text).astype("<u4").tobytes()
-        return b"".join(self._piece_ids(_LATIN_PIECES.findall(text)))
+        return b"".join(self.memo(_LATIN_PIECES.findall(text)))
 
     def count(self, text: str) -> int:
         """How many ids encode(text) has."""
@@ -135,9 +201,7 @@ class Codec:
 
     def forget(self) -> None:
         """Give the memo's memory back; Python workers live on after their task."""
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.used = 0
+        self.memo.forget()
 
     def decode(self, ids: bytes) -> str:
         """As the library does, with special tokens kept; bytes that are no text become U+FFFD."""
@@ -288,6 +352,16 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
+_RANKS: dict[tuple[str, bool], Ranks] = {}
+
+
+def ranks(path: str, special: bool = True) -> Ranks:
+    """One for each Python worker and vocabulary."""
+    if (path, special) not in _RANKS:
+        _RANKS[path, special] = Ranks(path, special)
+    return _RANKS[path, special]
+
+
 def _row(c: Codec, ids: bytes) -> tuple[int, str, str]:
     return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.decode(ids).encode()).hexdigest()
 

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import codec
+from .bpe import codec, ranks
 from .common import Scratch, bounded_batches
 from .exact_dedup import BLANKS
 
@@ -135,10 +135,9 @@ def best_fit_packing(
 
     @F.pandas_udf("long")
     def tokens(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        c = codec(vocabulary)
+        r = ranks(vocabulary)
         for texts in parts:
-            yield pd.Series([c.count(t) for t in texts], dtype="int64")
-        c.forget()
+            yield pd.Series([r.count(t) for t in texts], dtype="int64")
 
     rows = _rows(docs, id_col, text_col, source_col, cluster)
     with Scratch(docs.sparkSession, "packing") as scratch:
