@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Codec
+from .bpe import Ranks, ranks
 from .common import Scratch, documents
 
 A_END, B_END, BOTH = 1, 2, 3
@@ -53,20 +53,12 @@ class Pieces:
         return self.model.encode(texts, num_threads=1)
 
 
-def ordinary_codec(path: str) -> Codec:
-    """A codec for which the special tokens' strings are plain text."""
-    c = Codec(path)
-    c.tokenizer.encode_special_tokens = True
-    c.special, c.split_special = {}, None
-    return c
+_MODELS: dict[tuple[str, str], tuple[Ranks, Pieces]] = {}
 
 
-_MODELS: dict[tuple[str, str], tuple[Codec, Pieces]] = {}
-
-
-def _models(a_path: str, b_path: str) -> tuple[Codec, Pieces]:
+def _models(a_path: str, b_path: str) -> tuple[Ranks, Pieces]:
     if (a_path, b_path) not in _MODELS:
-        _MODELS[a_path, b_path] = ordinary_codec(a_path), Pieces(b_path)
+        _MODELS[a_path, b_path] = ranks(a_path, special=False), Pieces(b_path)
     return _MODELS[a_path, b_path]
 
 
@@ -78,40 +70,45 @@ def labels(a_sizes: np.ndarray, b_sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def groups(label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How many A and how many B tokens each group has."""
-    ends = np.array([m.end() for m in _GROUP.finditer(label.tobytes())], np.int64)
-    starts = np.concatenate([[0], ends[:-1]])
-    return np.add.reduceat((label & A_END).astype(np.int64), starts), np.add.reduceat((label >> 1).astype(np.int64), starts)
+def groups_and_links(label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """How many A and how many B tokens each group has; the number of the A token and of the B token of each link, in order."""
+    own = label[label != 0]  # bytes at which nothing ends count for no group
+    a, b = own & A_END, own >> 1
+    a_upto, b_upto = np.cumsum(a, dtype=np.int64), np.cumsum(b, dtype=np.int64)
+    last = np.cumsum(np.fromiter(map(len, _GROUP.findall(own.tobytes())), np.int64)) - 1
+    return np.diff(a_upto[last], prepend=0), np.diff(b_upto[last], prepend=0), a_upto - a, b_upto - b
+
+
+_DIGITS: dict[tuple[int, str], np.ndarray] = {}
 
 
-def links(label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The number of the A token and of the B token of each link, in order."""
-    at = np.flatnonzero(label)
-    a, b = label[at] & A_END, label[at] >> 1
-    return np.cumsum(a, dtype=np.int64) - a, np.cumsum(b, dtype=np.int64) - b
+def _digits(n: int, after: str) -> np.ndarray:
+    """The numbers below n in decimal, each with a character after it, padded with zero bytes."""
+    if (n, after) not in _DIGITS:
+        _DIGITS[n, after] = np.array([f"{i}{after}".encode() for i in range(n)], f"S{len(str(n)) + 1}")
+    return _DIGITS[n, after]
 
 
-def written(a_ids: list[int], b_ids: list[int], n_a: np.ndarray, n_b: np.ndarray) -> str:
-    """The groups as a1,a2|b1;a3|b2,b3."""
-    a, b = list(map(str, a_ids)), list(map(str, b_ids))
-    out, i, j = [], 0, 0
-    for x, y in zip(n_a.tolist(), n_b.tolist(), strict=True):
-        out.append((a[i] if x == 1 else ",".join(a[i : i + x])) + "|" + (b[j] if y == 1 else ",".join(b[j : j + y])))
-        i += x
-        j += y
-    return ";".join(out)
+def written(a_ids: np.ndarray, b_ids: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, most: int) -> bytes:
+    """The groups as a1,a2|b1;a3|b2,b3; most: all ids are below it."""
+    a_end, b_end = np.cumsum(n_a), np.cumsum(n_b)
+    out = np.empty(len(a_ids) + len(b_ids), _digits(most, ",").dtype)
+    for ids, sizes, end, before, mark in ((a_ids, n_a, a_end, b_end - n_b, "|"), (b_ids, n_b, b_end, a_end, ";")):
+        text = _digits(most, ",")[ids]
+        text[end - 1] = _digits(most, mark)[ids[end - 1]]
+        out[np.arange(len(ids)) + np.repeat(before, sizes)] = text
+    return out.tobytes().replace(b"\0", b"")[:-1]
 
 
-def align(a: Codec, b: Pieces, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray] | None]:
+def align(a: Ranks, b: Pieces, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray] | None]:
     """A's ids, B's ids and the labels of each text; None for a text without tokens."""
     for text, b_list in zip(texts, b.encode(texts), strict=True):
         if not text:
             yield None
             continue
         whole = " " + text
-        a_ids, b_ids, want = np.frombuffer(a.encode(whole), "<u4").astype(np.int64), np.array(b_list, np.int64), whole.encode()
-        if b"".join([a.bytes[i] for i in a_ids.tolist()]) != want or b"".join([b.bytes[i] for i in b_list]) != want:
+        a_ids, b_ids, want = np.array(a.encode(whole), np.int64), np.array(b_list, np.int64), whole.encode()
+        if a.sizes[a_ids].sum() != len(want) or b"".join(map(b.bytes.__getitem__, b_list)) != want:
             yield None
             continue
         yield a_ids, b_ids, labels(a.sizes[a_ids], b.sizes[b_ids])
@@ -148,15 +145,13 @@ def token_alignment(docs: DataFrame, a_path: str, b_path: str, hot: int = HOT, i
                     counts.append(np.zeros(0, np.int64))
                     continue
                 a_ids, b_ids, label = found
-                of_a, of_b = groups(label)
-                x, y = links(label)
+                of_a, of_b, x, y = groups_and_links(label)
                 key, n = np.unique(a_ids[x] * n_b + b_ids[y], return_counts=True)
                 keys.append(key)
                 counts.append(n)
-                rows.append((len(a_ids), len(b_ids), len(of_a), len(x), hashlib.sha256(written(a_ids.tolist(), b_ids.tolist(), of_a, of_b).encode()).hexdigest()))
+                rows.append((len(a_ids), len(b_ids), len(of_a), len(x), hashlib.sha256(written(a_ids, b_ids, of_a, of_b, max(n_a, n_b))).hexdigest()))
             columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (*[pa.int64()] * 4, pa.string()), strict=True)] if rows else [pa.array([], k) for k in (*[pa.int64()] * 4, pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, _lists(keys, arrow), _lists(counts, pa.int32())], [*_DIGEST, "keys", "ns"])
-        a.forget()
 
     texts = documents(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     digests = scratch.table(texts.mapInArrow(encode, ", ".join(f"{c} {t}" for c, t in _DIGEST.items()) + f", keys array<{kind}>, ns array<int>"), "digests")

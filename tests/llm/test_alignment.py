@@ -113,3 +113,16 @@ def test_empty_table(spark):
 def test_query(spark, sf_dir, ranges):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert rows_of(queries.QUERIES["op11_token_alignment"](spark, sf_dir)) == brute(rows, ranges)
+
+
+def test_long_blanks_and_other_vocabularies():
+    """White space that is longer than the fast encoder bears, and files whose ids aren't ranks."""
+    texts = [" " * 70_000 + "a", "\n" * 3_000_000 + " b", "x" * 100_000, "a<|endoftext|>b", "'s't  \n x"]
+    for special in (True, False):
+        library = Tokenizer.from_file(A)
+        library.no_truncation()
+        library.no_padding()
+        library.encode_special_tokens = not special
+        assert [bpe.ranks(A, special).encode(t) for t in texts] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    with pytest.raises(ValueError):
+        bpe.Ranks(public_tokenizers.path("word_bpe_49k.json"), True)
