@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,8 +64,19 @@ def date_mark(text: Column, day_first: bool = True) -> Column:
 
     What stands between runs of digits and letters tells the form, the runs are the parts. No formatter is tried.
     """
-    bare = F.trim(text)
-    glue, parts = F.regexp_replace(bare, "[0-9]+|[A-Za-z]+", "#"), F.regexp_extract_all(bare, F.lit("[0-9]+|[A-Za-z]+"), F.lit(0))
+
+    def split(bare: Column) -> Column:
+        return F.struct(bare.alias("bare"), F.regexp_replace(bare, "[0-9]+|[A-Za-z]+", "#").alias("glue"), F.regexp_extract_all(bare, F.lit("[0-9]+|[A-Za-z]+"), F.lit(0)).alias("parts"))
+
+    return F.when(~is_missing(text), once(F.trim(text), lambda bare: once(split(bare), lambda s: _dated(s["bare"], s["glue"], s["parts"], day_first))))
+
+
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _dated(bare: Column, glue: Column, parts: Column, day_first: bool) -> Column:
     a, b, c = (F.get(parts, F.lit(i)) for i in range(3))
     year = lambda p: p.rlike("^[0-9]{4}$") & (p > "0000")
     short = lambda p: p.rlike("^[0-9]{1,2}$")
@@ -82,7 +95,7 @@ def date_mark(text: Column, day_first: bool = True) -> Column:
     worded = lambda sep, y, m, d: F.when(F.length(m) == 3, month(sep.format("Mon"), y, m, d)).otherwise(month(sep.format("Month"), y, m, d))
     time = F.element_at(F.split(bare, " "), -1)
     slashes = [numeric("DD/MM/YYYY", c, b, a), numeric(US_FORMAT, c, a, b)]
-    cases = (
+    return (
         F.when(glue == "#-#-#", F.when(F.length(a) == 4, numeric("YYYY-MM-DD", a, b, c)).otherwise(F.coalesce(numeric("DD-MM-YYYY", c, b, a), worded("D-{}-YYYY", c, b, a))))
         .when(glue == "#-#-# #:#:#", F.when(time.rlike("^([01]?[0-9]|2[0-3]):[0-5]?[0-9]:[0-5]?[0-9]$"), numeric("YYYY-MM-DD hh:mm:ss", a, b, c)))
         .when(glue == "#/#/#", F.when(F.length(a) == 4, numeric("YYYY/MM/DD", a, b, c)).otherwise(F.coalesce(*(slashes if day_first else slashes[::-1]))))
@@ -90,7 +103,6 @@ def date_mark(text: Column, day_first: bool = True) -> Column:
         .when(glue == "# # #", worded("D {} YYYY", c, b, a))
         .when(glue == "# #, #", worded("{} D, YYYY", c, a, b))
     )
-    return F.when(~is_missing(text), cases)
 
 
 def date_value(mark: Column) -> Column:
