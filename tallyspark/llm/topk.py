@@ -6,12 +6,18 @@ absolute value) and dimension, ordered by descending impact. The stated queries
 and every block of queries is held against every block of vectors: both have a bounded size, so a
 task's memory does not grow with the tables.
 
+The pairs of blocks are dealt into cells of a grid, vectors by strips and queries by slots. A block is
+sent once to each cell of its strip or slot, not once for each pair, in the narrowest integers that
+hold its values; nothing is broadcast or joined. A cell keeps its slot's blocks of queries, which are
+few, and streams its strip's blocks of vectors past them.
+
 Inside a pair of blocks the segments are processed score-at-a-time, by descending impact, for all
 queries of the block that are still open. The work follows the number of postings. After each impact
 level what is left of a score is bounded by ``|q| * |rest of v|`` (Cauchy-Schwarz). A query is closed
 only when that proves that at most ``POSSIBLE * k`` vectors can be among its k best; they are then
 rescored exactly. A query that is never closed has all its postings, and so exact scores. The k best
-of each pair of blocks are merged by (score, id).
+of a cell so far are kept for each query, and the last one's score is a floor for its later blocks;
+those of all cells are merged by (score, id).
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part, nor do
 rows without an id. An empty vector has the score 0 with every other. Each row is a vector of its own,
@@ -35,11 +41,15 @@ from .common import Scratch, bounded_batches
 #: Bounds of a block: rows, and components of all its rows.
 VECTORS, VECTOR_CELLS = 8192, 1 << 20
 QUERIES, QUERY_CELLS = 512, 1 << 17
+#: Bounds of a cell of the grid: pairs of blocks, and blocks of queries.
+PAIRS, SLOT_BLOCKS = 1024, 64
 #: A query is closed when at most so many times k vectors can be among its best.
 POSSIBLE = 8
 #: Whether to try to close queries after a level is judged by so many of them.
 PROBES = 16
 ROWS_AT_ONCE = 256
+#: A level with at least one posting in so many cells of a block is added up as a whole, its segments side by side.
+DENSE = 32
 
 
 def scaled_vectors(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
@@ -59,12 +69,14 @@ def _matrix(rows: list[list[int]]) -> np.ndarray:
     return out
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a block of queries."""
-    for batch in batches:
-        for block, keys, ids, x in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            m = _matrix(x)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *(pa.array([v], pa.binary()) for v in (np.array(keys, "<i8").tobytes(), np.array(ids, "<i8").tobytes(), m.astype("<i8").tobytes())), pa.array([m.shape[1]], pa.int32())], ["block", "q_rows", "q_ids", "q_x", "q_width"])
+def narrowed(x: np.ndarray) -> np.ndarray:
+    """x in the narrowest signed integers that hold it."""
+    low, high = int(x.min(initial=0)), int(x.max(initial=0))
+    return x.astype(next(f"<i{b}" for b in (1, 2, 4, 8) if -(1 << 8 * b - 1) <= low and high < 1 << 8 * b - 1))
+
+
+def _blob(x: np.ndarray | list[int], kind: str = "<i8") -> pa.Array:
+    return pa.array([np.asarray(x, kind).tobytes()], pa.binary())
 
 
 def postings(m: np.ndarray) -> dict[str, np.ndarray]:
@@ -77,20 +89,26 @@ def postings(m: np.ndarray) -> dict[str, np.ndarray]:
     new = np.ones(len(row), bool)
     new[1:] = (level[1:] != level[:-1]) | (dim[1:] != dim[:-1])
     begin = np.flatnonzero(new)
-    return {"post_row": row.astype("<i4"), "post_value": value.astype("<i8"), "seg_begin": begin.astype("<i4"), "seg_dim": dim[begin].astype("<i4"), "seg_level": level[begin].astype("<i4")}
+    return {"post_row": row.astype("<u2"), "post_value": narrowed(value), "seg_begin": begin.astype("<i4"), "seg_dim": dim[begin].astype("<i4"), "seg_level": level[begin].astype("<i4")}
+
 
+_KINDS = {"post_row": "<u2", "seg_begin": "<i4", "seg_dim": "<i4", "seg_level": "<i4"}
+#: A block of vectors (is_index) or of queries; x has its values in integers of x_bytes, of a matrix for queries, of postings for vectors.
+_BLOCK = "block int, is_index boolean, width int, rows binary, ids binary, x_bytes int, x binary, " + ", ".join(f"{c} binary" for c in _KINDS)
 
-_INDEX = ["post_row", "post_value", "seg_begin", "seg_dim", "seg_level"]
 
+def _blocks(is_index: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, keys, ids, x in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                m = _matrix(x)
+                index = postings(m) if is_index else {}
+                values = index["post_value"] if is_index else narrowed(m)
+                columns = [pa.array([block], pa.int32()), pa.array([is_index]), pa.array([m.shape[1]], pa.int32()), _blob(keys), _blob(ids), pa.array([values.itemsize], pa.int32()), _blob(values, values.dtype.str)]
+                columns += [_blob(index.get(c, []), kind) for c, kind in _KINDS.items()]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "is_index", "width", "rows", "ids", "x_bytes", "x", *_KINDS])
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a block of vectors."""
-    for batch in batches:
-        for block, keys, ids, x in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            m = _matrix(x)
-            index = postings(m)
-            blobs = [np.array(keys, "<i8").tobytes(), np.array(ids, "<i8").tobytes(), *(index[c].tobytes() for c in _INDEX)]
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([m.shape[1]], pa.int32()), *(pa.array([b], pa.binary()) for b in blobs)], ["block", "width", "rows", "ids", *_INDEX])
+    return run
 
 
 def _exact(q: np.ndarray, v: np.ndarray, most: int) -> np.ndarray:
@@ -103,18 +121,21 @@ def _exact(q: np.ndarray, v: np.ndarray, most: int) -> np.ndarray:
     return np.array(whole, np.int64)
 
 
-def best_of_pair(rows: np.ndarray, ids: np.ndarray, width: int, index: dict[str, np.ndarray], q_rows: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Query index, vector index and score of the k best candidates of each query, and how many (posting, query) pairs were added up."""
+def best_of_pair(rows: np.ndarray, ids: np.ndarray, width: int, index: dict[str, np.ndarray], q_rows: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Query index, vector index and score of the k best candidates of each query, and how many (posting, query) pairs were added up.
+
+    Candidates with smaller scores than a query's floor are not looked for.
+    """
     n, nq = len(rows), len(q_rows)
     width = max(width, q.shape[1])
-    q = np.pad(q, ((0, 0), (0, width - q.shape[1])))
+    q = np.pad(q.astype(np.int64), ((0, 0), (0, width - q.shape[1])))
+    floor = np.full(nq, -np.inf) if floor is None else floor
     row, value, dim, level = (index[c] for c in ("post_row", "post_value", "seg_dim", "seg_level"))
     bounds = [*index["seg_begin"].tolist(), len(row)]
     most = max(int(value.max(initial=0)), -int(value.min(initial=0))) * max(int(q.max(initial=0)), -int(q.min(initial=0))) * max(1, width)
     # what is added up in these kinds is exact; beyond 64 bits they are bounds, and all is rescored
     kind = np.float32 if most < 1 << 23 else np.float64
     loose = 2.0**-40 * float(most) if most >= 1 << 52 else 0.0
-    scores = np.zeros((n, nq), kind)
     norms = np.sqrt((q.astype(np.float64) ** 2).sum(1))
     place = {int(r): i for i, r in enumerate(rows)}
     own = np.array([place.get(int(r), -1) for r in q_rows])
@@ -125,21 +146,37 @@ def best_of_pair(rows: np.ndarray, ids: np.ndarray, width: int, index: dict[str,
     for i in range(len(levels) - 1, 0, -1):
         rest[i - 1] = rest[i] + np.bincount(row[of_level == levels[i]], squares[of_level == levels[i]], minlength=n)
     want, added = min(k, n), 0
-    open_q, found = np.arange(nq), []
+    longest = np.sqrt(np.bincount(row, squares, minlength=n).max(initial=0))
+    open_q, found = np.flatnonzero(longest * norms * 1.00001 + 1 + loose >= floor), []
+    scores = np.zeros((n, len(open_q)), kind)
 
     def possible(columns: np.ndarray, left: np.ndarray) -> np.ndarray:
         """Which vectors can be among the k best of the open queries in these columns."""
-        slack = (np.sqrt(left)[:, None] * norms[open_q[columns]][None, :]) * 1.00001 + 1 + loose
-        s = scores[:, columns].astype(np.float64)
+        slack = 1.0 + loose
+        if left.any():
+            slack = (np.sqrt(left)[:, None] * norms[open_q[columns]][None, :]) * 1.00001 + slack
+        high = scores[:, columns] + slack
         mine = own[open_q[columns]]
         at = np.flatnonzero(mine >= 0)
-        low, high = s - slack, s + slack
-        low[mine[at], at] = high[mine[at], at] = -np.inf
-        return (high >= np.partition(low, n - want, axis=0)[n - want]) & (high > -np.inf)
+        high[mine[at], at] = -np.inf
+        may = (high >= floor[open_q[columns]]) & (high > -np.inf)
+        if (may.sum(0) > POSSIBLE * k).any():  # the floors alone leave too many
+            low = scores[:, columns] - slack
+            low[mine[at], at] = -np.inf
+            may &= high >= np.partition(low, n - want, axis=0)[n - want]
+        return may
 
     segment = 0
     for i, lv in enumerate(levels):
-        while segment < len(level) and level[segment] == lv:
+        end = segment + int((level == lv).sum())
+        at = slice(bounds[segment], bounds[end])
+        if (at.stop - at.start) * DENSE >= n * width:
+            whole = np.zeros((n, width), kind)
+            whole[row[at], np.repeat(dim[segment:end], np.diff(bounds[segment : end + 1]))] = value[at]
+            scores += whole @ q[open_q].astype(kind).T
+            added += (at.stop - at.start) * len(open_q)
+            segment = end
+        while segment < end:
             weights = q[open_q, dim[segment]].astype(kind)
             for a in range(bounds[segment], bounds[segment + 1], ROWS_AT_ONCE):
                 b = min(a + ROWS_AT_ONCE, bounds[segment + 1])
@@ -174,18 +211,61 @@ def best_of_pair(rows: np.ndarray, ids: np.ndarray, width: int, index: dict[str,
     return who[take], which[take], score[take], added
 
 
+class _Held:
+    """A block of queries in a cell, with the k best of the vectors that have passed."""
+
+    def __init__(self, one: dict, k: int):
+        self.rows, self.ids = (np.frombuffer(one[c], "<i8") for c in ("rows", "ids"))
+        self.x = np.frombuffer(one["x"], f"<i{one['x_bytes']}").reshape(len(self.rows), one["width"])
+        self.k, self.floor = k, np.full(len(self.rows), -np.inf)
+        self.best = [np.zeros(0, np.int64)] * 3  # query, vector id, score
+
+    def meet(self, rows: np.ndarray, ids: np.ndarray, width: int, index: dict[str, np.ndarray]) -> None:
+        who, which, score, _ = best_of_pair(rows, ids, width, index, self.rows, self.x, self.k, self.floor)
+        who, ids, score = (np.concatenate(x) for x in zip(self.best, (who, ids[which], score), strict=True))
+        order = np.lexsort((ids, -score, who))
+        place = np.arange(len(who)) - np.searchsorted(who[order], who[order])
+        take = order[place < self.k]
+        self.best = [who[take], ids[take], score[take]]
+        last = order[place == self.k - 1]
+        self.floor[who[last]] = score[last]
+
+    def result(self) -> pa.RecordBatch:
+        who, ids, score = self.best
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (self.rows[who], self.ids[who], ids, score)], ["q_row", "query_id", "vec_id", "score"])
+
+
 def _search(k: int):
+    """Rows by cell, in each the queries before the vectors."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
         for batch in batches:
             for one in batch.to_pylist():
-                rows, ids, q_rows, q_ids, q_x = (np.frombuffer(one[c], "<i8") for c in ("rows", "ids", "q_rows", "q_ids", "q_x"))
-                index = {c: np.frombuffer(one[c], "<i8" if c == "post_value" else "<i4") for c in _INDEX}
-                who, which, score, _ = best_of_pair(rows, ids, one["width"], index, q_rows, q_x.reshape(len(q_rows), one["q_width"]), k)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (q_rows[who], q_ids[who], ids[which], score)], ["q_row", "query_id", "vec_id", "score"])
+                if one["cell"] != cell:
+                    yield from (h.result() for h in held)
+                    cell, held = one["cell"], []
+                if not one["is_index"]:
+                    held.append(_Held(one, k))
+                    continue
+                rows, ids = (np.frombuffer(one[c], "<i8") for c in ("rows", "ids"))
+                index = {c: np.frombuffer(one[c], kind) for c, kind in _KINDS.items()} | {"post_value": np.frombuffer(one["x"], f"<i{one['x_bytes']}")}
+                for h in held:
+                    h.meet(rows, ids, one["width"], index)
+        yield from (h.result() for h in held)
 
     return run
 
 
+def grid(n_blocks: int, n_query_blocks: int, vector_bytes: int, query_bytes: int, least: int) -> tuple[int, int]:
+    """Strips and slots of at least so many cells, if there are so many pairs, that copy the fewest bytes."""
+    cells = max(least, -(-n_blocks * n_query_blocks // PAIRS))
+    fewest = -(-n_query_blocks // SLOT_BLOCKS)
+    shapes = [(max(1, min(n_blocks, -(-cells // slots))), slots) for slots in range(fewest, n_query_blocks + 1)]
+    most = max(a * b for a, b in shapes)
+    return min((x for x in shapes if x[0] * x[1] >= min(cells, most)), key=lambda x: x[0] * query_bytes + x[1] * vector_bytes)
+
+
 def exact_top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best for each row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
@@ -196,18 +276,22 @@ def exact_top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 6
         cells = F.size("x").cast("long")
         n, c, nq, cq = (x or 0 for x in table.agg(F.count("*"), F.sum(cells), F.count(F.when(is_query, 1)), F.sum(F.when(is_query, cells))).first())
         n_blocks, n_query_blocks = max(1, -(-n // VECTORS), -(-c // VECTOR_CELLS)), max(1, -(-nq // QUERIES), -(-cq // QUERY_CELLS))
-        slots = max(1, min(n_query_blocks, -(-4 * spark.sparkContext.defaultParallelism // n_blocks)))
+        # a query takes its k best to every strip as well
+        strips, slots = grid(n_blocks, n_query_blocks, 4 * c + 16 * n, cq + 16 * nq * (1 + k), 8 * spark.sparkContext.defaultParallelism)
 
         def lists(rows: DataFrame, blocks: int) -> DataFrame:
             block = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block")
             packed = rows.select(block, "row", "vec_id", "x").groupBy("block").agg(F.collect_list(F.struct("row", "vec_id", "x")).alias("rows"))
             return packed.select("block", F.col("rows.row").alias("row"), F.col("rows.vec_id").alias("vec_id"), F.col("rows.x").alias("x"))
 
-        index = lists(table, n_blocks).mapInArrow(_segments, "block int, width int, rows binary, ids binary, " + ", ".join(f"{c} binary" for c in _INDEX))
-        index = scratch.table(index, "index").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-        queries = lists(table.where(is_query), n_query_blocks).mapInArrow(_packed, "block int, q_rows binary, q_ids binary, q_x binary, q_width int")
-        queries = scratch.table(queries, "queries").withColumn("slot", F.pmod("block", F.lit(slots))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-        found = index.join(queries, ["block", "slot"]).drop("slot").mapInArrow(_search(k), "q_row long, query_id long, vec_id long, score long")
+        index = scratch.table(lists(table, n_blocks).mapInArrow(_blocks(True), _BLOCK), "index")
+        queries = scratch.table(lists(table.where(is_query), n_query_blocks).mapInArrow(_blocks(False), _BLOCK), "queries")
+        to_slots = F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.pmod("block", F.lit(strips)) * slots + i)
+        to_strips = F.transform(F.sequence(F.lit(0), F.lit(strips - 1)), lambda i: i * slots + F.pmod("block", F.lit(slots)))
+        dealt = index.withColumn("cell", F.explode(to_slots)).unionByName(queries.withColumn("cell", F.explode(to_strips)))
+        # a number of partitions of its own: the work follows the cells, not their bytes
+        dealt = dealt.repartition(strips * slots, "cell").sortWithinPartitions("cell", "is_index")
+        found = dealt.mapInArrow(_search(k), "q_row long, query_id long, vec_id long, score long")
         order = Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id")
         best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         return scratch.keep(best.select("query_id", "rank", "vec_id", "score"))

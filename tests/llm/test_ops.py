@@ -274,6 +274,34 @@ def test_segments_stop_on_proof(density, least_saved):
     assert added < (1 - least_saved) * 64 * len(index["post_row"])
 
 
+def test_top_k_sends_blocks_to_cells_without_a_broadcast(spark, monkeypatch, capsys):
+    rng = np.random.default_rng(3)
+    m = np.floor(64 * rng.normal(0, 1, (600, 8))).astype(int)
+    for name, value in {"VECTORS": 32, "QUERIES": 4, "PAIRS": 8, "SLOT_BLOCKS": 2}.items():
+        monkeypatch.setattr(topk, name, value, raising=False)
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, *a, f=Scratch.keep: (df.explain(), f(self, df, *a))[1])
+    got = exact_top_k(spark.createDataFrame([(i, x.astype(float).tolist()) for i, x in enumerate(m)], "vec_id long, embedding array<double>"), k=7, scale=1).collect()
+    assert "Broadcast" not in capsys.readouterr().out  # Spark doesn't see how many copies of the queries there are
+    for q in range(0, 600, 20):
+        best = sorted((-int(s), i) for i, s in enumerate(m[q] @ m.T) if i != q)[:7]
+        assert [(-r["score"], r["vec_id"]) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == best
+    assert len(got) == 30 * 7
+
+
+def test_grid_copies_little():
+    for n, nq in ((1, 1), (7, 6), (76, 61), (1880, 1504)):
+        strips, slots = topk.grid(n, nq, 300 * 8192 * n, 400 * 512 * nq, 48)
+        assert 1 <= strips <= n and 1 <= slots <= nq and strips * slots >= min(n * nq, 48) and -(-nq // slots) <= topk.SLOT_BLOCKS
+        assert strips < n / 2 or n < 50
+
+
+def test_floors_leave_out_blocks_and_keep_ties():
+    m = np.arange(1, 401).reshape(100, 4)
+    rows, index = np.arange(100), topk.postings(m)
+    who, which, score, added = topk.best_of_pair(rows, rows, 4, index, np.array([-1, -2]), m[:2], 3, np.array([float(m[0] @ m[99]), 1e9]))
+    assert who.tolist() == [0] and which.tolist() == [99] and score.tolist() == [m[0] @ m[99]] and added <= m.size
+
+
 # 5 personal data
 
 
