@@ -28,6 +28,7 @@ import json
 import os
 import re
 from collections.abc import Callable, Iterator
+from functools import cached_property
 from itertools import pairwise
 
 import numpy as np
@@ -119,7 +120,6 @@ class Ranks:
     def __init__(self, path: str, special: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
@@ -135,11 +135,18 @@ class Ranks:
             self.bytes[i] = t
         self.sizes = np.array([len(b) for b in self.bytes], np.int64)
         self.encoding = tiktoken.Encoding("ordered", pat_str=_PIECES, mergeable_ranks=vocab, special_tokens=own if special else {})
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.library.encode_special_tokens = not special
-        self.special = special
+        self.path, self.special = path, special
+
+    @cached_property
+    def library(self):
+        """The other library's tokenizer, a second copy of the vocabulary in memory: only texts with very long blanks need it."""
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(self.path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        tokenizer.encode_special_tokens = not self.special
+        return tokenizer
 
     def encode(self, text: str) -> list[int]:
         if len(text) >= BLANKS and _BLANKS.search(text):

@@ -14,11 +14,11 @@ from tallyspark.sources.shared import shared_dir
 BATCH_BYTES = 4 << 20
 
 
-def bounded_batches(spark: SparkSession) -> None:
+def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
     """Smaller Arrow batches for this session than Spark's own 64 MB, unless it has smaller ones already."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
+    if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > most:
+        spark.conf.set(key, str(most))
 
 
 def _fs(spark: SparkSession, path: str):

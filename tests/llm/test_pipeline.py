@@ -4,7 +4,7 @@ import corpus_pipeline as P
 import pytest
 from test_ops import ODD, base_secrets, dropped_lines, linked, shingle_set, table
 
-from tallyspark.llm.bpe import codec
+from tallyspark.llm.bpe import BLANKS, Ranks, codec
 
 
 @pytest.fixture(scope="module")
@@ -64,3 +64,20 @@ def test_stages_on_odd_rows(spark, sf_dir, name):
 def test_stages_on_an_empty_table(spark, sf_dir, name):
     out = dict(P.STAGES)[name](spark, table(spark, []), sf_dir)
     assert out.count() == 0 and (name == "packing" or "text" in out.columns)
+
+
+def test_little_memory_stays_in_workers(spark, sf_dir):
+    """A worker has one copy of the vocabulary unless a text needs the other library; stages share executors, so their batches are small."""
+    r = Ranks(pytest.importorskip("public_tokenizers").path(P.VOCABULARY), True)
+    assert r.count("two words") == 2 and "library" not in vars(r)
+    assert r.count(long := "a" + " " * BLANKS + "b") == len(r.library.encode(long, add_special_tokens=False).ids)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(2)
+    try:
+        for _, stage in P.STAGES:
+            spark.conf.set(key, str(64 << 20))
+            stage(spark, docs, sf_dir)
+            assert int(spark.conf.get(key)) <= 1 << 20
+    finally:
+        spark.conf.set(key, before)
