@@ -50,7 +50,7 @@ for _name, _sep, _enc, _above in (("src_01", ",", "UTF-8", ""), ("src_03", ",",
 
     @add(_name, _CUSTOMERS.format(sep=_sep))
     def _loaded(spark, sf_dir, sep=_sep, enc=_enc, above=_above):
-        raw, _ = FILES.load_file(spark, _csv(spark, sf_dir, sep, enc, above), in_parts=True)
+        raw, _ = FILES.load_file(spark, _csv(spark, sf_dir, sep, enc, above), max_mb=None, in_parts=True)  # the limit is for uploads
         return raw.select("c_custkey", "c_name", "c_note")
 
 
