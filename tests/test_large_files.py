@@ -19,6 +19,6 @@ def long_dir(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["src_01", "src_03", "src_04", "src_05", "src_08", "src_09"])
+@pytest.mark.parametrize("name", ["src_01", "src_03", "src_04", "src_05", "src_08", "src_09", "src_10"])
 def test_table_beyond_the_upload_limit(spark, long_dir, name):
     assert_same(plans.QUERIES[name](spark, long_dir).toPandas(), connect(long_dir).execute(plans.ORACLE_SQL[name]).df())
